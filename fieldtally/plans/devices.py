@@ -87,15 +87,15 @@ def _species(t):
 
 
 register("upsert_catalog", lambda t: M.upsert_catalog(
-    t.taxon.filter("taxon_id % 7 = 0").withColumn("other_names", F.array(F.col("family"))), _species(t)).select(
+    t.taxon.filter("rce is not null").withColumn("other_names", F.array(F.col("family"))), _species(t)).select(
     "common_name", "scientific_name", "tax_group", "rce", "is_new", F.size("other_names").alias("n_names")),
     """SELECT p_name AS common_name, sci AS scientific_name, CASE WHEN p_partkey%2=0 THEN 'otros' ELSE 'aves' END AS tax_group,
     k.rce, k.taxon_id IS NULL AS is_new, CASE WHEN k.taxon_id IS NULL THEN 0 ELSE 1 END AS n_names FROM (
       SELECT *, CASE WHEN p_partkey%4<>0 THEN p_brand||' '||p_type END AS sci,
         trim(regexp_replace(lower(coalesce(sci, p_name)),'[^a-z0-9]+',' ','g')) AS key FROM part
       QUALIFY row_number() OVER (PARTITION BY key ORDER BY p_partkey)=1) n
-    LEFT JOIN (SELECT *, trim(regexp_replace(lower(scientific_name),'[^a-z0-9]+',' ','g')) AS key FROM taxon WHERE taxon_id%7=0
-      QUALIFY row_number() OVER (PARTITION BY key ORDER BY taxon_id)=1) k USING (key)""")
+    LEFT JOIN (SELECT trim(regexp_replace(lower(scientific_name),'[^a-z0-9]+',' ','g')) AS key, min(taxon_id) AS taxon_id,
+      arg_min(rce, taxon_id) AS rce FROM taxon WHERE rce IS NOT NULL GROUP BY 1) k ON k.key=n.key""")
 
 # --- change data ---
 _FIELDS = ["station_id", "event_date", "amount", "recorded_by"]
@@ -104,9 +104,9 @@ register("audit_diff", lambda t: H.audit_rows(H.audit_diff(t.backup("local"), t.
     "SELECT id, 'amount' AS field, la AS before, ra AS after FROM paired WHERE la<>ra", paired=_PAIR)
 register("apply_changes", lambda t: H.apply_changes(t.change_log).select(
     "entity_id", "revision", "payload", "review_state", epoch_us("deleted_at").alias("deleted_us"), epoch_us("updated_at").alias("updated_us")),
-    """SELECT entity_id, count(*) AS revision, arg_max(payload, (at, seq)) FILTER (op IN ('create','update')) AS payload,
+    """SELECT entity_id, count(*) AS revision, arg_max(payload, epoch_us(moment)::HUGEINT*1000000000+seq) FILTER (op IN ('create','update')) AS payload,
     CASE WHEN bool_or(op='review') THEN 'revisado' ELSE 'terreno' END AS review_state,
-    epoch_us(max(at) FILTER (op='delete')) AS deleted_us, epoch_us(max(at)) AS updated_us FROM change_log GROUP BY entity_id""")
+    epoch_us(max(moment) FILTER (op='delete')) AS deleted_us, epoch_us(max(moment)) AS updated_us FROM change_log GROUP BY entity_id""")
 
 
 def _reviews(t):

@@ -89,10 +89,8 @@ def _derived(t):
     return star.derive_catalogs(rows)
 
 
-register("guarded_delete", lambda t: star.guarded_delete(t.campaign, t.event.filter("campaign_id % 4 <> 0"), "campaign_id")[
-    "deletable"].select("campaign_id"),
-    """SELECT campaign_id FROM campaign WHERE campaign_id NOT IN
-    (SELECT campaign_id FROM event WHERE campaign_id%4<>0)""")
+register("guarded_delete", lambda t: star.guarded_delete(t.taxon, t.occurrence, "taxon_id")["deletable"].select("taxon_id"),
+         "SELECT taxon_id FROM taxon ANTI JOIN occurrence USING (taxon_id)")
 
 # --- coverage ---
 _CHOSEN = """SELECT station_id, method, arg_min(event_id, event_id) FILTER (event_date=d) AS event_id FROM (
@@ -111,10 +109,10 @@ register("plan_summary", lambda t: C.plan_summary(C.plan_coverage(t.station, t.e
     count(*) FILTER (state='realizado')/count(*) AS coverage FROM cover GROUP BY project_id""", chosen=_CHOSEN, cover=_COVER)
 register("off_plan", lambda t: C.off_plan(t.station, t.event).select("event_id", "station_id", "method"),
          "SELECT event_id, station_id, method FROM live_event ANTI JOIN grid USING (station_id, method)")
-register("pending_plan", lambda t: C.pending_plan(C.plan_coverage(t.station, t.event.filter("event_id % 3 = 0 and deleted_at is null"))).select(
+register("pending_plan", lambda t: C.pending_plan(C.plan_coverage(t.station, t.event, campaign_id=0)).select(
     "station_code", "method"),
     """SELECT station_code, method FROM grid WHERE (station_id, method) NOT IN
-    (SELECT (station_id, method) FROM live_event WHERE event_id%3=0)""")
+    (SELECT (station_id, method) FROM live_event WHERE campaign_id=0)""")
 
 
 def _entries(t):

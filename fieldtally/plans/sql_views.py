@@ -192,7 +192,7 @@ VIEWS: dict[str, str] = {
     "journey": """SELECT file, taken_at, lat, lon, heading, coalesce(substr(taken_at,1,10),'sin fecha') AS date,
   CASE WHEN nearest_m<=300 THEN nearest_station_id END AS station_id, nearest_m, status,
   (['N','NE','E','SE','S','SO','O','NO'])[CAST(floor(heading/45e0+5e-1) AS BIGINT)%8+1] AS cardinal FROM photo_check""",
-    "change_log": """SELECT user_id AS entity_id, event_id AS seq, ts AS at,
+    "change_log": """SELECT user_id AS entity_id, event_id AS seq, ts AS moment,
   CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'review' WHEN 'error' THEN 'delete'
     ELSE 'update' END AS op, value AS payload FROM events""",
     "outbox_item": """SELECT CASE WHEN user_id%3=0 THEN 'event' ELSE 'occurrence' END||':'||user_id AS item_id,
