@@ -1 +1,164 @@
-"""Registered queries."""
+"""Export shapes: fields, sheets and Darwin Core tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldtally.functions import fields as FL
+from fieldtally.functions import survey as S
+from fieldtally.functions.text import half_up
+from fieldtally.operators import export as X
+from fieldtally.operators.star import event_rows
+from fieldtally.plans.registry import register
+
+
+def _dims(t):
+    return event_rows(t.event, t.station, t.project, t.campaign)
+
+
+_FIRST = """SELECT * FROM flat QUALIFY row_number() OVER (PARTITION BY event_id
+  ORDER BY event_date, occurrence_time, created_s, occurrence_id)=1"""
+
+register("coordinates_of", lambda t: t.flat.select("occurrence_id", FL.coordinates_of().alias("c")).select(
+    "occurrence_id", "c.source", half_up(F.col("c.lat"), 6).alias("lat"), half_up(F.col("c.lon"), 6).alias("lon"), "c.zone"),
+    """SELECT occurrence_id, CASE WHEN fix_lat IS NOT NULL THEN 'avistamiento' WHEN station_code IS NOT NULL THEN 'estacion' ELSE 'ninguna' END AS source,
+    floor(coalesce(fix_lat,lat)*1e6+5e-1)/1e6 AS lat, floor(coalesce(fix_lon,lon)*1e6+5e-1)/1e6 AS lon, 19 AS zone FROM flat""")
+for _policy in X.POLICIES:
+    _masked = "sensitive AND " + ("false" if _policy == "exacta" else "true")
+    _deg = "NULL" if _policy == "omitida" else "floor(floor({c}/1e-2+5e-1)*1e-2*1e6+5e-1)/1e6"
+    _unc = "NULL" if _policy == "omitida" else "greatest(coalesce(fix_accuracy_m,0),1100e0)"
+    register(f"apply_sensitivity_{_policy}", lambda t, policy=_policy: t.flat.select("occurrence_id", X.apply_sensitivity(
+        F.coalesce("fix_lat", "lat"), F.coalesce("fix_lon", "lon"), F.col("fix_accuracy_m"),
+        S.is_sensitive("rce", "iucn", "endemic"), policy).alias("a")).select("occurrence_id", "a.lat", "a.lon", "a.uncertainty_m", "a.withheld"),
+        f"""SELECT occurrence_id, CASE WHEN {_masked} THEN {_deg.format(c='coalesce(fix_lat,lat)')} ELSE floor(coalesce(fix_lat,lat)*1e6+5e-1)/1e6 END AS lat,
+        CASE WHEN {_masked} THEN {_deg.format(c='coalesce(fix_lon,lon)')} ELSE floor(coalesce(fix_lon,lon)*1e6+5e-1)/1e6 END AS lon,
+        CASE WHEN {_masked} THEN {_unc} ELSE fix_accuracy_m END AS uncertainty_m,
+        CASE WHEN {_masked} THEN '{'Coordenadas omitidas: especie en categoría de conservación o endémica.' if _policy == 'omitida' else 'Coordenadas exactas disponibles para el titular del proyecto.'}' END AS withheld
+        FROM flat""")
+register("count_sensitive", lambda t: X.count_sensitive(t.flat), "SELECT count(*) FILTER (sensitive) AS sensitive_records FROM flat")
+
+_CHECKED = ["trace.occurrenceId", "event.year", "event.month", "occurrence.amPm", "event.recordedBy", "event.period", "event.performed",
+            "campaign.season", "station.region", "station.methodCamara", "occurrence.commonName", "occurrence.count",
+            "occurrence.photos", "conservation.category", "effort.label", "trace.pendingFields", "trace.reviewState"]
+register("export_fields", lambda t: FL.export_fields(t.flat, _CHECKED).toDF(*[c.replace(".", "_") for c in _CHECKED]),
+         """SELECT f.dwc_occurrence_id AS "trace_occurrenceId", substr(f.event_date,1,4) AS event_year,
+    CAST(CAST(substr(f.event_date,6,2) AS INTEGER) AS VARCHAR) AS event_month,
+    CASE WHEN occurrence_minute>=720 THEN 'PM' ELSE 'AM' END AS "occurrence_amPm",
+    coalesce(f.recorded_by, f.station_recorded_by,'') AS "event_recordedBy",
+    CASE WHEN e.minute_of_day>=1260 OR e.minute_of_day<300 THEN 'Nocturno' WHEN e.minute_of_day<480 OR e.minute_of_day>=1140 THEN 'Crepuscular' ELSE 'Diurno' END AS event_period,
+    CASE e.performed WHEN true THEN 'SI' WHEN false THEN 'NO' ELSE '' END AS event_performed,
+    coalesce(f.campaign_season, f.season,'') AS campaign_season, coalesce(f.region, f.project_region,'') AS station_region,
+    CASE WHEN f.station_id%2=0 THEN 'Sí' ELSE '' END AS "station_methodCamara",
+    coalesce(f.common_name, f.verbatim_taxon,'') AS "occurrence_commonName", coalesce(CAST(f.individual_count AS VARCHAR),'') AS occurrence_count,
+    CASE WHEN media_count>0 THEN media_count||' foto(s)' ELSE '' END AS occurrence_photos,
+    coalesce(f.badge,'') AS conservation_category, e.effort_label AS effort_label, replace(pending_text,', ','; ') AS "trace_pendingFields",
+    review_state AS "trace_reviewState" FROM flat f JOIN effort e ON e.event_id=f.event_id""")
+
+register("photo_label_lines", lambda t: t.flat.select("occurrence_id", F.array_join(F.transform(
+    FL.photo_label_lines(["station.code", "event.date", "occurrence.time", FL.LATLON_LINE, "occurrence.notes", "project.name"]),
+    lambda line: F.concat_ws("=", line["label"], line["value"])), "|").alias("lines")),
+    """SELECT occurrence_id, concat_ws('|', 'Punto='||station_code, 'Fecha='||event_date, 'Hora='||occurrence_time,
+    'Coord.=-'||CAST(floor(abs(y)*1e5+5e-1)//100000 AS BIGINT)||'.'||lpad(CAST(CAST(floor(abs(y)*1e5+5e-1) AS BIGINT)%100000 AS VARCHAR),5,'0')||', -'
+      ||CAST(floor(abs(x)*1e5+5e-1)//100000 AS BIGINT)||'.'||lpad(CAST(CAST(floor(abs(x)*1e5+5e-1) AS BIGINT)%100000 AS VARCHAR),5,'0'),
+    CASE WHEN notes IS NOT NULL THEN 'Observaciones='||notes END, 'Proyecto='||project_name) AS lines
+    FROM (SELECT *, coalesce(fix_lat,lat) AS y, coalesce(fix_lon,lon) AS x FROM flat)""")
+
+
+def _media(t):
+    """Every listed media id; each seventh record's files are audio."""
+    return t.occurrence.select("event_id", F.explode("media_ids").alias("media_id")).select(
+        "media_id", F.when(F.col("event_id") % 7 == 0, "audio").otherwise("foto").alias("kind"), F.lit(True).alias("has_content"))
+
+
+register("photo_index", lambda t: X.photo_index(t.flat, _media(t)).select("media_id", "photo_index", "file_name"),
+         """SELECT occurrence_id||'/'||i AS media_id, i AS photo_index, station_code||'_'||event_date||'_'||replace(occurrence_time,':','')||'_'||
+    replace(coalesce(common_name, verbatim_taxon),' ','-')||'_'||i||'.jpg' AS file_name
+    FROM flat, (VALUES (1),(2)) AS n(i) WHERE i<=media_count AND event_id%7<>0""")
+
+# --- Darwin Core ---
+register("dwca_event", lambda t: X.dwca_event(t.flat, policy="generalizada").select(
+    "eventID", "eventDate", "month", "samplingProtocol", "sampleSizeValue", "sampleSizeUnit", "samplingEffort", "locality",
+    "stateProvince", "recordedBy", "fieldNotes", "parentEventID", "coordinateUncertaintyInMeters", "verbatimCoordinates", "eventRemarks"),
+    """SELECT CAST(f.event_id AS VARCHAR) AS "eventID", f.event_date AS "eventDate", CAST(CAST(substr(f.event_date,6,2) AS INTEGER) AS VARCHAR) AS month,
+    f.method AS "samplingProtocol", coalesce(CAST(CASE WHEN unit='distancia' AND distance_m IS NOT NULL THEN distance_m
+      WHEN unit='trampas-noche' AND trap_nights IS NOT NULL THEN trap_nights ELSE duration_min END AS VARCHAR),'') AS "sampleSizeValue",
+    CASE WHEN unit='distancia' AND distance_m IS NOT NULL THEN 'm' WHEN unit='trampas-noche' AND trap_nights IS NOT NULL THEN 'trap-nights'
+      WHEN duration_min IS NOT NULL THEN 'minutes' ELSE '' END AS "sampleSizeUnit", effort_label AS "samplingEffort", station_code AS locality,
+    coalesce(f.region,'') AS "stateProvince", coalesce(f.recorded_by, f.station_recorded_by,'') AS "recordedBy", coalesce(event_notes,'') AS "fieldNotes",
+    CAST(f.campaign_id AS VARCHAR) AS "parentEventID", coalesce(CAST(device_accuracy_m AS VARCHAR),'') AS "coordinateUncertaintyInMeters",
+    coalesce('19'||CAST(CAST(utm_east AS BIGINT) AS VARCHAR)||' '||CAST(CAST(utm_north AS BIGINT) AS VARCHAR),'') AS "verbatimCoordinates",
+    concat_ws('; ', 'Clima: '||e.weather, 'Periodo: '||CASE WHEN e.minute_of_day>=1260 OR e.minute_of_day<300 THEN 'Nocturno'
+      WHEN e.minute_of_day<480 OR e.minute_of_day>=1140 THEN 'Crepuscular' ELSE 'Diurno' END,
+      'Temperatura: '||temperature_c||' °C', 'Viento Beaufort: '||wind_beaufort, 'Nubosidad: '||cloud_octas||'/8', 'Precipitación: '||precipitation,
+      CASE WHEN no_detections THEN 'Muestreo sin detecciones' END, CASE WHEN incidental THEN 'Registro oportunista fuera de estación' END) AS "eventRemarks"
+    FROM first_of f JOIN effort e ON e.event_id=f.event_id""", first_of=_FIRST)
+
+_DWC_COLS = ["occurrenceID", "eventID", "basisOfRecord", "occurrenceStatus", "individualCount", "organismQuantityType", "reproductiveCondition",
+             "recordedBy", "occurrenceRemarks", "coordinateUncertaintyInMeters", "vernacularName", "class", "identificationQualifier"]
+register("dwca_occurrence", lambda t: X.dwca_occurrence(t.flat, t.event, t.occurrence, policy="omitida").select(*_DWC_COLS),
+         """SELECT dwc_occurrence_id AS "occurrenceID", CAST(f.event_id AS VARCHAR) AS "eventID",
+    CASE WHEN f.method='camara_trampa' THEN 'MachineObservation' ELSE 'HumanObservation' END AS "basisOfRecord", 'present' AS "occurrenceStatus",
+    coalesce(CAST(individual_count AS VARCHAR),'') AS "individualCount", CASE WHEN individual_count IS NULL THEN '' ELSE 'individuos' END AS "organismQuantityType",
+    coalesce(reproductive_condition,'') AS "reproductiveCondition", coalesce(recorded_by, station_recorded_by,'') AS "recordedBy",
+    concat_ws('; ', 'tipoRegistro='||record_type, 'evidencia='||evidence_kind, CASE WHEN sex_scope='algunos' THEN 'sexoAplicaAAlgunosIndividuos' END,
+      CASE WHEN life_stage_scope='algunos' THEN 'estadoAplicaAAlgunosIndividuos' END, CASE WHEN occurrence_time<>event_time THEN 'hora='||occurrence_time END,
+      'distanciaDeteccion='||detection_distance_m||' m', CASE WHEN recapture THEN 'recaptura' END, 'conservacion='||badge,
+      CASE WHEN review_state<>'terreno' THEN 'revision='||review_state END, notes) AS "occurrenceRemarks",
+    CASE WHEN sensitive OR fix_accuracy_m IS NULL THEN '' ELSE CAST(CAST(fix_accuracy_m AS BIGINT) AS VARCHAR) END AS "coordinateUncertaintyInMeters",
+    coalesce(common_name, verbatim_taxon,'') AS "vernacularName", coalesce(tax_class,'') AS class,
+    CASE confidence WHEN 'probable' THEN 'cf.' WHEN 'posible' THEN '?' ELSE CASE WHEN is_placeholder THEN 'sp.' ELSE '' END END AS "identificationQualifier"
+    FROM flat f
+    UNION ALL SELECT event_id||':absent', CAST(event_id AS VARCHAR), CASE WHEN method='camara_trampa' THEN 'MachineObservation' ELSE 'HumanObservation' END,
+    'absent', '0', '', '', coalesce(recorded_by,''), 'Muestreo realizado sin detecciones de fauna.', '', '', '', ''
+    FROM live_event WHERE no_detections AND event_id NOT IN (SELECT event_id FROM live_occ)""")
+register("absences", lambda t: X.absences(t.event, t.occurrence).select("occurrenceID", "recordedBy"),
+         """SELECT event_id||':absent' AS "occurrenceID", coalesce(recorded_by,'') AS "recordedBy" FROM live_event
+    WHERE no_detections AND event_id NOT IN (SELECT event_id FROM live_occ)""")
+register("dwca_measurement", lambda t: X.dwca_measurement(t.flat, t.fact),
+         """SELECT dwc_occurrence_id AS "occurrenceID", 'alturaDeVuelo' AS "measurementType", CAST(flight_height_m AS VARCHAR) AS "measurementValue",
+      'm' AS "measurementUnit", 'estimación visual' AS "measurementMethod" FROM live_occ WHERE flight_height_m IS NOT NULL
+    UNION ALL SELECT dwc_occurrence_id, 'categoriaAlturaDeVuelo', flight_height_category, '', 'categorías 1-5 de la planilla' FROM live_occ WHERE flight_height_category IS NOT NULL
+    UNION ALL SELECT dwc_occurrence_id, 'direccionDeVuelo', flight_direction, '', '' FROM live_occ WHERE flight_direction IS NOT NULL
+    UNION ALL SELECT dwc_occurrence_id, 'origenDeVuelo', flight_origin, '', '' FROM live_occ WHERE flight_origin IS NOT NULL
+    UNION ALL SELECT dwc_occurrence_id, 'destinoDeVuelo', flight_destination, '', '' FROM live_occ WHERE flight_destination IS NOT NULL
+    UNION ALL SELECT dwc_occurrence_id, 'respuestaPlayback', 'respuesta '||(occurrence_minute%3), '', '' FROM live_occ WHERE event_id%7=3""")
+
+# --- sheets ---
+_SCOPES = {
+    "registros": "method NOT IN ('transito_aereo','transito_aereo_nocturno','trampa_sherman','camara_trampa')",
+    "transito_aereo": "method='transito_aereo'", "transito_aereo_nocturno": "method='transito_aereo_nocturno'",
+    "trampeo": "method IN ('trampa_sherman','camara_trampa')", "registros_todos": "true",
+}
+for _scope, _where in _SCOPES.items():
+    register(f"sheet_{_scope}", lambda t, scope=_scope: X.sheet_rows(scope, t.flat).select("occurrence_id", "method"),
+             f"SELECT occurrence_id, method FROM flat WHERE {_where}")
+register("sheet_muestreos", lambda t: X.sheet_rows("muestreos", t.flat, events_dims=_dims(t)).select(
+    "event_id", "station_code", "record_type", "occurrence_id"),
+    """SELECT event_id, station_code, record_type, occurrence_id FROM first_of
+    UNION ALL SELECT event_id, station_code, 'Otro', NULL FROM live_event JOIN station USING (station_id)
+    WHERE event_id NOT IN (SELECT event_id FROM live_occ)""", first_of=_FIRST)
+register("sheet_estaciones", lambda t: X.sheet_rows("estaciones", t.flat).select("station_code", "occurrence_id"),
+         """SELECT station_code, occurrence_id FROM flat WHERE station_code IS NOT NULL QUALIFY row_number() OVER
+    (PARTITION BY station_id ORDER BY event_date, occurrence_time, created_s, occurrence_id)=1""")
+
+from fieldtally.plans.reports import _CHOSEN  # noqa: E402
+
+register("sheet_plan", lambda t: X.sheet_rows("plan", t.flat, stations=t.station, events=t.event, events_dims=_dims(t)).select(
+    "event_id", "station_code", "method", "record_type", "occurrence_id"),
+    """SELECT w.event_id, station_code, w.method, coalesce(f.record_type,'Otro') AS record_type, f.occurrence_id FROM (
+      SELECT c.event_id, g.station_id, g.method FROM grid g LEFT JOIN chosen c USING (station_id, method)
+      UNION ALL SELECT event_id, station_id, method FROM live_event ANTI JOIN grid USING (station_id, method)) w
+    JOIN station USING (station_id) LEFT JOIN first_of f ON f.event_id=w.event_id""".replace("coalesce(f.record_type", "coalesce(f.record_type").replace(
+        "SELECT w.event_id, station_code", "SELECT w.event_id, station.station_code"), chosen=_CHOSEN, first_of=_FIRST)
+
+_TRAP = X.NATIVE_TEMPLATE[2]
+register("native_template", lambda t: X.build_sheet(_TRAP, X.sheet_rows(_TRAP.scope, t.flat)).select("c1", "c5", "c8", "c10", "c11", "c12", "c14", "c36"),
+         """SELECT event_date AS c1, station_code AS c5, CASE method WHEN 'camara_trampa' THEN 'Cámara trampa' ELSE 'Trampas Sherman' END AS c8,
+    CASE WHEN site_id IS NOT NULL THEN 'Linea '||(station_id%4) ELSE '' END AS c10, coalesce(trap_number,'') AS c11,
+    coalesce(common_name, verbatim_taxon,'') AS c12, coalesce(CAST(individual_count AS VARCHAR),'') AS c14,
+    dwc_occurrence_id AS c36 FROM flat WHERE method IN ('trampa_sherman','camara_trampa')""")
+_OFFICIAL = [("occurrenceID", "trace.occurrenceId", None), ("basisOfRecord", None, "HumanObservation"), ("collectionCode", None, None),
+             ("individualCount", "occurrence.count", None), ("recordedBy", "event.recordedBy", None)]
+register("regulator_template", lambda t: X.build_sheet(X.sheet_from_table(_OFFICIAL, "Planilla"), t.flat),
+         """SELECT dwc_occurrence_id AS c1, 'HumanObservation' AS c2, '' AS c3, coalesce(CAST(individual_count AS VARCHAR),'') AS c4,
+    coalesce(recorded_by, station_recorded_by,'') AS c5 FROM flat""")
