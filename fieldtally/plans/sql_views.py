@@ -143,6 +143,8 @@ VIEWS: dict[str, str] = {
   CASE WHEN l_orderkey%7=5 THEN {pick(['N','S','E','O'],'l_suppkey%4')} END AS flight_direction,
   CASE WHEN l_orderkey%7=5 AND l_suppkey%2=0 THEN 'S' END AS flight_origin,
   CASE WHEN l_orderkey%7=5 AND l_suppkey%3=0 THEN 'N' END AS flight_destination,
+  CASE WHEN l_orderkey%7=5 AND l_suppkey%4=0 THEN 'rotor' END AS flight_height_reference,
+  CASE WHEN l_orderkey%7=5 AND l_suppkey%5=0 THEN 'planeo' END AS flight_type, l_partkey AS pk,
   CASE WHEN l_suppkey%6<>0 THEN CAST(l_suppkey%4 AS VARCHAR) END AS batch_id,
   l_suppkey%3 AS media_count,
   CASE WHEN l_partkey%6=0 THEN 'sex, notes' WHEN l_partkey%10=0 THEN 'behaviour' ELSE '' END AS pending_text,
@@ -155,6 +157,17 @@ VIEWS: dict[str, str] = {
   CASE WHEN l_linestatus='F' THEN 'validado' ELSE 'terreno' END AS review_state,
   1700000000+l_orderkey*600+(l_suppkey*13+l_linenumber*29)%180 AS created_s,
   CASE WHEN (l_orderkey+l_linenumber)%23=0 THEN l_shipdate END AS deleted_at FROM lineitem""",
+    "draft": """SELECT o.occurrence_id AS draft_id, o.* REPLACE (coalesce(individual_count, CASE WHEN pk%10=0 THEN 2 END) AS individual_count,
+  CASE WHEN pk%25=0 THEN 'NE' ELSE flight_direction END AS flight_direction), e.method, e.recorded_by, e.weather, e.station_id, e.project_id,
+  CASE WHEN e.event_id%5=0 THEN 'Bloque 1' END AS time_block, o.verbatim_taxon AS verbatim_said,
+  CASE WHEN o.taxon_id IS NULL AND pk%9<3 THEN 2 ELSE 0 END AS n_candidates, pk%12=0 AS inferred, pk%29=0 AND o.taxon_id IS NOT NULL AS corrected,
+  CASE WHEN o.event_id%7=3 AND pk%2=0 THEN 'respondió' END AS playback_response, pk%15=0 AS ack_behaviour,
+  t.common_name, t.tax_group, t.rce, t.badge, t.cat_label, t.rce_decree, t.conservation_source, coalesce(t.exotic,false) AS exotic,
+  coalesce(t.threatened,false) AS threatened,
+  CASE WHEN t.threatened THEN 'especie en categoría de conservación'
+    WHEN o.record_type IN ('Fecas','Huella','Madriguera','Nido') THEN lower(o.record_type)||': la evidencia queda en un punto fijo'
+    WHEN t.mobility='baja' THEN 'especie de baja movilidad' END AS why
+  FROM live_occ o JOIN event e USING (event_id) LEFT JOIN flag t ON t.taxon_id=o.taxon_id""",
     "live_occ": "SELECT * FROM occurrence WHERE deleted_at IS NULL",
     "flat": """SELECT o.*, e.station_id, e.project_id, e.campaign_id, e.site_id, e.method, e.event_date, e.event_time,
   e.recorded_by, e.weather, s.station_code, s.dwc_location_id, s.region, s.habitat, s.lat, s.lon, s.utm_east, s.utm_north,

@@ -390,3 +390,28 @@ def utterance(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("utterance_id"),
         F.concat_ws(" ", pick(words, F.col("p_size") % 10), F.col("p_name"), pick(tails, k % 5)).alias("text"),
     )
+
+
+def draft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live records seen as drafts before they are saved: some ambiguous, corrected or inferred."""
+    occ = occurrence(spark, sf_dir).filter("deleted_at is null").drop("deleted_at")
+    ev = event(spark, sf_dir).select(
+        "event_id", "method", "event_date", "event_time", "station_id", "project_id", "recorded_by", "weather", "time_block")
+    methods = project(spark, sf_dir).select("project_id", "project_methods")
+    p = F.split("occurrence_id", "-")[1].cast("bigint")
+    unknown = F.col("taxon_id").isNull()
+    two = F.array(p % 40, p % 40 + 1)
+    return occ.join(ev, "event_id").join(methods, "project_id", "left").withColumns(
+        {
+            "draft_id": F.col("occurrence_id"),
+            "individual_count": F.coalesce("individual_count", F.when(p % 10 == 0, F.lit(2))),
+            "flight_direction": F.when(p % 25 == 0, "NE").otherwise(F.col("flight_direction")),
+            "verbatim_taxon": F.when(~(unknown & (p % 9 == 3)), F.col("verbatim_taxon")),
+            "candidates": F.when(unknown & (p % 9 < 3), two).otherwise(F.array().cast("array<bigint>")),
+            "record_type_inferred": p % 12 == 0,
+            "corrected_from": F.when((p % 29 == 0) & ~unknown, "escrito asi"),
+            "playback_response": F.when((F.col("event_id") % 7 == 3) & (p % 2 == 0), "respondió"),
+            "fix_requested": F.col("fix_lat").isNotNull(),
+            "acknowledged": F.when(p % 15 == 0, F.array(F.lit("behaviour"))).otherwise(F.array().cast("array<string>")),
+        }
+    )
