@@ -63,3 +63,26 @@ def running_sum_by_bucket(
     return rows.join(before, match, "left").select(
         *df.columns, (F.col("_inner") + F.coalesce(F.col("_before"), F.lit(0))).alias(out)
     )
+
+
+def carry_forward_by_bucket(
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: str, out: str
+) -> DataFrame:
+    """Last non-null ``value`` up to and including each row, within ``keys``."""
+    rows = df.withColumn("_bucket", bucket)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_inner", F.last(value, ignorenulls=True).over(inside))
+    position = F.struct(*[F.col(o) for o in order])
+    tails = rows.groupBy(*keys, "_bucket").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), position)).alias("_tail")
+    )
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_bucket").alias("_k_bucket"),
+        F.last("_tail", ignorenulls=True).over(before).alias("_carry"),
+    ).filter(F.col("_carry").isNotNull())
+    match = F.col("_bucket") == F.col("_k_bucket")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(carried, match, "left").select(*df.columns, F.coalesce("_inner", "_carry").alias(out))
