@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -129,9 +130,9 @@ def alias_table(extra: list[tuple[str, str]] = ()) -> list[tuple[int, str, str]]
 
 def _best_match(q: Column, aliases: list[tuple[int, str, str]]) -> Column:
     """struct(loss, order, field, alias) of the best alias for a folded header; loss = -confidence."""
-    table = F.array(*[
-        F.struct(F.lit(i).alias("order"), F.lit(a).alias("alias"), F.lit(f).alias("field")) for i, a, f in aliases
-    ])
+    # One text literal that the optimizer folds into a constant array.
+    text = json.dumps([{"order": i, "alias": a, "field": f} for i, a, f in aliases])
+    table = F.from_json(F.lit(text), "array<struct<order:int,alias:string,field:string>>")
     n = F.length(q)
 
     def scored(a: Column, confidence: Column) -> Column:

@@ -1 +1,166 @@
-"""Registered queries."""
+"""Dictated notes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldtally.functions.lexicon import lexicon_rows, lexicon_table
+from fieldtally.functions.text import fold
+from fieldtally.operators import changes as H
+from fieldtally.operators import coverage as C
+from fieldtally.operators import utterances as U
+from fieldtally.plans.registry import register
+from fieldtally.plans.views import pick
+
+TODAY = "2026-09-04"
+
+
+def keys(t):
+    return t.taxon.select(fold("common_name").alias("key"), F.col("common_name").alias("taxon_id")).distinct()
+
+
+def _chunks(t):
+    return U.with_tokens(U.read_dates(U.split_chunks(t.utterance), today=TODAY))
+
+
+def _parsed(t):
+    return U.parse_utterances(t.utterance, keys(t), t.station, lexicon_table(t.spark), today=TODAY)
+
+
+_NUMBER = "p_size%10"
+register("split_chunks", lambda t: U.split_chunks(t.raw("part").select(
+    F.col("p_partkey").alias("utterance_id"), F.concat(F.col("p_name"), F.lit(" y "), F.col("p_brand"), F.lit(", 1,5 S. "), F.col("p_type")).alias("text"))),
+    """SELECT p_partkey AS utterance_id, 0 AS chunk_no, p_name AS chunk FROM part UNION ALL SELECT p_partkey, 1, p_brand FROM part
+    UNION ALL SELECT p_partkey, 2, '1.5 S '||p_type FROM part""")
+register("read_numbers", lambda t: U.read_numbers(_chunks(t)).select("utterance_id", "start", "n", "number"),
+         f"SELECT p_partkey AS utterance_id, 1 AS start, 1 AS n, {_NUMBER} AS number FROM part")
+register("match_taxa", lambda t: U.match_taxa(_chunks(t), keys(t)).select("utterance_id", "matched", "start", "n", "confidence", "pass"),
+         "SELECT p_partkey AS utterance_id, p_name AS matched, 2 AS start, 2 AS n, 1e0 AS confidence, 1 AS pass FROM part")
+register("tag_lexicon", lambda t: U.tag_lexicon(_chunks(t), lexicon_table(t.spark)).select("utterance_id", "start", "kind", "value"),
+         """SELECT p_partkey AS utterance_id, 4 AS start, v.kind, v.value FROM part JOIN (VALUES (0,'sex','Macho'),(1,'sex','Hembra'),(2,'behaviour','Volando'),
+    (3,'record_type','Vocalización'),(3,'behaviour','Vocalizando'),(4,'record_type','Fecas')) AS v(k,kind,value) ON p_partkey%5=v.k""")
+_OBS = """SELECT p_partkey AS utterance_id, p_name AS taxon, CASE p_partkey%5 WHEN 3 THEN 'Vocalización' WHEN 4 THEN 'Fecas' ELSE 'Individuo' END AS record_type,
+  CASE WHEN p_partkey%5=4 THEN 'Indirecto' ELSE 'Directo' END AS evidence_kind, p_size%10 AS individual_count,
+  CASE p_partkey%5 WHEN 0 THEN 'Macho' WHEN 1 THEN 'Hembra' END AS sex,
+  CASE WHEN p_partkey%5<2 AND p_size%10<=1 THEN 'todos' ELSE 'sin_definir' END AS sex_scope,
+  CASE p_partkey%5 WHEN 2 THEN 'Volando' WHEN 3 THEN 'Vocalizando' END AS behaviour, CASE WHEN p_partkey%5<3 THEN 8e-1 ELSE 1e0 END AS confidence FROM part"""
+register("finalize_observation", lambda t: _parsed(t)["observations"].select(
+    "utterance_id", F.get("taxon_ids", F.lit(0)).alias("taxon"), "record_type", "evidence_kind", "individual_count", "sex", "sex_scope", "behaviour", "confidence"),
+    "SELECT * FROM obs", obs=_OBS)
+
+
+def _lists(t):
+    """Three-part sentences: a station, a species with its count, another species."""
+    k = F.col("p_partkey")
+    return t.raw("part").select(k.alias("utterance_id"), F.concat(
+        F.lit("en EM"), F.lpad((k % 50).cast("string"), 4, "0"), F.lit(" hay dos "), F.col("p_name"),
+        F.when(k % 2 == 0, " machos, ").otherwise(" posados, "),
+        F.when(k % 3 == 0, "norte, ").otherwise(""), F.lit("tres small ring"), F.when(k % 5 == 0, ", ayer").otherwise("")).alias("text"))
+
+
+register("segment_observations", lambda t: U.segment_observations(_lists(t), U.read_chunks(
+    _lists(t), keys(t), t.station, lexicon_table(t.spark), today=TODAY)).select("utterance_id", "chunk_no", "obs_no", "matched"),
+    """SELECT p_partkey AS utterance_id, 0 AS chunk_no, 1 AS obs_no, p_name AS matched FROM part
+    UNION ALL SELECT p_partkey, 1, 1, NULL FROM part WHERE p_partkey%3=0
+    UNION ALL SELECT p_partkey, CASE WHEN p_partkey%3=0 THEN 2 ELSE 1 END, 2, 'small ring' FROM part""")
+register("read_station", lambda t: U.utterance_header(_lists(t), U.read_chunks(
+    _lists(t), keys(t), t.station, lexicon_table(t.spark), today=TODAY), today=TODAY).select("utterance_id", "station_code", "unknown_station", "spoken_date", "no_detections"),
+    """SELECT p_partkey AS utterance_id, 'EM'||lpad(CAST(p_partkey%50 AS VARCHAR),4,'0') AS station_code, false AS unknown_station,
+    CASE WHEN p_partkey%5=0 THEN '2026-09-03' END AS spoken_date, false AS no_detections FROM part""")
+
+
+def _dated(t):
+    k = F.col("p_partkey")
+    said = pick(["hoy", "ayer", "anteayer", "antes de ayer", "hace tres dias", "el viernes", "el lunes pasado", "2 de junio", "el 30 de diciembre", "nada"], k % 10)
+    return t.raw("part").select(k.alias("utterance_id"), F.concat(said, F.lit(" dos "), F.col("p_name")).alias("text"))
+
+
+register("read_dates", lambda t: U.read_dates(U.split_chunks(_dated(t)), today=TODAY).select("utterance_id", "spoken_date", "days_ago", "words"),
+         """SELECT p_partkey AS utterance_id, strftime(DATE '2026-09-04'-CAST(v.d AS INTEGER),'%Y-%m-%d') AS spoken_date, v.d AS days_ago,
+    CASE WHEN v.k=9 THEN 'nada ' ELSE '' END||'dos '||p_name AS words
+    FROM part JOIN (VALUES (0,0),(1,1),(2,2),(3,2),(4,3),(5,7),(6,11),(7,94),(8,248),(9,NULL)) AS v(k,d) ON p_partkey%10=v.k""")
+
+
+def _measured(t):
+    k = F.col("p_partkey")
+    tail = pick(["a veinte metros", "altura de veinticinco metros", "altura 3", "trampa numero once", "ladera norte este", "hacia el este", "desde el sur", "este rod"], k % 8)
+    return t.raw("part").select(k.alias("utterance_id"), F.concat_ws(" ", F.col("p_name"), tail).alias("text"))
+
+
+register("read_measures", lambda t: U.parse_utterances(_measured(t), keys(t), t.station, lexicon_table(t.spark), today=TODAY)["observations"].select(
+    "utterance_id", "detection_distance_m", "flight_height_m", "flight_height_category", "trap_number", "flight_destination", "flight_origin"),
+    """SELECT p_partkey AS utterance_id, CASE WHEN k=0 THEN 20 END AS detection_distance_m, CASE WHEN k=1 THEN 25 END AS flight_height_m,
+    CASE WHEN k=2 THEN '3' END AS flight_height_category, CASE WHEN k=3 THEN '11' END AS trap_number, CASE WHEN k=5 THEN 'E' END AS flight_destination,
+    CASE WHEN k=6 THEN 'S' END AS flight_origin FROM (SELECT *, p_partkey%8 AS k FROM part)""")
+
+
+def _sentences(t):
+    k = F.col("p_partkey")
+    return t.raw("part").select(k.alias("utterance_id"), pick(
+        ["¿Qué me falta?", "Agregar 3 individuos", "Cambiar estación a EMF 10", "no se realizó, camino cortado", "otros 2 iguales", "Corrige eran dos", "sin registros", "dos chucaos"],
+        k % 8).alias("text"))
+
+
+register("classify_utterance", lambda t: U.classify_utterance(_sentences(t)).select("utterance_id", "command", "argument"),
+         """SELECT p_partkey AS utterance_id, v.c AS command, v.a AS argument FROM part JOIN (VALUES (0,'que_me_falta',NULL),(1,'agregar_individuo','3'),
+    (2,'cambiar_estacion','EMF10'),(3,'no_realizado','camino cortado'),(4,'otro_igual','2'),(5,'corregir','eran dos'),(6,'sin_detecciones',NULL),(7,NULL,NULL)) AS v(k,c,a)
+    ON p_partkey%8=v.k""")
+register("no_detection", lambda t: _sentences(t).select("utterance_id", fold("text").rlike(U.NO_DETECTION).alias("absence")),
+         "SELECT p_partkey AS utterance_id, p_partkey%8=6 AS absence FROM part")
+register("lexicon_union", lambda t: lexicon_table(t.spark, t.taxon.select(
+    F.lit("behaviour").alias("lexicon"), F.col("common_name").alias("phrase"), F.lit("Jerga").alias("value")).unionByName(
+    t.taxon.select(F.lit("sex").alias("lexicon"), F.lit("macho").alias("phrase"), F.lit("M").alias("value")))).groupBy("lexicon", "value").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT lexicon, value, count(*) AS n FROM (SELECT DISTINCT 'behaviour' AS lexicon, p_name AS phrase, 'Jerga' AS value FROM part UNION ALL SELECT 'sex','macho','M' UNION ALL "
+    + "SELECT * FROM (VALUES " + ", ".join(f"('{a}','{b}','{c}')" for a, b, c, *_ in lexicon_rows() if (a, b) != ("sex", "macho")) + ") AS v(a,b,c)) GROUP BY ALL")
+
+
+def _session(t):
+    k = F.col("p_partkey")
+    return t.raw("part").select(k.alias("utterance_id"), F.lit("EM0001").alias("station_code"), F.lit("transecto").alias("method"),
+                                F.lit(TODAY).alias("today"), F.concat("p_name").alias("n")).drop("n")
+
+
+def _drafts(t):
+    p = _parsed(t)
+    return U.to_drafts(p["observations"], p["headers"], _session(t))
+
+
+register("to_drafts", lambda t: _drafts(t).select("draft_id", "station_code", "method", "event_date", "taxon_id", "individual_count", "record_type"),
+         f"""SELECT utterance_id||'#1' AS draft_id, 'EM0001' AS station_code, 'transecto' AS method, '{TODAY}' AS event_date, taxon AS taxon_id, individual_count, record_type
+    FROM obs""", obs=_OBS)
+
+
+def _committed(t):
+    drafts = _drafts(t).withColumns({
+        "project_id": F.lit(1), "campaign_id": F.lit(2), "station_id": F.lit(1), "site_id": F.lit(None).cast("bigint"), "event_time": F.lit("10:00"),
+        "occurrence_time": F.lit("10:00"), "project_code": F.lit("P-1"), "pending_fields": F.array().cast("array<string>"),
+        "can_save": F.col("utterance_id") % 10 != 0,
+        "playback_response": F.when(F.col("utterance_id") % 4 == 0, "canta"), "verbatim_taxon": F.col("verbatim_taxon")})
+    return H.commit_tables(C.assign_events(drafts, t.event)["drafts"])
+
+
+register("commit_drafts", lambda t: _committed(t)["occurrence"].groupBy("record_type", "evidence_kind", "source").agg(
+    F.count(F.lit(1)).alias("n"), F.count_distinct("batch_id").alias("batches")),
+    "SELECT record_type, evidence_kind, 'voz' AS source, count(*) AS n, count(*) AS batches FROM obs WHERE utterance_id%10<>0 GROUP BY ALL", obs=_OBS)
+register("commit_measurements", lambda t: _committed(t)["measurement"].agg(F.count(F.lit(1)).alias("n")),
+         "SELECT count(*) AS n FROM part WHERE p_partkey%10<>0 AND p_partkey%4=0")
+register("apply_correction", lambda t: U.apply_correction(
+    t.raw("part").select(F.col("p_partkey").alias("utterance_id"), F.col("p_partkey").alias("record_id"), pick(["eran dos", "era hembra", "eran tres juveniles"], F.col("p_partkey") % 3).alias("text")),
+    t.raw("part").select(F.col("p_partkey").alias("record_id"), F.lit(1).cast("bigint").alias("individual_count"), F.lit("Macho").alias("sex"), F.lit(None).cast("string").alias("life_stage"),
+                         F.lit("Individuo").alias("record_type"), F.lit(None).cast("string").alias("behaviour"), F.lit(None).cast("string").alias("organism_condition")),
+    lexicon_table(t.spark)).select("record_id", "individual_count", "sex", "life_stage"),
+    """SELECT p_partkey AS record_id, (ARRAY[2,1,3])[p_partkey%3+1] AS individual_count, CASE WHEN p_partkey%3=1 THEN 'Hembra' ELSE 'Macho' END AS sex,
+    CASE WHEN p_partkey%3=2 THEN 'Juvenil' END AS life_stage FROM part""")
+
+
+def _searches(t):
+    return t.raw("part").select(F.col("p_type").alias("query_id"), F.substring(F.lower("p_name"), 1, 6).alias("query")).groupBy("query_id").agg(F.min("query").alias("query"))
+
+
+register("taxon_search", lambda t: U.taxon_search(
+    _searches(t), keys(t), t.taxon.select(F.col("common_name").alias("taxon_id"), "common_name").distinct()).select("query_id", "taxon_id", "score", "rank"),
+    """SELECT query_id, key AS taxon_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, key) AS rank FROM (
+      SELECT query_id, key, CASE WHEN key=q THEN 0 WHEN starts_with(key,q) THEN 1 WHEN contains(key,q) THEN 2
+        WHEN length(q)>=4 AND levenshtein(key,q)<=2 THEN 3 END AS score
+      FROM (SELECT p_type AS query_id, trim(min(substr(lower(p_name),1,6))) AS q FROM part GROUP BY 1), (SELECT DISTINCT p_name AS key FROM part))
+    WHERE score IS NOT NULL QUALIFY rank<=12""")
