@@ -92,7 +92,8 @@ def read_dates(chunks: DataFrame, *, today: Column | str) -> DataFrame:
     """Adds spoken_date, days_ago and ``words`` (the folded chunk without the date)."""
     ref = (F.lit(today) if isinstance(today, str) else today).cast("date")
     text = F.col("_folded")
-    g = lambda i: F.nullif(F.regexp_extract(text, _DATE, i), F.lit(""))
+    g = lambda i: F.get(F.col("_said"), F.lit(i - 1))
+    groups = F.array(*[F.nullif(F.regexp_extract("_folded", _DATE, i), F.lit("")) for i in range(1, 9)])
     number = lambda c: F.coalesce(c.try_cast("int"), S.lookup(c, L.DATE_NUMBERS))
     target = S.lookup(g(5), {w: i + 1 for i, w in enumerate(L.WEEKDAYS)})
     back = F.pmod(F.dayofweek(ref) - target, F.lit(7))
@@ -107,23 +108,28 @@ def read_dates(chunks: DataFrame, *, today: Column | str) -> DataFrame:
         .when(g(4).isNotNull(), number(g(4))).when(g(5).isNotNull(), weekday_back)
         .when(day.between(1, 31) & month.isNotNull(), F.datediff(ref, by_month))
     )
-    rows = chunks.withColumn("_folded", fold("chunk")).withColumn("days_ago", days)
+    rows = chunks.withColumn("_folded", fold("chunk")).withColumn("_said", F.explode(F.array(groups))).withColumn("days_ago", days)
     rest = F.when(F.col("days_ago").isNotNull(), F.regexp_replace(text, f"^(.*?){_DATE}", "$1")).otherwise(text)
     return rows.withColumns(
         {
             "spoken_date": F.when(F.col("days_ago").isNotNull(), F.date_format(F.date_sub(ref, F.col("days_ago").cast("int")), "yyyy-MM-dd")),
             "words": F.trim(F.regexp_replace(rest, r" +", " ")),
         }
-    ).drop("_folded")
+    ).drop("_folded", "_said")
 
 
 def with_tokens(dated: DataFrame) -> DataFrame:
-    return dated.withColumn("tokens", tokenize("words")).filter(F.size("tokens") > 0)
+    return dated.withColumn("tokens", tokenize("words"))
+
+
+def _positions(tokens: Column) -> Column:
+    """1..n, empty for no tokens (a bare sequence would count down)."""
+    return F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens))).otherwise(F.array().cast("array<int>"))
 
 
 def ngrams(chunks: DataFrame, longest: int) -> DataFrame:
     """(utterance_id, chunk_no, start, n, window) for every run of up to ``longest`` tokens."""
-    starts = chunks.select(*CHUNK, "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens"))).alias("start"))
+    starts = chunks.select(*CHUNK, "tokens", F.explode(_positions(F.col("tokens"))).alias("start"))
     runs = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("tokens") - F.col("start") + 1))
     return starts.select(*CHUNK, "start", F.explode(runs).alias("n"), "tokens").select(
         *CHUNK, "start", "n", F.slice("tokens", F.col("start"), F.col("n")).alias("window"))
@@ -393,7 +399,7 @@ def read_measures(chunks: DataFrame, numbers: DataFrame) -> DataFrame:
     trap = around_numbers(L.TRAP_TRIGGERS, L.SITE_FILLERS, lambda i, m: span(i, after(m), 60, F.lit("trap"), m["number"]))
     line = around_numbers(L.LINE_TRIGGERS, L.SITE_FILLERS,
                           lambda i, m: span(i, after(m), 65, F.lit("line"), F.concat(F.lit("Línea "), m["number"].cast("string"))))
-    codes = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: token(i).rlike(r"^[a-z]{1,3}\d{1,3}$"))
+    codes = F.filter(_positions(tokens), lambda i: token(i).rlike(r"^[a-z]{1,3}\d{1,3}$"))
     at_codes = lambda triggers, build: F.flatten(F.transform(codes, lambda p: F.transform(
         led_by(p, triggers, L.SITE_FILLERS), lambda i: build(i, p))))
     trap_code = at_codes(L.TRAP_TRIGGERS, lambda i, p: span(i, p + 1, 60, F.lit("trap"), F.upper(token(p))))
@@ -457,7 +463,7 @@ def choose_spans(chunks: DataFrame, taxa: DataFrame, candidates: DataFrame) -> D
     rows = rows.withColumn("spans", F.aggregate(free, start, step)["out"])
     covered = lambda i: F.exists("spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["length"]))
     unread = F.filter(
-        F.sequence(F.lit(1), F.size("tokens")),
+        _positions(F.col("tokens")),
         lambda i: ~covered(i) & ~((i >= first) & (i < last)) & ~F.get("tokens", i - 1).isin(L.FILLERS))
     return rows.withColumns({
         "unread": F.transform(unread, lambda i: F.get("tokens", i - 1)),
@@ -476,6 +482,8 @@ def read_chunks(utterances: DataFrame, keys: DataFrame, stations: DataFrame, lex
                 today: Column | str, longest: int = 6) -> DataFrame:
     """All readings per chunk of (utterance_id, text): see ``choose_spans``."""
     chunks = cut_lineage(with_tokens(read_dates(split_chunks(utterances.select("utterance_id", "text")), today=today)))
+    # A chunk that held only a date says nothing else.
+    chunks = chunks.filter(F.size("tokens") > 0)
     numbers = cut_lineage(read_numbers(chunks))
     counts = numbers.select(*CHUNK, "start", F.lit(160).alias("priority"), F.col("n").alias("length"), F.lit(0).alias("ord"),
                             F.lit("count").alias("kind"), F.col("number").cast("string").alias("value"))

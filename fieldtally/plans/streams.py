@@ -1 +1,58 @@
-"""Registered queries."""
+"""Streaming flows run over the tables' files as streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldtally.plans import views
+from fieldtally.plans.registry import Tables, register
+from fieldtally.plans.reports import _ENTRIES, _entries
+from fieldtally.streaming import flows as W
+
+
+class _Streamed(Tables):
+    """The same views over file streams of the same tables."""
+
+    def __init__(self, tables: Tables, streamed: str):
+        object.__setattr__(self, "spark", _Reader(tables, streamed))
+        object.__setattr__(self, "sf_dir", tables.sf_dir)
+
+
+class _Reader:
+    """Stands in for a session in the views: one table is read as a stream."""
+
+    def __init__(self, tables: Tables, streamed: str):
+        self._tables, self._streamed = tables, streamed
+
+    @property
+    def read(self):
+        return self
+
+    def parquet(self, path: str):
+        session = self._tables.spark
+        if not path.endswith(f"/{self._streamed}.parquet"):
+            return session.read.parquet(path)
+        schema = session.read.parquet(path).schema
+        return session.readStream.schema(schema).option("pathGlobFilter", f"{self._streamed}.parquet").parquet(self._tables.sf_dir)
+
+
+def streamed(t: Tables, table: str) -> Tables:
+    return _Streamed(t, table)
+
+
+register("stream_track", lambda t: W.run_batched(W.stream_track(streamed(t, "events").track_point)).select(
+    "track_id", "point_id", "accepted", "reason"))
+register("stream_field_day", lambda t: W.run_batched(W.stream_field_day(
+    views.read(streamed(t, "events").spark, t.sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), by=["event_type"]), mode="complete"),
+    "SELECT strftime(ts-INTERVAL 4 HOUR,'%Y-%m-%d') AS field_day, event_type, count(*) AS records FROM events GROUP BY ALL")
+register("stream_dedup", lambda t: W.run_batched(W.stream_dedup(streamed(t, "lineitem").occurrence)))
+register("late_entries", lambda t: W.late_entries(_entries(streamed(t, "orders")), t.event).select("entry_id", "mode", "final_method", "deferred"),
+         """SELECT entry_id, CASE WHEN x.station_id IS NULL THEN 'normal' WHEN same_day THEN CASE WHEN late THEN 'olvido' ELSE 'normal' END
+      WHEN n=0 THEN CASE WHEN late THEN 'olvido' ELSE 'normal' END WHEN late THEN 'otro_dia' ELSE 'quizas_replica' END AS mode,
+    CASE WHEN mode IN ('otro_dia','quizas_replica') THEN 'registro_oportunista' ELSE x.method END AS final_method, mode<>'quizas_replica' AND late AS deferred
+    FROM (SELECT en.*, sighting_date<>today AS late,
+      (SELECT count(*) FROM live_event e WHERE e.station_id=en.station_id AND e.method=en.method) AS n,
+      EXISTS(SELECT 1 FROM live_event e WHERE e.station_id=en.station_id AND e.method=en.method AND e.event_date=en.sighting_date) AS same_day FROM entries en) x""",
+         entries=_ENTRIES)
+register("stream_outcomes", lambda t: W.run_batched(W.stream_outcomes(streamed(t, "events").outbox_item.withColumns(
+    {"at": F.col("queued_at"), "entity_exists": F.col("seq") % 17 != 0}))).select("item_id", "seq", "attempt", "result", "wait_s"))
