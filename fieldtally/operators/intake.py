@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions.headers import CORE_FIELDS, NUMERIC_FIELDS, match_headers
 from fieldtally.functions.text import clean_cell, excel_date, excel_time, fold, parse_number
+from fieldtally.session import cut_lineage
 
 SHEET = ["file", "sheet"]
 NUMERIC_TEXT = r"^-?\d+([.,]\d+)?$"
@@ -54,8 +55,9 @@ def header_candidates(cells: DataFrame, *, rows: int = 25, keep: int = 12, previ
 
 def sheet_headers(cells: DataFrame, header_rows: DataFrame, reader: str = "template") -> DataFrame:
     """Header text of every column under the detected row (file, sheet, col_no, header, header_row)."""
+    # Headers are looked for in the first 25 rows only, so the scan keeps just those.
     return (
-        cells.join(header_rows, SHEET)
+        cells.filter(F.col("row_no") <= 25).join(header_rows, SHEET)
         .filter(F.col("row_no") == F.col("header_row"))
         .select(*SHEET, "header_row", "col_no", clean_cell("value", reader).alias("header"))
         .filter(F.col("header").isNotNull())
@@ -205,9 +207,15 @@ def import_sheets(cells: DataFrame, header_rows: DataFrame, extra: list[tuple[st
 
 def _rows_by_field(cells: DataFrame, header_rows: DataFrame, roles: list[str], fields: dict[str, str],
                    extra: list[tuple[str, str]]) -> DataFrame:
-    """One row per spreadsheet row with the wanted fields as columns (null when absent)."""
+    """One row per spreadsheet row with the wanted fields as columns (null when absent).
+
+    The table of wanted columns has a handful of rows per sheet: it is written once, after which
+    the cells are scanned a single time.
+    """
+    header_rows = cut_lineage(header_rows)
     sheets = import_sheets(cells, header_rows, extra).filter(F.col("role").isin(roles))
-    wanted = field_columns(cells, header_rows, extra).filter(F.col("field_id").isin(list(fields))).join(sheets, SHEET)
+    wanted = cut_lineage(
+        field_columns(cells, header_rows, extra).filter(F.col("field_id").isin(list(fields))).join(sheets, SHEET))
     values = cells.join(wanted, SHEET + ["col_no"]).filter(F.col("row_no") > F.col("header_row"))
     return values.groupBy(*SHEET, "row_no", "role").agg(*[
         F.max(F.when(F.col("field_id") == f, F.col("value"))).alias(name) for f, name in fields.items()
@@ -225,13 +233,17 @@ RECORD_FIELDS = {
 _CONVERTED = ("_date", "_time", "_count", "_height")
 
 
+def _counted_keys(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("key").agg(F.count_distinct("taxon_id").alias("hits"), F.min("taxon_id").alias("taxon_id"))
+
+
 def resolve_taxa(names: DataFrame, keys: DataFrame, column: str = "common_name") -> DataFrame:
     """Catalogue hits of each distinct name: (name, hits, taxon_id when there is exactly one).
 
     ``keys``: key, taxon_id (the exploded search keys). Keys are deduplicated and counted before
     the join, so a name shared by many taxa adds one row.
     """
-    counted = keys.groupBy("key").agg(F.count_distinct("taxon_id").alias("hits"), F.min("taxon_id").alias("taxon_id"))
+    counted = _counted_keys(keys)
     distinct = names.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("key", fold(column))
     return distinct.join(counted, "key", "left").select(
         column, F.coalesce("hits", F.lit(0)).alias("hits"), F.when(F.col("hits") == 1, F.col("taxon_id")).alias("taxon_id"))
@@ -252,7 +264,8 @@ def import_records(cells: DataFrame, header_rows: DataFrame, keys: DataFrame, *,
             **{c: F.when(flight, F.col(c)) for c in ("flight_origin", "flight_destination", "flight_height_category")},
         }
     ).drop(*_CONVERTED)
-    return rows.join(resolve_taxa(rows, keys), "common_name", "left")
+    return rows.withColumn("key", fold("common_name")).join(_counted_keys(keys), "key", "left").drop("key").withColumns(
+        {"hits": F.coalesce("hits", F.lit(0)), "taxon_id": F.when(F.col("hits") == 1, F.col("taxon_id"))})
 
 
 def import_issues(records: DataFrame, record_types: list[str]) -> DataFrame:

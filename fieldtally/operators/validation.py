@@ -50,10 +50,11 @@ def resolve_requirements(contexts: DataFrame, config: DataFrame, *, profile: str
 
 
 def requirement_maps(contexts: DataFrame, config: DataFrame, *, profile: str = STANDARD_ID) -> DataFrame:
-    """One row per context with map(field -> requirement); 30 entries at most."""
-    rows = resolve_requirements(contexts, config, profile=profile)
+    """One row per context with the requirements of ``field_values``'s fields, in that order."""
+    position = S.lookup("field", {name: i for i, name in enumerate(field_values())})
+    rows = resolve_requirements(contexts, config, profile=profile).withColumn("_i", position).filter(F.col("_i").isNotNull())
     return rows.groupBy(*CONTEXT).agg(
-        F.map_from_entries(F.collect_list(F.struct("field", "requirement"))).alias("requirements")
+        F.array_sort(F.collect_list(F.struct("_i", "requirement")))["requirement"].alias("requirements")
     )
 
 
@@ -128,28 +129,30 @@ def field_states() -> Column:
     """Array of struct(field, state) for each field that is missing and asked for.
 
     States: pending (required), info (recommended), silent (pending without a message). One
-    lambda over the field names keeps the expression small; ``prepare_drafts`` has already put
-    the conditions shared by all fields into columns.
+    lambda over the fields keeps the expression small; ``prepare_drafts`` has already put the
+    conditions shared by all fields into columns, and requirements come in field order.
     """
-    filled = F.create_map(*[x for name, v in field_values().items() for x in (F.lit(name), ~blank(v))])
+    fields = F.array(*[
+        F.struct(F.lit(name).alias("field"), blank(value).alias("missing")) for name, value in field_values().items()
+    ])
 
-    def state(name: Column) -> Column:
-        asked = F.coalesce(F.col("requirements")[name], F.lit(FALLBACK))
+    def state(name: Column, asked: Column) -> Column:
         needed = F.when(
             (name == "occurrenceCoordinates") & (asked != "required"),
             F.when(F.col("fix_reason").isNotNull(), "required").otherwise("optional"),
         ).otherwise(asked)
         about_taxon = (name == "taxon") & F.col("taxon_asked")
         return (
-            F.when(F.coalesce(filled[name], F.lit(True)) | ~needed.isin("required", "recommended"), None)
+            F.when(~needed.isin("required", "recommended"), None)
             .when(about_taxon & (F.size("candidates") == 0), None)
             .when(about_taxon | F.array_contains(F.col("acknowledged"), name), "silent")
             .when(needed == "required", "pending")
             .otherwise("info")
         )
 
-    names = F.array(*[F.lit(n) for n in field_values()])
-    states = F.transform(names, lambda n: F.struct(n.alias("field"), state(n).alias("state")))
+    states = F.transform(fields, lambda f, i: F.struct(
+        f["field"].alias("field"),
+        F.when(f["missing"], state(f["field"], F.coalesce(F.get(F.col("requirements"), i), F.lit(FALLBACK)))).alias("state")))
     return F.filter(states, lambda s: s["state"].isNotNull())
 
 
