@@ -112,37 +112,37 @@ register("apply_changes", lambda t: H.apply_changes(t.change_log).select(
 def _reviews(t):
     k = F.col("event_id")
     state = F.element_at(F.array(F.lit("terreno"), F.lit("revisado"), F.lit("validado")), (k % 3 + 1).cast("int"))
-    return t.event.join(t.occurrence.select("event_id", "occurrence_id"), "event_id").filter(k % 2 == 0).select(
+    return t.event.join(t.occurrence.select("event_id", "occurrence_id"), "event_id").filter("performed").select(
         "occurrence_id", state.alias("state"), F.lit("jefe").alias("by"), F.col("event_date").alias("at"), k.alias("seq"))
 
 
 register("set_review_state", lambda t: H.set_review_state(t.occurrence, _reviews(t)).select("occurrence_id", "review_state", "reviewed_by"),
-         """SELECT occurrence_id, CASE WHEN event_id%2=0 THEN (['terreno','revisado','validado'])[event_id%3+1] ELSE review_state END AS review_state,
-    CASE WHEN event_id%2=0 AND event_id%3<>0 THEN 'jefe' END AS reviewed_by FROM occurrence""")
-register("duplicate_records", lambda t: H.duplicate_records(t.occurrence, t.occurrence.filter("event_id % 10 = 0").select(
+         """SELECT occurrence_id, CASE WHEN performed THEN (['terreno','revisado','validado'])[o.event_id%3+1] ELSE review_state END AS review_state,
+    CASE WHEN performed AND o.event_id%3<>0 THEN 'jefe' END AS reviewed_by FROM occurrence o JOIN event e ON e.event_id=o.event_id""")
+register("duplicate_records", lambda t: H.duplicate_records(t.occurrence, t.occurrence.filter("recapture").select(
     "occurrence_id", F.lit(1).alias("request_no"), F.lit("12:00").alias("time"))).select(
     "event_id", "taxon_id", "occurrence_time", "source", F.size("media_ids").alias("media"),
     F.col("dwc_occurrence_id").startswith("urn:survey:occ:").alias("urn_ok"), "utterance"),
     """SELECT event_id, taxon_id, '12:00' AS occurrence_time, 'duplicado' AS source, 0 AS media, true AS urn_ok,
-    CAST(NULL AS VARCHAR) AS utterance FROM occurrence WHERE event_id%10=0""")
-register("undo_batch", lambda t: H.undo_batch(t.occurrence, t.spark.range(2).select(
-    F.col("id").cast("string").alias("batch_id"), F.lit("2030-01-01").cast("timestamp").alias("at"))).groupBy("batch_id").agg(
+    CAST(NULL AS VARCHAR) AS utterance FROM occurrence WHERE recapture""")
+register("undo_batch", lambda t: H.undo_batch(t.occurrence, t.occurrence.select("batch_id").distinct().filter("batch_id in ('0', '1')").select(
+    "batch_id", F.lit("2030-01-01").cast("timestamp").alias("at"))).groupBy("batch_id").agg(
     F.count_if(F.col("deleted_at").isNull()).alias("live")),
     """SELECT batch_id, count(*) FILTER (deleted_at IS NULL AND coalesce(batch_id,'') NOT IN ('0','1')) AS live
     FROM occurrence GROUP BY batch_id""")
-register("attach_media", lambda t: H.attach_media(t.occurrence, t.occurrence.filter("event_id % 5 = 0").select(
+register("attach_media", lambda t: H.attach_media(t.occurrence, t.occurrence.filter("notes is not null").select(
     "occurrence_id", F.lit(1).alias("seq"), F.lit("nueva").alias("media_id"))).select("occurrence_id", F.size("media_ids").alias("n"), "added"),
-    """SELECT occurrence_id, media_count+CASE WHEN event_id%5=0 THEN 1 ELSE 0 END AS n, CASE WHEN event_id%5=0 THEN 1 ELSE 0 END AS added FROM occurrence""")
-register("close_effort", lambda t: H.close_effort(t.event, t.occurrence, t.event.filter("event_id % 2 = 0").select(
-    "event_id", F.lit("2030-01-01").cast("timestamp").alias("ended_at"), F.when(F.col("event_id") % 10 == 0, F.lit(False)).alias("no_detections"))).select(
+    """SELECT occurrence_id, media_count+CASE WHEN notes IS NOT NULL THEN 1 ELSE 0 END AS n, CASE WHEN notes IS NOT NULL THEN 1 ELSE 0 END AS added FROM occurrence""")
+register("close_effort", lambda t: H.close_effort(t.event, t.occurrence, t.event.filter("performed").select(
+    "event_id", F.lit("2030-01-01").cast("timestamp").alias("ended_at"), F.when(F.col("weather") == "Lluvia", F.lit(False)).alias("no_detections"))).select(
     "event_id", "no_detections"),
-    """SELECT event_id, CASE WHEN event_id%10=0 THEN false WHEN event_id%2=0 THEN event_id NOT IN (SELECT event_id FROM live_occ)
+    """SELECT event_id, CASE WHEN performed AND weather='Lluvia' THEN false WHEN performed THEN event_id NOT IN (SELECT event_id FROM live_occ)
     ELSE no_detections END AS no_detections FROM event""")
-register("not_performed", lambda t: H.patch_events(t.event, t.event.filter("event_id % 4 = 0").select(
+register("not_performed", lambda t: H.patch_events(t.event, t.event.filter("weather = 'Lluvia'").select(
     "event_id", F.col("event_id").alias("seq"), F.lit(False).alias("performed"), F.lit("sin acceso").alias("not_performed_reason")),
     ["performed", "not_performed_reason"]).select("event_id", "performed", "not_performed_reason"),
-    """SELECT event_id, CASE WHEN event_id%4=0 THEN false ELSE performed END AS performed,
-    CASE WHEN event_id%4=0 THEN 'sin acceso' ELSE not_performed_reason END AS not_performed_reason FROM event""")
+    """SELECT event_id, CASE WHEN weather='Lluvia' THEN false ELSE performed END AS performed,
+    CASE WHEN weather='Lluvia' THEN 'sin acceso' ELSE not_performed_reason END AS not_performed_reason FROM event""")
 register("point_header", lambda t: H.patch_events(t.event, t.event.select(
     "event_id", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 9 == 0, "Neblina").alias("weather")), ["weather"]).select("event_id", "weather"),
     "SELECT event_id, CASE WHEN event_id%9=0 THEN 'Neblina' ELSE weather END AS weather FROM event")

@@ -10,6 +10,7 @@ from fieldtally.functions.text import half_up
 from fieldtally.operators import export as X
 from fieldtally.operators.star import event_rows
 from fieldtally.plans.registry import register
+from fieldtally.sources import exchange_files as files
 
 
 def _dims(t):
@@ -162,3 +163,63 @@ _OFFICIAL = [("occurrenceID", "trace.occurrenceId", None), ("basisOfRecord", Non
 register("regulator_template", lambda t: X.build_sheet(X.sheet_from_table(_OFFICIAL, "Planilla"), t.flat),
          """SELECT dwc_occurrence_id AS c1, 'HumanObservation' AS c2, '' AS c3, coalesce(CAST(individual_count AS VARCHAR),'') AS c4,
     coalesce(recorded_by, station_recorded_by,'') AS c5 FROM flat""")
+
+# --- files: written to the shared folder and read back ---
+
+
+def _folder(t, kind):
+    from fieldtally.session import shared_folder
+
+    return shared_folder(t.spark, kind)
+
+
+def _dwca_files(t):
+    path = _folder(t, "dwca")
+    flat = t.flat
+    files.write_dwca(X.dwca_event(flat), X.dwca_occurrence(flat, t.event, t.occurrence), X.dwca_measurement(flat, t.fact), path)
+    read = lambda name: t.spark.read.csv(f"{path}/{name}", sep="\t", header=True, quote="")
+    return read("occurrence").select("occurrenceID", "occurrenceStatus", "vernacularName")
+
+
+def _occurrence_csv(t):
+    path = _folder(t, "occurrence-csv")
+    files.write_occurrence_csv(X.dwca_present(t.flat), path)
+    return t.spark.read.csv(path, header=True, escape='"').select("occurrenceID", "eventID", "recordedBy")
+
+
+def _template_files(t):
+    path = _folder(t, "template")
+    rows = X.build_sheet(_TRAP, X.sheet_rows(_TRAP.scope, t.flat))
+    files.write_template({_TRAP.name: rows}, {_TRAP.name: [c.header for c in _TRAP.columns]}, path)
+    return t.spark.read.csv(f"{path}/{_TRAP.name}/rows", escape='"').select(F.col("_c0").alias("date"), F.col("_c35").alias("record"))
+
+
+def _backup_files(t):
+    path = _folder(t, "backup")
+    files.write_backup({"events": t.event.select("event_id", "method"), "occurrences": t.occurrence.select("occurrence_id")}, path)
+    return t.spark.read.json(f"{path}/_counts").select(F.col("table").alias("name"), "rows")
+
+
+def _backup_documents(t):
+    """One backup document per station, as a device would leave it, then read as files."""
+    path = _folder(t, "backup-files")
+    rows = F.collect_list(F.struct(F.col("event_id").alias("id"), "method"))
+    docs = t.event.groupBy("station_id").agg(rows.alias("events")).select(
+        F.lit("field-backup").alias("format"), F.when(F.col("station_id") == 7, 9).otherwise(1).alias("version"),
+        F.col("station_id").cast("string").alias("deviceId"), F.struct("events").alias("data"))
+    # One document per file is the device's format: a partition of the writer per device.
+    docs.write.partitionBy("deviceId").json(path)
+    out = files.read_backups(t.spark, f"{path}/*", {"events": "id: bigint, method: string"}, marker="field-backup")
+    return out["events"].select("id", "method")
+
+
+register("write_dwca", _dwca_files,
+         """SELECT dwc_occurrence_id AS "occurrenceID", 'present' AS "occurrenceStatus", coalesce(common_name, verbatim_taxon) AS "vernacularName" FROM flat
+    UNION ALL SELECT event_id||':absent', 'absent', NULL FROM live_event WHERE no_detections AND event_id NOT IN (SELECT event_id FROM live_occ)""")
+register("write_occurrence_csv", _occurrence_csv,
+         """SELECT dwc_occurrence_id AS "occurrenceID", CAST(event_id AS VARCHAR) AS "eventID", coalesce(recorded_by, station_recorded_by) AS "recordedBy" FROM flat""")
+register("write_template", _template_files,
+         "SELECT event_date AS date, dwc_occurrence_id AS record FROM flat WHERE method IN ('trampa_sherman','camara_trampa')")
+register("write_backup", _backup_files,
+         "SELECT 'events' AS name, count(*) AS rows FROM event UNION ALL SELECT 'occurrences', count(*) FROM occurrence")
+register("read_backups", _backup_documents, "SELECT event_id AS id, method FROM event WHERE station_id<>7")
