@@ -103,7 +103,8 @@ class Model:
         return total, matched
 
     def probability(self, strength: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * strength + self.bias, -30, 30)))
+        """The curve runs over the logarithm: the first matched clause says more than the tenth."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.log1p(strength) + self.bias, -30, 30)))
 
 
 def features(text: str) -> set[str]:
@@ -144,11 +145,9 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = 30_000, least_docs
             for text, toxic in zip(piece["text"], piece["toxic"]):
                 sums[int(toxic == 1)].update(features(text))
         schema = pa.schema([("word", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
-        toxic = sums[1]
-        for words in (list(toxic),):
-            yield arrow_rows(schema, [words, [toxic[w] for w in words], [0] * len(words)])
-        rest = list(sums[0])
-        yield arrow_rows(schema, [rest, [0] * len(rest), [sums[0][w] for w in rest]])
+        toxic, clean = sums[1], sums[0]
+        yield arrow_rows(schema, [list(toxic), list(toxic.values()), [0] * len(toxic)])
+        yield arrow_rows(schema, [list(clean), [0] * len(clean), list(clean.values())])
 
     n_toxic, n_clean = sample.agg(F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)),
                                   F.coalesce(F.sum((F.col("toxic") != 1).cast("long")), F.lit(0))).first()
@@ -167,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = 30_000, least_docs
             yield arrow_rows(schema, [[draft.strength(t, memory)[0] for t in piece["text"]], piece["toxic"]])
 
     fit = sample.mapInArrow(strengths, "strength double, toxic int").toPandas()  # at most ``labelled`` numbers
-    slope, bias = fitted_curve(fit["strength"].to_numpy(), (fit["toxic"] == 1).to_numpy(float))
+    slope, bias = fitted_curve(np.log1p(fit["strength"].to_numpy()), (fit["toxic"] == 1).to_numpy(float))
     return Model(draft.weights, slope, bias)
 
 
