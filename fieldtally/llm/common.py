@@ -17,7 +17,6 @@ from fieldtally.session import shared_folder
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,15 +45,14 @@ def ascii_lower(c: Column) -> Column:
 
 
 def words_of(text: str) -> list[str]:
-    """Words between the six ASCII blanks only; ``str.split()`` would also split at Unicode blanks."""
-    if text.isascii() and not _ASCII_SEPARATORS.intersection(text):
-        return text.split()
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w]
+    """Words between the six ASCII blanks, at which ``bytes.split()`` cuts (``str.split()`` knows more)."""
+    packed = b" ".join(text.encode().split())
+    return packed.decode().split(" ") if packed else []
 
 
-#: ``str.split`` also cuts at these.
-_ASCII_SEPARATORS = set("\x1c\x1d\x1e\x1f")
-_TO_SPACE = {ord(c): " " for c in BLANKS}
+def lower_ascii(text: str) -> str:
+    """A-Z in lower case and nothing else, as ``bytes.lower()`` does."""
+    return text.encode().lower().decode()
 
 
 def batches(rows: Iterator[pa.RecordBatch], columns: list[str], most_chars: int = 4_000_000,

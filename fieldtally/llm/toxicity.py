@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import ASCII_LOWER, arrow_rows, batches, crc_bucket, id_text, table, words_of, written
+from fieldtally.llm.common import arrow_rows, batches, crc_bucket, id_text, lower_ascii, table, words_of, written
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = range(7)
 #: Words of the grammar that aren't learned, in the four languages.
@@ -84,7 +84,7 @@ class Model:
                 if got is None:
                     if len(memory) > 200_000:
                         memory.clear()
-                    got = memory[w] = self.symbol(EDGE.sub("", w).translate(ASCII_LOWER))
+                    got = memory[w] = self.symbol(lower_ascii(EDGE.sub("", w)))
                 symbols.append(got)
             if all(s > THREAT for s, _ in symbols):
                 continue
@@ -108,7 +108,7 @@ class Model:
 
 
 def features(text: str) -> set[str]:
-    found = {EDGE.sub("", w).translate(ASCII_LOWER) for w in set(words_of(text))} - {""}
+    found = {lower_ascii(EDGE.sub("", w)) for w in set(words_of(text))} - {""}
     return found | {f"~{w[:PREFIX]}" for w in found if len(w) > PREFIX}
 
 
