@@ -77,8 +77,8 @@ SLICE = 1 << 16
 
 
 def additive_table(parts: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], cells: int,
-                   dtype: str = "int64") -> np.ndarray:
-    """Sum, over all partitions, a table of a fixed number of counters that ``fill`` raises in place.
+                   dtype: str = "int64", join: np.ufunc = np.add) -> np.ndarray:
+    """Sum (or join by ``join``), over all partitions, a table of a fixed number of cells that ``fill`` raises in place.
 
     Each task sends its table as compressed slices; slices meet by number, so no task and not the
     driver ever holds more than the fixed table. ``cells`` is a parameter of the caller, not of the data.
@@ -99,7 +99,7 @@ def additive_table(parts: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], n
         for batch in rows:
             for k, part in zip(batch.column("k").to_pylist(), batch.column("part").to_pylist()):
                 got = np.frombuffer(zlib.decompress(part), dtype)
-                sums[k] = sums[k] + got if k in sums else got
+                sums[k] = join(sums[k], got) if k in sums else got
         for k, part in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
                                              names=["k", "part"])
@@ -107,5 +107,6 @@ def additive_table(parts: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], n
     slices = parts.mapInArrow(partial, "k int, part binary").repartition("k").mapInArrow(merge, "k int, part binary")
     out = np.zeros(n_slices * SLICE, dtype)
     for row in slices.toLocalIterator():
-        out[row.k * SLICE:(row.k + 1) * SLICE] += np.frombuffer(zlib.decompress(row.part), dtype)
+        own = out[row.k * SLICE:(row.k + 1) * SLICE]
+        join(own, np.frombuffer(zlib.decompress(row.part), dtype), out=own)
     return out[:cells]
