@@ -80,6 +80,22 @@ class Benchmark:
         m = n - min(n, self.shingle) + 1
         return int(np.ceil(2 * m * self.least / (1 + self.least) - 1e-9))
 
+    def search(self, texts: list[str]) -> Iterator[list[tuple[int, float, int, int]]]:
+        """For each text, what ``find`` has; texts without a shingle of the benchmark are passed over in bulk."""
+        words = [t.encode().lower().split() for t in texts]
+        flat = [w for own in words for w in own]
+        codes = np.fromiter(map(self.words.__getitem__, flat), np.uint64, len(flat))
+        hits = np.zeros(len(flat) + 1, np.int64)
+        for k, known in self.known.items():
+            if len(flat) >= k:
+                at = np.flatnonzero(np.minimum.reduce([codes[j:len(codes) - k + 1 + j] for j in range(k)]) > 0)
+                hits[at[np.isin(_gathered(codes, at, k), known)] + 1] += 1
+        total = np.cumsum(hits)
+        end = 0
+        for own in words:
+            begin, end = end, end + len(own)
+            yield list(self.find(own, codes[begin:end])) if total[end] > total[begin] else []
+
     def find(self, words: list[bytes], codes: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of the best window for each item in the document."""
         best: dict[int, tuple[float, int, int]] = {}
@@ -127,46 +143,51 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, least: flo
     item id, match nothing; an item shorter than a shingle must occur as it is. Repeated documents are
     reported as often as they come.
     """
-    named = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    found = None
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64())])
-    spark, found = docs.sparkSession, None
 
-    def search(block: list[tuple[int, bytes]]):
+    def one_pass(block):
         def run(rows):
             bench = Benchmark(block, shingle, least, radius)
             for piece in batches(rows, ["doc_id", "text"]):
-                texts = [t.encode().lower().split() for t in piece["text"]]
-                flat = [w for own in texts for w in own]
-                codes = np.fromiter(map(bench.words.__getitem__, flat), np.uint64, len(flat))
-                ends = np.cumsum([len(own) for own in texts])
-                hits = np.zeros(len(flat) + 1, np.int64)
-                for k, known in bench.known.items():
-                    if len(flat) >= k:
-                        at = np.flatnonzero(np.minimum.reduce([codes[j:len(codes) - k + 1 + j] for j in range(k)]) > 0)
-                        hit = at[np.isin(_gathered(codes, at, k), known)]
-                        hits[hit + 1] += 1
-                total = np.cumsum(hits)
-                out = []
-                for doc, own, end in zip(piece["doc_id"], texts, ends.tolist()):
-                    begin = end - len(own)
-                    if total[end] > total[begin]:
-                        out += [(doc, *row) for row in bench.find(own, codes[begin:end])]
+                out = [(doc, *row) for doc, own in zip(piece["doc_id"], bench.search(piece["text"])) for row in own]
                 if out:
                     yield arrow_rows(schema, list(zip(*out)))
-        return run
+        return id_text(docs).mapInArrow(run, FOUND)
 
-    block: list[tuple[int, bytes]] = []
+    for block in _item_blocks(items, block_items):
+        found = one_pass(block) if found is None else found.union(one_pass(block))
+    return found if found is not None else docs.sparkSession.createDataFrame([], FOUND)
 
-    def one_pass(block):
-        return id_text(docs).mapInArrow(search(block), FOUND)
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 40, block_items: int = 5000,
+                      text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window reaches ``least`` for any item."""
+    def one_pass(docs, block):
+        def run(rows):
+            bench = Benchmark(block, shingle, least, radius)
+            for batch in rows:
+                texts, keep = batch.column(text_col).to_pylist(), []
+                for a in range(0, len(texts), 500):
+                    keep += [next(iter(own), None) is None for own in bench.search([t or "" for t in texts[a:a + 500]])]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+        return docs.mapInArrow(run, docs.schema)
+
+    for block in _item_blocks(items, block_items):
+        docs = one_pass(docs, block)
+    return docs
+
+
+def _item_blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, bytes]]]:
+    named = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    block: list[tuple[int, bytes]] = []
     for row in named.orderBy("item_id", "text").toLocalIterator():
         block.append((row["item_id"], row["text"].encode().lower()))
-        if len(block) == block_items:
-            found, block = (found.union(one_pass(block)) if found else one_pass(block)), []
+        if len(block) == size:
+            yield block
+            block = []
     if block:
-        found = found.union(one_pass(block)) if found else one_pass(block)
-    return found if found is not None else spark.createDataFrame([], FOUND)
+        yield block
 
 
 def _gathered(codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:

@@ -94,26 +94,43 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 10) -> DataFrame:
     return lines.join(gone, "doc_id", "left").mapInArrow(bitmaps, "doc_id long, n_lines long, n_dropped long, keep binary")
 
 
+def _cut(text: str, n_dropped: int | None, keep: bytes | None) -> str:
+    """A text without the lines that its bitmap drops."""
+    if not n_dropped:
+        return text
+    lines = text.split("\n")
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(lines))
+    return "\n".join(line for line, bit in zip(lines, bits) if bit)
+
+
 def dedup_lines(docs: DataFrame, least_chars: int = 10) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept) for each row of ``docs``; rows with a null id stay as they are."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
 
     def cut(rows):
         for piece in batches(rows, ["doc_id", "text", "n_dropped", "keep"]):
-            sizes, counts, kept = [], [], []
-            for text, n, keep in zip(piece["text"], piece["n_dropped"], piece["keep"]):
-                sizes.append(text.count("\n") + 1)
-                counts.append(n or 0)
-                if n:
-                    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=sizes[-1])
-                    text = "\n".join(line for line, bit in zip(text.split("\n"), bits) if bit)
-                kept.append(text)
-            yield arrow_rows(schema, [piece["doc_id"], sizes, counts, kept])
+            kept = list(map(_cut, piece["text"], piece["n_dropped"], piece["keep"]))
+            yield arrow_rows(schema, [piece["doc_id"], [t.count("\n") + 1 for t in piece["text"]], [n or 0 for n in piece["n_dropped"]], kept])
 
     maps = keep_bitmaps(docs, least_chars).filter("n_dropped > 0").select("doc_id", "n_dropped", "keep")
     return id_text(docs).join(maps, "doc_id", "left").mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string")
 
 
+def dedup_documents(docs: DataFrame, least_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, the text without its dropped lines. Untouched texts, null ones too, stay as they are."""
+    maps = keep_bitmaps(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), least_chars).filter("n_dropped > 0")
+    maps = maps.select(F.col("doc_id").alias("dedup id"), F.col("n_dropped").alias("dedup n"), F.col("keep").alias("dedup keep"))
+    names = docs.columns
+
+    def cut(rows):
+        for batch in rows:
+            texts, counts, maps_ = (batch.column(c).to_pylist() for c in (text_col, "dedup n", "dedup keep"))
+            text = pa.array(map(_cut, texts, counts, maps_), batch.schema.field(text_col).type)
+            yield pa.RecordBatch.from_arrays([text if c == text_col else batch.column(c) for c in names], names=names)
+
+    return docs.join(maps, F.col(id_col) == F.col("dedup id"), "left").drop("dedup id").mapInArrow(cut, docs.schema)
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -199,6 +199,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, score double, strength double, n_clauses long")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below ``threshold``."""
+    def run(rows):
+        memory: dict = {}
+        for batch in rows:
+            strength = np.array([model.strength(t or "", memory)[0] for t in batch.column(text_col).to_pylist()], float)
+            yield batch.filter(pa.array(model.probability(strength) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels").filter(crc_bucket("doc_id", 5) != 0))
