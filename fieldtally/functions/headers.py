@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 import unicodedata
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,88 +14,9 @@ from pyspark.sql import functions as F
 from fieldtally.functions.fields import FIELDS
 from fieldtally.functions.text import fold
 
-# How other spreadsheets name a field, besides its own label. A caller adds more
-# pairs through ``alias_table(extra)``; the longer lists of an organisation belong there.
-ALIASES: dict[str, str] = {
-    "event.date": "fecha hora, fecha y hora, fecha de registro, fecha muestreo",
-    "occurrence.time": "hora de registro, hora observacion",
-    "occurrence.amPm": "am pm, periodo",
-    "event.method": "metodologia usada para registro, metodo, protocolo, tipo de muestreo",
-    "event.recordedBy": "muestreado por, registrado por, evaluador, colector, responsable, responsables",
-    "event.identifiedBy": "determinado por",
-    "event.team": "brigada, cuadrilla, equipo de terreno",
-    "event.weather": "condiciones, tiempo",
-    "event.period": "momento del dia, jornada",
-    "event.temperature": "temperatura, temp",
-    "event.wind": "viento, beaufort",
-    "event.cloud": "nubosidad, nubes, octas",
-    "event.precipitation": "lluvia",
-    "event.performed": "se realizo si o no, porque se realizo, realizado, ejecutado, se ejecuto, se hizo",
-    "event.notPerformedReason": "porque no se realizo, motivo, razon, porque no se hizo, motivo de no ejecucion",
-    "event.noDetections": "sin registros, estacion vacia",
-    "event.notes": "notas del muestreo",
-    "event.id": "eventid, id muestreo, id evento",
-    "project.name": "project, nombre proyecto",
-    "project.client": "mandante, titular",
-    "campaign.season": "estacion del ano",
-    "station.code": "estacion, codigo estacion, punto, sitio, transecto, station",
-    "station.darwinCoreLocationId": "locationid, location id, id localidad dwc",
-    "station.finalCode": "id estacion final, codigo final",
-    "station.sector": "localidad, zona, area de estudio, unidad territorial",
-    "station.region": "provincia, state province",
-    "station.habitat": "habitat, formacion vegetal, unidad ambiental",
-    "station.slope": "ladera, exposicion",
-    "station.utmEast": "utm e estacion x, este estacion, utm este, coordenada x",
-    "station.utmNorth": "utm s estacion, utm s estacion y, norte estacion, utm norte, coordenada y",
-    "station.utmStartEast": "este inicio, inicio x",
-    "station.utmStartNorth": "utm s inicio, norte inicio, inicio y",
-    "station.utmEndEast": "este fin, fin x",
-    "station.utmEndNorth": "utm s fin, norte fin, fin y",
-    "station.latitude": "lat estacion",
-    "station.longitude": "lon estacion",
-    "station.methodTransecto": "transecto general",
-    "occurrence.commonName": "especie, nombre vulgar, vernacular",
-    "occurrence.recordType": "registro, evidencia, tipo registro, tipo de actividad, tipo actividad",
-    "occurrence.evidenceKind": "tipo registro directo indirecto, tipo de evidencia",
-    "occurrence.count": "n individuos, numero de individuos, cantidad, individuos, individual count",
-    "occurrence.lifeStage": "estado desarrollo, edad, clase etaria, etapa de vida, estadio",
-    "occurrence.condition": "condicion, vivo muerto",
-    "occurrence.behaviour": "conducta, actividad, behavior",
-    "occurrence.notes": "comentarios, notas, remarks, obs general, observaciones generales, observacion general",
-    "occurrence.photos": "fotografias, imagenes, media",
-    "occurrence.confidence": "confianza, certeza, nivel de identificacion",
-    "occurrence.detectionDistance": "distancia de deteccion, distancia",
-    "occurrence.organismId": "codigo individuo, marca, anillo, chip",
-    "occurrence.reproductiveCondition": "conducta reprod, condicion reprod, estado reproductivo",
-    "occurrence.trapNumber": "numero de trampa, trampa",
-    "site.installedOn": "fecha de instalacion, instalacion, fecha instalada",
-    "occurrence.site": "punto de playback, linea, nombre pb, nombre linea, id tecnica, id de tecnica, codigo tecnica",
-    "occurrence.utmEast": "utm e captura, utm e captura x, este captura, utm e avistamiento, utm e, e utm",
-    "occurrence.utmNorth": "utm s captura, utm n captura, utm s captura y, norte captura, utm n avistamiento, utm n, n utm",
-    "occurrence.latitude": "latitud, lat, decimal latitude",
-    "occurrence.longitude": "longitud, lon, decimal longitude",
-    "taxon.scientificName": "binomio, taxon",
-    "taxon.classLatin": "clase latin",
-    "taxon.specificEpithet": "especie epiteto",
-    "taxon.infraspecificEpithet": "subespecie, sub especie",
-    "taxon.rank": "rango, nivel taxonomico",
-    "aerial.direction": "direccion vuelo, rumbo",
-    "aerial.heightCategory": "altura vuelo, categoria altura, referencia de altura, referencia altura",
-    "aerial.heightReference": "altura referencia",
-    "aerial.flightType": "patron de vuelo, patron vuelo",
-    "event.timeBlock": "bloque horario de em, turno, franja horaria",
-    "aerial.heightMeters": "altura vuelo lat o metros, altura en metros, altura m",
-    "conservation.category": "categoria rce, rce, estado de conservacion, clasificacion",
-}
-
-# Fields that spreadsheets also head with the English words of their id.
-ENGLISH_FIELDS = [
-    "event.date", "event.year", "event.month", "event.day", "occurrence.time", "event.recordedBy", "event.identifiedBy",
-    "event.team", "event.weather", "campaign.season", "occurrence.commonName", "occurrence.sex", "occurrence.lifeStage",
-    "occurrence.organismId", "occurrence.trapNumber", "occurrence.reproductiveCondition", "taxon.scientificName",
-    "taxon.kingdom", "taxon.phylum", "taxon.order", "taxon.family", "taxon.genus", "taxon.specificEpithet",
-    "taxon.infraspecificEpithet",
-]
+#: Fixed values, one (field, header name) a line: how spreadsheets name a field besides its own label.
+#: A caller adds more pairs, which come first, or gives another file of this form.
+HEADER_NAMES = Path(__file__).with_name("header_names.csv")
 
 NUMERIC_FIELDS = [
     "event.year", "event.month", "event.day", "occurrence.count", "occurrence.latitude", "occurrence.longitude",
@@ -114,18 +37,18 @@ def _fold_py(s: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", plain).strip()
 
 
-def alias_table(extra: list[tuple[str, str]] = ()) -> list[tuple[int, str, str]]:
-    """(order, alias, field id): labels and aliases in field order; the order breaks ties.
+def alias_table(extra: list[tuple[str, str]] = (), names: Path = HEADER_NAMES) -> list[tuple[int, str, str]]:
+    """(order, alias, field id): labels and names in field order; the order breaks ties.
 
     ``extra`` pairs (header, field id) of a caller come first, so they win.
     """
-    pairs = [(_fold_py(h), f) for h, f in extra]
-    for field_id, spec in FIELDS.items():
-        names = [spec.label] + [a for a in ALIASES.get(field_id, "").split(", ") if a]
-        if field_id in ENGLISH_FIELDS:
-            names.append(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", field_id.split(".")[1]))
-        pairs += [(_fold_py(n), field_id) for n in names]
-    return [(i, alias, f) for i, (alias, f) in enumerate(pairs)]
+    with names.open(newline="", encoding="utf-8") as lines:
+        named = [(row["field_id"], row["name"]) for row in csv.DictReader(lines)]
+    place = {field_id: k for k, field_id in enumerate(FIELDS)}
+    pairs = sorted([(place[f], 0, spec.label, f) for f, spec in FIELDS.items()] + [
+        (place.get(f, len(place)), k + 1, name, f) for k, (f, name) in enumerate(named)])
+    folded = dict.fromkeys((_fold_py(name), f) for name, f in [*extra, *((name, f) for _, _, name, f in pairs)])
+    return [(i, alias, f) for i, (alias, f) in enumerate(folded)]
 
 
 def _best_match(q: Column, aliases: list[tuple[int, str, str]]) -> Column:

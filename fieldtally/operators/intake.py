@@ -54,11 +54,10 @@ def header_candidates(cells: DataFrame, *, rows: int = 25, keep: int = 12, previ
 
 
 def sheet_headers(cells: DataFrame, header_rows: DataFrame, reader: str = "template") -> DataFrame:
-    """Header text of every column under the detected row (file, sheet, col_no, header, header_row)."""
-    # Headers are looked for in the first 25 rows only, so the scan keeps just those.
+    """Header text of every column in the header row, detected or chosen (file, sheet, col_no, header, header_row)."""
+    at = header_rows.select(*SHEET, "header_row", F.col("header_row").alias("row_no"))
     return (
-        cells.filter(F.col("row_no") <= 25).join(header_rows, SHEET)
-        .filter(F.col("row_no") == F.col("header_row"))
+        cells.join(at, [*SHEET, "row_no"])
         .select(*SHEET, "header_row", "col_no", clean_cell("value", reader).alias("header"))
         .filter(F.col("header").isNotNull())
     )

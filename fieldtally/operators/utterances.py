@@ -127,11 +127,17 @@ def _positions(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens))).otherwise(F.array().cast("array<int>"))
 
 
-def ngrams(chunks: DataFrame, longest: int) -> DataFrame:
-    """(utterance_id, chunk_no, start, n, window) for every run of up to ``longest`` tokens."""
+def phrase_lengths(phrases: DataFrame, column: str) -> list[int]:
+    """The word counts that the phrases of a catalogue have: as many numbers as its longest phrase has words at most."""
+    counts = phrases.select(F.size(F.split(column, " ")).alias("n")).filter("n is not null").distinct().orderBy("n")
+    return [r["n"] for r in counts.collect()]
+
+
+def ngrams(chunks: DataFrame, lengths: list[int]) -> DataFrame:
+    """(utterance_id, chunk_no, start, n, window) for every run of tokens that has one of ``lengths``."""
     starts = chunks.select(*CHUNK, "tokens", F.explode(_positions(F.col("tokens"))).alias("start"))
-    runs = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("tokens") - F.col("start") + 1))
-    return starts.select(*CHUNK, "start", F.explode(runs).alias("n"), "tokens").select(
+    runs = F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")
+    return starts.select(*CHUNK, "start", F.explode(runs).alias("n"), "tokens").filter(F.col("n") <= F.size("tokens") - F.col("start") + 1).select(
         *CHUNK, "start", "n", F.slice("tokens", F.col("start"), F.col("n")).alias("window"))
 
 
@@ -196,21 +202,22 @@ def _pick(hits: DataFrame, order: list[Column]) -> DataFrame:
         *CHUNK, "m.*")
 
 
-def match_taxa(chunks: DataFrame, keys: DataFrame, *, longest: int = 6) -> DataFrame:
+def match_taxa(chunks: DataFrame, keys: DataFrame) -> DataFrame:
     """The species of each chunk: (start, n, matched, taxon_ids, confidence, corrected_from).
 
     Exact or plural name; else the beginning of names; else a distinctive inner word; else a
     misspelling. Each pass looks only at the chunks the earlier ones left, leftmost first, then
-    longest. ``longest`` must be the largest number of words of a key.
+    longest.
     """
     sets = cut_lineage(key_sets(keys))
     none = F.lit(None).cast("string")
     words = F.split("key", " ")
     forms = F.array_union(F.array(F.array_join("window", " ")), _variants(F.col("window")))
+    lengths = phrase_lengths(sets, "key")
     leftmost_longest = [F.col("start"), -F.col("n"), F.col("form")]
 
     def exact(rest: DataFrame) -> DataFrame:
-        spoken = ngrams(rest, longest).select(*CHUNK, "start", "n", F.posexplode(forms).alias("form", "phrase"))
+        spoken = ngrams(rest, lengths).select(*CHUNK, "start", "n", F.posexplode(forms).alias("form", "phrase"))
         hits = spoken.join(sets, F.col("phrase") == F.col("key")).select(
             *CHUNK, "start", "n", "form", F.col("phrase").alias("matched"), "taxon_ids",
             F.when(F.col("form") == 0, 1.0).otherwise(0.95).alias("confidence"), none.alias("corrected_from"))
@@ -221,7 +228,7 @@ def match_taxa(chunks: DataFrame, keys: DataFrame, *, longest: int = 6) -> DataF
         prefixes = keys.select("taxon_id", F.explode(F.transform(
             shorter, lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))).alias("prefix"))
         prefix_sets = prefixes.groupBy("prefix").agg(F.array_sort(F.collect_set("taxon_id")).alias("taxon_ids"))
-        spoken = ngrams(rest, 3).select(*CHUNK, "start", "n", F.posexplode(forms).alias("form", "phrase"))
+        spoken = ngrams(rest, [1, 2, 3]).select(*CHUNK, "start", "n", F.posexplode(forms).alias("form", "phrase"))
         hits = spoken.filter(F.length("phrase") >= 4).join(prefix_sets, F.col("phrase") == F.col("prefix")).select(
             *CHUNK, "start", "n", "form", F.col("phrase").alias("matched"), "taxon_ids",
             F.when(F.size("taxon_ids") == 1, 0.9).otherwise(0.7).alias("confidence"), none.alias("corrected_from"))
@@ -230,7 +237,7 @@ def match_taxa(chunks: DataFrame, keys: DataFrame, *, longest: int = 6) -> DataF
     def by_inner_word(rest: DataFrame) -> DataFrame:
         inner = keys.select("taxon_id", F.explode(F.slice(words, F.lit(2), F.size(words))).alias("word")).filter(F.length("word") >= 5)
         inner_sets = inner.groupBy("word").agg(F.array_sort(F.collect_set("taxon_id")).alias("taxon_ids")).filter(F.size("taxon_ids") <= 3)
-        tokens = ngrams(rest, 1).withColumn("token", F.get("window", F.lit(0))).filter(F.col("token").rlike("^[a-z]+$"))
+        tokens = ngrams(rest, [1]).withColumn("token", F.get("window", F.lit(0))).filter(F.col("token").rlike("^[a-z]+$"))
         asked = tokens.select(*CHUNK, "start", "n", F.posexplode(singular_candidates("token")).alias("form", "asked")).filter(
             (F.length("asked") >= 5) & ~F.col("asked").isin(L.reserved_words()))
         hits = asked.join(inner_sets, F.col("asked") == F.col("word")).select(
@@ -239,7 +246,7 @@ def match_taxa(chunks: DataFrame, keys: DataFrame, *, longest: int = 6) -> DataF
         return _pick(hits, [F.col("start"), F.col("form")])
 
     def by_spelling(rest: DataFrame) -> DataFrame:
-        spoken = ngrams(rest, 2).withColumn("phrase", F.array_join("window", " ")).filter(
+        spoken = ngrams(rest, [1, 2]).withColumn("phrase", F.array_join("window", " ")).filter(
             (F.length("phrase") >= 5) & F.col("phrase").rlike("^[a-z ]+$")).drop("window")
         near = nearest_keys(spoken.select("phrase").distinct(), sets)
         hits = spoken.join(near, "phrase").select(
@@ -299,7 +306,9 @@ def close_keys(phrases: DataFrame, keys: DataFrame) -> DataFrame:
     """All (phrase, key) pairs within two edits.
 
     Pieces instead of pairs: a key cut into three pieces keeps one of them untouched under two
-    edits, at most two places off, so a phrase meets only the keys that share such a piece.
+    edits, at most two places off, so a phrase meets only the keys that share such a piece. Two edits
+    may leave nothing of a key shorter than three letters, so those meet phrases by length alone; such
+    keys are few (all there can be of one or two letters), and so are the phrases that short.
     """
     third = F.floor(F.col("len") / 3).cast("int")
 
@@ -309,13 +318,16 @@ def close_keys(phrases: DataFrame, keys: DataFrame) -> DataFrame:
             F.struct(F.lit(1).alias("no"), (third + 1).alias("at"), third.alias("n")),
             F.struct(F.lit(2).alias("no"), (2 * third + 1).alias("at"), (F.col("len") - 2 * third).alias("n")))).alias("p"))
 
-    indexed = parts(keys.withColumn("len", F.length("key")).filter("len >= 3")).select(
-        "key", "len", "p.no", F.expr("substring(key, p.at, p.n)").alias("piece"))
-    probes = parts(phrases.select("phrase", F.explode(F.sequence(F.length("phrase") - 2, F.length("phrase") + 2)).alias("len")).filter("len >= 3"))
+    sized = keys.withColumn("len", F.length("key"))
+    lengths = phrases.select("phrase", F.explode(F.sequence(F.length("phrase") - 2, F.length("phrase") + 2)).alias("len"))
+    indexed = parts(sized.filter("len >= 3")).select("key", "len", "p.no", F.expr("substring(key, p.at, p.n)").alias("piece"))
+    probes = parts(lengths.filter("len >= 3"))
     probes = probes.select("phrase", "len", "p.no", "p.n", F.explode(F.sequence(F.col("p.at") - 2, F.col("p.at") + 2)).alias("at")).filter(
         (F.col("at") >= 1) & (F.col("at") + F.col("n") - 1 <= F.length("phrase"))).select(
         "phrase", "len", "no", F.expr("substring(phrase, at, n)").alias("piece"))
-    return probes.join(indexed, ["len", "no", "piece"]).select("phrase", "key").distinct().withColumn(
+    met = probes.join(indexed, ["len", "no", "piece"]).select("phrase", "key")
+    short = lengths.filter("len between 1 and 2").join(sized.filter("len < 3"), "len").select("phrase", "key")
+    return met.unionByName(short).distinct().withColumn(
         "distance", F.levenshtein("phrase", "key", 2)).filter(F.col("distance").between(0, 2))
 
 
@@ -331,13 +343,13 @@ def _canonical(words: Column) -> Column:
         (F.length(w) > 4) & w.endswith("s"), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w))
 
 
-def tag_lexicon(chunks: DataFrame, lexicon: DataFrame, *, longest: int = 6) -> DataFrame:
+def tag_lexicon(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Every phrase of the lexicon found in a chunk, tolerating a plural s said on top of it.
 
     Both sides are joined on their words without plural s; the exact rule is checked after.
     """
     phrases = lexicon.withColumn("words", F.split("phrase", " "))
-    said = ngrams(chunks, longest).withColumn("stem", F.array_join(_canonical(F.col("window")), " "))
+    said = ngrams(chunks, phrase_lengths(phrases, "phrase")).withColumn("stem", F.array_join(_canonical(F.col("window")), " "))
     met = said.join(phrases.withColumn("stem", F.array_join(_canonical(F.col("words")), " ")), "stem")
     same = F.forall(F.zip_with("window", "words", lambda t, w: (t == w) | (
         (F.length(t) > 4) & t.endswith("s") & (F.substr(t, F.lit(1), F.length(t) - 1) == w))), lambda ok: ok)
@@ -352,7 +364,7 @@ def read_station(chunks: DataFrame, stations: DataFrame) -> DataFrame:
     """Station codes said in one or two tokens: known ones first, else letters and digits."""
     codes = stations.select(F.replace(fold("station_code"), F.lit(" "), F.lit("")).alias("said"), "station_code").groupBy("said").agg(
         F.min("station_code").alias("code"))
-    spoken = ngrams(chunks, 2).withColumn("said", F.array_join("window", ""))
+    spoken = ngrams(chunks, [1, 2]).withColumn("said", F.array_join("window", ""))
     known = spoken.join(codes, "said").select(
         *CHUNK, "start", (F.col("n") - 1).alias("priority"), F.col("n").alias("length"), F.lit(0).alias("ord"),
         F.lit("station").alias("kind"), F.col("code").alias("value"))
@@ -479,7 +491,7 @@ def choose_spans(chunks: DataFrame, taxa: DataFrame, candidates: DataFrame) -> D
 # --- observations -------------------------------------------------------------------------
 
 def read_chunks(utterances: DataFrame, keys: DataFrame, stations: DataFrame, lexicon: DataFrame, *,
-                today: Column | str, longest: int = 6) -> DataFrame:
+                today: Column | str) -> DataFrame:
     """All readings per chunk of (utterance_id, text): see ``choose_spans``."""
     chunks = cut_lineage(with_tokens(read_dates(split_chunks(utterances.select("utterance_id", "text")), today=today)))
     # A chunk that held only a date says nothing else.
@@ -489,7 +501,7 @@ def read_chunks(utterances: DataFrame, keys: DataFrame, stations: DataFrame, lex
                             F.lit("count").alias("kind"), F.col("number").cast("string").alias("value"))
     parts = [tag_lexicon(chunks, lexicon), read_station(chunks, stations), read_measures(chunks, numbers), _single_tokens(chunks), counts]
     candidates = reduce(DataFrame.unionByName, [p.select(*CHUNK, *SPAN) for p in parts])
-    return cut_lineage(choose_spans(chunks, match_taxa(chunks, keys, longest=longest), candidates))
+    return cut_lineage(choose_spans(chunks, match_taxa(chunks, keys), candidates))
 
 
 def utterance_header(utterances: DataFrame, chunks: DataFrame, *, today: Column | str) -> DataFrame:
@@ -590,9 +602,9 @@ def finalize_observations(segmented: DataFrame) -> DataFrame:
 
 
 def parse_utterances(utterances: DataFrame, keys: DataFrame, stations: DataFrame, lexicon: DataFrame, *,
-                     today: Column | str, longest: int = 6) -> dict[str, DataFrame]:
+                     today: Column | str) -> dict[str, DataFrame]:
     """Observations and headers of dictated sentences (utterance_id, text)."""
-    chunks = read_chunks(utterances, keys, stations, lexicon, today=today, longest=longest)
+    chunks = read_chunks(utterances, keys, stations, lexicon, today=today)
     return {
         "observations": finalize_observations(segment_observations(utterances, chunks)),
         "headers": utterance_header(utterances, chunks, today=today),

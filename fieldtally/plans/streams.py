@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.plans import views
 from fieldtally.plans.registry import Tables, register
-from fieldtally.plans.reports import _ENTRIES, _entries
+from fieldtally.plans.reports import _DUP, _ENTRIES, _entries
 from fieldtally.streaming import flows as W
 
 
@@ -45,7 +45,17 @@ register("stream_track", lambda t: W.run_batched(W.stream_track(streamed(t, "eve
 register("stream_field_day", lambda t: W.run_batched(W.stream_field_day(
     views.read(streamed(t, "events").spark, t.sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), by=["event_type"]), mode="complete"),
     "SELECT strftime(ts-INTERVAL 4 HOUR,'%Y-%m-%d') AS field_day, event_type, count(*) AS records FROM events GROUP BY ALL")
-register("stream_dedup", lambda t: W.run_batched(W.stream_dedup(streamed(t, "lineitem").occurrence)))
+
+
+def _deduplicated(t):
+    rows, close = W.with_closing(streamed(t, "lineitem").occurrence.select(
+        "occurrence_id", "event_id", "taxon_id", "verbatim_taxon", "record_type", "batch_id", "created_at", "deleted_at"), "created_at")
+    return W.run_batched(W.stream_dedup(rows), close=close)
+
+
+register("stream_dedup", _deduplicated,
+         """SELECT occurrence_id, first_value(occurrence_id) OVER w AS cluster_id, CAST(row_number() OVER w AS INT) AS position, row_number() OVER w>1 AS suppressed
+    FROM dup WINDOW w AS (PARTITION BY event_id, subject, record_type, c ORDER BY created_s, occurrence_id)""", dup=_DUP)
 register("late_entries", lambda t: W.late_entries(_entries(streamed(t, "orders")), t.event).select("entry_id", "mode", "final_method", "deferred"),
          """SELECT entry_id, CASE WHEN x.station_id IS NULL THEN 'normal' WHEN same_day THEN CASE WHEN late THEN 'olvido' ELSE 'normal' END
       WHEN n=0 THEN CASE WHEN late THEN 'olvido' ELSE 'normal' END WHEN late THEN 'otro_dia' ELSE 'quizas_replica' END AS mode,

@@ -30,13 +30,20 @@ def build_session(app: str = "fieldtally", master: str | None = None, **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a scratch one only when unset."""
+    """Use the shared folder the cluster names. A session on this machine alone may do with a scratch one."""
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not _one_machine(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fieldtally-ckpt-"))
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder under the checkpoint folder, for stream progress and written tables."""
     ensure_checkpoint_dir(spark)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructField, StructType
 
 from fieldtally.operators.changes import MAX_ATTEMPTS, MAX_BACKOFF_S, PARK_S
 from fieldtally.operators.coverage import resolve_entry
@@ -19,11 +20,29 @@ from fieldtally.operators.effort import judge_point, metres_between
 from fieldtally.session import shared_folder
 
 
-def run_batched(stream: DataFrame, *, mode: str = "append", handle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def with_closing(rows: DataFrame, time: str, at: str = "2200-01-01") -> tuple[DataFrame, Callable[[], None]]:
+    """``rows`` with a second source for a closing row, and what writes that row.
+
+    Once written, the row moves the watermark past all others, so what still waits for it comes out.
+    Its columns but ``time`` are null; it waits itself for ever and is never given out.
+    """
+    spark = rows.sparkSession
+    folder, schema = shared_folder(spark, "stream-closing"), rows.schema
+    nullable = StructType([StructField(f.name, f.dataType) for f in schema])
+    spark.createDataFrame([], nullable).write.parquet(folder)
+    marker = spark.range(1).select(*[(F.lit(at) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in nullable])
+    both = rows.unionByName(spark.readStream.schema(nullable).parquet(folder))
+    return both, lambda: marker.write.mode("append").parquet(folder)
+
+
+def run_batched(stream: DataFrame, *, mode: str = "append", handle: Callable[[DataFrame], DataFrame] | None = None,
+                close: Callable[[], None] | None = None) -> DataFrame:
     """Run a stream over all available input and read back its output.
 
     Every micro-batch owns a folder named by its id and overwrites it, so a batch repeated after
-    a failure leaves no duplicates. In complete mode the last batch is the answer.
+    a failure leaves no duplicates. In complete mode the last batch is the answer. ``close`` (of
+    ``with_closing``) ends a bounded input: it is called when all of it has been read, and the stream
+    goes on from its progress to give out what it still holds.
     """
     spark = stream.sparkSession
     out, progress = shared_folder(spark, "stream-out"), shared_folder(spark, "stream-progress")
@@ -33,11 +52,14 @@ def run_batched(stream: DataFrame, *, mode: str = "append", handle: Callable[[Da
         folder = out if mode == "complete" else f"{out}/batch={batch_id}"
         rows.write.mode("overwrite").parquet(folder)
 
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", progress).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    def run() -> None:
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", progress).trigger(
+            availableNow=True).start().awaitTermination()
+
+    run()
+    if close:
+        close()
+        run()
     result = spark.read.parquet(out)
     return result.drop("batch") if mode != "complete" else result
 
@@ -123,6 +145,7 @@ def stream_dedup(occurrences: DataFrame, *, window_s: int = 60, watermark: str =
 
     Rows wait for the watermark, so the order of arrival does not matter; the chain rule is the
     one of ``duplicate_clusters``. State is kept per event and lives one window beyond its rows.
+    A bounded input is closed with ``with_closing``, or its last rows keep waiting.
     """
     subject = F.coalesce(F.col("taxon_id").cast("string"), F.col("verbatim_taxon"), F.lit("?"))
     rows = (

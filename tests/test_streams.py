@@ -20,14 +20,16 @@ def test_track_stream_equals_batch(spark):
 
 
 def test_dedup_stream_equals_batch(spark, tmp_path):
-    """Rows arrive in two files out of order; a far later row moves the watermark past all of them."""
+    """Rows arrive in two files; the closing row brings out the last ones, and all live rows come out once."""
     t = Tables(spark, SF)
     occ = t.occurrence.select("occurrence_id", "event_id", "taxon_id", "verbatim_taxon", "record_type", "batch_id", "created_at", "deleted_at")
-    sentinel = occ.limit(1).withColumns({"occurrence_id": F.lit("end"), "created_at": F.lit("2100-01-01").cast("timestamp"), "deleted_at": F.lit(None).cast("timestamp")})
-    for i, part in enumerate((occ, sentinel)):
+    middle = occ.selectExpr("percentile_approx(created_at, 0.5)").first()[0]
+    for i, part in enumerate((occ.filter(F.col("created_at") <= middle), occ.filter(F.col("created_at") > middle))):
         part.coalesce(1).write.parquet(str(tmp_path / f"p={i}"))
     src = spark.readStream.schema(occ.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "p=*"))
-    out = W.run_batched(W.stream_dedup(src, watermark="1 day")).filter("occurrence_id <> 'end'")
+    rows, close = W.with_closing(src, "created_at")
+    out = W.run_batched(W.stream_dedup(rows, watermark="3650 days"), close=close)
+    assert sorted(r.occurrence_id for r in out.collect()) == sorted(r.occurrence_id for r in occ.filter("deleted_at is null").collect())
     clusters = out.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     live = {(r.cluster_id, r.occurrence_id) for r in out.join(clusters, "cluster_id").collect()}
     batch = {(r.cluster_id, r.occurrence_id) for r in Q.duplicate_clusters(t.occurrence).collect()}
