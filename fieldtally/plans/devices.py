@@ -43,10 +43,14 @@ register("double_counts", lambda t: M.double_counts(t.device("a"), t.device("b")
     """SELECT coalesce(CAST(a.taxon_id AS VARCHAR), a.verbatim_taxon) AS taxon, a.station_id, b.occurrence_id AS local_id,
     a.occurrence_id AS incoming_id, CASE WHEN b.obs='' THEN 'sin observador' ELSE b.obs END AS local_observer,
     CASE WHEN a.obs='' THEN 'sin observador' ELSE a.obs END AS incoming_observer
-    FROM dev a JOIN dev b ON a.station_id=b.station_id AND a.ym=b.ym AND a.side=0 AND b.side=1
+    FROM (SELECT x.*, unnest([x.m//30-1, x.m//30, x.m//30+1]) AS slot FROM dev x WHERE side=0) a
+    JOIN (SELECT *, m//30 AS own FROM dev WHERE side=1) b ON a.station_id=b.station_id AND a.ym=b.ym AND a.slot=b.own AND a.taxon_id=b.taxon_id
     WHERE abs(a.m-b.m)<=30 AND NOT (a.obs<>'' AND a.obs=b.obs)
-      AND CASE WHEN a.taxon_id IS NOT NULL AND b.taxon_id IS NOT NULL THEN a.taxon_id=b.taxon_id
-        ELSE coalesce(a.verbatim_taxon=b.verbatim_taxon,false) END""", dev=_DEV)
+    UNION ALL SELECT coalesce(CAST(a.taxon_id AS VARCHAR), a.verbatim_taxon), a.station_id, b.occurrence_id, a.occurrence_id,
+    CASE WHEN b.obs='' THEN 'sin observador' ELSE b.obs END, CASE WHEN a.obs='' THEN 'sin observador' ELSE a.obs END
+    FROM (SELECT x.*, unnest([x.m//30-1, x.m//30, x.m//30+1]) AS slot FROM dev x WHERE side=0) a
+    JOIN (SELECT *, m//30 AS own FROM dev WHERE side=1) b ON a.station_id=b.station_id AND a.ym=b.ym AND a.slot=b.own AND a.verbatim_taxon=b.verbatim_taxon
+    WHERE (a.taxon_id IS NULL OR b.taxon_id IS NULL) AND abs(a.m-b.m)<=30 AND NOT (a.obs<>'' AND a.obs=b.obs)""", dev=_DEV)
 
 
 def _candidates(t):

@@ -36,6 +36,41 @@ register("read_numbers", lambda t: U.read_numbers(_chunks(t)).select("utterance_
          f"SELECT p_partkey AS utterance_id, 1 AS start, 1 AS n, {_NUMBER} AS number FROM part")
 register("match_taxa", lambda t: U.match_taxa(_chunks(t), keys(t)).select("utterance_id", "matched", "start", "n", "confidence", "pass"),
          "SELECT p_partkey AS utterance_id, p_name AS matched, 2 AS start, 2 AS n, 1e0 AS confidence, 1 AS pass FROM part")
+_LONG = "de cola muy larga oscura"
+
+
+def _long_names(t):
+    """Sentences that say a species name of seven words in full, and the catalogue with those names."""
+    said = t.raw("part").select(F.col("p_partkey").alias("utterance_id"), F.concat(F.lit("veo "), F.col("p_name"), F.lit(f" {_LONG}")).alias("text"))
+    names = keys(t).union(keys(t).select(F.concat("key", F.lit(f" {_LONG}")), F.concat("taxon_id", F.lit("/larga"))))
+    return U.match_taxa(U.with_tokens(U.read_dates(U.split_chunks(said), today=TODAY)), names)
+
+
+def _long_phrases(t):
+    """Sentences with a phrase of eight words that a project has added to the lexicon."""
+    own = t.spark.createDataFrame([("behaviour", "mirando desde lo alto de una rama seca", "Acechando")], "lexicon string, phrase string, value string")
+    said = t.raw("part").select(F.col("p_partkey").alias("utterance_id"), F.concat(
+        F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, " mirando desde lo alto de una rama seca").otherwise(" mirando desde lo alto")).alias("text"))
+    return U.tag_lexicon(U.with_tokens(U.read_dates(U.split_chunks(said), today=TODAY)), lexicon_table(t.spark, own))
+
+
+def _close(t):
+    """All beginnings of part names as keys, pieces of names as phrases: one to nine letters each."""
+    p = t.raw("part")
+    names = p.select(F.substring("p_name", 1, 9).alias("name")).distinct().select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("n"))
+    ends = p.select(F.substring("p_name", -9, 9).alias("name")).distinct().select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("n"))
+    begun = names.select(F.expr("substring(name, 1, n)").alias("key")).distinct()
+    return U.close_keys(ends.select(F.expr("substring(name, 1, n)").alias("phrase")).distinct(), begun)
+
+
+register("match_taxa_long_names", lambda t: _long_names(t).select("utterance_id", "matched", "start", "n", "confidence", "pass"),
+         f"SELECT p_partkey AS utterance_id, p_name||' {_LONG}' AS matched, 2 AS start, 7 AS n, 1e0 AS confidence, 1 AS pass FROM part")
+register("tag_lexicon_long_phrases", lambda t: _long_phrases(t).filter("value = 'Acechando'").select("utterance_id", "start", "length", "kind", "value"),
+         "SELECT p_partkey AS utterance_id, 3 AS start, 8 AS length, 'behaviour' AS kind, 'Acechando' AS value FROM part WHERE p_partkey%2=0")
+register("close_keys", lambda t: _close(t),
+         """WITH begun AS (SELECT DISTINCT substr(p_name,1,n) AS key FROM (SELECT DISTINCT substr(p_name,1,9) AS p_name FROM part), range(1,10) r(n) WHERE n<=length(p_name)),
+    said AS (SELECT DISTINCT substr(p_name,1,n) AS phrase FROM (SELECT DISTINCT substr(p_name,-9) AS p_name FROM part), range(1,10) r(n) WHERE n<=length(p_name))
+    SELECT phrase, key, CAST(levenshtein(phrase,key) AS INT) AS distance FROM said, begun WHERE levenshtein(phrase,key)<=2""")
 register("tag_lexicon", lambda t: U.tag_lexicon(_chunks(t), lexicon_table(t.spark)).select("utterance_id", "start", "kind", "value"),
          """SELECT p_partkey AS utterance_id, 4 AS start, v.kind, v.value FROM part JOIN (VALUES (0,'sex','Macho'),(1,'sex','Hembra'),(2,'behaviour','Volando'),
     (3,'record_type','Vocalización'),(3,'behaviour','Vocalizando'),(4,'record_type','Fecas')) AS v(k,kind,value) ON p_partkey%5=v.k""")
