@@ -198,7 +198,18 @@ register("waypoint_distance", lambda t: E.waypoint_distance(t.track_point),
 register("trap_nights", lambda t: t.event.select("event_id", S.trap_nights_between(
     F.lit(4), F.col("event_date"), F.date_add(F.col("event_date").cast("date"), (F.col("event_id") % 9).cast("int") - 2)).alias("nights")),
     "SELECT event_id, 4*greatest(0, event_id%9-2) AS nights FROM event")
-register("filter_track", lambda t: E.filter_track(t.track_point).select("track_id", "point_id", "accepted", "reason"))
+#: The sequential rule: each step judges the next point of every track against the last accepted one.
+TRACK_SQL = """SELECT * FROM (WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY t_s, point_id) AS k FROM track_point),
+  walk AS (SELECT track_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS point_id, CAST(NULL AS VARCHAR) AS reason,
+      CAST(NULL AS BIGINT) AS t, CAST(NULL AS DOUBLE) AS la FROM p WHERE k=1
+    UNION ALL SELECT track_id, k, point_id, reason, CASE WHEN reason IS NULL THEN t_s ELSE t END, CASE WHEN reason IS NULL THEN lat ELSE la END FROM (
+      SELECT p.track_id, p.k, p.point_id, p.t_s, p.lat, w.t, w.la,
+        CASE WHEN p.acc>30 THEN 'precision' WHEN w.t IS NULL THEN NULL WHEN step<5 THEN 'sin-movimiento'
+          WHEN p.t_s>w.t AND step/(p.t_s-w.t)>5 THEN 'salto-imposible' END AS reason
+      FROM walk w JOIN p ON p.track_id=w.track_id AND p.k=w.k+1,
+        LATERAL (SELECT 2*6371000e0*asin(sqrt(pow(sin((radians(p.lat)-radians(w.la))/2),2))) AS step)))
+  SELECT track_id, point_id, reason IS NULL AS accepted, reason FROM walk WHERE k>0)"""
+register("filter_track", lambda t: E.filter_track(t.track_point).select("track_id", "point_id", "accepted", "reason"), TRACK_SQL)
 
 # --- quality ---
 _DUP = """SELECT *, sum(new) OVER (PARTITION BY event_id, subject, record_type ORDER BY created_s, occurrence_id) AS c FROM (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.plans import views
 from fieldtally.plans.registry import Tables, register
-from fieldtally.plans.reports import _DUP, _ENTRIES, _entries
+from fieldtally.plans.reports import _DUP, _ENTRIES, TRACK_SQL, _entries
 from fieldtally.streaming import flows as W
 
 
@@ -41,7 +41,7 @@ def streamed(t: Tables, table: str) -> Tables:
 
 
 register("stream_track", lambda t: W.run_batched(W.stream_track(streamed(t, "events").track_point)).select(
-    "track_id", "point_id", "accepted", "reason"))
+    "track_id", "point_id", "accepted", "reason"), TRACK_SQL)
 register("stream_field_day", lambda t: W.run_batched(W.stream_field_day(
     views.read(streamed(t, "events").spark, t.sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), by=["event_type"]), mode="complete"),
     "SELECT strftime(ts-INTERVAL 4 HOUR,'%Y-%m-%d') AS field_day, event_type, count(*) AS records FROM events GROUP BY ALL")
@@ -65,4 +65,13 @@ register("late_entries", lambda t: W.late_entries(_entries(streamed(t, "orders")
       EXISTS(SELECT 1 FROM live_event e WHERE e.station_id=en.station_id AND e.method=en.method AND e.event_date=en.sighting_date) AS same_day FROM entries en) x""",
          entries=_ENTRIES)
 register("stream_outcomes", lambda t: W.run_batched(W.stream_outcomes(streamed(t, "events").outbox_item.withColumns(
-    {"at": F.col("queued_at"), "entity_exists": F.col("seq") % 17 != 0}))).select("item_id", "seq", "attempt", "result", "wait_s"))
+    {"at": F.col("queued_at"), "entity_exists": F.col("seq") % 17 != 0}))).select("item_id", "seq", "attempt", "result", "wait_s"),
+    """SELECT * FROM (WITH a AS (SELECT item_id, seq, queued_at, outcome, seq%17=0 AND op='upsert' AS gone FROM outbox_item),
+    g AS (SELECT *, coalesce(sum((gone OR outcome='ok')::INT) OVER (PARTITION BY item_id ORDER BY queued_at, seq
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM a),
+    n AS (SELECT *, CAST(coalesce(sum((NOT gone)::INT) OVER (PARTITION BY item_id, run ORDER BY queued_at, seq
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS INT) AS attempt FROM g),
+    r AS (SELECT *, CASE WHEN gone THEN 'skipped' WHEN outcome='ok' THEN 'synced' WHEN outcome='conflict' THEN 'conflict'
+      WHEN outcome='error' OR attempt>=8 THEN 'error' ELSE 'retry' END AS result FROM n)
+    SELECT item_id, seq, attempt, result, CAST(CASE WHEN result IN ('conflict','error') THEN 365*24*3600
+      WHEN result='retry' THEN least(pow(2,attempt), 900) END AS BIGINT) AS wait_s FROM r)""")
