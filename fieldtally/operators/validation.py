@@ -128,32 +128,24 @@ def _asks_for_taxon() -> tuple[Column, Column, Column]:
 def field_states() -> Column:
     """Array of struct(field, state) for each field that is missing and asked for.
 
-    States: pending (required), info (recommended), silent (pending without a message). One
-    lambda over the fields keeps the expression small; ``prepare_drafts`` has already put the
-    conditions shared by all fields into columns, and requirements come in field order.
+    States: pending (required), info (recommended), silent (pending without a message). One plain
+    expression a field, which compiles; ``prepare_drafts`` has already put the conditions shared by all
+    fields into columns, and requirements come in field order.
     """
-    fields = F.array(*[
-        F.struct(F.lit(name).alias("field"), blank(value).alias("missing")) for name, value in field_values().items()
-    ])
-
-    def state(name: Column, asked: Column) -> Column:
-        needed = F.when(
-            (name == "occurrenceCoordinates") & (asked != "required"),
-            F.when(F.col("fix_reason").isNotNull(), "required").otherwise("optional"),
-        ).otherwise(asked)
-        about_taxon = (name == "taxon") & F.col("taxon_asked")
-        return (
-            F.when(~needed.isin("required", "recommended"), None)
-            .when(about_taxon & (F.size("candidates") == 0), None)
-            .when(about_taxon | F.array_contains(F.col("acknowledged"), name), "silent")
-            .when(needed == "required", "pending")
-            .otherwise("info")
-        )
-
-    states = F.transform(fields, lambda f, i: F.struct(
-        f["field"].alias("field"),
-        F.when(f["missing"], state(f["field"], F.coalesce(F.get(F.col("requirements"), i), F.lit(FALLBACK)))).alias("state")))
-    return F.filter(states, lambda s: s["state"].isNotNull())
+    def state(i: int, name: str, value: Column) -> Column:
+        needed = F.coalesce(F.get("requirements", F.lit(i)), F.lit(FALLBACK))
+        asked, silent = needed.isin("required", "recommended"), F.array_contains("acknowledged", name)
+        if name == "occurrenceCoordinates":
+            asked = (needed == "required") | F.col("fix_reason").isNotNull()
+            needed = F.lit("required")
+        if name == "taxon":
+            asked = asked & ~(F.col("taxon_asked") & (F.size("candidates") == 0))
+            silent = F.col("taxon_asked") | silent
+        return F.when(blank(value) & asked, F.struct(
+            F.lit(name).alias("field"),
+            F.when(silent, "silent").when(needed == "required", "pending").otherwise("info").alias("state")))
+
+    return F.array_compact(F.array(*[state(i, name, value) for i, (name, value) in enumerate(field_values().items())]))
 
 
 def _state_message(s: Column) -> Column:
