@@ -6,14 +6,15 @@ it occurs). The fingerprint is cut into radius + 1 blocks; two fingerprints with
 at least one block, so looking up the items by each block misses none. Candidates within the radius
 are verified by the exact weighted Jaccard similarity.
 
-Only windows that hold enough shingles of the benchmark to be similar to any item of their size are
-fingerprinted; the others fail the verification whatever their fingerprint.
+Only windows that hold enough shingles of an item of their size are fingerprinted; the others fail the
+verification whatever their fingerprint.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +33,13 @@ def bits_of(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(codes.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
-class Vocabulary(dict):
-    """Codes of the benchmark's words; any other word is 0."""
-
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
 class Benchmark:
     """A block of items with its fingerprints, indexed by size of item and block of bits."""
 
     def __init__(self, items: list[tuple[int, bytes]], shingle: int, least: float, radius: int):
         self.least, self.radius = least, radius
         self.cuts = np.linspace(0, BITS, radius + 2).astype(int)
-        self.words = Vocabulary()
+        self.words: dict[bytes, int] = {}  # any other word is 0
         self.ids, self.exact = [], []
         sized: dict[int, list[int]] = defaultdict(list)
         hashed = []
@@ -63,6 +57,13 @@ class Benchmark:
         self.sizes = dict(sorted(sized.items()))
         self.known = {k: np.unique(np.concatenate([hashed[i] for n, own in sized.items() if min(n, shingle) == k for i in own]))
                       for k in {min(n, shingle) for n in sized}}
+        self.lengths = [0] * len(self.ids)
+        self.holders: dict[int, list[int]] = defaultdict(list)
+        for n, own in sized.items():
+            for i in own:
+                self.lengths[i] = n
+                for h in set(hashed[i].tolist()):
+                    self.holders[h].append(i)
         self.prints = np.zeros((len(self.ids), BITS), bool)
         for i, h in enumerate(hashed):
             self.prints[i] = bits_of(h).sum(0, dtype=np.int32) > 0
@@ -84,7 +85,7 @@ class Benchmark:
         """For each text, what ``find`` has; texts without a shingle of the benchmark are passed over in bulk."""
         words = [t.encode().lower().split() for t in texts]
         flat = [w for own in words for w in own]
-        codes = np.fromiter(map(self.words.__getitem__, flat), np.uint64, len(flat))
+        codes = np.fromiter(map(self.words.get, flat, repeat(0)), np.uint64, len(flat))
         hits = np.zeros(len(flat) + 1, np.int64)
         for k, known in self.known.items():
             if len(flat) >= k:
@@ -99,38 +100,50 @@ class Benchmark:
     def find(self, words: list[bytes], codes: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of the best window for each item in the document."""
         best: dict[int, tuple[float, int, int]] = {}
-        made: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for n in self.sizes:
-            k = min(n, self.shingle)
-            m = n - k + 1
-            if len(words) < n:
-                break
-            if k not in made:
-                h = rolling(codes, k)
-                held = np.append(0, np.cumsum(np.isin(h, self.known[k])))
-                made[k] = h, held, np.zeros(0)
-            h, held, sums = made[k]
-            starts = np.flatnonzero(held[m:] - held[:-m] >= self.need(n))
-            if not len(starts):
+        for k, known in self.known.items():
+            h = rolling(codes, k)
+            if len(codes) < k:
                 continue
-            if not len(sums):
-                sums = np.vstack([np.zeros((1, BITS), np.int32), np.cumsum(bits_of(h), axis=0, dtype=np.int32)])
-                made[k] = h, held, sums
-            prints = sums[starts + m] - sums[starts] > 0
-            for start, own in zip(starts.tolist(), prints):
-                found = {i for b, key in enumerate(self.blocks(own)) for i in self.index.get((n, b, key), ())}
-                for i in sorted(found):
-                    if np.count_nonzero(self.prints[i] != own) > self.radius:
-                        continue
-                    here = Counter(zip(*(words[start + j:start + n - k + 1 + j] for j in range(k))))
-                    both = sum((here & self.exact[i]).values())
-                    similarity = both / (2 * m - both)
-                    if similarity >= self.least and similarity > best.get(i, (0.0,))[0]:
-                        best[i] = similarity, start, n
+            met: dict[int, list[int]] = defaultdict(list)
+            for p in np.flatnonzero(np.isin(h, known)).tolist():
+                for i in self.holders[int(h[p])]:
+                    met[i].append(p)
+            starts: dict[int, set[int]] = defaultdict(set)  # by size: windows with enough shingles of an item
+            for i, at in met.items():
+                n = self.lengths[i]
+                m = n - k + 1
+                if min(n, self.shingle) != k or len(at) < self.need(n) or len(words) < n:
+                    continue
+                held = np.zeros(len(h) + 1, np.int64)
+                held[np.array(at) + 1] = 1
+                held = np.cumsum(held)
+                starts[n].update(np.flatnonzero(held[m:] - held[:-m] >= self.need(n)).tolist())
+            for n, own in starts.items():
+                self._verify(words, h, n, n - k + 1, np.array(sorted(own), np.int64), best)
         for i, (similarity, start, n) in best.items():
             yield self.ids[i], similarity, start, n
 
 
+    def _verify(self, words: list[bytes], h: np.ndarray, n: int, m: int, starts: np.ndarray, best: dict[int, tuple[float, int, int]]) -> None:
+        """Look up the windows' fingerprints and keep the best verified window of each item."""
+        if not len(starts):
+            return
+        k = n - m + 1
+        low = int(starts[0])
+        sums = np.vstack([np.zeros((1, BITS), np.int32), np.cumsum(bits_of(h[low:int(starts[-1]) + m]), axis=0, dtype=np.int32)])
+        for start, own in zip(starts.tolist(), sums[starts - low + m] - sums[starts - low] > 0):
+            found = {i for b, key in enumerate(self.blocks(own)) for i in self.index.get((n, b, key), ())}
+            near = [i for i in sorted(found) if np.count_nonzero(self.prints[i] != own) <= self.radius]
+            if not near:
+                continue
+            here = Counter(zip(*(words[start + j:start + n - k + 1 + j] for j in range(k))))
+            for i in near:
+                both = sum((here & self.exact[i]).values())
+                similarity = both / (2 * m - both)
+                if similarity >= self.least and similarity > best.get(i, (0.0,))[0]:
+                    best[i] = similarity, start, n
+
+
 FOUND = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 
 
