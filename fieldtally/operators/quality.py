@@ -217,8 +217,9 @@ def quality_summary(events: DataFrame, occurrences: DataFrame, taxa: DataFrame)
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.coalesce("no_detections", F.lit(False)) | F.col("_seen").isNull()).alias("empty_events"),
     )
-    # Two one-row tables; the key only pairs them.
-    return visits.withColumn("_one", F.lit(1)).join(figures.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # Each figure stands in one of the two rows.
+    both = visits.unionByName(figures, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in [*visits.columns, *figures.columns]])
 
 
 def species_tally(occurrences: DataFrame, taxa: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions import fields as FL
@@ -195,9 +198,17 @@ def _template_files(t):
 
 
 def _backup_files(t):
+    """A backup with all columns of four tables, written, read again and counted against its own figures."""
     path = _folder(t, "backup")
-    files.write_backup({"events": t.event.select("event_id", "method"), "occurrences": t.occurrence.select("occurrence_id")}, path)
-    return t.spark.read.json(f"{path}/_counts").select(F.col("table").alias("name"), "rows")
+    tables = {"events": t.event, "occurrences": t.occurrence, "audit": t.change_log, "outbox": t.outbox_item}
+    files.write_backup(tables, path, marker="field-backup", device_id="d1", created_at="2026-01-01T00:00:00Z")
+    out = files.read_backup_folder(t.spark, path, {n: df.schema.simpleString()[7:-1] for n, df in tables.items()}, marker="field-backup")
+    keys = {"events": "event_id", "occurrences": "event_id", "audit": "seq", "outbox": "seq"}
+    read = reduce(DataFrame.unionByName, [
+        out[n].select(F.lit(n).alias("name"), F.col(k).alias("key"), (out[n][k].isNotNull() & (F.col("source_device") == "d1")).alias("whole"))
+        for n, k in keys.items()])
+    found = read.groupBy("name").agg(F.count_if("whole").alias("rows"), F.sum("key").alias("keys"))
+    return found.join(out["counts"].select(F.col("table").alias("name"), F.col("rows").alias("declared")), "name")
 
 
 def _backup_documents(t):
@@ -221,5 +232,6 @@ register("write_occurrence_csv", _occurrence_csv,
 register("write_template", _template_files,
          "SELECT event_date AS date, dwc_occurrence_id AS record FROM flat WHERE method IN ('trampa_sherman','camara_trampa')")
 register("write_backup", _backup_files,
-         "SELECT 'events' AS name, count(*) AS rows FROM event UNION ALL SELECT 'occurrences', count(*) FROM occurrence")
+         " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows, CAST(sum({k}) AS BIGINT) AS keys, count(*) AS declared FROM {v}" for n, k, v in (
+             ("events", "event_id", "event"), ("occurrences", "event_id", "occurrence"), ("audit", "seq", "change_log"), ("outbox", "seq", "outbox_item"))))
 register("read_backups", _backup_documents, "SELECT event_id AS id, method FROM event WHERE station_id<>7")

@@ -188,10 +188,10 @@ def conservation_report(taxa: DataFrame, listed: DataFrame) -> DataFrame:
     """matched and threatened taxa, and listed names that no taxon has."""
     from fieldtally.functions.survey import is_threatened
 
-    loaded = load_conservation(taxa, listed).agg(
-        F.count_if("listed").alias("matched"), F.count_if(F.col("listed") & is_threatened("rce", "iucn")).alias("threatened"))
-    missing = unmatched_names(taxa, listed).agg(F.count(F.lit(1)).alias("unmatched"))
-    return loaded.withColumn("_k", F.lit(1)).join(missing.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    loaded = load_conservation(taxa, listed).select(
+        F.col("listed").alias("matched"), (F.col("listed") & is_threatened("rce", "iucn")).alias("threatened"), F.lit(False).alias("unmatched"))
+    missing = unmatched_names(taxa, listed).select(F.lit(False).alias("matched"), F.lit(False).alias("threatened"), F.lit(True).alias("unmatched"))
+    return loaded.unionByName(missing).agg(*[F.count_if(c).alias(c) for c in ("matched", "threatened", "unmatched")])
 
 
 def unmatched_names(taxa: DataFrame, listed: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 BACKUP_VERSION = 1
 BACKUP_TABLES = ["events", "occurrences", "identifications", "measurements", "audit", "outbox", "syncLog", "settings"]
@@ -33,10 +34,12 @@ def read_backups(spark: SparkSession, path: str, tables: dict[str, str], *, mark
     return out
 
 
-def write_backup(tables: dict[str, DataFrame], path: str) -> None:
-    """One JSON dataset per table and their counts; media rows go without bytes.
+def write_backup(tables: dict[str, DataFrame], path: str, *, marker: str, device_id: str, created_at: str) -> None:
+    """A folder with one JSON dataset per table and, beside them, what a backup says about itself.
 
-    A distributed backup is a folder: no task ever holds more than its own partition.
+    A distributed backup is a folder: no task ever holds more than its own partition. ``_backup`` has
+    format, version, creation time, device and the row count of each table; it is written last, so a
+    folder without it is not a whole backup. Media rows go without bytes.
     """
     from functools import reduce
 
@@ -45,7 +48,27 @@ def write_backup(tables: dict[str, DataFrame], path: str) -> None:
         rows = df.drop("blob").withColumn("blobOmitted", F.lit(True)) if name == "media" else df
         rows.write.mode("overwrite").json(f"{path}/{name}")
         counts.append(rows.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")))
-    reduce(DataFrame.unionByName, counts).write.mode("overwrite").json(f"{path}/_counts")
+    counted = reduce(DataFrame.unionByName, counts).agg(F.map_from_entries(F.collect_list(F.struct("table", "rows"))).alias("counts"))
+    counted.select(F.lit(marker).alias("format"), F.lit(BACKUP_VERSION).alias("version"), F.lit(created_at).alias("createdAt"),
+                   F.lit(device_id).alias("deviceId"), "counts").write.mode("overwrite").json(f"{path}/_backup")
+
+
+def read_backup_folder(spark: SparkSession, path: str, tables: dict[str, str], *, marker: str) -> dict[str, DataFrame]:
+    """A folder of ``write_backup`` as ``read_backups`` gives files: a table each, ``counts`` and ``rejected``."""
+    envelope = spark.read.schema("format string, version int, createdAt string, deviceId string, counts map<string,long>").json(f"{path}/_backup")
+    envelope = envelope.withColumn("file", F.lit(path))
+    known = F.coalesce((F.col("format") == marker) & F.col("version").isNotNull(), F.lit(False))
+    row = envelope.select("deviceId", (known & (F.col("version") <= BACKUP_VERSION)).alias("ok"), known.alias("known")).first()
+    accepted = row is not None and row["ok"]
+    out = {}
+    for name, row_schema in tables.items():
+        schema = DataType.fromDDL(f"struct<{row_schema}>")
+        rows = spark.read.schema(schema).json(f"{path}/{name}") if accepted else spark.createDataFrame([], schema)
+        out[name] = rows.select(F.lit(path).alias("file"), F.lit(row["deviceId"] if accepted else None).cast("string").alias("source_device"), "*")
+    out["counts"] = envelope.filter(F.lit(accepted)).select("file", F.explode("counts").alias("table", "rows"))
+    out["rejected"] = envelope.filter(F.lit(not accepted)).select(
+        "file", F.when(known, "newer version").otherwise("not a backup").alias("reason"))
+    return out
 
 
 # --- maps ---------------------------------------------------------------------------------

@@ -68,9 +68,13 @@ def test_backups(spark, tmp_path):
     assert sorted(r.id for r in out["events"].collect()) == ["e1", "e2"]
     assert [(r.table, r.rows) for r in out["counts"].collect()] == [("events", 2)]
     assert sorted(r.reason for r in out["rejected"].collect()) == ["newer version", "not a backup"]
-    W.write_backup({"events": out["events"].select("id")}, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out/events")).count() == 2
-    assert spark.read.json(str(tmp_path / "out/_counts")).first().rows == 2
+    folder = str(tmp_path / "out")
+    W.write_backup({"events": out["events"].select("id")}, folder, marker="field-backup", device_id="d2", created_at="2026-01-01T00:00:00Z")
+    back = W.read_backup_folder(spark, folder, {"events": "id: string"}, marker="field-backup")
+    assert sorted((r.id, r.source_device) for r in back["events"].collect()) == [("e1", "d2"), ("e2", "d2")]
+    assert [(r.table, r.rows) for r in back["counts"].collect()] == [("events", 2)] and back["rejected"].isEmpty()
+    foreign = W.read_backup_folder(spark, folder, {"events": "id: string"}, marker="other")
+    assert foreign["events"].isEmpty() and [r.reason for r in foreign["rejected"].collect()] == ["not a backup"]
 
 
 def test_darwin_core_files(spark, tmp_path):
