@@ -56,7 +56,7 @@ def _deduplicated(t):
 register("stream_dedup", _deduplicated,
          """SELECT occurrence_id, first_value(occurrence_id) OVER w AS cluster_id, CAST(row_number() OVER w AS INT) AS position, row_number() OVER w>1 AS suppressed
     FROM dup WINDOW w AS (PARTITION BY event_id, subject, record_type, c ORDER BY created_s, occurrence_id)""", dup=_DUP)
-register("late_entries", lambda t: W.late_entries(_entries(streamed(t, "orders")), t.event).select("entry_id", "mode", "final_method", "deferred"),
+register("late_entries", lambda t: W.run_batched(W.late_entries(_entries(streamed(t, "orders")), t.event)).select("entry_id", "mode", "final_method", "deferred"),
          """SELECT entry_id, CASE WHEN x.station_id IS NULL THEN 'normal' WHEN same_day THEN CASE WHEN late THEN 'olvido' ELSE 'normal' END
       WHEN n=0 THEN CASE WHEN late THEN 'olvido' ELSE 'normal' END WHEN late THEN 'otro_dia' ELSE 'quizas_replica' END AS mode,
     CASE WHEN mode IN ('otro_dia','quizas_replica') THEN 'registro_oportunista' ELSE x.method END AS final_method, mode<>'quizas_replica' AND late AS deferred

@@ -168,8 +168,11 @@ def stream_field_day(records: DataFrame, *, by: list[str], time: str = "ts", wat
 
 
 def late_entries(entries: DataFrame, events: DataFrame) -> DataFrame:
-    """Late sightings are never dropped: each micro-batch is routed against the saved events."""
-    return run_batched(entries, handle=lambda batch: resolve_entry(batch, events))
+    """The stream of late sightings, each routed against the saved events; none is dropped.
+
+    ``events`` is a static table that each micro-batch reads anew, so that it sees what has been saved.
+    """
+    return resolve_entry(entries, events)
 
 
 # --- outbox -------------------------------------------------------------------------------
