@@ -3,22 +3,30 @@
 The vocabulary's pattern never joins a blank to the word before it, so a text can be cut in front of
 every single space and around every line feed, and the ids of the pieces put together are the ids of
 the text. Texts with other blanks, or blanks next to each other, or at an end, or with a marker of a
-special token, are given to the library whole.
+special token, are given to the library whole. A word of letters is one run of the pattern, so the
+library's merge model takes it directly; other pieces go through the library's whole encoder.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-#: Texts that can't be cut: other or adjoining blanks, blanks at an end, special-token marks, NUL.
-WHOLE = re.compile(r"[^\S \n]|\s\s|^\s|\s$|<\||\x00|[\x1c-\x1f]")
 LINE_FEED = 198
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write the bytes: printable ones stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -28,7 +36,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of batches of texts. The cache of words has a fixed bound and only saves time."""
 
-    def __init__(self, path: str, most_words: int = 250_000):
+    def __init__(self, path: str, most_words: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -39,6 +47,7 @@ class Encoder:
         for token, i in vocabulary.items():
             ends[i], opens[i] = token[-1] in ".!?", token[0] in "ĠĊ"
         self.sentence_end, self.starts_with_blank = ends, opens
+        self.stops = {c: self._ids(c)[0] for c in ".,"}  # one run and one id each
         self._reset()
 
     def _reset(self) -> None:
@@ -48,31 +57,46 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Only single spaces and line feeds, none at an end, and no marker of a special token."""
+        return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+                    or "<|" in text) and text.replace("\n", "").isprintable()
+
     def _learn(self, pieces: list[str]) -> None:
         # "w" stands for a space and w, "\nw" for a line feed and w, "\0w" for w at the start of a text.
-        plain = [p[1:] if p[:1] in ("\n", "\0") else f" {p}" for p in pieces]
-        filled = [k for k, s in enumerate(plain) if s]
-        ids: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
-        groups = [filled[a:a + 2000] for a in range(0, len(filled), 2000)]
-        joined = self.tokenizer.encode_batch_fast(["\n".join(plain[k] for k in g) for g in groups], add_special_tokens=False)
-        for group, encoding in zip(groups, joined):
-            got = np.array(encoding.ids, np.uint32)
-            cuts = np.flatnonzero(got == LINE_FEED)
-            if len(cuts) == len(group) - 1:
-                ends = np.append(cuts, len(got))
-                for k, a, b in zip(group, np.append(0, cuts + 1), ends):
-                    ids[k] = got[a:b]
-            else:
-                for k in group:
-                    ids[k] = np.array(self._ids(plain[k]), np.uint32)
-        feed = np.array([LINE_FEED], np.uint32)
-        ids = [np.concatenate([feed, i]) if p[:1] == "\n" else i for p, i in zip(pieces, ids)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *ids])
+        flat: list[int] = []
+        ends: list[int] = []
+        merges, whole, stops = self.tokenizer.model.tokenize, self._ids, self.stops
         for p in pieces:
-            self.rows[p] = len(self.rows)
+            mark = p[:1]
+            if mark == "\n":
+                flat.append(LINE_FEED)
+                word, blank = p[1:], ""
+            elif mark == "\0":
+                word, blank = p[1:], ""
+            else:
+                word, blank = p, " "
+            if word:
+                end = stops.get(word[-1])
+                stem = word if end is None else word[:-1]
+                if not stem.isalpha():
+                    flat += whole(blank + word)
+                else:
+                    # Letters only, with or without a space before them, are one run of the pattern.
+                    if not stem.isascii():
+                        stem = stem.encode().decode("latin-1").translate(BYTE_LETTERS)
+                    flat += [t.id for t in merges("Ġ" + stem if blank else stem)]
+                    if end is not None:
+                        flat.append(end)
+            ends.append(len(flat))
+        bounds = np.array(ends, np.int64)
+        starts = np.append(0, bounds[:-1])
+        self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+        self.sizes = np.concatenate([self.sizes, bounds - starts])
+        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
+        first = len(self.rows)
+        self.rows.update(zip(pieces, range(first, first + len(pieces))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
@@ -81,17 +105,17 @@ class Encoder:
         pieces: list[str] = []
         counts, whole = [], {}
         for k, text in enumerate(texts):
-            if not text or WHOLE.search(text):
-                whole[k] = self._ids(text) if text else []
-                counts.append(0)
-            else:
+            if text and self._plain(text):
                 own = text.replace("\n", " \n").split(" ")
                 own[0] = f"\0{own[0]}"
                 pieces += own
                 counts.append(len(own))
-        missing = [p for p in set(pieces) if p not in self.rows]
+            else:
+                whole[k] = self._ids(text) if text else []
+                counts.append(0)
+        missing = set(pieces).difference(self.rows)
         if missing:
-            self._learn(missing)
+            self._learn(list(missing))
         rows = np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))
         sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
