@@ -213,3 +213,21 @@ def _gathered(codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: For items of five words or more, as all of the benchmark are.
+SQL = {"op6_decontamination": r"""
+WITH inputs AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+texts AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS a FROM inputs),
+words AS (SELECT side, id, unnest(a) AS word, generate_subscripts(a, 1) AS pos, len(a) AS n FROM texts),
+runs AS (SELECT side, id, pos, n, string_agg(word, ' ') OVER w AS s, count(*) OVER w AS k FROM words
+         WINDOW w AS (PARTITION BY side, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+items AS (SELECT id AS item_id, s, n - 4 AS m, count(*) AS c FROM runs WHERE side = 'i' AND k = 5 GROUP BY id, s, n),
+hits AS (SELECT d.id AS doc_id, item_id, d.pos, s, c, m, d.n FROM runs d JOIN items USING (s) WHERE d.side = 'd' AND d.k = 5),
+placed AS (SELECT doc_id, item_id, s, c, m, n, unnest(range(pos - m + 1, pos + 1)) AS start FROM hits),
+kinds AS (SELECT doc_id, item_id, m, start, s, least(count(*), any_value(c)) AS x FROM placed WHERE start >= 1 AND start + m + 3 <= n
+          GROUP BY doc_id, item_id, m, start, s),
+windows AS (SELECT doc_id, item_id, m, start, sum(x) / (2 * m - sum(x)) AS similarity FROM kinds GROUP BY doc_id, item_id, m, start)
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(start - 1, (-similarity, start)) AS start_word, any_value(m) + 4 AS n_words
+FROM windows WHERE similarity >= 8e-1 GROUP BY doc_id, item_id"""}
