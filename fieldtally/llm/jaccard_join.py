@@ -205,3 +205,18 @@ def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
+SQL = {"op8_jaccard_join": r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                           '[^\x20\x09-\x0D]+') AS a FROM documents),
+words AS (SELECT doc_id, unnest(a) AS word, generate_subscripts(a, 1) AS pos, len(a) AS n FROM texts),
+runs AS (SELECT doc_id, string_agg(word, ' ') OVER w AS s, count(*) OVER w AS k, n, pos FROM words
+         WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+sets AS (SELECT DISTINCT doc_id, s FROM runs WHERE k = 4 OR (n < 4 AND pos = 1)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT t.doc_id, coalesce(z.n, 0) AS n_shingles, least(t.doc_id, coalesce(min(r.other), t.doc_id)) AS component_id
+FROM texts t LEFT JOIN sizes z USING (doc_id) LEFT JOIN reach r USING (doc_id) GROUP BY t.doc_id, z.n"""}
