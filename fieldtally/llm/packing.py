@@ -34,7 +34,7 @@ def places(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, open
     ends[doc_ends] = True
     ends[0] = True
     firm = np.flatnonzero(ends)
-    inner = np.arange(n) - firm[np.searchsorted(firm, np.arange(n), "right") - 1]
+    inner = np.arange(n) - np.repeat(firm[:-1], np.diff(firm))
     price = np.full(n + 1, -1, np.int64)
     price[:-1][(inner > 0) & (inner % grid == 0)] = inner_price
     price[firm] = sentence_price
@@ -46,21 +46,22 @@ def places(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, open
 
 def cheapest_cuts(at: list[int], price: list[int], size: int) -> list[int]:
     """Indexes into ``at`` of the cheapest cutting from the first place to the last one."""
-    cost, came = [0] * len(at), [0] * len(at)
-    waiting: deque[int] = deque()
+    came, keys = [0] * len(at), [0] * len(at)  # keys: f(i) + b(i)
+    waiting: deque[int] = deque([0])
     push, drop, first = waiting.append, waiting.pop, waiting.popleft
-    keys = [0] * len(at)
-    for k in range(len(at)):
-        here = at[k]
-        if k:
-            while at[waiting[0]] < here - size:
-                first()
-            i = waiting[0]
-            came[k] = i
-            cost[k] = keys[i] + price[k] - here + size
-        keys[k] = key = cost[k] + here
-        while waiting and keys[waiting[-1]] >= key:
+    head = 0  # the first of those that wait
+    for k in range(1, len(at)):
+        least = at[k] - size
+        while at[head] < least:
+            first()
+            head = waiting[0]
+        came[k] = head
+        keys[k] = key = keys[head] + price[k] + size
+        while keys[waiting[-1]] >= key:
             drop()
+            if not waiting:
+                head = k
+                break
         push(k)
     k, cuts = len(at) - 1, []
     while k:

@@ -10,6 +10,7 @@ library's merge model takes it directly; other pieces go through the library's w
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 
@@ -113,10 +114,11 @@ class Encoder:
             else:
                 whole[k] = self._ids(text) if text else []
                 counts.append(0)
-        missing = set(pieces).difference(self.rows)
+        rows = np.fromiter(map(self.rows.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(rows < 0).tolist()
         if missing:
-            self._learn(list(missing))
-        rows = np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))
+            self._learn(list({pieces[k] for k in missing}))
+            rows[missing] = [self.rows[pieces[k]] for k in missing]
         sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
