@@ -20,7 +20,8 @@ from fieldtally.llm.common import additive_table, arrow_rows, batches, id_text,
 from fieldtally.llm.fm_index import FMIndex
 from fieldtally.llm.shingles import WordHashes, avalanche, rolling
 
-SHARED, HOT = 1, 2
+#: Bits of the table of minimizers with very many contexts, and of the table of documents with repeats.
+HOT_BITS, DOC_BITS = 20, 22
 
 
 def _stretches(piece: dict[str, list], window: int, run: int, hashes: WordHashes):
@@ -46,34 +47,68 @@ def _stretches(piece: dict[str, list], window: int, run: int, hashes: WordHashes
     return words, begins, first, np.flatnonzero(closes) - first + 1, least[first], owner[first]
 
 
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at.astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _set(bits: np.ndarray, at: np.ndarray) -> None:
+    at = at.astype(np.int64)
+    np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+
 def _masks(docs: DataFrame, window: int, run: int, mask_bits: int, hot: int) -> np.ndarray:
-    """A byte for each cell of a minimizer: SHARED if two documents have it, HOT if it meets ``hot`` times or more."""
-    schema = pa.schema([("minimizer", pa.int64()), ("doc_id", pa.int64()), ("met", pa.int64())])
+    """Bits of the minimizers that two documents have, and behind them of those that meet ``hot`` times or more.
+
+    A minimizer is known here by the first 32 bits of its hash: a few that only one document has may get
+    a bit, none that two have goes without. Each batch of documents sends a number once, with whether
+    several of its documents have it; what comes from two batches comes from two documents.
+    """
+    several, most = np.int64(1 << 15), (1 << 15) - 1
 
     def anchors(rows):
-        hashes = WordHashes()
-        for piece in batches(rows, ["doc_id", "text"]):
+        hashes = WordHashes(100_000)
+        for piece in batches(rows, ["doc_id", "text"], 2_000_000):
             _, _, _, _, least, owner = _stretches(piece, window, run, hashes)
-            if not len(least):
-                continue
-            doc = np.array(piece["doc_id"], np.int64)[owner]
-            order = np.lexsort((doc, least))
-            least, doc = least[order], doc[order]
-            begin = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-            end = np.append(begin[1:], len(least)) - 1
-            lone = doc[begin] == doc[end]
-            yield arrow_rows(schema, [least[begin].view(np.int64), np.where(lone, doc[begin], None), end - begin + 1])
-
-    def fill(rows, cells):
+            if len(least):
+                cell = (least >> np.uint64(32)).astype(np.int64)
+                order = np.lexsort((owner, cell))
+                cell, owner = cell[order], owner[order]
+                begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+                end = np.append(begin[1:], len(cell))
+                packed = cell[begin] << 16 | np.minimum(end - begin, most)
+                packed |= np.where(owner[begin] != owner[end - 1], several, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(packed)], names=["packed"])
+
+    def meet(rows):
+        held = np.zeros(0, np.int64)
+        schema = pa.schema([("cell", pa.int64()), ("hot", pa.bool_())])
+
+        def judged(packed):
+            cell = packed >> 16
+            begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            rows_of = np.diff(np.append(begin, len(cell)))
+            shared = (rows_of > 1) | (np.bitwise_or.reduceat(packed, begin) & several > 0)
+            met = np.add.reduceat(packed & most, begin)
+            return arrow_rows(schema, [cell[begin][shared], met[shared] >= hot])
+
+        for batch in rows:
+            held = np.concatenate([held, np.asarray(batch.column("packed"))])
+            last = int(np.searchsorted(held, held[-1] >> 16 << 16)) if len(held) else 0
+            if last:
+                yield judged(held[:last])
+                held = held[last:]
+        if len(held):
+            yield judged(held)
+
+    def fill(rows, table_):
         for batch in rows:
-            at = np.asarray(batch.column("minimizer")).view(np.uint64) >> np.uint64(64 - mask_bits)
-            flags = np.asarray(batch.column("flags")).astype(np.uint8)
-            np.bitwise_or.at(cells, at.astype(np.int64), flags)
+            cell, is_hot = np.asarray(batch.column("cell")), np.asarray(batch.column("hot").to_pylist(), bool)
+            _set(table_, cell >> 32 - mask_bits)
+            _set(table_[1 << mask_bits - 3:], cell[is_hot] >> 32 - HOT_BITS)
 
-    met = docs.mapInArrow(anchors, "minimizer long, doc_id long, met long").groupBy("minimizer").agg(
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.count("*") > F.count("doc_id")).alias("several"), F.sum("met").alias("met"))
-    shared = met.filter("several or low < high").select("minimizer", F.when(F.col("met") >= hot, SHARED | HOT).otherwise(SHARED).alias("flags"))
-    return additive_table(shared, fill, 1 << mask_bits, "uint8", np.bitwise_or)
+    sent = docs.mapInArrow(anchors, "packed long").repartition(F.shiftright("packed", 16)).sortWithinPartitions("packed")
+    return additive_table(sent.mapInArrow(meet, "cell long, hot boolean"), fill, (1 << mask_bits - 3) + (1 << HOT_BITS - 3), "uint8", np.bitwise_or)
 
 
 def _dealt(docs: DataFrame, window: int, run: int, mask_bits: int, hot: int) -> DataFrame:
@@ -82,20 +117,23 @@ def _dealt(docs: DataFrame, window: int, run: int, mask_bits: int, hot: int) ->
     schema = pa.schema([("key", pa.int64()), ("content", pa.binary()), ("doc_ids", pa.binary()), ("starts", pa.binary())])
 
     def deal(rows):
-        hashes = WordHashes()
-        for piece in batches(rows, ["doc_id", "text"]):
+        hashes = WordHashes(100_000)
+        shared, many = masks.value[:1 << mask_bits - 3], masks.value[1 << mask_bits - 3:]
+        for piece in batches(rows, ["doc_id", "text"], 2_500_000):
             words, begins, first, count, least, owner = _stretches(piece, window, run, hashes)
-            flags = masks.value[(least >> np.uint64(64 - mask_bits)).astype(np.int64)]
+            took = np.flatnonzero(_has(shared, least >> np.uint64(64 - mask_bits)))
+            crowded = _has(many, least[took] >> np.uint64(64 - HOT_BITS))
+            place = first - begins[owner]
             found: dict[tuple[int, bytes], list] = defaultdict(list)
-            for k in np.flatnonzero(flags == SHARED).tolist():
-                a = int(first[k])
-                found[int(least[k]), b" ".join(words[a:a + int(count[k]) + window - 1])].append((piece["doc_id"][owner[k]], a - int(begins[owner[k]])))
+            calm = took[~crowded]
+            for key, a, n, doc, at in zip(least[calm].tolist(), first[calm].tolist(), count[calm].tolist(), owner[calm].tolist(), place[calm].tolist()):
+                found[key, b" ".join(words[a:a + n + window - 1])].append((piece["doc_id"][doc], at))
             # A minimizer with very many contexts would fill a shard: its windows go by their own hash, one by one.
-            for k in np.flatnonzero(flags & HOT).tolist():
-                for a in range(int(first[k]), int(first[k] + count[k])):
-                    content = words[a:a + window]
+            for k in took[crowded].tolist():
+                for step in range(int(count[k])):
+                    content = words[int(first[k]) + step:int(first[k]) + step + window]
                     key = int(avalanche(rolling(hashes.of(content), window))[0])
-                    found[key, b" ".join(content)].append((piece["doc_id"][owner[k]], a - int(begins[owner[k]])))
+                    found[key, b" ".join(content)].append((piece["doc_id"][owner[k]], int(place[k]) + step))
             if found:
                 at = [np.array(v, np.int64) for v in found.values()]
                 yield arrow_rows(schema, [np.array([k for k, _ in found], np.uint64).view(np.int64), [c for _, c in found],
@@ -133,8 +171,12 @@ class Shard:
         inner[ends - 1] = False
         text[inner] = [number.setdefault(w, len(number) + 1) for own in texts for w in own]
         content = np.repeat(np.arange(len(texts)), lengths + 1)
-        docs = [np.frombuffer(b"".join(x), np.int64) for x in self.doc_ids]
-        low_doc = np.fromiter((d.min() for d in docs), np.int64, len(docs))
+        # All places of all stretches, one after another.
+        holders = np.frombuffer(b"".join(x for parts in self.doc_ids for x in parts), np.int64)
+        places = np.frombuffer(b"".join(x for parts in self.starts for x in parts), np.int32).astype(np.int64)
+        held = np.fromiter((sum(map(len, parts)) >> 3 for parts in self.doc_ids), np.int64, len(texts))
+        of = np.repeat(np.arange(len(texts)), held)
+        low_doc = np.minimum.reduceat(holders, np.cumsum(held) - held)
 
         n_windows = lengths - window + 1
         begins = ends - lengths - 1
@@ -142,7 +184,7 @@ class Shard:
         own = np.repeat(np.arange(len(texts)), n_windows)
         starts = np.arange(int(n_windows.sum())) - base[own] + begins[own]
         first_doc = low_doc[own]
-        if len(texts) > 1 or len(starts) > 1:
+        if len(starts) > 1:
             index = FMIndex(text, len(number) + 1)
             which, low, high = index.matching(text, starts, window)
             if len(which):
@@ -152,26 +194,26 @@ class Shard:
                 edges = np.column_stack([rows, tops]).ravel()
                 by_row = np.append(low_doc[content[index.suffixes]], np.iinfo(np.int64).max)
                 first_doc[which] = np.minimum.reduceat(by_row, edges)[::2][back]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        fresh = np.fromiter(map(len, docs), np.int64, len(docs)) > 1
-        fresh[own[first_doc < low_doc[own]]] = True
-        for k in np.flatnonzero(fresh).tolist():
-            places = np.frombuffer(b"".join(self.starts[k]), np.int32).astype(np.int64)
-            later = docs[k] > low_doc[k]
-            if later.any():
-                out.append((docs[k][later], places[later], places[later] + lengths[k]))
-            gone = first_doc[base[k]:base[k] + n_windows[k]] < low_doc[k]
-            if gone.any():
-                change = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                for place in places[~later]:
-                    out.append((np.full(len(change) // 2, low_doc[k]), place + change[::2], place + change[1::2] + window - 1))
-        if not out:
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def repeated_passages(docs: DataFrame, window: int = 13, run: int = 5, mask_bits: int = 23, hot: int = 20_000,
+
+        # In all but the least document a stretch goes whole; there, the runs of windows that begin in a lesser one.
+        later = holders > low_doc[of]
+        gone = first_doc < low_doc[own]
+        opens, closes = gone.copy(), gone.copy()
+        opens[1:] &= ~gone[:-1] | (own[1:] != own[:-1])
+        closes[:-1] &= ~gone[1:] | (own[1:] != own[:-1])
+        run_first, run_last = np.flatnonzero(opens), np.flatnonzero(closes)
+        runs_of = np.bincount(own[run_first], minlength=len(texts))
+        least = np.flatnonzero(~later & (runs_of[of] > 0))
+        n_runs = runs_of[of[least]]
+        place = np.repeat(least, n_runs)
+        run = (np.cumsum(runs_of) - runs_of)[of[place]] + np.arange(len(place)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
+        offset = base[of[place]]
+        return (np.concatenate([holders[later], holders[place]]),
+                np.concatenate([places[later], places[place] + run_first[run] - offset]),
+                np.concatenate([places[later] + lengths[of[later]], places[place] + run_last[run] - offset + window]))
+
+
+def repeated_passages(docs: DataFrame, window: int = 13, run: int = 5, mask_bits: int = 26, hot: int = 20_000,
                       shard_words: int = 1 << 17) -> DataFrame:
     """(doc_id, first_word, end_word): intervals of words covered by windows that a smaller id has too.
 
@@ -199,29 +241,59 @@ def repeated_passages(docs: DataFrame, window: int = 13, run: int = 5, mask_bits
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, **more) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) for each row of ``docs``: its words without the repeated ones, joined by spaces."""
-    found = repeated_passages(docs, window, **more).groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "end_word")).alias("gone"))
+    """(doc_id, n_words, n_removed, kept) for each row of ``docs``: its words without the repeated ones, joined by spaces.
+
+    Only texts that may have repeats, by a table of fixed size, are joined with their intervals; the
+    others are finished where they are read.
+    """
+    gone = repeated_passages(docs, window, **more).groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "end_word")).alias("gone"))
+    gone = written(gone, "repeats")
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << DOC_BITS)).alias("cell")
+
+    def fill(rows, bits):
+        for batch in rows:
+            _set(bits, np.asarray(batch.column("cell")))
+
+    some = docs.sparkSession.sparkContext.broadcast(additive_table(gone.select(cell), fill, 1 << DOC_BITS - 3, "uint8", np.bitwise_or))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
-    def cut(rows):
+    def cut(piece, gone):
+        sizes, counts, kept = [], [], []
+        for text, own in zip(piece["text"], gone):
+            words = text.encode().split()
+            sizes.append(len(words))
+            if own:
+                depth = np.zeros(len(words) + 1, np.int64)
+                for g in own:
+                    depth[min(g["first_word"], len(words))] += 1
+                    depth[min(g["end_word"], len(words))] -= 1
+                covered = np.cumsum(depth[:-1]) > 0
+                words = [w for w, c in zip(words, covered.tolist()) if not c]
+            counts.append(sizes[-1] - len(words))
+            kept.append(b" ".join(words))
+        return arrow_rows(schema, [piece["doc_id"], sizes, counts, kept])
+
+    def chosen(rows, with_repeats: bool):
+        for batch in rows:
+            took = _has(some.value, np.asarray(batch.column("cell"))) == with_repeats
+            yield batch.filter(pa.array(took))
+
+    def finish(rows):
+        for piece in batches(chosen(rows, False), ["doc_id", "text"]):
+            yield cut(piece, [None] * len(piece["text"]))
+
+    def pick(rows):
+        for batch in chosen(rows, True):
+            yield batch.select(["doc_id", "text"])
+
+    def finish_joined(rows):
         for piece in batches(rows, ["doc_id", "text", "gone"]):
-            sizes, counts, kept = [], [], []
-            for text, gone in zip(piece["text"], piece["gone"]):
-                words = text.encode().split()
-                sizes.append(len(words))
-                if gone:
-                    depth = np.zeros(len(words) + 1, np.int64)
-                    for g in gone:
-                        depth[min(g["first_word"], len(words))] += 1
-                        depth[min(g["end_word"], len(words))] -= 1
-                    covered = np.cumsum(depth[:-1]) > 0
-                    words = [w for w, c in zip(words, covered.tolist()) if not c]
-                counts.append(sizes[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield arrow_rows(schema, [piece["doc_id"], sizes, counts, kept])
-
-    joined = id_text(docs).join(written(found, "repeats"), "doc_id", "left")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
+            yield cut(piece, piece["gone"])
+
+    out = "doc_id long, n_words long, n_removed long, kept binary"
+    texts = id_text(docs).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(1 << DOC_BITS)))
+    joined = texts.mapInArrow(pick, "doc_id long, text string").join(gone, "doc_id", "left")
+    return texts.mapInArrow(finish, out).unionByName(joined.mapInArrow(finish_joined, out))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
