@@ -298,3 +298,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, **more) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = {"op10_substring_dedup": r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+words AS (SELECT doc_id, unnest(a) AS word, generate_subscripts(a, 1) AS pos FROM texts),
+windows AS (SELECT doc_id, pos, string_agg(word, ' ') OVER w AS k, count(*) OVER w AS n FROM words
+            WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+firsts AS (SELECT k, min(doc_id) AS first_doc FROM windows WHERE n = 13 GROUP BY k),
+starts AS (SELECT doc_id, pos FROM windows JOIN firsts USING (k) WHERE n = 13 AND first_doc < doc_id),
+gone AS (SELECT DISTINCT doc_id, pos + j AS pos FROM starts, range(0, 13) r(j))
+SELECT t.doc_id, coalesce(count(w.word), 0) AS n_words, coalesce(count(g.pos), 0) AS n_removed,
+       sha256(coalesce(string_agg(w.word, ' ' ORDER BY w.pos) FILTER (WHERE w.word IS NOT NULL AND g.pos IS NULL), '')) AS kept_sha256
+FROM texts t LEFT JOIN words w USING (doc_id) LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos GROUP BY t.doc_id"""}
