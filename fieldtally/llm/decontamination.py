@@ -1,10 +1,11 @@
 """Benchmark passages in documents, by SimHash fingerprints of windows as long as the items.
 
 For an item of L words, the windows are all runs of L words of a document. A window and an item are
-compared by their 128-bit SimHash over weighted word shingles (the weight of a shingle is how often
-it occurs). The fingerprint is cut into radius + 1 blocks; two fingerprints within the radius agree in
-at least one block, so looking up the items by each block misses none. Candidates within the radius
-are verified by the exact weighted Jaccard similarity.
+compared by their 128-bit SimHash over word shingles. Each occurrence of a shingle has a code of its
+own, so that the distance of two fingerprints follows the weighted Jaccard similarity. The fingerprint
+is cut into radius + 1 blocks; two fingerprints within the radius agree in at least one block, so
+looking up the items by each block misses none. Candidates within the radius are verified by the exact
+weighted Jaccard similarity.
 
 Only windows that hold enough shingles of an item of their size are fingerprinted; the others fail the
 verification whatever their fingerprint.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import arrow_rows, batches, id_text, table
-from fieldtally.llm.shingles import MULTIPLIER, avalanche, rolling
+from fieldtally.llm.shingles import MULTIPLIER, WordHashes, avalanche, rolling
 
 BITS = 128
 
@@ -33,13 +34,34 @@ def bits_of(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(codes.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
+def window_sums(hashes: np.ndarray, m: int) -> np.ndarray:
+    """Summed bits of each run of m shingles, in which equal shingles are numbered and coded one by one.
+
+    Added up under one code, a shingle that a run holds r times would weigh r times in each bit.
+    """
+    count = len(hashes)
+    kind = np.unique(hashes, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(kind, kind="stable")
+    base = kind[order] * count
+    place, rank = base + order, np.arange(count)
+    before, after = np.zeros(count, np.uint64), np.zeros(count, np.uint64)  # equal ones less than m places before and after
+    before[order] = rank - np.searchsorted(place, np.maximum(place - m + 1, base))
+    after[order] = np.searchsorted(place, np.minimum(place + m, base + count)) - 1 - rank
+    comes, goes = (bits_of(avalanche(hashes + n * MULTIPLIER)) for n in (before, after))
+    sums = np.empty((count - m + 1, BITS), np.int32)
+    sums[0] = comes[:m].sum(0, dtype=np.int32)
+    np.subtract(comes[m:], goes[:count - m], out=sums[1:], dtype=np.int32)
+    return np.cumsum(sums, axis=0, out=sums)
+
+
 class Benchmark:
     """A block of items with its fingerprints, indexed by size of item and block of bits."""
 
     def __init__(self, items: list[tuple[int, bytes]], shingle: int, least: float, radius: int):
         self.least, self.radius = least, radius
         self.cuts = np.linspace(0, BITS, radius + 2).astype(int)
-        self.words: dict[bytes, int] = {}  # any other word is 0
+        self.words: dict[bytes, int] = {}  # any other word is 0, and has its own hash in fingerprints
+        self.others = WordHashes()
         self.ids, self.exact = [], []
         sized: dict[int, list[int]] = defaultdict(list)
         hashed = []
@@ -66,7 +88,7 @@ class Benchmark:
                     self.holders[h].append(i)
         self.prints = np.zeros((len(self.ids), BITS), bool)
         for i, h in enumerate(hashed):
-            self.prints[i] = bits_of(h).sum(0, dtype=np.int32) > 0
+            self.prints[i] = window_sums(h, len(h))[0] > 0
         self.index: dict[tuple[int, int, bytes], list[int]] = defaultdict(list)
         for n, own in self.sizes.items():
             for i in own:
@@ -119,19 +141,21 @@ class Benchmark:
                 held = np.cumsum(held)
                 starts[n].update(np.flatnonzero(held[m:] - held[:-m] >= self.need(n)).tolist())
             for n, own in starts.items():
-                self._verify(words, h, n, n - k + 1, np.array(sorted(own), np.int64), best)
+                self._verify(words, codes, n, n - k + 1, np.array(sorted(own), np.int64), best)
         for i, (similarity, start, n) in best.items():
             yield self.ids[i], similarity, start, n
 
 
-    def _verify(self, words: list[bytes], h: np.ndarray, n: int, m: int, starts: np.ndarray, best: dict[int, tuple[float, int, int]]) -> None:
+    def _verify(self, words: list[bytes], codes: np.ndarray, n: int, m: int, starts: np.ndarray, best: dict[int, tuple[float, int, int]]) -> None:
         """Look up the windows' fingerprints and keep the best verified window of each item."""
         if not len(starts):
             return
         k = n - m + 1
         low = int(starts[0])
-        sums = np.vstack([np.zeros((1, BITS), np.int32), np.cumsum(bits_of(h[low:int(starts[-1]) + m]), axis=0, dtype=np.int32)])
-        for start, own in zip(starts.tolist(), sums[starts - low + m] - sums[starts - low] > 0):
+        codes = codes[low:int(starts[-1]) + n].copy()
+        other = np.flatnonzero(codes == 0)
+        codes[other] = self.others.of([words[low + p] for p in other.tolist()])
+        for start, own in zip(starts.tolist(), window_sums(rolling(codes, k), m)[starts - low] > 0):
             found = {i for b, key in enumerate(self.blocks(own)) for i in self.index.get((n, b, key), ())}
             near = [i for i in sorted(found) if np.count_nonzero(self.prints[i] != own) <= self.radius]
             if not near:

@@ -139,6 +139,34 @@ def test_leaks(spark, documents):
     assert D.contaminated(documents([]), table).collect() == []
 
 
+@pytest.mark.parametrize("filler", ["foreign", "one foreign word", "one item word"])
+def test_leaks_of_long_items_with_another_end(filler):
+    """Windows at the threshold are found although all their other words are unknown to the benchmark, or one word again and again."""
+    rng = random.Random(8)
+    for n in (100, 150, 200, 300, 500):
+        items = [(k, " ".join(rng.choices([f"q{j}" for j in range(900)], k=n))) for k in range(6)]
+        bench = D.Benchmark([(k, t.encode()) for k, t in items], 5, 0.8, 40)
+        rows = []
+        for k, t in items:
+            own = t.split()
+            other = {"foreign": [f"f{j}" for j in range(n + 30)], "one foreign word": ["la"] * (n + 30), "one item word": own[:1] * (n + 30)}[filler]
+            cut = int((n - 4) * 0.11)
+            text = other[:15] + own[:-cut] + other[15:30 + cut] if k % 2 else other[:15 + cut] + own[cut:] + other[15 + cut:30 + cut]
+            rows.append((k, " ".join(text)))
+        want = brute_leaks(rows, items)
+        got = {(d, i): s for (d, _), own in zip(rows, bench.search([t for _, t in rows])) for i, s, _, _ in own}
+        assert {(k, k) for k, _ in items} == want.keys() == got.keys()
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_window_sums_number_equal_shingles():
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(1, 6, 60).astype(np.uint64)
+    for m in (1, 7, 60):
+        for a, own in enumerate(D.window_sums(hashes, m)):
+            assert (own == D.window_sums(np.sort(hashes[a:a + m]), m)[0]).all()
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     """Fingerprints within the radius share a block, whichever bits differ."""
     rng = np.random.default_rng(0)
