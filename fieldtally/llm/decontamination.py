@@ -1,6 +1,7 @@
 """Benchmark passages in documents, by SimHash fingerprints of windows as long as the items.
 
-For an item of L words, the windows are all runs of L words of a document. A window and an item are
+For an item of L words, the windows are all runs of L words of a document; a document of fewer words
+is one window of its own size. A window and an item are
 compared by their 128-bit SimHash over word shingles. Each occurrence of a shingle has a code of its
 own, so that the distance of two fingerprints follows the weighted Jaccard similarity. The fingerprint
 is cut into radius + 1 blocks; two fingerprints within the radius agree in at least one block, so
@@ -98,10 +99,10 @@ class Benchmark:
     def blocks(self, one: np.ndarray) -> list[bytes]:
         return [np.packbits(one[a:b]).tobytes() for a, b in zip(self.cuts, self.cuts[1:])]
 
-    def need(self, n: int) -> int:
-        """Shingles that a window of n words must share with an item of its size to be similar enough."""
-        m = n - min(n, self.shingle) + 1
-        return int(np.ceil(2 * m * self.least / (1 + self.least) - 1e-9))
+    def need(self, n: int, size: int) -> int:
+        """Shingles that a window of ``size`` words must share with an item of n words to be similar enough."""
+        k = min(n, self.shingle)
+        return int(np.ceil((n - k + 1 + size - k + 1) * self.least / (1 + self.least) - 1e-9))
 
     def search(self, texts: list[str]) -> Iterator[list[tuple[int, float, int, int]]]:
         """For each text, what ``find`` has; texts without a shingle of the benchmark are passed over in bulk."""
@@ -130,29 +131,31 @@ class Benchmark:
             for p in np.flatnonzero(np.isin(h, known)).tolist():
                 for i in self.holders[int(h[p])]:
                     met[i].append(p)
-            starts: dict[int, set[int]] = defaultdict(set)  # by size: windows with enough shingles of an item
+            starts: dict[tuple[int, int], set[int]] = defaultdict(set)  # by size of item and window: windows with enough shingles of an item
             for i, at in met.items():
                 n = self.lengths[i]
-                m = n - k + 1
-                if min(n, self.shingle) != k or len(at) < self.need(n) or len(words) < n:
+                size = min(n, len(words))
+                m = size - k + 1
+                if min(n, self.shingle) != k or len(at) < self.need(n, size):
                     continue
                 held = np.zeros(len(h) + 1, np.int64)
                 held[np.array(at) + 1] = 1
                 held = np.cumsum(held)
-                starts[n].update(np.flatnonzero(held[m:] - held[:-m] >= self.need(n)).tolist())
-            for n, own in starts.items():
-                self._verify(words, codes, n, n - k + 1, np.array(sorted(own), np.int64), best)
-        for i, (similarity, start, n) in best.items():
-            yield self.ids[i], similarity, start, n
+                starts[n, size].update(np.flatnonzero(held[m:] - held[:-m] >= self.need(n, size)).tolist())
+            for (n, size), own in starts.items():
+                self._verify(words, codes, n, size, np.array(sorted(own), np.int64), best)
+        for i, (similarity, start, size) in best.items():
+            yield self.ids[i], similarity, start, size
 
 
-    def _verify(self, words: list[bytes], codes: np.ndarray, n: int, m: int, starts: np.ndarray, best: dict[int, tuple[float, int, int]]) -> None:
+    def _verify(self, words: list[bytes], codes: np.ndarray, n: int, size: int, starts: np.ndarray, best: dict[int, tuple[float, int, int]]) -> None:
         """Look up the windows' fingerprints and keep the best verified window of each item."""
         if not len(starts):
             return
-        k = n - m + 1
+        k = min(n, self.shingle)
+        m, item_m = size - k + 1, n - k + 1
         low = int(starts[0])
-        codes = codes[low:int(starts[-1]) + n].copy()
+        codes = codes[low:int(starts[-1]) + size].copy()
         other = np.flatnonzero(codes == 0)
         codes[other] = self.others.of([words[low + p] for p in other.tolist()])
         for start, own in zip(starts.tolist(), window_sums(rolling(codes, k), m)[starts - low] > 0):
@@ -160,12 +163,12 @@ class Benchmark:
             near = [i for i in sorted(found) if np.count_nonzero(self.prints[i] != own) <= self.radius]
             if not near:
                 continue
-            here = Counter(zip(*(words[start + j:start + n - k + 1 + j] for j in range(k))))
+            here = Counter(zip(*(words[start + j:start + m + j] for j in range(k))))
             for i in near:
                 both = sum((here & self.exact[i]).values())
-                similarity = both / (2 * m - both)
+                similarity = both / (m + item_m - both)
                 if similarity >= self.least and similarity > best.get(i, (0.0,))[0]:
-                    best[i] = similarity, start, n
+                    best[i] = similarity, start, size
 
 
 FOUND = "doc_id long, item_id long, similarity double, start_word long, n_words long"
@@ -239,7 +242,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: For items of five words or more, as all of the benchmark are.
+#: For items of five words or more, as all of the benchmark are, and documents that are no shorter than the item.
 SQL = {"op6_decontamination": r"""
 WITH inputs AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
 texts AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

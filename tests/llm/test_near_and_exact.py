@@ -159,6 +159,26 @@ def test_leaks_of_long_items_with_another_end(filler):
         assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_leaks_in_documents_shorter_than_the_item(spark, documents):
+    """A document of fewer words than the item is one window, compared with its own size."""
+    rng = random.Random(12)
+    items = [(k, " ".join(rng.choices([f"q{j}" for j in range(60)], k=n))) for k, n in enumerate((6, 12, 40, 41, 200))] + [(9, "four words of text")]
+    rows, want = [], {}
+    for k, t in items:
+        own = t.split()
+        for less in range(1, len(own)):
+            part = own[less // 2:len(own) - (less - less // 2)]
+            rows.append((100 * k * 3 + less, " ".join(part)))
+            held, m = max(0, len(part) - 4), len(own) - 4
+            if len(own) > 4 and held / m >= 0.8:
+                want[rows[-1][0], k] = held / m, 0, len(part)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in D.contaminated(documents(rows), table).collect()}
+    assert {k for _, k in want} == {1, 2, 3, 4} and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    assert {r.doc_id for r in D.drop_contaminated(documents(rows), table).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def test_window_sums_number_equal_shingles():
     rng = np.random.default_rng(1)
     hashes = rng.integers(1, 6, 60).astype(np.uint64)
