@@ -3,8 +3,9 @@
 A text is cut into clauses. Each word becomes a symbol (insult, threat, target, negation, report,
 other) with a weight; three transducers run over the symbols of a clause - is a target near, is it
 negated, is it reported speech - and their product scales the weight of every insult or threat that
-the clause matches. A document's strength is the sum over its clauses. The insults and their
-weights, and the curve from strength to probability, are learned from labelled rows.
+the clause matches. A fourth finds the threats: a threat word and a target, in either order. A
+document's strength is the sum over its clauses. The insults and their weights, the weight of a
+threat and the curve from strength to probability are learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -58,12 +59,18 @@ def lasting(opens: set[int], words: int, scale: float) -> Transducer:
 #: target within six words: stronger; negated within three words or in reported speech: weaker.
 GRAMMAR = lasting({TARGET}, 6, 1.3) * lasting({NEGATION}, 3, 0.5) * lasting({REPORT, QUOTE}, 0, 0.7)
 
+#: 0 nothing yet, 1 a target, 2 a threat word without a target, 3 both have just met; then the target stays for more threats.
+THREATENING = Transducer(tuple(tuple(
+    (3 if state in (1, 3) else 2) if s == THREAT else (3 if state == 2 else 1) if s == TARGET else 1 if state == 3 else state
+    for s in range(7)) for state in range(4)), (0.0, 0.0, 0.0, 1.0))
+
 
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]   # learned words, and "~" with a learned word beginning
     slope: float
     bias: float
+    threat: float = 1.0         # of a threat word that meets a target
 
     def symbol(self, word: str) -> tuple[int, float]:
         weight = self.weights.get(word)
@@ -75,7 +82,12 @@ class Model:
 
     def strength(self, text: str, memory: dict[str, tuple[int, float]]) -> tuple[float, int]:
         """The summed weight of the matched clauses, and how many there are."""
-        total, matched = 0.0, 0
+        insults, threats, matched = self.matches(text, memory)
+        return insults + self.threat * threats, matched
+
+    def matches(self, text: str, memory: dict[str, tuple[int, float]]) -> tuple[float, float, int]:
+        """The summed weight of the insults, the summed scale of the threats, and how many clauses have either."""
+        insults, threats, matched = 0.0, 0.0, 0
         for clause in CLAUSE.split(text):
             raw = words_of(clause)
             symbols = []
@@ -88,19 +100,16 @@ class Model:
                 symbols.append(got)
             if all(s > THREAT for s, _ in symbols):
                 continue
-            state, own, threatened, aimed = 0, 0.0, False, False
+            state, aim, own, threatened = 0, 0, 0.0, 0.0
             for w, (symbol, weight) in zip(raw, symbols):
                 state = GRAMMAR.step[state][QUOTE if symbol == OTHER and w[0] in "\"“«" else symbol]
-                aimed |= symbol == TARGET
+                aim = THREATENING.step[aim][symbol]
                 if symbol == INSULT:
                     own += weight * GRAMMAR.scale[state]
-                elif symbol == THREAT:
-                    threatened = True
-            if threatened and own and aimed:  # a threat counts beside an insult and a target only
-                own += GRAMMAR.scale[state]
-            if own:
-                total, matched = total + own, matched + 1
-        return total, matched
+                threatened += THREATENING.scale[aim] * GRAMMAR.scale[state]
+            if own or threatened:
+                insults, threats, matched = insults + own, threats + threatened, matched + 1
+        return insults, threats, matched
 
     def probability(self, strength: np.ndarray) -> np.ndarray:
         """The curve runs over the logarithm: the first matched clause says more than the tenth."""
@@ -121,11 +130,14 @@ def sketch_key(text: str) -> int:
 
 
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = 30_000, least_docs: int = 4, least_weight: float = 2.5,
-          most_words: int = 20_000) -> Model:
+          most_words: int = 20_000, threat_share: float = 0.6, threat_rows: float = 2.0) -> Model:
     """Fit on at most ``labelled`` rows of ``labels`` (doc_id, toxic), the first by hash of the id.
 
     Those ids are a table of bounded size, so documents are filtered without being shuffled. Rows with a
     null label or id don't count. Copies and near copies count once. Without both classes, nothing is toxic.
+    A threat weighs what gives it, by the curve, the share of toxic ones among the labelled rows that
+    only threaten; ``threat_rows`` rows with a share of ``threat_share`` are added to them, so a threat
+    that the labels never have is judged by that.
     """
     chosen = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
@@ -161,13 +173,19 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = 30_000, least_docs
 
     def strengths(batches_):
         memory: dict = {}
-        schema = pa.schema([("strength", pa.float64()), ("toxic", pa.int32())])
+        schema = pa.schema([("insults", pa.float64()), ("threats", pa.float64()), ("toxic", pa.int32())])
         for piece in batches(batches_, ["text", "toxic"]):
-            yield arrow_rows(schema, [[draft.strength(t, memory)[0] for t in piece["text"]], piece["toxic"]])
-
-    fit = sample.mapInArrow(strengths, "strength double, toxic int").toPandas()  # at most ``labelled`` numbers
-    slope, bias = fitted_curve(np.log1p(fit["strength"].to_numpy()), (fit["toxic"] == 1).to_numpy(float))
-    return Model(draft.weights, slope, bias)
+            got = [draft.matches(t, memory) for t in piece["text"]]
+            yield arrow_rows(schema, [[i for i, _, _ in got], [t for _, t, _ in got], piece["toxic"]])
+
+    fit = sample.mapInArrow(strengths, "insults double, threats double, toxic int").toPandas()  # at most ``labelled`` rows
+    toxic, threatens = (fit["toxic"] == 1).to_numpy(float), ((fit["insults"] == 0) & (fit["threats"] > 0)).to_numpy()
+    slope, bias = fitted_curve(np.log1p(fit["insults"].to_numpy()[~threatens]), toxic[~threatens])
+    if not draft.weights:
+        slope = 1.0  # no row has insults, and any slope fits them
+    share = (toxic[threatens].sum() + threat_rows * threat_share) / (threatens.sum() + threat_rows)
+    wanted = np.expm1(np.clip((np.log(share / (1 - share)) - bias) / slope, 0, 50))
+    return Model(draft.weights, slope, bias, float(wanted) / GRAMMAR.scale[GRAMMAR.step[0][TARGET]])
 
 
 def fitted_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:

@@ -58,6 +58,41 @@ def test_grammar_scales():
     assert value("not. gronk") == 4.0  # a clause ends the scope
 
 
+def test_threats_score_without_an_insult():
+    model = X.Model({"gronk": 4.0}, 1.0, -3.0, 2.0)
+    value = lambda text: model.strength(text, {})[0]
+    assert value("I will kill you") == pytest.approx(2 * 1.3) and value("Te voy a matar") == pytest.approx(2 * 1.3)
+    assert value("I will not kill you") == pytest.approx(2 * 1.3 * 0.5)
+    assert value("she said I will kill you") == pytest.approx(2 * 1.3 * 0.7)
+    assert value("kill the process") == 0 and value("they left. Burn the wood") == 0  # no target in the clause
+    assert value("kill you, hurt you") == pytest.approx(4 * 1.3) and value("find you and kill you") == pytest.approx(2 * 1.3)
+    assert value("you gronk, I will kill you") == pytest.approx((4 + 2) * 1.3)
+    assert model.strength("I will kill you. Calm. You gronk.", {})[1] == 2
+
+
+@pytest.mark.parametrize("insults", [True, False])
+def test_threats_that_no_label_has(spark, documents, insults):
+    rows, labels = labelled()
+    if not insults:
+        rows = [(d, f"plain text number {d}") for d, _ in rows]
+    threats = {5000: "I will kill you.", 5001: "I will not kill you.", 5002: "She said I will kill you.", 5003: "kill the process", 5004: ""}
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = documents(rows + list(threats.items()))
+    model = X.learn(docs, table)
+    got = {r.doc_id: r.score for r in X.score(docs, model).collect()}
+    assert got[5000] > 0.5 and got[5000] > got[5002] > got[5001] > got[5003] == got[5004] < 0.5
+    assert not {r.doc_id for r in X.drop_toxic(docs, model).collect()} & {5000}
+
+
+def test_threats_that_labels_call_clean(spark, documents):
+    rows, labels = labelled()
+    rows += [(6000 + d, f"We{d} beat{d} all{d} and they beat team{d}") for d in range(20)] + [(5000, "I will kill you.")]
+    table = spark.createDataFrame(labels + [(6000 + d, 1, 0) for d in range(20)], "doc_id long, quality int, toxic int")
+    docs = documents(rows)
+    got = {r.doc_id: r.score for r in X.score(docs, X.learn(docs, table)).collect()}
+    assert got[5000] < 0.5
+
+
 def test_toxicity_without_labels(spark, documents):
     docs, none = documents([(1, "text")]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score < 0.5 for r in X.score(docs, X.learn(docs, none)).collect()] == [True]
