@@ -2,9 +2,11 @@
 
 Windows are dealt to shards by their minimizer, the least hash of the word runs inside, so equal windows
 meet in one shard and consecutive windows travel as one stretch of text. Stretches whose minimizer only
-one document has can't repeat and stay where they are. In a shard the distinct stretches get an FM-index
-(a wavelet matrix over the transform), and all of them are streamed against it: backward search gives
-each window's matches, and the least document among them. What comes back are intervals of words.
+one document has can't repeat and stay where they are. In a shard the distinct stretches, each with its
+least document, get an FM-index (a wavelet matrix over the transform), and all of them are streamed
+against it: backward search gives each window's matches, and the least document among them. The places
+of a stretch never enter the shard: they meet its result in a join, a batch of documents a row, and
+become intervals of words.
 """
 
 from __future__ import annotations
@@ -112,11 +114,16 @@ def _masks(docs: DataFrame, window: int, run: int, mask_bits: int, hot: int) ->
 
 
 def _dealt(docs: DataFrame, window: int, run: int, mask_bits: int, hot: int) -> DataFrame:
-    """(key, content, doc_ids, starts): stretches that may repeat, equal ones of a batch as one row."""
+    """(key, content, digest, least, most, n_words, doc_ids, starts): stretches that may repeat, equal ones of a batch as one row."""
+    import xxhash  # noqa: F401  workers need it
+
     masks = docs.sparkSession.sparkContext.broadcast(_masks(docs, window, run, mask_bits, hot))
-    schema = pa.schema([("key", pa.int64()), ("content", pa.binary()), ("doc_ids", pa.binary()), ("starts", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("content", pa.binary()), ("digest", pa.binary()), ("least", pa.int64()), ("most", pa.int64()),
+                        ("n_words", pa.int32()), ("doc_ids", pa.binary()), ("starts", pa.binary())])
 
     def deal(rows):
+        from xxhash import xxh3_128_digest
+
         hashes = WordHashes(100_000)
         shared, many = masks.value[:1 << mask_bits - 3], masks.value[1 << mask_bits - 3:]
         for piece in batches(rows, ["doc_id", "text"], 2_500_000):
@@ -137,31 +144,37 @@ def _dealt(docs: DataFrame, window: int, run: int, mask_bits: int, hot: int) ->
             if found:
                 at = [np.array(v, np.int64) for v in found.values()]
                 yield arrow_rows(schema, [np.array([k for k, _ in found], np.uint64).view(np.int64), [c for _, c in found],
+                                          [xxh3_128_digest(c) for _, c in found], [int(v[:, 0].min()) for v in at], [int(v[:, 0].max()) for v in at],
+                                          [c.count(b" ") + 1 for _, c in found],
                                           [v[:, 0].tobytes() for v in at], [v[:, 1].astype(np.int32).tobytes() for v in at]])
 
-    return docs.mapInArrow(deal, "key long, content binary, doc_ids binary, starts binary")
+    return docs.mapInArrow(deal, "key long, content binary, digest binary, least long, most long, n_words int, doc_ids binary, starts binary")
 
 
 class Shard:
-    """Distinct stretches with their places, until the index is built."""
+    """Distinct stretches with the least and greatest document of each, until the index is built."""
 
     def __init__(self):
         self.contents: dict[bytes, int] = {}
-        self.doc_ids: list[list[bytes]] = []
-        self.starts: list[list[bytes]] = []
+        self.digests: list[bytes] = []
+        self.least: list[int] = []
+        self.most: list[int] = []
         self.size = 0
 
-    def add(self, content: bytes, doc_ids: bytes, starts: bytes) -> None:
+    def add(self, content: bytes, digest: bytes, least: int, most: int) -> None:
         k = self.contents.setdefault(content, len(self.contents))
-        if k == len(self.doc_ids):
-            self.doc_ids.append([])
-            self.starts.append([])
+        if k == len(self.digests):
+            self.digests.append(digest)
+            self.least.append(least)
+            self.most.append(most)
             self.size += content.count(b" ") + 2
-        self.doc_ids[k].append(doc_ids)
-        self.starts[k].append(starts)
+        else:
+            self.least[k] = min(self.least[k], least)
+            self.most[k] = max(self.most[k], most)
 
-    def repeats(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(doc_id, first word, end word) of the repeated stretches of words."""
+    def repeats(self, window: int) -> tuple[list, list, list]:
+        """(digest, least document, runs) of the stretches that repeat: in the least document, the runs of windows
+        from a to b that begin in a lesser one; in all others the stretch goes whole."""
         number: dict[bytes, int] = {}
         texts = [c.split(b" ") for c in self.contents]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -171,12 +184,7 @@ class Shard:
         inner[ends - 1] = False
         text[inner] = [number.setdefault(w, len(number) + 1) for own in texts for w in own]
         content = np.repeat(np.arange(len(texts)), lengths + 1)
-        # All places of all stretches, one after another.
-        holders = np.frombuffer(b"".join(x for parts in self.doc_ids for x in parts), np.int64)
-        places = np.frombuffer(b"".join(x for parts in self.starts for x in parts), np.int32).astype(np.int64)
-        held = np.fromiter((sum(map(len, parts)) >> 3 for parts in self.doc_ids), np.int64, len(texts))
-        of = np.repeat(np.arange(len(texts)), held)
-        low_doc = np.minimum.reduceat(holders, np.cumsum(held) - held)
+        low_doc = np.array(self.least, np.int64)
 
         n_windows = lengths - window + 1
         begins = ends - lengths - 1
@@ -195,22 +203,35 @@ class Shard:
                 by_row = np.append(low_doc[content[index.suffixes]], np.iinfo(np.int64).max)
                 first_doc[which] = np.minimum.reduceat(by_row, edges)[::2][back]
 
-        # In all but the least document a stretch goes whole; there, the runs of windows that begin in a lesser one.
-        later = holders > low_doc[of]
         gone = first_doc < low_doc[own]
         opens, closes = gone.copy(), gone.copy()
         opens[1:] &= ~gone[:-1] | (own[1:] != own[:-1])
         closes[:-1] &= ~gone[1:] | (own[1:] != own[:-1])
         run_first, run_last = np.flatnonzero(opens), np.flatnonzero(closes)
-        runs_of = np.bincount(own[run_first], minlength=len(texts))
-        least = np.flatnonzero(~later & (runs_of[of] > 0))
-        n_runs = runs_of[of[least]]
-        place = np.repeat(least, n_runs)
-        run = (np.cumsum(runs_of) - runs_of)[of[place]] + np.arange(len(place)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
-        offset = base[of[place]]
-        return (np.concatenate([holders[later], holders[place]]),
-                np.concatenate([places[later], places[place] + run_first[run] - offset]),
-                np.concatenate([places[later] + lengths[of[later]], places[place] + run_last[run] - offset + window]))
+        of = own[run_first]
+        runs = np.column_stack([run_first - base[of], run_last - base[of]]).astype(np.int32)
+        upto = np.cumsum(np.bincount(of, minlength=len(texts)))
+        chosen = np.flatnonzero((low_doc < np.array(self.most, np.int64)) | (np.diff(upto, prepend=0) > 0)).tolist()
+        return [self.digests[k] for k in chosen], low_doc[chosen], [runs[upto[k - 1] if k else 0:upto[k]].tobytes() for k in chosen]
+
+
+def _intervals(batch: pa.RecordBatch, window: int) -> list[np.ndarray]:
+    """(doc_id, first word, end word) of the repeated stretches of words, from places with their stretches' results."""
+    doc_ids, starts, runs = (batch.column(c).to_pylist() for c in ("doc_ids", "starts", "runs"))
+    holders = np.frombuffer(b"".join(doc_ids), np.int64)
+    places = np.frombuffer(b"".join(starts), np.int32).astype(np.int64)
+    of = np.repeat(np.arange(len(doc_ids)), np.fromiter((len(x) >> 3 for x in doc_ids), np.int64, len(doc_ids)))
+    low_doc, lengths = np.asarray(batch.column("first")), np.asarray(batch.column("n_words")).astype(np.int64)
+    spans = np.frombuffer(b"".join(runs), np.int32).astype(np.int64).reshape(-1, 2)
+    runs_of = np.fromiter((len(x) >> 3 for x in runs), np.int64, len(runs))
+    later = holders > low_doc[of]
+    least = np.flatnonzero(~later & (runs_of[of] > 0))
+    n_runs = runs_of[of[least]]
+    place = np.repeat(least, n_runs)
+    run = (np.cumsum(runs_of) - runs_of)[of[place]] + np.arange(len(place)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
+    return [np.concatenate([holders[later], holders[place]]),
+            np.concatenate([places[later], places[place] + spans[run, 0]]),
+            np.concatenate([places[later] + lengths[of[later]], places[place] + spans[run, 1] + window])]
 
 
 def repeated_passages(docs: DataFrame, window: int = 13, run: int = 5, mask_bits: int = 26, hot: int = 20_000,
@@ -223,21 +244,28 @@ def repeated_passages(docs: DataFrame, window: int = 13, run: int = 5, mask_bits
     """
     own = id_text(docs).filter("doc_id is not null")
     schema = pa.schema([("doc_id", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
+    results = pa.schema([("digest", pa.binary()), ("first", pa.int64()), ("runs", pa.binary())])
 
     def search(rows):
         shard, last = Shard(), None
         for batch in rows:
-            for key, content, doc_ids, starts in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "doc_ids", "starts"))):
+            for key, content, digest, least, most in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "digest", "least", "most"))):
                 if shard.size >= shard_words and key != last:
-                    yield arrow_rows(schema, list(shard.repeats(window)))
+                    yield arrow_rows(results, list(shard.repeats(window)))
                     shard = Shard()
-                shard.add(content, doc_ids, starts)
+                shard.add(content, digest, least, most)
                 last = key
         if shard.contents:
-            yield arrow_rows(schema, list(shard.repeats(window)))
+            yield arrow_rows(results, list(shard.repeats(window)))
+
+    def place(rows):
+        for batch in rows:
+            yield arrow_rows(schema, _intervals(batch, window))
 
-    dealt = _dealt(own, window, run, mask_bits, hot).repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(search, "doc_id long, first_word long, end_word long")
+    dealt = written(_dealt(own, window, run, mask_bits, hot), "stretches")
+    contents = dealt.select("key", "content", "digest", "least", "most").repartition("key").sortWithinPartitions("key")
+    settled = contents.mapInArrow(search, "digest binary, first long, runs binary")
+    return dealt.select("digest", "n_words", "doc_ids", "starts").join(settled, "digest").mapInArrow(place, "doc_id long, first_word long, end_word long")
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, **more) -> DataFrame:

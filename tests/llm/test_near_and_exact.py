@@ -253,3 +253,17 @@ def test_repeats_in_rows_of_one_document_and_empty_table(documents):
     got = S.remove_repeats(documents([(1, text), (1, text), (2, text)])).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 20)]
     assert S.remove_repeats(documents([])).collect() == []
+
+
+def test_shards_keep_no_places(documents):
+    """However many documents hold a stretch, its shard has one row of numbers for it; all places come back."""
+    shard = S.Shard()
+    passage = " ".join(f"h{k}" for k in range(13)).encode()
+    for d in range(3000, 0, -1):
+        shard.add(passage, b"digest", d, d)
+    digests, first, runs = shard.repeats(13)
+    assert (digests, list(first), runs) == ([b"digest"], [1], [b""])
+    assert all(len(x) == 1 for x in (shard.contents, shard.digests, shard.least, shard.most))
+    rows = [(d, f"a{d} {passage.decode()} b{d}") for d in range(300)]
+    got = {r.doc_id: r.n_removed for r in S.remove_repeats(documents(rows)).collect()}
+    assert got == {d: 13 if d else 0 for d in range(300)}
