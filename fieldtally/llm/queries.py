@@ -7,7 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["line_dedup", "quality_rules", "url_filters", "toxicity", "class_lm", "jaccard_join", "decontamination", "substring_dedup", "packing", "token_files"]
+MODULES = ["line_dedup", "quality_rules", "url_filters", "toxicity", "class_lm", "jaccard_join", "decontamination", "substring_dedup", "packing", "token_files",
+           "conversation_repair", "piece_codec", "filter_audit"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
