@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions.geo import haversine_m, rounded_m, spread_to_neighbours, with_cell
 from fieldtally.functions.survey import cardinal_of
+from fieldtally.operators.cell_tree import nearest_places
 
-# Cell sizes in metres. The last one is wider than the planet, so it resolves whatever is left.
-LEVELS_M = (600.0, 16000.0, 450000.0, 13000000.0)
 CELL = ["cx", "cy", "cz"]
 
 
@@ -23,42 +22,24 @@ def _distinct_places(stations: DataFrame) -> DataFrame:
 
 
 def nearest_by_position(positions: DataFrame, stations: DataFrame, max_m: float | None = None) -> DataFrame:
-    """Nearest station of each distinct (lat, lon): rounded metres, ties to the lowest id.
-
-    Positions look at the 27 cells around them, first with small cells, then with wider ones
-    for what is still open. A level settles a position when the distance found is within the
-    cell size, as nothing nearer can lie outside. With ``max_m`` a single level is enough.
-    """
-    places = _distinct_places(stations)
-    levels = LEVELS_M if max_m is None else (float(max_m) + 1.0,)
-    rows = positions.select("lat", "lon").distinct().filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    rows = rows.withColumn("best", F.lit(None).cast("struct<d:bigint,station_id:bigint>"))
-    for i, size in enumerate(levels):
-        settled = F.col("best").isNotNull() & (F.col("best.d") + 1 <= (levels[i - 1] if i else 0.0))
-        probes = spread_to_neighbours(rows, "lat", "lon", size, ~settled if i else None)
-        indexed = with_cell(places, "s_lat", "s_lon", size)
-        found = F.when(
-            F.col("n_station_id").isNotNull(),
-            F.struct(
-                rounded_m("lat", "lon", "s_lat", "s_lon").alias("d"), F.col("n_station_id").alias("station_id")
-            ),
-        )
-        rows = (
-            probes.join(indexed, CELL, "left")
-            .groupBy("lat", "lon")
-            .agg(F.min(F.coalesce(found, F.col("best"))).alias("best"))
-        )
-    if max_m is not None:
-        rows = rows.withColumn("best", F.when(F.col("best.d") <= max_m, F.col("best")))
-    return rows.select(
-        "lat", "lon", F.col("best.station_id").alias("nearest_station_id"), F.col("best.d").alias("nearest_m")
-    )
+    """(lat, lon, nearest_station_id, nearest_m) of each distinct position that has a nearest station (within ``max_m``):
+    rounded metres, ties to the lowest id."""
+    spots = positions.select("lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).distinct()
+    best = nearest_places(spots, _distinct_places(stations), max_m)
+    if best is None:
+        return spots.filter(F.lit(False)).select("lat", "lon", F.lit(None).cast("bigint").alias("nearest_station_id"), F.lit(None).cast("bigint").alias("nearest_m"))
+    return best.select("lat", "lon", F.col("best.station_id").alias("nearest_station_id"), F.col("best.d").alias("nearest_m"))
 
 
 def nearest_station(fixes: DataFrame, stations: DataFrame, max_m: float | None = None) -> DataFrame:
-    """Adds nearest_station_id and nearest_m (null without coordinates)."""
+    """Adds nearest_station_id and nearest_m (null without coordinates, without stations, or with none within ``max_m``).
+
+    Fixes without coordinates go past the join: as one null key they would all meet in one task.
+    """
     nearest = nearest_by_position(fixes, stations, max_m)
-    return fixes.join(nearest, ["lat", "lon"], "left")
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    blank = fixes.filter(~placed).withColumns({c: F.lit(None).cast("bigint") for c in ("nearest_station_id", "nearest_m")})
+    return fixes.filter(placed).join(nearest, ["lat", "lon"], "left").unionByName(blank)
 
 
 def suggest_stations(fixes: DataFrame, stations: DataFrame, *, max_m: float = 500, k: int = 3) -> DataFrame:

@@ -55,3 +55,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, computed once and read back by as many plans as need it."""
+    folder = shared_folder(df.sparkSession, kind)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

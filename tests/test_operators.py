@@ -3,8 +3,11 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from fieldtally.operators import cell_tree
 from fieldtally.operators import changes as H
 from fieldtally.operators import coverage as C
 from fieldtally.operators import effort as E
@@ -85,6 +88,28 @@ def test_filter_track_in_chunks_equals_the_fold(spark):
         assert got == expected
 
 
+def test_track_rounds_walk_only_what_changed(spark):
+    """Chunks are entered anew only while the point before them changes, and no round writes settled rows."""
+    rng = random.Random(6)
+    rows, expected = [], {}
+    for track in range(4):
+        pts, lat, t = [], -31.2465, 0
+        for i in range(300):
+            lat += rng.choice([0.0, 0.00001, 0.00002])
+            t += rng.randint(1, 5)
+            pts.append((track * 1000 + i, t, lat, -71.5312, float(rng.choice([3, 10, 60]))))
+        expected.update(fold_track(pts))
+        rows += [(track, *p) for p in pts]
+    df = spark.createDataFrame(rows, "track_id bigint, point_id bigint, t_s bigint, lat double, lon double, acc double")
+    written = [part.count() for part, _ in E.track_rounds(df, chunk_s=20)]
+    assert written[0] == len(rows) and len(written) > 2 and all(a > b for a, b in zip(written, written[1:]))
+    assert {r.point_id: r.reason for r in E.filter_track(df, chunk_s=20).collect()} == expected
+    # A point without a time is judged, but can't be where a later chunk is entered.
+    hidden = [(None, 1, None, -31.0, -71.0, None), (None, 2, 5, -31.0, -71.0, None), (1, 3, None, -31.0, -71.0, 99.0)]
+    odd = spark.createDataFrame(hidden, df.schema)
+    assert {(r.point_id, r.accepted) for r in E.filter_track(odd).collect()} == {(1, True), (2, True), (3, False)}
+
+
 def test_track_length_over_buckets(spark):
     rows = [(1, i, i * 60, -31.2465 + i * 0.0001, -71.5312) for i in range(40)] + [(2, 1, 5, -31.0, -71.0)]
     df = spark.createDataFrame(rows, "track_id bigint, point_id bigint, t_s bigint, lat double, lon double")
@@ -138,6 +163,46 @@ def test_nearest_station_is_exact_at_any_range(spark):
         assert got[name] == (best[1], best[0])
 
 
+def test_nearest_of_many_stations_looks_at_few(spark):
+    """10^5 stations, half of them in one square kilometre; positions near, far, at the poles, and without a place."""
+    rng = np.random.default_rng(8)
+    lat = np.concatenate([rng.uniform(-33.005, -32.995, 50_000), rng.uniform(-56, -17, 30_000), rng.uniform(-89, 89, 20_000)])
+    lon = np.concatenate([rng.uniform(-71.005, -70.995, 50_000), rng.uniform(-76, -66, 30_000), rng.uniform(-180, 180, 20_000)])
+    st = spark.createDataFrame(pd.DataFrame({"station_id": np.arange(len(lat)), "lat": lat, "lon": lon}))
+    spots = [(float(a), float(b)) for a, b in zip(np.append(rng.uniform(-34, -32, 60), rng.uniform(-90, 90, 60)), np.append(rng.uniform(-72, -70, 60), rng.uniform(-180, 180, 60)))]
+    spots += [(-33.0, -71.0), (90.0, 0.0), (-90.0, 12.0), (0.0, 180.0), (0.0, -180.0), (float(lat[7]), float(lon[7]))]
+    fixes = [(f"f{k}", a, b) for k, (a, b) in enumerate(spots)] + [("same", *spots[0]), ("no lat", None, 3.0), ("nowhere", None, None), ("nan", float("nan"), 1.0)]
+    fx = spark.createDataFrame(fixes, "file string, lat double, lon double")
+    got = {r.file: (r.nearest_station_id, r.nearest_m) for r in P.nearest_station(fx, st).collect()}
+    near = {r.file: (r.nearest_station_id, r.nearest_m) for r in P.nearest_station(fx, st, max_m=2000).collect()}
+    phi, lam = np.radians(lat), np.radians(lon)
+    for name, a, b in fixes:
+        if a is None or a != a:
+            assert got[name] == near[name] == (None, None)
+            continue
+        h = np.sin((phi - math.radians(a)) / 2) ** 2 + math.cos(math.radians(a)) * np.cos(phi) * np.sin((lam - math.radians(b)) / 2) ** 2
+        metres = np.floor(2 * 6371000.0 * np.arcsin(np.sqrt(h)) + 0.5).astype(int)
+        best = int(metres.argmin())
+        assert got[name] == (best, metres[best])
+        assert near[name] == ((best, metres[best]) if metres[best] <= 2000 else (None, None))
+    places = st.select(F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.col("station_id").alias("n_station_id"))
+    looked = cell_tree.candidates(fx.select("lat", "lon").distinct(), places).groupBy("lat", "lon").agg(F.sum(F.size("near")).alias("n"), F.max(F.size("near")).alias("most"))
+    worst = looked.agg(F.max("n").alias("n"), F.avg("n").alias("mean"), F.max("most").alias("most")).first()
+    assert worst.n <= 600 and worst.mean <= 150 and worst.most <= cell_tree.CAPACITY
+
+
+def test_nearest_station_of_few_or_crowded_ones(spark):
+    fx = spark.createDataFrame([("a", -33.0, -71.0), ("b", 40.0, 3.0), ("c", None, None)], "file string, lat double, lon double")
+    none = spark.createDataFrame([], "station_id bigint, lat double, lon double")
+    assert {tuple(r) for r in P.nearest_station(fx, none).select("file", "nearest_station_id", "nearest_m").collect()} == {("a", None, None), ("b", None, None), ("c", None, None)}
+    one = spark.createDataFrame([(7, -33.0, -71.0), (3, -33.0, -71.0), (9, None, 1.0)], "station_id bigint, lat double, lon double")
+    assert {r.file: r.nearest_station_id for r in P.nearest_station(fx, one).collect()} == {"a": 3, "b": 3, "c": None}
+    # Hundreds of stations within a metre: the last cells are split by a hash, and ties go to the lowest id.
+    crowd = spark.createDataFrame([(1000 - k, -33.0 + k * 1e-9, -71.0) for k in range(300)], "station_id bigint, lat double, lon double")
+    assert {r.file: (r.nearest_station_id, r.nearest_m) for r in P.nearest_station(fx, crowd).collect() if r.file == "a"} == {"a": (701, 0)}
+    assert P.nearest_station(fx.limit(0), crowd).count() == 0
+
+
 def test_double_counts(spark):
     schema = ("occurrence_id string, station_id string, event_date string, occurrence_time string, taxon_id bigint, verbatim_taxon string, "
               "recorded_by string, deleted_at timestamp")
