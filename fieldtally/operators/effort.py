@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from fieldtally.functions.geo import EARTH_RADIUS_M, haversine_m, path_length_m
 from fieldtally.functions.survey import effort_label, effort_unit, live
 from fieldtally.functions.text import half_up
 from fieldtally.operators.ordered import lag_by_bucket
-from fieldtally.session import cut_lineage
+from fieldtally.session import written
 
 
 def effort_summary(events: DataFrame, *, now: Column | str = "2030-01-01 00:00:00") -> DataFrame:
@@ -124,10 +125,10 @@ MAX_ACCURACY_M = 30.0
 MIN_STEP_M = 5.0
 MAX_SPEED_MS = 5.0
 
-FILTERED_SCHEMA = (
-    "track_id bigint, point_id bigint, t_s bigint, lat double, lon double, acc double, chunk bigint, "
-    "accepted boolean, reason string"
-)
+FILTERED_SCHEMA = "track_id bigint, point_id bigint, t_s bigint, lat double, lon double, acc double, accepted boolean, reason string, chunk bigint, round int"
+TAIL_SCHEMA = "track_id bigint, chunk bigint, tail struct<t_s double, lat double, lon double>"
+CHUNK = ["track_id", "chunk"]
+ENTRY = ["in_t", "in_lat", "in_lon"]
 
 
 def metres_between(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -159,79 +160,99 @@ def judge_point(last: tuple | None, point: tuple, limits: tuple = (MAX_ACCURACY_
 def filter_track(points: DataFrame, *, chunk_s: int = 86400, max_rounds: int | None = None) -> DataFrame:
     """Accept or refuse each GPS point against the last *accepted* one.
 
-    The rule is a sequential fold, so tracks are cut into time chunks that run in parallel.
-    Each round gives every chunk the last accepted point of the chunks before it; rounds go on
-    until no chunk's exit changes, which is then exactly the sequential answer. One round is
-    enough when every track fits one chunk; a second one settles nearly all others.
+    The rule is a sequential fold, so tracks are cut into time chunks that run in parallel, each entered with
+    the last accepted point of the chunks before it. A first pass without entries tells each chunk's last
+    accepted point and writes no point; then rounds follow, and each walks only the chunks whose entry has
+    changed since they were walked. When no entry changes the answer is exactly the sequential one: every
+    chunk's rows of the round that walked it last.
     """
-    rows = points.select("track_id", "point_id", "t_s", "lat", "lon", "acc").withColumn(
-        "chunk", F.floor(F.col("t_s") / chunk_s)
-    )
-    entry = None
-    rounds = 0
-    while True:
-        if entry is None:
-            with_entry = rows.withColumns(
-                {c: F.lit(None).cast("double") for c in ("in_t", "in_lat", "in_lon")}
-            )
-        else:
-            with_entry = rows.join(entry, ["track_id", "chunk"], "left")
-        ordered = with_entry.repartition("track_id", "chunk").sortWithinPartitions("track_id", "chunk", "t_s", "point_id")
-        judged = ordered.mapInPandas(_walk_partition, FILTERED_SCHEMA)
-        judged = cut_lineage(judged)
-        new_entry = cut_lineage(_chunk_entries(judged))
-        rounds += 1
-        if entry is None:
-            changed = not new_entry.filter(F.col("in_t").isNotNull()).isEmpty()
-        else:
-            before = entry.select("track_id", "chunk", F.struct("in_t", "in_lat", "in_lon").alias("old"))
-            after = new_entry.select("track_id", "chunk", F.struct("in_t", "in_lat", "in_lon").alias("new"))
-            changed = not after.join(before, ["track_id", "chunk"]).filter(
-                ~F.col("old").eqNullSafe(F.col("new"))
-            ).isEmpty()
-        if not changed:
-            return judged.drop("chunk")
-        if max_rounds is not None and rounds >= max_rounds:
+    parts, walked = [], None
+    for part, walked in track_rounds(points, chunk_s=chunk_s):
+        parts.append(part)
+        if max_rounds is not None and len(parts) > max_rounds:
             raise RuntimeError(f"track chunks did not settle in {max_rounds} rounds")
-        entry = new_entry
+    judged = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        judged = judged.join(_keyed(walked.select(*CHUNK, "round")), _same_chunk() & (F.col("round") == F.col("k_round")), "left_semi")
+    return judged.drop("chunk", "round")
+
+
+def track_rounds(points: DataFrame, *, chunk_s: int = 86400) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Each round's walked points, and the round and entry with which every chunk was walked last."""
+    rows = points.select("track_id", "point_id", "t_s", "lat", "lon", "acc").withColumn("chunk", F.floor(F.col("t_s") / chunk_s))
+    alone = rows.withColumns({c: F.lit(None).cast("double") for c in ENTRY})
+    tails = written(_in_order(alone).mapInPandas(_walk_tails, TAIL_SCHEMA), "track-tails")
+    walked, number = None, 0
+    while True:
+        entry = _chunk_entries(tails)
+        if walked is not None:
+            before = _keyed(walked)
+            entry = entry.join(before, _same_chunk()).filter(~F.struct(*ENTRY).eqNullSafe(F.struct(*[F.col(f"k_{c}").alias(c) for c in ENTRY]))).select(*CHUNK, *ENTRY)
+        open_ = written(entry.withColumn("round", F.lit(number)), "track-open")
+        if number and open_.isEmpty():
+            return
+        entered = rows.join(_keyed(open_), _same_chunk()).select(*rows.columns, *[F.col(f"k_{c}").alias(c) for c in (*ENTRY, "round")])
+        part = written(_in_order(entered).mapInPandas(_walk_points, FILTERED_SCHEMA), "track-round")
+        moment = F.when(F.col("accepted"), F.struct("t_s", "point_id"))
+        new = part.groupBy(*CHUNK).agg(F.max_by(F.struct(F.col("t_s").cast("double").alias("t_s"), "lat", "lon"), moment).alias("tail"))
+        settled = _keyed(open_.select(*CHUNK))
+        tails = written(tails.join(settled, _same_chunk(), "left_anti").unionByName(new), "track-tails")
+        walked = open_ if walked is None else written(walked.join(settled, _same_chunk(), "left_anti").unionByName(open_), "track-walked")
+        yield part, walked
+        number += 1
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"k_{c}") for c in df.columns])
+
+
+def _same_chunk() -> Column:
+    return F.col("track_id").eqNullSafe(F.col("k_track_id")) & F.col("chunk").eqNullSafe(F.col("k_chunk"))
+
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*CHUNK).sortWithinPartitions(*CHUNK, "t_s", "point_id")
 
-def _walk_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Split a sorted partition into its (track, chunk) runs without holding any of them whole."""
-    current = None
-    last = None
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list, list]]:
+    """Each batch of a sorted partition with its reasons, and the (track, chunk, last accepted) of the chunks it ends."""
+    current = last = None
     for pdf in batches:
-        if pdf.empty:
-            continue
-        reasons = []
-        for track, chunk, t, lat, lon, acc, in_t, in_lat, in_lon in zip(
-            pdf["track_id"], pdf["chunk"], pdf["t_s"], pdf["lat"], pdf["lon"], pdf["acc"],
-            pdf["in_t"], pdf["in_lat"], pdf["in_lon"],
-        ):
-            if (track, chunk) != current:
-                current = (track, chunk)
+        reasons, ended = [], []
+        for track, chunk, t, lat, lon, acc, in_t, in_lat, in_lon in zip(*(pdf[c] for c in ("track_id", "chunk", "t_s", "lat", "lon", "acc", *ENTRY))):
+            key = (None if pd.isna(track) else track, None if pd.isna(chunk) else chunk)
+            if key != current:
+                if current is not None:
+                    ended.append((*current, last))
+                current = key
                 last = None if pd.isna(in_t) else (in_t, in_lat, in_lon)
             reason = judge_point(last, (t, lat, lon, acc))
             reasons.append(reason)
             if reason is None:
                 last = (t, lat, lon)
-        out = pdf[["track_id", "point_id", "t_s", "lat", "lon", "acc", "chunk"]].copy()
-        out["accepted"] = [r is None for r in reasons]
-        out["reason"] = reasons
-        yield out
+        yield pdf, reasons, ended
+    if current is not None:
+        yield pd.DataFrame(), [], [(*current, last)]
+
+
+def _walk_tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for _, _, ended in _walk(batches):
+        if ended:
+            tails = [None if last is None else {"t_s": float(last[0]), "lat": last[1], "lon": last[2]} for *_, last in ended]
+            yield pd.DataFrame({"track_id": pd.array([e[0] for e in ended], "Int64"), "chunk": pd.array([e[1] for e in ended], "Int64"), "tail": tails})
+
 
+def _walk_points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf, reasons, _ in _walk(batches):
+        if reasons:
+            yield pdf[["track_id", "point_id", "t_s", "lat", "lon", "acc"]].assign(
+                accepted=[r is None for r in reasons], reason=reasons, chunk=pdf["chunk"], round=pdf["round"])
 
-def _chunk_entries(judged: DataFrame) -> DataFrame:
-    """Last accepted point before each chunk: one row per chunk, carried over empty ones."""
+
+def _chunk_entries(tails: DataFrame) -> DataFrame:
+    """Last accepted point before each chunk: one row per chunk, carried over chunks without one."""
     from pyspark.sql import Window
 
-    tails = judged.groupBy("track_id", "chunk").agg(
-        F.max_by(F.when(F.col("accepted"), F.struct("t_s", "lat", "lon")),
-                 F.when(F.col("accepted"), F.struct("t_s", "point_id"))).alias("tail")
-    )
     before = Window.partitionBy("track_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last("tail", ignorenulls=True).over(before)
-    return tails.select(
-        "track_id", "chunk",
-        last["t_s"].cast("double").alias("in_t"), last["lat"].alias("in_lat"), last["lon"].alias("in_lon"),
-    )
+    return tails.select(*CHUNK, last["t_s"].alias("in_t"), last["lat"].alias("in_lat"), last["lon"].alias("in_lon"))
