@@ -95,8 +95,14 @@ def resolve_entry(entries: DataFrame, events: DataFrame, *, current_year: int |
     days = history.select(*CELL, F.col("event_date").alias("sighting_date")).distinct().withColumn(
         "same_day", F.lit(True)
     )
-    rows = entries.join(last_day, CELL, "left").join(days, CELL + ["sighting_date"], "left")
+    return route_entry(entries.join(last_day, CELL, "left").join(days, CELL + ["sighting_date"], "left"), current_year=current_year).select(
+        *entries.columns, "mode", "event_date", "final_method", "deferred", "notice", "alternative_label", "alternative_method")
 
+
+def route_entry(rows: DataFrame, *, current_year: int | None = None) -> DataFrame:
+    """``resolve_entry`` for entries that know the ``last_date`` of their station and method, and whether they were
+    visited the ``same_day``; a projection, so it holds for streams too."""
+    columns = [c for c in rows.columns if c not in ("last_date", "same_day")]
     late = F.col("sighting_date") != F.col("today")
     unplaced = F.col("station_id").isNull() | F.col("method").isNull()
     year = F.year(F.col("today").cast("date")) if current_year is None else F.lit(current_year)
@@ -139,7 +145,7 @@ def resolve_entry(entries: DataFrame, events: DataFrame, *, current_year: int |
     )
     replica = F.col("mode") == "quizas_replica"
     return rows.select(
-        *entries.columns,
+        *columns,
         "mode",
         F.col("sighting_date").alias("event_date"),
         F.when(outside, V.OPPORTUNISTIC).otherwise(F.coalesce("method", F.lit(V.OPPORTUNISTIC))).alias("final_method"),

@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructField, StructType
 
-from fieldtally.operators.changes import MAX_ATTEMPTS, MAX_BACKOFF_S, PARK_S
-from fieldtally.operators.coverage import resolve_entry
-from fieldtally.operators.effort import judge_point, metres_between
 from fieldtally.session import shared_folder
+from fieldtally.streaming.timed import late_entries, stream_outcomes, stream_track  # noqa: F401  the flows with timers
 
 
 def with_closing(rows: DataFrame, time: str, at: str = "2200-01-01") -> tuple[DataFrame, Callable[[], None]]:
@@ -64,41 +62,6 @@ def run_batched(stream: DataFrame, *, mode: str = "append", handle: Callable[[Da
     return result.drop("batch") if mode != "complete" else result
 
 
-# --- GPS tracks ---------------------------------------------------------------------------
-
-TRACK_OUT = "track_id bigint, point_id bigint, accepted boolean, reason string, length_m double"
-TRACK_STATE = "t double, lat double, lon double, metres double"
-
-
-def _follow_track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, metres = None, 0.0
-    if state.exists:
-        t, lat, lon, metres = state.get
-        last = (t, lat, lon)
-    pdf = pd.concat(list(batches)).sort_values(["t_s", "point_id"])
-    rows = []
-    for point_id, t, lat, lon, acc in zip(pdf["point_id"], pdf["t_s"], pdf["lat"], pdf["lon"], pdf["acc"]):
-        reason = judge_point(last, (t, lat, lon, acc))
-        if reason is None:
-            if last is not None:
-                metres += metres_between(last[1], last[2], lat, lon)
-            last = (float(t), float(lat), float(lon))
-        rows.append((key[0], point_id, reason is None, reason, metres))
-    if last is not None:
-        state.update((*last, metres))
-    yield pd.DataFrame(rows, columns=["track_id", "point_id", "accepted", "reason", "length_m"])
-
-
-def stream_track(points: DataFrame) -> DataFrame:
-    """Accepted points and running length per track; the state is the last accepted point.
-
-    Keep micro-batches small (``maxFilesPerTrigger``): a track's points of one batch are sorted
-    in memory. Points must arrive in time order between batches, as a device sends them.
-    """
-    return points.select("track_id", "point_id", "t_s", "lat", "lon", "acc").groupBy("track_id").applyInPandasWithState(
-        _follow_track, TRACK_OUT, TRACK_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 # --- double saves -------------------------------------------------------------------------
 
 DEDUP_OUT = "occurrence_id string, cluster_id string, position int, suppressed boolean"
@@ -158,56 +121,10 @@ def stream_dedup(occurrences: DataFrame, *, window_s: int = 60, watermark: str =
         _dedup(window_s * 1000), DEDUP_OUT, DEDUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-# --- field days and late entries ----------------------------------------------------------
+# --- field days -----------------------------------------------------------------------------
 
 def stream_field_day(records: DataFrame, *, by: list[str], time: str = "ts", watermark: str = "1 day") -> DataFrame:
     """Live counts per field day (04:00 to 04:00) and ``by`` columns."""
     day = F.window(F.col(time), "1 day", startTime="4 hours")
     return records.withWatermark(time, watermark).groupBy(day.alias("w"), *by).agg(F.count(F.lit(1)).alias("records")).select(
         F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("field_day"), *by, "records")
-
-
-def late_entries(entries: DataFrame, events: DataFrame) -> DataFrame:
-    """The stream of late sightings, each routed against the saved events; none is dropped.
-
-    ``events`` is a static table that each micro-batch reads anew, so that it sees what has been saved.
-    """
-    return resolve_entry(entries, events)
-
-
-# --- outbox -------------------------------------------------------------------------------
-
-OUTBOX_OUT = "item_id string, seq bigint, attempt int, result string, wait_s bigint"
-OUTBOX_STATE = "attempts int, closed boolean"
-
-
-def _fold_outcomes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    attempts, closed = state.get if state.exists else (0, False)
-    pdf = pd.concat(list(batches)).sort_values(["at", "seq"])
-    rows = []
-    for seq, outcome, op, exists in zip(pdf["seq"], pdf["outcome"], pdf["op"], pdf["entity_exists"]):
-        if closed:  # a synced item that is queued again starts over
-            attempts, closed = 0, False
-        if not exists and op == "upsert":
-            result, closed, wait = "skipped", True, None
-        else:
-            attempts += 1
-            if outcome == "ok":
-                result, closed, wait = "synced", True, None
-            elif outcome == "conflict":
-                result, wait = "conflict", PARK_S
-            elif outcome == "error" or attempts >= MAX_ATTEMPTS:
-                result, wait = "error", PARK_S
-            else:
-                result, wait = "retry", min(2**attempts, MAX_BACKOFF_S)
-        rows.append((key[0], seq, attempts, result, wait))
-    state.update((attempts, closed))
-    out = pd.DataFrame(rows, columns=["item_id", "seq", "attempt", "result", "wait_s"])
-    out["wait_s"] = out["wait_s"].astype("Int64")
-    yield out
-
-
-def stream_outcomes(answers: DataFrame) -> DataFrame:
-    """Attempt count, result and wait of each answer (item_id, seq, at, op, outcome, entity_exists)."""
-    return answers.select("item_id", "seq", "at", "op", "outcome", "entity_exists").groupBy("item_id").applyInPandasWithState(
-        _fold_outcomes, OUTBOX_OUT, OUTBOX_STATE, "append", GroupStateTimeout.NoTimeout)

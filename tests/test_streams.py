@@ -1,5 +1,7 @@
 """A stream over the tables gives what the batch operator gives; and every query has a stable schema."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from fieldtally.operators import effort as E
@@ -12,11 +14,95 @@ from fieldtally.streaming import flows as W
 SF = "/root/testdata/sf0.001"
 
 
+def in_files(spark, rows, schema, folder, parts=3):
+    """A stream over several files of one table, one a micro-batch."""
+    frame = spark.createDataFrame(rows, schema)
+    for k in range(parts):
+        spark.createDataFrame(rows[k::parts], schema).coalesce(1).write.parquet(str(folder / f"p={k}"))
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "p=*"))
+
+
 def test_track_stream_equals_batch(spark):
     t = Tables(spark, SF)
-    live = {(r.point_id, r.accepted, r.reason) for r in W.run_batched(W.stream_track(streamed(t, "events").track_point)).collect()}
+    rows, close = W.with_closing(streamed(t, "events").track_point.withColumn("at_time", F.timestamp_seconds("t_s")), "at_time")
+    out = W.run_batched(W.stream_track(rows, idle="40000 days"), close=close)
+    live = {(r.point_id, r.accepted, r.reason) for r in out.filter("closed_at is null").collect()}
     batch = {(r.point_id, r.accepted, r.reason) for r in E.filter_track(t.track_point).collect()}
     assert live == batch
+    assert out.filter("closed_at is not null").count() == t.track_point.select("track_id").distinct().count()
+
+
+def test_silent_tracks_close_and_open_anew(spark, tmp_path):
+    """Files out of order, gaps above and below the limit, a refused point that still counts as a sign of life."""
+    pick = random.Random(4)
+    rows, k = [], 0
+    for track in range(6):
+        t = 1_000_000 + 977 * track
+        for _ in range(40):
+            t += pick.choice([5, 20, 60, 3000, 8000])
+            k += 1
+            rows.append((track, k, t, -33 + pick.randint(0, 30) * 1e-4, -71.0, pick.choice([5.0, 40.0, None])))
+    pick.shuffle(rows)
+    source = in_files(spark, rows, "track_id long, point_id long, t_s long, lat double, lon double, acc double", tmp_path)
+    open_rows, close = W.with_closing(source.withColumn("at_time", F.timestamp_seconds("t_s")), "at_time")
+    got = W.run_batched(W.stream_track(open_rows, idle="2 hours", watermark="30 days"), close=close).collect()
+    want_points, want_closed = set(), set()
+    for track in range(6):
+        own = sorted((r for r in rows if r[0] == track), key=lambda r: (r[2], r[1]))
+        last, seen, n = None, None, 0
+        for _, point, t, lat, lon, acc in own:
+            if seen is not None and t - seen > 7200:
+                want_closed.add((track, n, (seen + 7200) * 1000))
+                last, n = None, 0
+            reason = E.judge_point(last, (t, lat, lon, acc))
+            last = (t, lat, lon) if reason is None else last
+            seen, n = t, n + 1
+            want_points.add((point, reason))
+        want_closed.add((track, n, (seen + 7200) * 1000))
+    assert {(r.point_id, r.reason) for r in got if r.closed_at is None} == want_points
+    assert {(r.track_id, r.points, r.closed_at) for r in got if r.closed_at is not None} == want_closed
+
+
+def test_outbox_items_wake_and_leave_log_rows(spark, tmp_path):
+    at = "2026-01-01 00:00:"
+    rows = [("a", 1, f"{at}00", "upsert", "retry", True), ("a", 2, f"{at}01", "upsert", "retry", True), ("a", 3, f"{at}30", "upsert", "ok", True),
+            ("a", 4, f"{at}40", "upsert", "retry", True), ("b", 5, f"{at}00", "upsert", "conflict", True), ("c", 6, f"{at}00", "upsert", "retry", False),
+            ("c", 7, f"{at}05", "delete", "error", False)] + [("d", 10 + k, f"{at}{k + 10}", "upsert", "retry", True) for k in range(8)]
+    source = in_files(spark, rows, "item_id string, seq long, at string, op string, outcome string, entity_exists boolean", tmp_path)
+    open_rows, close = W.with_closing(source.withColumn("at", F.to_timestamp("at")), "at")
+    out = W.run_batched(W.stream_outcomes(open_rows, watermark="1 hour"), close=close)
+    got = {(r.item_id, r.kind, r.seq, r.attempt, r.result) for r in out.filter("item_id <> 'd'").collect()}
+    assert got == {
+        ("a", "answer", 1, 1, "retry"), ("a", "log", 1, 1, "retry"),  # answered again before it was due
+        ("a", "answer", 2, 2, "retry"), ("a", "log", 2, 2, "retry"), ("a", "due", 2, 2, None),
+        ("a", "answer", 3, 3, "synced"), ("a", "log", 3, 3, "ok"),
+        ("a", "answer", 4, 1, "retry"), ("a", "log", 4, 1, "retry"), ("a", "due", 4, 1, None),
+        ("b", "answer", 5, 1, "conflict"), ("b", "log", 5, 1, "conflict"), ("b", "due", 5, 1, None),
+        ("c", "answer", 6, 0, "skipped"), ("c", "answer", 7, 1, "error"), ("c", "log", 7, 1, "error"), ("c", "due", 7, 1, None)}
+    last = out.filter("item_id = 'd' and kind = 'answer'").orderBy("seq").collect()[-1]
+    assert (last.attempt, last.result, last.wait_s) == (8, "error", 365 * 24 * 3600)
+    woken = {r.seq: r.at_ms for r in out.filter("kind = 'due' and item_id = 'a'").collect()}
+    base = 1_767_225_600_000
+    assert woken == {2: base + 1000 + 4000, 4: base + 40_000 + 2000}
+
+
+def test_visits_saved_and_deleted_in_the_stream_are_seen(spark, tmp_path):
+    day = "2026-03-{:02d}"
+    visits = [(1, "punto_conteo", day.format(d), f"{day.format(d)} 08:00:00", False) for d in (1, 5)]
+    visits += [(1, "punto_conteo", day.format(5), f"{day.format(6)} 08:00:00", True), (2, "transecto", day.format(3), f"{day.format(3)} 08:00:00", False)]
+    asked = [(10, 1, "punto_conteo", day.format(1), day.format(1), f"{day.format(1)} 07:00:00"),  # before the visit is saved
+             (11, 1, "punto_conteo", day.format(1), day.format(1), f"{day.format(1)} 08:00:00"),  # of the same moment
+             (12, 1, "punto_conteo", day.format(5), day.format(6), f"{day.format(6)} 07:59:59"),
+             (13, 1, "punto_conteo", day.format(5), day.format(6), f"{day.format(6)} 08:00:01"),  # the visit is deleted
+             (14, 2, "transecto", day.format(4), day.format(4), f"{day.format(4)} 10:00:00"),
+             (15, None, "transecto", day.format(4), day.format(4), f"{day.format(4)} 10:00:00")]
+    (tmp_path / "v").mkdir(), (tmp_path / "e").mkdir()
+    saved = in_files(spark, visits, "station_id long, method string, event_date string, at string, removed boolean", tmp_path / "v").withColumn("at", F.to_timestamp("at"))
+    entries = in_files(spark, asked, "entry_id long, station_id long, method string, sighting_date string, today string, at string", tmp_path / "e").withColumn("at", F.to_timestamp("at"))
+    both, close = W.with_closing(entries, "at")
+    out = W.run_batched(W.late_entries(both, saved, watermark="90 days"), close=close).filter("entry_id is not null").collect()
+    assert {r.entry_id: r.mode for r in out} == {10: "normal", 11: "normal", 12: "olvido", 13: "otro_dia", 14: "quizas_replica", 15: "normal"}
+    assert "(el último fue el 1 de marzo)" in next(r.notice for r in out if r.entry_id == 13)
 
 
 def test_dedup_stream_equals_batch(spark, tmp_path):
