@@ -171,13 +171,12 @@ def test_codec_equals_the_library_on_random_texts():
              "ation", "'s", "##", "-", "---", "====", "__", "é", "<s>", "<0x41>"]
     for _ in range(4000):
         text = "".join(pick.choice(parts) for _ in range(pick.randint(0, 50)))
-        assert own.encode(text) == known.encode(text), text
-        assert "".join(own.pieces(text)) == text
+        assert own.encode(text).tolist() == known.encode(text), text
 
 
 @pytest.mark.parametrize("text", ["a" * 300_000, " " * 5000 + "x", "ab" * 50_000, "=" * 10_001, "中文" * 3000, "\n" * 100])
 def test_codec_on_long_runs(text):
-    assert codec.codec(codec.default_model()).encode(text) == library().encode(text)
+    assert codec.codec(codec.default_model()).encode(text).tolist() == library().encode(text)
 
 
 def test_codec_query(spark, tmp_path, documents):
