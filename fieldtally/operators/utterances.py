@@ -15,7 +15,7 @@ from fieldtally.functions import lexicon as L
 from fieldtally.functions import survey as S
 from fieldtally.functions import vocab as V
 from fieldtally.functions.text import fold, singular_candidates, tokenize
-from fieldtally.session import cut_lineage
+from fieldtally.session import written
 
 CHUNK = ["utterance_id", "chunk_no"]
 NO_DETECTION = (r"\b(sin registros?|sin detecciones?|no (se )?(registro|registre|detecto|detecte|hubo|vi|observe)"
@@ -191,125 +191,173 @@ def _variants(window: Column) -> Column:
     return F.array_distinct(F.array_append(one, every))
 
 
-def key_sets(keys: DataFrame) -> DataFrame:
-    """key -> sorted distinct taxon ids."""
-    return keys.groupBy("key").agg(F.array_sort(F.collect_set("taxon_id")).alias("taxon_ids"))
-
-
 def _pick(hits: DataFrame, order: list[Column]) -> DataFrame:
-    payload = F.struct("start", "n", "matched", "taxon_ids", "confidence", "corrected_from")
+    payload = F.struct("start", "n", "matched", "confidence", "corrected_from")
     return hits.groupBy(*CHUNK).agg(F.min_by(payload, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("m")).select(
         *CHUNK, "m.*")
 
 
+def _with_ids(hits: DataFrame, names: DataFrame) -> DataFrame:
+    """The sorted ids of what each chunk matched, out of ``names`` (matched, taxon_id): only names that were said become lists."""
+    said = hits.select("matched").distinct()
+    ids = names.join(said, "matched").groupBy("matched").agg(F.array_sort(F.collect_set("taxon_id")).alias("taxon_ids"))
+    return hits.join(ids, "matched").select(*CHUNK, "start", "n", "matched", "taxon_ids", "confidence", "corrected_from")
+
+
 def match_taxa(chunks: DataFrame, keys: DataFrame) -> DataFrame:
     """The species of each chunk: (start, n, matched, taxon_ids, confidence, corrected_from).
 
     Exact or plural name; else the beginning of names; else a distinctive inner word; else a
     misspelling. Each pass looks only at the chunks the earlier ones left, leftmost first, then
-    longest.
+    longest. A pass meets names with how many species they stand for; the species themselves are
+    listed for the names that were chosen.
     """
-    sets = cut_lineage(key_sets(keys))
+    keys = keys.filter(F.col("key").isNotNull()).select("key", "taxon_id").distinct()
+    names = keys.select("key").distinct()
     none = F.lit(None).cast("string")
     words = F.split("key", " ")
     forms = F.array_union(F.array(F.array_join("window", " ")), _variants(F.col("window")))
-    lengths = phrase_lengths(sets, "key")
+    lengths = phrase_lengths(names, "key")
     leftmost_longest = [F.col("start"), -F.col("n"), F.col("form")]
 
+    def counted(matched: DataFrame) -> DataFrame:
+        return matched.groupBy("matched").agg(F.count_distinct("taxon_id").alias("species"))
+
+    def sure(one: float, several: float) -> Column:
+        return F.when(F.col("species") == 1, one).otherwise(several)
+
     def exact(rest: DataFrame) -> DataFrame:
         spoken = ngrams(rest, lengths).select(*CHUNK, "start", "n", F.posexplode(forms).alias("form", "phrase"))
-        hits = spoken.join(sets, F.col("phrase") == F.col("key")).select(
-            *CHUNK, "start", "n", "form", F.col("phrase").alias("matched"), "taxon_ids",
+        hits = spoken.join(names, F.col("phrase") == F.col("key")).select(
+            *CHUNK, "start", "n", "form", F.col("phrase").alias("matched"),
             F.when(F.col("form") == 0, 1.0).otherwise(0.95).alias("confidence"), none.alias("corrected_from"))
-        return _pick(hits, leftmost_longest)
+        return _with_ids(_pick(hits, leftmost_longest), keys.withColumnRenamed("key", "matched"))
 
     def by_prefix(rest: DataFrame) -> DataFrame:
         shorter = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
         prefixes = keys.select("taxon_id", F.explode(F.transform(
-            shorter, lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))).alias("prefix"))
-        prefix_sets = prefixes.groupBy("prefix").agg(F.array_sort(F.collect_set("taxon_id")).alias("taxon_ids"))
-        spoken = ngrams(rest, [1, 2, 3]).select(*CHUNK, "start", "n", F.posexplode(forms).alias("form", "phrase"))
-        hits = spoken.filter(F.length("phrase") >= 4).join(prefix_sets, F.col("phrase") == F.col("prefix")).select(
-            *CHUNK, "start", "n", "form", F.col("phrase").alias("matched"), "taxon_ids",
-            F.when(F.size("taxon_ids") == 1, 0.9).otherwise(0.7).alias("confidence"), none.alias("corrected_from"))
-        return _pick(hits, leftmost_longest)
+            shorter, lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))).alias("matched")).filter(F.length("matched") >= 4)
+        spoken = ngrams(rest, [1, 2, 3]).select(*CHUNK, "start", "n", F.posexplode(forms).alias("form", "matched"))
+        hits = spoken.join(counted(prefixes), "matched").select(
+            *CHUNK, "start", "n", "form", "matched", sure(0.9, 0.7).alias("confidence"), none.alias("corrected_from"))
+        return _with_ids(_pick(hits, leftmost_longest), prefixes)
 
     def by_inner_word(rest: DataFrame) -> DataFrame:
-        inner = keys.select("taxon_id", F.explode(F.slice(words, F.lit(2), F.size(words))).alias("word")).filter(F.length("word") >= 5)
-        inner_sets = inner.groupBy("word").agg(F.array_sort(F.collect_set("taxon_id")).alias("taxon_ids")).filter(F.size("taxon_ids") <= 3)
+        inner = keys.select("taxon_id", F.explode(F.slice(words, F.lit(2), F.size(words))).alias("matched")).filter(F.length("matched") >= 5)
         tokens = ngrams(rest, [1]).withColumn("token", F.get("window", F.lit(0))).filter(F.col("token").rlike("^[a-z]+$"))
-        asked = tokens.select(*CHUNK, "start", "n", F.posexplode(singular_candidates("token")).alias("form", "asked")).filter(
-            (F.length("asked") >= 5) & ~F.col("asked").isin(L.reserved_words()))
-        hits = asked.join(inner_sets, F.col("asked") == F.col("word")).select(
-            *CHUNK, "start", "n", "form", F.col("asked").alias("matched"), "taxon_ids",
-            F.when(F.size("taxon_ids") == 1, 0.85).otherwise(0.6).alias("confidence"), none.alias("corrected_from"))
-        return _pick(hits, [F.col("start"), F.col("form")])
+        asked = tokens.select(*CHUNK, "start", "n", F.posexplode(singular_candidates("token")).alias("form", "matched")).filter(
+            (F.length("matched") >= 5) & ~F.col("matched").isin(L.reserved_words()))
+        hits = asked.join(counted(inner).filter(F.col("species") <= 3), "matched").select(
+            *CHUNK, "start", "n", "form", "matched", sure(0.85, 0.6).alias("confidence"), none.alias("corrected_from"))
+        return _with_ids(_pick(hits, [F.col("start"), F.col("form")]), inner)
 
     def by_spelling(rest: DataFrame) -> DataFrame:
         spoken = ngrams(rest, [1, 2]).withColumn("phrase", F.array_join("window", " ")).filter(
             (F.length("phrase") >= 5) & F.col("phrase").rlike("^[a-z ]+$")).drop("window")
-        near = nearest_keys(spoken.select("phrase").distinct(), sets)
+        near = nearest_keys(spoken.select("phrase").distinct(), names)
         hits = spoken.join(near, "phrase").select(
-            *CHUNK, "start", "n", F.col("key").alias("matched"), "taxon_ids",
+            *CHUNK, "start", "n", F.col("key").alias("matched"),
             F.when(F.col("distance") == 1, 0.8).otherwise(0.65).alias("confidence"), F.col("phrase").alias("corrected_from"))
-        return _pick(hits, [F.col("start"), -F.col("n")])
+        return _with_ids(_pick(hits, [F.col("start"), -F.col("n")]), keys.withColumnRenamed("key", "matched"))
 
     # Each pass is written once, so that the next one reads its result instead of repeating it.
     rest, found = chunks, []
     for number, search in enumerate((exact, by_prefix, by_inner_word, by_spelling), start=1):
-        hits = cut_lineage(search(rest).withColumn("pass", F.lit(number)))
+        hits = written(search(rest).withColumn("pass", F.lit(number)), "matched")
         found.append(hits)
         if number < 4:
-            rest = cut_lineage(rest.select(*CHUNK, "tokens").join(hits.select(*CHUNK), CHUNK, "left_anti"))
+            rest = written(rest.select(*CHUNK, "tokens").join(hits.select(*CHUNK), CHUNK, "left_anti"), "unmatched")
             if rest.isEmpty():
                 break
     return reduce(DataFrame.unionByName, found)
 
 
-def nearest_keys(phrases: DataFrame, sets: DataFrame) -> DataFrame:
-    """Closest key within 1 edit (2 from nine letters on) of each phrase."""
+def nearest_keys(phrases: DataFrame, names: DataFrame) -> DataFrame:
+    """(phrase, key, distance): the closest key within 1 edit (2 from nine letters on) of each phrase; of equals the first by letters."""
     most = F.when(F.length("phrase") >= 9, 2).otherwise(1)
-    measured = close_keys(phrases, sets.select("key")).filter(F.col("distance") <= most)
+    measured = close_keys(phrases, names.select("key")).filter(F.col("distance") <= most)
     best = measured.groupBy("phrase").agg(F.min_by(F.struct("key", "distance"), F.struct("distance", "key")).alias("b"))
-    return best.select("phrase", "b.*").join(sets, "key")
+    return best.select("phrase", "b.*")
+
+
+GRAM = 3
+
+
+def _grams(text: str, sizes) -> Column:
+    """Runs of letters with the place where each begins: array<struct<at, gram>>."""
+    places = F.sequence(F.lit(1), F.length(text))
+    return F.flatten(F.transform(sizes, lambda g: F.transform(
+        F.filter(places, lambda i: i + g <= F.length(text) + 1), lambda i: F.struct(i.alias("at"), F.substr(F.col(text), i, g).alias("gram")))))
+
+
+def containing_keys(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(q, key, at): the keys that contain a query, and where first. ``queries``: q; ``keys``: key; both distinct.
+
+    Keys are posted under their runs of one, two and three letters, with the place. A query reads the postings of
+    its own letters if it has three or fewer, else of that one of its three-letter runs which the fewest keys
+    have, so its candidates are bounded by the rarest thing it says.
+    """
+    posted = keys.select("key", F.explode(_grams("key", F.array(*map(F.lit, range(1, GRAM + 1))))).alias("p")).select("key", "p.*")
+    frequent = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("keys"))
+    said = queries.select("q", F.explode(_grams("q", F.array(F.least(F.length("q"), F.lit(GRAM))))).alias("p")).select("q", F.col("p.at").alias("q_at"), "p.gram")
+    rarest = said.join(frequent, "gram", "left").groupBy("q").agg(
+        F.min_by(F.struct("gram", "q_at"), F.struct(F.coalesce("keys", F.lit(0)), "q_at")).alias("r")).select("q", "r.*")
+    begins = (F.col("at") - F.col("q_at") + 1).cast("int")
+    met = rarest.join(posted, "gram").withColumn("begins", begins).filter("begins >= 1")
+    return met.filter(F.substr(F.col("key"), F.col("begins"), F.length("q")) == F.col("q")).groupBy("q", "key").agg(F.min("begins").alias("at"))
 
 
 def taxon_search(queries: DataFrame, keys: DataFrame, names: DataFrame, *, limit: int = 12) -> DataFrame:
-    """Ranked lookup of typed queries (query_id, query): equal 0, prefix 1, contained 2, close 3.
+    """Ranked lookup of typed queries (query_id, query): equal 0, prefix 1, contained 2, close 3; then by name; top ``limit``.
 
-    Keys are indexed by all their substrings up to the length of a query, so equal, prefix and
-    contained are one equi-join; close ones come from ``nearest`` pieces. Then by name; top ``limit``.
+    Queries typed alike are answered once. Those that have ``limit`` species without it never reach the
+    search by spelling, as a close name can't stand before a contained one.
     """
     asked = queries.select("query_id", fold("query").alias("q")).filter(F.col("q") != "")
-    longest_first = F.col("key")
-    starts = F.sequence(F.lit(1), F.length(longest_first))
-    tails = keys.select("key", "taxon_id", F.explode(starts).alias("at")).withColumn("tail", F.expr("substring(key, at)"))
-    # A query is in a key when it begins one of its tails; three letters (or fewer) select the tails.
-    head = lambda c: F.substring(c, 1, 3)
-    long = asked.filter(F.length("q") >= 3).join(tails.filter(F.length("tail") >= 3).withColumn("h", head("tail")), head("q") == F.col("h"))
-    short = asked.filter(F.length("q") < 3).join(
-        tails.select("key", "taxon_id", "at", "tail", F.explode(F.array(F.substring("tail", 1, 1), F.substring("tail", 1, 2))).alias("h")).distinct(),
-        F.col("q") == F.col("h"))
-    inside = long.unionByName(short).filter(F.col("tail").startswith(F.col("q"))).select(
-        "query_id", "taxon_id",
-        F.when(F.col("key") == F.col("q"), 0).when(F.col("at") == 1, 1).otherwise(2).alias("score"))
-    wide = asked.filter(F.length("q") >= 4).select(F.col("q").alias("phrase")).distinct()
-    close = close_keys(wide, keys.select("key").distinct()).join(keys, "key").join(
-        asked, F.col("phrase") == F.col("q")).select("query_id", "taxon_id", F.lit(3).alias("score"))
-    scored = inside.unionByName(close).groupBy("query_id", "taxon_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", fold("common_name"), "taxon_id")
-    return scored.join(names.select("taxon_id", "common_name"), "taxon_id").withColumn("rank", F.row_number().over(order)).filter(
-        F.col("rank") <= limit)
+    said = asked.select("q").distinct()
+    known = keys.filter(F.col("key").isNotNull()).select("key", "taxon_id").distinct()
+    texts = known.select("key").distinct()
+    score = F.when(F.col("key") == F.col("q"), 0).when(F.col("at") == 1, 1).otherwise(2)
+    inside = containing_keys(said, texts).join(known, "key").groupBy("q", "taxon_id").agg(F.min(score).alias("score"))
+    inside = written(inside, "search-inside")
+    full = inside.groupBy("q").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
+    wide = said.filter(F.length("q") >= 4).join(full, "q", "left_anti").select(F.col("q").alias("phrase"))
+    close = close_keys(wide, texts).join(known, "key").select(F.col("phrase").alias("q"), "taxon_id", F.lit(3).alias("score")).distinct()
+    scored = inside.unionByName(close).groupBy("q", "taxon_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("q").orderBy("score", fold("common_name"), "taxon_id")
+    ranked = scored.join(names.select("taxon_id", "common_name"), "taxon_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return asked.join(ranked, "q").select("query_id", "taxon_id", "score", "common_name", "rank")
+
+
+SHORT_KEY = 12
+
+
+def _without(text: Column) -> Column:
+    """A text's variants with one letter left out."""
+    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(
+        F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1, F.length(text))))).otherwise(F.array().cast("array<string>"))
+
+
+def _deletions(text: str) -> Column:
+    """A text and all its variants with one or two letters left out."""
+    one = F.array_distinct(_without(F.col(text)))
+    return F.array_distinct(F.concat(F.array(F.col(text)), one, F.flatten(F.transform(one, _without))))
 
 
 def close_keys(phrases: DataFrame, keys: DataFrame) -> DataFrame:
-    """All (phrase, key) pairs within two edits.
+    """All (phrase, key, distance) pairs within two edits.
 
-    Pieces instead of pairs: a key cut into three pieces keeps one of them untouched under two
-    edits, at most two places off, so a phrase meets only the keys that share such a piece. Two edits
-    may leave nothing of a key shorter than three letters, so those meet phrases by length alone; such
-    keys are few (all there can be of one or two letters), and so are the phrases that short.
+    Keys of up to ``SHORT_KEY`` letters are indexed by their deletion neighbourhood: two texts within two edits
+    become the same when at most two letters of each are left out, so such pairs meet under that common text.
+    A longer key is cut into three pieces of four letters or more, one of which two edits leave untouched, at most
+    two places off.
     """
+    sized = keys.select("key", F.length("key").alias("len")).filter("key is not null")
+    said = phrases.select("phrase", F.length("phrase").alias("size")).filter("phrase is not null")
+    short = sized.filter(F.col("len") <= SHORT_KEY).select("key", F.explode(_deletions("key")).alias("left"))
+    asked = said.filter(F.col("size") <= SHORT_KEY + 2).select("phrase", F.explode(_deletions("phrase")).alias("left"))
+    near = asked.join(short, "left").select("phrase", "key")
+
     third = F.floor(F.col("len") / 3).cast("int")
 
     def parts(df: DataFrame) -> DataFrame:
@@ -318,16 +366,15 @@ def close_keys(phrases: DataFrame, keys: DataFrame) -> DataFrame:
             F.struct(F.lit(1).alias("no"), (third + 1).alias("at"), third.alias("n")),
             F.struct(F.lit(2).alias("no"), (2 * third + 1).alias("at"), (F.col("len") - 2 * third).alias("n")))).alias("p"))
 
-    sized = keys.withColumn("len", F.length("key"))
-    lengths = phrases.select("phrase", F.explode(F.sequence(F.length("phrase") - 2, F.length("phrase") + 2)).alias("len"))
-    indexed = parts(sized.filter("len >= 3")).select("key", "len", "p.no", F.expr("substring(key, p.at, p.n)").alias("piece"))
-    probes = parts(lengths.filter("len >= 3"))
+    lengths = said.select("phrase", F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2)).alias("len"))
+    long = F.col("len") > SHORT_KEY
+    indexed = parts(sized.filter(long)).select("key", "len", "p.no", F.expr("substring(key, p.at, p.n)").alias("piece"))
+    probes = parts(lengths.filter(long))
     probes = probes.select("phrase", "len", "p.no", "p.n", F.explode(F.sequence(F.col("p.at") - 2, F.col("p.at") + 2)).alias("at")).filter(
         (F.col("at") >= 1) & (F.col("at") + F.col("n") - 1 <= F.length("phrase"))).select(
         "phrase", "len", "no", F.expr("substring(phrase, at, n)").alias("piece"))
     met = probes.join(indexed, ["len", "no", "piece"]).select("phrase", "key")
-    short = lengths.filter("len between 1 and 2").join(sized.filter("len < 3"), "len").select("phrase", "key")
-    return met.unionByName(short).distinct().withColumn(
+    return met.unionByName(near).distinct().withColumn(
         "distance", F.levenshtein("phrase", "key", 2)).filter(F.col("distance").between(0, 2))
 
 
@@ -493,15 +540,15 @@ def choose_spans(chunks: DataFrame, taxa: DataFrame, candidates: DataFrame) -> D
 def read_chunks(utterances: DataFrame, keys: DataFrame, stations: DataFrame, lexicon: DataFrame, *,
                 today: Column | str) -> DataFrame:
     """All readings per chunk of (utterance_id, text): see ``choose_spans``."""
-    chunks = cut_lineage(with_tokens(read_dates(split_chunks(utterances.select("utterance_id", "text")), today=today)))
+    chunks = written(with_tokens(read_dates(split_chunks(utterances.select("utterance_id", "text")), today=today)), "chunks")
     # A chunk that held only a date says nothing else.
     chunks = chunks.filter(F.size("tokens") > 0)
-    numbers = cut_lineage(read_numbers(chunks))
+    numbers = written(read_numbers(chunks), "numbers")
     counts = numbers.select(*CHUNK, "start", F.lit(160).alias("priority"), F.col("n").alias("length"), F.lit(0).alias("ord"),
                             F.lit("count").alias("kind"), F.col("number").cast("string").alias("value"))
     parts = [tag_lexicon(chunks, lexicon), read_station(chunks, stations), read_measures(chunks, numbers), _single_tokens(chunks), counts]
     candidates = reduce(DataFrame.unionByName, [p.select(*CHUNK, *SPAN) for p in parts])
-    return cut_lineage(choose_spans(chunks, match_taxa(chunks, keys), candidates))
+    return written(choose_spans(chunks, match_taxa(chunks, keys), candidates), "spans")
 
 
 def utterance_header(utterances: DataFrame, chunks: DataFrame, *, today: Column | str) -> DataFrame:

@@ -55,12 +55,12 @@ def _long_phrases(t):
 
 
 def _close(t):
-    """All beginnings of part names as keys, pieces of names as phrases: one to nine letters each."""
-    p = t.raw("part")
-    names = p.select(F.substring("p_name", 1, 9).alias("name")).distinct().select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("n"))
-    ends = p.select(F.substring("p_name", -9, 9).alias("name")).distinct().select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("n"))
-    begun = names.select(F.expr("substring(name, 1, n)").alias("key")).distinct()
-    return U.close_keys(ends.select(F.expr("substring(name, 1, n)").alias("phrase")).distinct(), begun)
+    """All beginnings of whole part names as keys, all their ends as phrases: from one letter to the whole name, and longer
+    ones of whole names twice over."""
+    p = t.raw("part").select(F.col("p_name").alias("name")).distinct()
+    parts = p.union(p.select(F.concat_ws(" ", "name", "name"))).select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("n"))
+    begun = parts.select(F.expr("substring(name, 1, n)").alias("key")).distinct()
+    return U.close_keys(parts.select(F.expr("substring(name, n)").alias("phrase")).distinct(), begun)
 
 
 register("match_taxa_long_names", lambda t: _long_names(t).select("utterance_id", "matched", "start", "n", "confidence", "pass"),
@@ -68,9 +68,11 @@ register("match_taxa_long_names", lambda t: _long_names(t).select("utterance_id"
 register("tag_lexicon_long_phrases", lambda t: _long_phrases(t).filter("value = 'Acechando'").select("utterance_id", "start", "length", "kind", "value"),
          "SELECT p_partkey AS utterance_id, 3 AS start, 8 AS length, 'behaviour' AS kind, 'Acechando' AS value FROM part WHERE p_partkey%2=0")
 register("close_keys", lambda t: _close(t),
-         """WITH begun AS (SELECT DISTINCT substr(p_name,1,n) AS key FROM (SELECT DISTINCT substr(p_name,1,9) AS p_name FROM part), range(1,10) r(n) WHERE n<=length(p_name)),
-    said AS (SELECT DISTINCT substr(p_name,1,n) AS phrase FROM (SELECT DISTINCT substr(p_name,-9) AS p_name FROM part), range(1,10) r(n) WHERE n<=length(p_name))
-    SELECT phrase, key, CAST(levenshtein(phrase,key) AS INT) AS distance FROM said, begun WHERE levenshtein(phrase,key)<=2""")
+         """WITH names AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT p_name||' '||p_name FROM part),
+    begun AS (SELECT DISTINCT substr(name,1,n) AS key FROM (SELECT name, unnest(range(1,length(name)+1)) AS n FROM names)),
+    said AS (SELECT DISTINCT substr(name,n) AS phrase FROM (SELECT name, unnest(range(1,length(name)+1)) AS n FROM names))
+    SELECT phrase, key, CAST(levenshtein(phrase,key) AS INT) AS distance FROM said, begun
+    WHERE abs(length(phrase)-length(key))<=2 AND levenshtein(phrase,key)<=2""")
 register("tag_lexicon", lambda t: U.tag_lexicon(_chunks(t), lexicon_table(t.spark)).select("utterance_id", "start", "kind", "value"),
          """SELECT p_partkey AS utterance_id, 4 AS start, v.kind, v.value FROM part JOIN (VALUES (0,'sex','Macho'),(1,'sex','Hembra'),(2,'behaviour','Volando'),
     (3,'record_type','Vocalización'),(3,'behaviour','Vocalizando'),(4,'record_type','Fecas')) AS v(k,kind,value) ON p_partkey%5=v.k""")
@@ -199,3 +201,55 @@ register("taxon_search", lambda t: U.taxon_search(
         WHEN length(q)>=4 AND levenshtein(key,q)<=2 THEN 3 END AS score
       FROM (SELECT p_type AS query_id, trim(min(substr(lower(p_name),1,6))) AS q FROM part GROUP BY 1), (SELECT DISTINCT p_name AS key FROM part))
     WHERE score IS NOT NULL QUALIFY rank<=12""")
+
+
+def _typed(t):
+    """Queries of one, two, three, five and eight letters out of the middle and the begin of names, a misspelt one each, and one in no name."""
+    names = keys(t).select("key").distinct()
+    cuts = [(1, 1), (1, 2), (3, 2), (2, 3), (1, 5), (3, 5), (1, 8), (2, 8)]
+    typed = names.select("key", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in cuts])).alias("c")).select(
+        F.expr("substring(key, c.a, c.n)").alias("query"))
+    wrong = names.select(F.concat(F.lit("zx"), F.expr("substring(key, 3)")).alias("query"))
+    typed = typed.union(wrong).union(names.select(F.lit("qqqq").alias("query"))).distinct()
+    return typed.select(F.col("query").alias("query_id"), "query")
+
+
+register("taxon_search_lengths", lambda t: U.taxon_search(
+    _typed(t), keys(t), t.taxon.select(F.col("common_name").alias("taxon_id"), "common_name").distinct()).select("query_id", "taxon_id", "score", "rank"),
+    """WITH names AS (SELECT DISTINCT lower(p_name) AS key, p_name AS id FROM part),
+    cuts AS (SELECT unnest([1,1,3,2,1,3,1,2]) AS a, unnest([1,2,2,3,5,5,8,8]) AS n),
+    typed AS (SELECT DISTINCT substr(key,a,n) AS query FROM names, cuts UNION SELECT DISTINCT 'zx'||substr(key,3) FROM names UNION SELECT 'qqqq')
+    SELECT query AS query_id, id AS taxon_id, score, row_number() OVER (PARTITION BY query ORDER BY score, key) AS rank FROM (
+      SELECT query, key, id, CASE WHEN key=trim(query) THEN 0 WHEN starts_with(key,trim(query)) THEN 1 WHEN contains(key,trim(query)) THEN 2
+        WHEN length(trim(query))>=4 AND levenshtein(key,trim(query))<=2 THEN 3 END AS score FROM typed, names WHERE trim(query)<>'')
+    WHERE score IS NOT NULL QUALIFY rank<=12""")
+
+
+def _half_said(t):
+    """Sentences that need the later passes: the begin of a name, an inner word of one, a misspelt one, none."""
+    k = F.col("p_partkey")
+    words = F.split(F.lower("p_name"), " ")
+    wrong = F.concat(F.substring(F.lower("p_name"), 1, 2), F.lit("zz"), F.expr("substring(lower(p_name), 5)"))
+    said = F.when(k % 4 == 0, words[0]).when(k % 4 == 1, F.concat(words[1], F.lit("ado"))).when(k % 4 == 2, wrong).otherwise("nada")
+    return t.raw("part").select(k.alias("utterance_id"), F.concat(F.lit("veo "), said).alias("text"))
+
+
+def _inner_names(t):
+    """The catalogue and, for each second word of a name, a species with that word, lengthened, inside its name."""
+    own = keys(t)
+    second = own.select(F.split("key", " ")[1].alias("w")).distinct()
+    return own.union(second.select(F.concat(F.lit("qu "), F.col("w"), F.lit("ado fino")), F.concat(F.lit("qu "), F.col("w"))))
+
+
+register("match_taxa_later_passes", lambda t: U.match_taxa(U.with_tokens(U.read_dates(U.split_chunks(_half_said(t)), today=TODAY)), _inner_names(t)).select(
+    "utterance_id", "matched", "start", "n", "confidence", "corrected_from", F.size("taxon_ids").alias("species"), "pass"),
+    """WITH names AS (SELECT DISTINCT p_name AS key FROM part UNION SELECT DISTINCT 'qu '||split_part(p_name,' ',2)||'ado fino' FROM part),
+    said AS (SELECT p_partkey AS utterance_id, p_partkey%4 AS k, CASE p_partkey%4 WHEN 0 THEN split_part(p_name,' ',1) WHEN 1 THEN split_part(p_name,' ',2)||'ado'
+      WHEN 2 THEN substr(p_name,1,2)||'zz'||substr(p_name,5) END AS w FROM part),
+    begun AS (SELECT w, count(DISTINCT key) AS species FROM (SELECT DISTINCT w FROM said WHERE k=0 AND length(w)>=4), names WHERE starts_with(key, w||' ') GROUP BY w),
+    near AS (SELECT w, key, d FROM (SELECT DISTINCT w FROM said WHERE k=2), names, LATERAL (SELECT levenshtein(w,key) AS d)
+      WHERE length(w)>=5 AND d<=CASE WHEN length(w)>=9 THEN 2 ELSE 1 END QUALIFY row_number() OVER (PARTITION BY w ORDER BY d, key)=1)
+    SELECT utterance_id, w AS matched, 2 AS start, 1 AS n, CASE WHEN species=1 THEN 9e-1 ELSE 7e-1 END AS confidence, CAST(NULL AS VARCHAR) AS corrected_from, CAST(species AS INT) AS species, 2 AS pass
+      FROM said JOIN begun USING (w) WHERE k=0
+    UNION ALL SELECT utterance_id, w, 2, 1, 85e-2, NULL, 1, 3 FROM said WHERE k=1
+    UNION ALL SELECT utterance_id, key, 2, CASE WHEN contains(w,' ') THEN 2 ELSE 1 END, CASE WHEN d=1 THEN 8e-1 ELSE 65e-2 END, w, 1, 4 FROM said JOIN near USING (w) WHERE k=2""")
