@@ -111,16 +111,21 @@ def declared_count_gaps(read_counts: DataFrame, declared: DataFrame) -> DataFram
     )
 
 
-def double_counts(incoming: DataFrame, local: DataFrame, *, window_min: int = 30) -> DataFrame:
+def double_counts(incoming: DataFrame, local: DataFrame, *, window_min: int = 30, split_rows: int = 5_000) -> DataFrame:
     """Pairs of records that two people probably took of one animal.
 
     Same station, date and taxon (or the same name as said when either lacks a taxon), other id,
-    other observer, at most ``window_min`` minutes apart. Minutes are cut into slots of the
-    window's length, so that each row meets only its own and the two touching slots instead of
-    its whole day. Inputs: occurrence_id, station_id, event_date, occurrence_time, taxon_id,
-    verbatim_taxon, recorded_by, deleted_at.
+    other observer, at most ``window_min`` minutes apart. Inputs: occurrence_id, station_id,
+    event_date, occurrence_time, taxon_id, verbatim_taxon, recorded_by, deleted_at.
+
+    Minutes are cut into slots of the window's length, so a row meets its own and the two touching
+    slots. One summary row a slot (its first and last observer, its earliest and latest minute) goes
+    ahead: rows that meet no slot with another observer in reach never enter the join, however many one
+    person took. Slots of more than ``split_rows`` local rows are dealt over several tasks.
     """
-    def prepared(df: DataFrame, side: str, spread: bool) -> DataFrame:
+    key = ["subject", "station_id", "event_date", "slot"]
+
+    def prepared(df: DataFrame) -> DataFrame:
         rows = live(df).withColumn("minute", hhmm_to_minutes("occurrence_time")).filter(F.col("minute").isNotNull())
         said = F.nullif(F.lower(F.trim(F.coalesce("verbatim_taxon", F.lit("")))), F.lit(""))
         # Two subjects: the taxon when both have one, else the name as said.
@@ -130,26 +135,39 @@ def double_counts(incoming: DataFrame, local: DataFrame, *, window_min: int = 30
                 F.when(said.isNotNull(), F.concat(F.lit("v:"), said)),
             )
         )
-        slot = F.floor(F.col("minute") / window_min)
-        slots = F.array(slot - 1, slot, slot + 1) if spread else F.array(slot)
         return rows.select(
-            F.explode(subjects).alias("subject"), F.col("station_id"), F.col("event_date"), slots.alias("slots"),
-            F.struct("occurrence_id", "minute", "occurrence_time", "taxon_id",
-                     F.coalesce("recorded_by", F.lit("")).alias("observer")).alias(side),
-        ).withColumn("slot", F.explode("slots")).drop("slots")
+            F.explode(subjects).alias("subject"), "station_id", "event_date", F.floor(F.col("minute") / window_min).alias("slot"),
+            "occurrence_id", "minute", "occurrence_time", "taxon_id", F.coalesce("recorded_by", F.lit("")).alias("observer"),
+        )
 
-    a = prepared(incoming, "a", spread=True)
-    b = prepared(local, "b", spread=False)
+    touching = F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))
+    extent = [F.min("first").alias("first"), F.max("last").alias("last"), F.min("from").alias("from"), F.max("to").alias("to")]
+    # The empty observer comes first, and is another one to anybody.
+    another = (F.col("observer") == "") | (F.col("first") != F.col("observer")) | (F.col("last") != F.col("observer"))
+    reach = another & (F.col("minute") >= F.col("from") - window_min) & (F.col("minute") <= F.col("to") + window_min)
+
+    def slots(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*key).agg(
+            F.min("observer").alias("first"), F.max("observer").alias("last"), F.min("minute").alias("from"), F.max("minute").alias("to"),
+            F.ceil(F.count(F.lit(1)) / split_rows).cast("int").alias("parts"))
+
+    ours, theirs = prepared(local), prepared(incoming)
+    our_slots = slots(ours)
+    # Incoming rows go to each touching slot that is worth it, once for each of its parts.
+    a = theirs.withColumn("slot", touching).join(our_slots, key).filter(reach).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # Local rows stay in their slot, in one of its parts, if any touching slot of the other side is worth it.
+    their_reach = slots(theirs).withColumn("slot", touching).groupBy(*key).agg(*extent)
+    b = ours.join(their_reach, key).filter(reach).drop("first", "last", "from", "to").join(our_slots.select(*key, "parts"), key)
+    b = b.withColumn("part", F.pmod(F.xxhash64("occurrence_id"), F.col("parts")).cast("int"))
+    pair = a.alias("a").join(b.alias("b"), [*key, "part"])
     both_taxa = F.col("a.taxon_id").isNotNull() & F.col("b.taxon_id").isNotNull()
-    by_taxon = F.col("subject").startswith("t:")
     same_person = (F.col("a.observer") != "") & (F.col("a.observer") == F.col("b.observer"))
     return (
-        a.join(b, ["subject", "station_id", "event_date", "slot"])
-        .filter(
+        pair.filter(
             (F.col("a.occurrence_id") != F.col("b.occurrence_id"))
             & (F.abs(F.col("a.minute") - F.col("b.minute")) <= window_min)
             & ~same_person
-            & (by_taxon == both_taxa)
+            & (F.col("subject").startswith("t:") == both_taxa)
         )
         .select(
             F.coalesce(F.col("a.taxon_id").cast("string"), F.expr("substring(subject, 3)")).alias("taxon"), "station_id", "event_date",

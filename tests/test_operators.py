@@ -214,6 +214,32 @@ def test_double_counts(spark):
     assert got == {("b1", "a1"), ("b3", "a3")}
 
 
+def test_double_counts_with_half_of_all_rows_in_one_slot(spark):
+    """One observer's many records in one slot meet each other in no join; the few of others find all of theirs."""
+    schema = ("occurrence_id string, station_id string, event_date string, occurrence_time string, taxon_id bigint, verbatim_taxon string, "
+              "recorded_by string, deleted_at timestamp")
+    rng = random.Random(12)
+
+    def rows(side, crowd):
+        hot = [(f"{side}h{k}", "s", "d", f"10:{k % 30:02d}", 1, None, "Ana", None) for k in range(crowd)]
+        return hot + [(f"{side}{k}", "s", rng.choice("de"), f"{rng.randint(8, 12):02d}:{rng.randint(0, 59):02d}", rng.choice([1, 1, 2, None]),
+                       rng.choice([None, "Zorro ", "zorro"]), rng.choice(["Ana", "Ana", "Luis", None, ""]), None) for k in range(60)]
+
+    here, there = rows("a", 400), rows("b", 400)
+    minute = lambda t: int(t[:2]) * 60 + int(t[3:])
+    said = lambda v: (v or "").strip().lower()
+    want = set()
+    for b in there:
+        for a in here:
+            same = b[4] == a[4] if b[4] is not None and a[4] is not None else said(b[5]) != "" and said(b[5]) == said(a[5])
+            other = not (b[6] and b[6] == a[6])
+            if same and other and a[2] == b[2] and abs(minute(a[3]) - minute(b[3])) <= 30:
+                want.add((a[0], b[0]))
+    for split in (50, 5000):
+        found = M.double_counts(spark.createDataFrame(there, schema), spark.createDataFrame(here, schema), split_rows=split).collect()
+        assert len(found) == len(want) and {(r.local_id, r.incoming_id) for r in found} == want
+
+
 def test_merge_modes(spark):
     local = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
     other = spark.createDataFrame([(2, "z"), (3, "w")], "id int, v string")
