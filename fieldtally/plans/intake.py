@@ -297,10 +297,29 @@ def _pieces(t):
     body = F.when(e % 3 == 0, F.concat(F.lit("<Point><coordinates>"), coords, F.lit("</coordinates></Point>"))).otherwise(
         F.concat(F.lit("<LineString><coordinates>"), coords, F.lit(" x,y -71.5,95,0 -71.4,-33.1</coordinates></LineString>")))
     text = F.concat(head, F.lit('<Placemark id="p"><name>A &amp; '), e.cast("string"), F.lit("</name>"), body)
-    return t.track_point.select(F.lit("mapa.kml").alias("file"), e.alias("piece_no"), text.alias("value"))
+    return t.track_point.select(F.lit("mapa.kml").alias("file"), F.lit(0).cast("long").alias("block"), e.alias("piece"), text.alias("value"))
 
 
 register("read_kml", lambda t: X.placemarks(_pieces(t)).select(
     "placemark_no", "name", "folder", "kind", F.size("points").alias("n"), F.element_at("points", 1)["lon"].alias("lon")),
     """SELECT event_id AS placemark_no, 'A & '||event_id AS name, 'Dia '||(event_id//100) AS folder, CASE WHEN event_id%3=0 THEN 'punto' ELSE 'linea' END AS kind,
     CASE WHEN event_id%3=0 THEN 1 ELSE 2 END AS n, -71.5e0 AS lon FROM events""")
+
+
+def _map_files(t):
+    """The same placemarks as real files of a thousand each, written to the shared folder and read back."""
+    from fieldtally.session import shared_folder
+
+    path = shared_folder(t.spark, "maps")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "value"))), lambda p: F.concat(p["value"], F.lit("</Placemark>"))), "\n")
+    body = _pieces(t).groupBy(F.floor(F.col("piece") / 1000).alias("map")).agg(texts.alias("body"))
+    # A folder that the map before left open ends there; this one's own last folder ends with the document.
+    body = F.concat(F.lit("<kml><Document>"), F.regexp_replace("body", "^</Folder>", ""), F.lit("</Folder></Document></kml>\n")), body
+    body[1].select(body[0].alias("value"), "map").write.partitionBy("map").text(path)
+    marks = X.read_kml(t.spark, f"{path}/*")
+    return marks.select((F.regexp_extract("file", r"map=(\d+)", 1).cast("long") * 1000 + F.col("placemark_no")).alias("placemark_no"), "name", "folder", "kind", F.size("points").alias("n"))
+
+
+register("read_kml_files", _map_files,
+    """SELECT event_id AS placemark_no, 'A & '||event_id AS name, 'Dia '||(event_id//100) AS folder, CASE WHEN event_id%3=0 THEN 'punto' ELSE 'linea' END AS kind,
+    CASE WHEN event_id%3=0 THEN 1 ELSE 2 END AS n FROM events""")

@@ -6,31 +6,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from fieldtally.session import written
+from fieldtally.sources.json_pieces import ORDER, bucket, documents, text_pieces
+
 BACKUP_VERSION = 1
 BACKUP_TABLES = ["events", "occurrences", "identifications", "measurements", "audit", "outbox", "syncLog", "settings"]
 
 
 # --- device backups -----------------------------------------------------------------------
 
+ENVELOPE = "format string, version int, createdAt string, deviceId string, counts map<string,long>"
+
+
 def read_backups(spark: SparkSession, path: str, tables: dict[str, str], *, marker: str) -> dict[str, DataFrame]:
-    """Backup files (one JSON document each) as one DataFrame per table, plus counts and rejects.
+    """Backup files (one JSON document each, of any size) as one DataFrame per table, plus counts and rejects.
 
-    ``tables`` maps a table name to its row schema. A file without the format ``marker``, or of a
-    newer version than this reader, is rejected as a whole and listed in ``rejected``.
+    ``tables`` maps a table name to its row schema. A file without the format ``marker``, or of a newer version
+    than this reader, or cut short, is rejected as a whole and listed in ``rejected``. Documents are split by
+    bytes over tasks; rows come with their file and the device that wrote it.
     """
-    data = ", ".join(f"`{t}`: array<struct<{schema}>>" for t, schema in tables.items())
-    schema = (f"format string, version int, createdAt string, deviceId string, counts map<string,int>, "
-              f"data struct<{data}>")
-    files = spark.read.schema(schema).json(path, multiLine=True).withColumn("file", F.input_file_name())
-    known = (F.col("format") == marker) & F.col("version").isNotNull() & F.col("data").isNotNull()
-    ok = F.coalesce(known & (F.col("version") <= BACKUP_VERSION), F.lit(False))
-    good = files.filter(ok)
-    out = {
-        t: good.select("file", "deviceId", F.explode(F.col("data")[t]).alias("r")).select("file", F.col("deviceId").alias("source_device"), "r.*")
-        for t in tables
-    }
-    out["counts"] = good.select("file", F.explode("counts").alias("table", "rows"))
-    out["rejected"] = files.filter(~ok).select("file", F.when(F.coalesce(known, F.lit(False)), "newer version").otherwise("not a backup").alias("reason"))
+    rows, envelopes = documents(spark, path)
+    found = envelopes.select("file", F.from_json("json", ENVELOPE).alias("e"))
+    known = F.coalesce((F.col("e.format") == marker) & F.col("e.version").isNotNull(), F.lit(False))
+    judged = written(found.select("file", "e.*", known.alias("known"), (known & (F.col("e.version") <= BACKUP_VERSION)).alias("ok")), "backup-envelopes")
+    accepted = judged.filter("ok").select("file", F.col("deviceId").alias("source_device"))
+    # One table of row texts; a table's rows are parsed as they are asked for.
+    rows = written(rows.join(accepted, "file"), "backup-rows")
+    out = {name: rows.filter(F.col("table") == name).select("file", "source_device", F.from_json("json", f"struct<{schema}>").alias("r")).select("file", "source_device", "r.*")
+           for name, schema in tables.items()}
+    out["counts"] = judged.filter("ok").select("file", F.explode("counts").alias("table", "rows"))
+    out["rejected"] = judged.filter("not ok").select("file", F.when(F.col("known"), "newer version").otherwise("not a backup").alias("reason"))
     return out
 
 
@@ -54,20 +59,20 @@ def write_backup(tables: dict[str, DataFrame], path: str, *, marker: str, device
 
 
 def read_backup_folder(spark: SparkSession, path: str, tables: dict[str, str], *, marker: str) -> dict[str, DataFrame]:
-    """A folder of ``write_backup`` as ``read_backups`` gives files: a table each, ``counts`` and ``rejected``."""
-    envelope = spark.read.schema("format string, version int, createdAt string, deviceId string, counts map<string,long>").json(f"{path}/_backup")
-    envelope = envelope.withColumn("file", F.lit(path))
+    """A folder of ``write_backup`` as ``read_backups`` gives files: a table each, ``counts`` and ``rejected``.
+
+    Whether the folder is accepted is a row that every table is joined with, not a job of its own.
+    """
+    envelope = spark.read.schema(ENVELOPE).json(f"{path}/_backup").withColumn("file", F.lit(path))
     known = F.coalesce((F.col("format") == marker) & F.col("version").isNotNull(), F.lit(False))
-    row = envelope.select("deviceId", (known & (F.col("version") <= BACKUP_VERSION)).alias("ok"), known.alias("known")).first()
-    accepted = row is not None and row["ok"]
+    ok = known & (F.col("version") <= BACKUP_VERSION)
+    accepted = envelope.filter(ok).select("file", F.col("deviceId").alias("source_device"))
     out = {}
-    for name, row_schema in tables.items():
-        schema = DataType.fromDDL(f"struct<{row_schema}>")
-        rows = spark.read.schema(schema).json(f"{path}/{name}") if accepted else spark.createDataFrame([], schema)
-        out[name] = rows.select(F.lit(path).alias("file"), F.lit(row["deviceId"] if accepted else None).cast("string").alias("source_device"), "*")
-    out["counts"] = envelope.filter(F.lit(accepted)).select("file", F.explode("counts").alias("table", "rows"))
-    out["rejected"] = envelope.filter(F.lit(not accepted)).select(
-        "file", F.when(known, "newer version").otherwise("not a backup").alias("reason"))
+    for name, schema in tables.items():
+        rows = spark.read.schema(DataType.fromDDL(f"struct<{schema}>")).json(f"{path}/{name}")
+        out[name] = rows.withColumn("file", F.lit(path)).join(accepted, "file").select("file", "source_device", *rows.columns)
+    out["counts"] = envelope.filter(ok).select("file", F.explode("counts").alias("table", "rows"))
+    out["rejected"] = envelope.filter(~ok).select("file", F.when(known, "newer version").otherwise("not a backup").alias("reason"))
     return out
 
 
@@ -78,13 +83,11 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
 
     The line reader splits at placemark ends, so a large map is many rows, not one string.
     """
-    pieces = spark.read.text(path, lineSep="</Placemark>").withColumn("file", F.input_file_name()).withColumn(
-        "piece_no", F.monotonically_increasing_id())
-    return placemarks(pieces)
+    return placemarks(text_pieces(spark, path, "</Placemark>"))
 
 
 def placemarks(pieces: DataFrame) -> DataFrame:
-    """``pieces``: file, piece_no, value (the text up to each closing Placemark tag).
+    """``pieces``: file, block, piece, value (the text up to each closing Placemark tag), as ``text_pieces`` gives them.
 
     A placemark's folder is the last one opened at its own depth. Depth is a running sum of
     opening and closing tags, and both steps are cut into buckets of pieces, so that one large
@@ -95,17 +98,19 @@ def placemarks(pieces: DataFrame) -> DataFrame:
     tags = F.regexp_extract_all("value", F.lit(r"(?s)(<Folder[^>]*>(?:\s*<name>(?:.*?)</name>)?|</Folder>)"), F.lit(1))
     body = F.regexp_extract("value", r"(?s).*(<Placemark[ >].*)$", 1)
     opens = ~F.col("tag").startswith("</")
-    moves = pieces.select("file", "piece_no", F.posexplode(tags).alias("tag_no", "tag")).select(
-        "file", "piece_no", "tag_no", F.when(opens, 1).otherwise(-1).alias("delta"),
+    moves = pieces.select("file", "block", "piece", F.posexplode(tags).alias("tag_no", "tag")).select(
+        "file", "block", "piece", "tag_no", F.when(opens, 1).otherwise(-1).alias("delta"),
         F.when(opens, _decode(F.regexp_extract("tag", r"(?s)<name>(.*?)</name>", 1))).alias("opened"),
         F.lit(None).cast("string").alias("body"))
     # Tags come before the placemark that ends their piece.
-    marks = pieces.select("file", "piece_no", F.lit(1 << 30).alias("tag_no"), F.lit(0).alias("delta"),
+    marks = pieces.select("file", "block", "piece", F.lit(1 << 30).alias("tag_no"), F.lit(0).alias("delta"),
                           F.lit(None).cast("string").alias("opened"), body.alias("body")).filter(F.col("body") != "")
-    order, bucket = ["piece_no", "tag_no"], F.floor(F.col("piece_no") / 100000)
-    deep = running_sum_by_bucket(moves.unionByName(marks), ["file"], order, bucket, "delta", "depth")
-    named = carry_forward_by_bucket(deep, ["file", "depth"], order, bucket, "opened", "folder")
+    order = [*ORDER, "tag_no"]
+    deep = running_sum_by_bucket(moves.unionByName(marks), ["file"], order, bucket(), "delta", "depth")
+    named = carry_forward_by_bucket(deep, ["file", "depth"], order, bucket(), "opened", "folder")
     placed = named.filter(F.col("body").isNotNull()).withColumn("folder", F.when(F.col("depth") > 0, F.col("folder")))
+    # A placemark's number is its place among the file's placemarks, from 0.
+    placed = running_sum_by_bucket(placed.withColumn("one", F.lit(1)), ["file"], order, bucket(), "one", "nth")
 
     def geometry(tag: str) -> Column:
         return F.nullif(F.regexp_extract("body", rf"(?s)<{tag}[^>]*>.*?<coordinates>(.*?)</coordinates>", 1), F.lit(""))
@@ -116,7 +121,7 @@ def placemarks(pieces: DataFrame) -> DataFrame:
     point, line, area = geometry("Point"), geometry("LineString"), geometry("Polygon")
     points = parse_coordinates(F.coalesce(point, line, area, inner("coordinates")))
     return placed.select(
-        "file", F.col("piece_no").alias("placemark_no"),
+        "file", (F.col("nth") - 1).alias("placemark_no"),
         _decode(F.coalesce(inner("name"), F.lit("(sin nombre)"))).alias("name"),
         _decode(inner("description")).alias("description"), F.nullif(F.col("folder"), F.lit("")).alias("folder"),
         F.when(point.isNotNull(), "punto").when(line.isNotNull(), "linea").when(area.isNotNull(), "area").otherwise("linea").alias("kind"),

@@ -1,6 +1,7 @@
 """Files in, files out, headers and workbook cells."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -77,6 +78,49 @@ def test_backups(spark, tmp_path):
     assert foreign["events"].isEmpty() and [r.reason for r in foreign["rejected"].collect()] == ["not a backup"]
 
 
+def test_a_large_backup_is_read_by_many_tasks(spark, tmp_path):
+    """One document of nested rows, braces and quotes inside of texts, tables in any order: split by bytes, put together exactly."""
+    rng = random.Random(2)
+    odd = ["}", "{", "]", '"', "\\", "a}b{", '\\"}', "plain", "ñ}", "], \"events\": [{", "\n", "}" * 5]
+    events = [{"id": k, "note": "".join(rng.choices(odd, k=rng.randint(0, 6))), "place": {"lat": k / 7, "tags": ["x", "}"] * rng.randint(0, 3)}, "n": None} for k in range(1500)]
+    audit = [{"id": k, "note": rng.choice(odd)} for k in range(300)]
+    for name, order, indent in (("a", ["format", "version", "deviceId", "counts", "data"], None), ("b", ["data", "counts", "deviceId", "version", "format"], 1)):
+        whole = {"format": "field-backup", "version": 1, "deviceId": f"{name} }}{{\"[", "counts": {"events": 1500, "audit": 300, "none": 0},
+                 "data": {"events": events, "none": [], "audit": audit, "settings": [{"key": "k", "value": {"deep": [[{"a": 1}]]}}]}}
+        (tmp_path / f"{name}.json").write_text(json.dumps({k: whole[k] for k in order}, indent=indent, ensure_ascii=name == "a") + "\n", encoding="utf8")
+    (tmp_path / "cut.json").write_text(json.dumps({"format": "field-backup", "version": 1, "data": {"events": events}})[:5000])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        assert spark.read.text(str(tmp_path / "a.json"), lineSep="}").rdd.getNumPartitions() > 10
+        out = W.read_backups(spark, str(tmp_path), {"events": "id: bigint, note: string, place: struct<lat: double, tags: array<string>>, n: int",
+                                                    "audit": "id: bigint, note: string", "none": "id: bigint", "settings": "key: string, value: string"}, marker="field-backup")
+        got = {(r.file.rsplit("/", 1)[1], r.source_device): [] for r in out["events"].select("file", "source_device").distinct().collect()}
+        for r in out["events"].collect():
+            got[r.file.rsplit("/", 1)[1], r.source_device].append((r.id, r.note, r.place.lat, tuple(r.place.tags)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = sorted((e["id"], e["note"], e["place"]["lat"], tuple(e["place"]["tags"])) for e in events)
+    assert {k: sorted(v) for k, v in got.items()} == {("a.json", 'a }{"['): want, ("b.json", 'b }{"['): want}
+    assert sorted((r.id, r.note) for r in out["audit"].collect()) == sorted((a["id"], a["note"]) for a in audit * 2)
+    assert out["none"].isEmpty() and [json.loads(r.value) for r in out["settings"].collect()] == [{"deep": [[{"a": 1}]]}] * 2
+    assert sorted((r.table, r.rows) for r in out["counts"].collect()) == sorted([("events", 1500), ("audit", 300), ("none", 0)] * 2)
+    assert [(r.file.rsplit("/", 1)[1], r.reason) for r in out["rejected"].collect()] == [("cut.json", "not a backup")]
+
+
+def test_kml_order_holds_over_splits(spark, tmp_path):
+    marks = "".join(f"<Folder><name>F{k // 10}</name>" * (k % 10 == 0) + f"<Placemark><name>P{k}</name><Point><coordinates>-71,{-30 - k / 1000}</coordinates></Point></Placemark>"
+                    + "</Folder>" * (k % 10 == 9) for k in range(500))
+    (tmp_path / "m.kml").write_text(f"<kml>{marks}</kml>", encoding="utf8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = W.read_kml(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.placemark_no, r.name, r.folder) for r in rows} == {(k, f"P{k}", f"F{k // 10}") for k in range(500)}
+
+
 def test_darwin_core_files(spark, tmp_path):
     t = Tables(spark, SF)
     flat = t.flat
