@@ -1,6 +1,6 @@
 """Nearest points by a descent through two cell trees, one over the positions and one over the stations.
 
-Space is a cube of 2^24 metres around the globe (no seam, no pole), split by four along each axis from level
+Space is a cube of 2^24 metres around the globe (no seam, no pole), split by eight along each axis from level
 to level, down to cells of a metre. A tree has one row for each occupied cell of a level: how many points it
 holds and the box around them. Pairs of a position cell and a station cell start at the deepest level where
 one cell holds all stations. In each round the least of the greatest distances between a position cell's box
@@ -21,7 +21,8 @@ from fieldtally.functions.geo import EARTH_RADIUS_M, rounded_m
 from fieldtally.session import written
 
 CAPACITY = 16
-DEPTH = 12          # levels of cells; the cells of the last one are a metre wide
+BITS = 3            # a cell is split by 2 ** BITS along each axis
+DEPTH = 8           # levels of cells; the cells of the last one are a metre wide
 PARTS = 1024        # a crowded cell of the last level is split by a hash of its points
 ROUNDING_M = 2.0    # distances are compared in whole metres, so a station this much farther can still tie
 AXES = "xyz"
@@ -38,7 +39,7 @@ def _space(points: DataFrame, lat: str, lon: str) -> DataFrame:
 
 def _at_level(level: Column, axis: str) -> Column:
     """Cell of a level along an axis; below the last level cells are no smaller, only their parts are."""
-    return F.call_function("shiftright", F.col(f"f{axis}"), 2 * (DEPTH - F.least(level, F.lit(DEPTH))))
+    return F.call_function("shiftright", F.col(f"f{axis}"), BITS * (DEPTH - F.least(level, F.lit(DEPTH))))
 
 
 def _leveled(points: DataFrame, levels: list[int], lat: str, lon: str) -> DataFrame:
@@ -54,33 +55,42 @@ def _cells(points: DataFrame, levels: list[int], lat: str, lon: str) -> DataFram
     return _leveled(points, levels, lat, lon).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), *box)
 
 
+SIDE = [*CELL, "n", *(f"{end}_{a}" for a in AXES for end in ("lo", "hi"))]
+P_SIDE, S_SIDE = [f"p_{c}" for c in SIDE], [f"s_{c}" for c in (*SIDE, "leaf")]
+
+
 def _renamed(cells: DataFrame, side: str, *more: str) -> DataFrame:
-    return cells.select(*[F.col(c).alias(f"{side}_{c}") for c in (*CELL, "n", *(f"{e}_{a}" for a in AXES for e in ("lo", "hi")), *more)])
+    return cells.selectExpr(*[f"{c} AS {side}_{c}" for c in (*SIDE, *more)])
 
 
-def _parent(side: str, axis: str) -> Column:
-    """A child's parent cell; the parts of a cell of the last level have that cell as their parent."""
-    return F.when(F.col(f"{side}_level") > DEPTH, F.col(f"{side}_c{axis}")).otherwise(F.shiftright(F.col(f"{side}_c{axis}"), 2))
+def _up(side: str, child: bool) -> list[str]:
+    """A cell's key as a parent, or a child's parent's; the parts of a cell of the last level have that cell as their parent."""
+    return [f"if({side}_level > {DEPTH}, {side}_c{a}, shiftright({side}_c{a}, {BITS})) AS up_{a}" if child else f"{side}_c{a} AS up_{a}" for a in AXES]
 
 
 def _judged(pairs: DataFrame, max_m: float | None, last: int) -> DataFrame:
     """Pairs that can still hold a nearest station, and whether their position cell is ``done``."""
-    from pyspark.sql import Window
+    own = "OVER (PARTITION BY " + ", ".join(f"p_{c}" for c in CELL) + ")"
+    gap = " + ".join(f"pow(greatest(0D, p_lo_{a} - s_hi_{a}, s_lo_{a} - p_hi_{a}), 2)" for a in AXES)
+    span = " + ".join(f"pow(greatest(p_hi_{a} - s_lo_{a}, s_hi_{a} - p_lo_{a}), 2)" for a in AXES)
+    # The pairs of a position cell are bounded: what a round leaves, times the children of a cell.
+    near = pairs.selectExpr("*", f"sqrt({gap}) AS least", f"min(sqrt({span})) {own} AS bound")
+    near = near.filter(f"least <= bound + {ROUNDING_M}" + ("" if max_m is None else f" AND least <= {max_m + ROUNDING_M}"))
+    few = f"sum(s_n) {own} <= {4 * CAPACITY} OR p_n <= 1 OR p_level > max(s_level) {own} OR p_level >= {last}"
+    return near.selectExpr(*P_SIDE, *S_SIDE, f"min(int(s_leaf)) {own} = 1 AND ({few}) AS done")
 
-    def square(terms):
-        return reduce(Column.__add__, [t * t for t in terms])
 
-    gaps = [F.greatest(F.lit(0.0), F.col(f"p_lo_{a}") - F.col(f"s_hi_{a}"), F.col(f"s_lo_{a}") - F.col(f"p_hi_{a}")) for a in AXES]
-    spans = [F.greatest(F.col(f"p_hi_{a}") - F.col(f"s_lo_{a}"), F.col(f"s_hi_{a}") - F.col(f"p_lo_{a}")) for a in AXES]
-    # The pairs of a position cell are bounded: what a round leaves, times the children of a cell.
-    own = Window.partitionBy(*[f"p_{c}" for c in CELL])
-    near = pairs.withColumns({"least": F.sqrt(square(gaps)), "bound": F.min(F.sqrt(square(spans))).over(own)})
-    near = near.filter(F.col("least") <= F.col("bound") + ROUNDING_M)
-    if max_m is not None:
-        near = near.filter(F.col("least") <= max_m + ROUNDING_M)
-    small = F.min(F.col("s_leaf").cast("int")).over(own) == 1
-    few = (F.sum("s_n").over(own) <= 4 * CAPACITY) | (F.col("p_n") <= 1) | (F.col("p_level") > F.max("s_level").over(own)) | (F.col("p_level") >= last)
-    return near.withColumn("done", small & few).drop("least", "bound")
+def _descended(still: DataFrame, tree: DataFrame, grounds: DataFrame, level: int, last: int) -> DataFrame:
+    """Open pairs of a level, both cells replaced by their occupied children. A station cell that needn't be split
+    stands in for its children, and so does a position cell at the last level."""
+    below, up = F.col("level") == level + 1, [f"up_{a}" for a in AXES]
+    children = _renamed(tree.filter(below), "s", "leaf").selectExpr(*S_SIDE, *_up("s", True))
+    split = still.filter("NOT s_leaf").selectExpr(*P_SIDE, *_up("s", False)).join(children, up)
+    pairs = split.select(*P_SIDE, *S_SIDE).union(still.filter("s_leaf").select(*P_SIDE, *S_SIDE))
+    if level >= last:
+        return pairs
+    grown = _renamed(grounds.filter(below), "p").selectExpr(*P_SIDE, *_up("p", True))
+    return pairs.selectExpr(*S_SIDE, *_up("p", False)).join(grown, up).select(*P_SIDE, *S_SIDE)
 
 
 def candidates(positions: DataFrame, stations: DataFrame, max_m: float | None = None) -> DataFrame | None:
@@ -102,29 +112,20 @@ def candidates(positions: DataFrame, stations: DataFrame, max_m: float | None =
 
     root = _renamed(tree.filter(F.col("level") == top), "s", "leaf").first()  # one cell holds all stations
     pairs = _renamed(grounds.filter(F.col("level") == top), "p").withColumns({c: F.lit(v) for c, v in root.asDict().items()})
-    done, level, ended = [], top, []
+    judged, level = _judged(pairs, max_m, last), top
+    done, ended = [], set()
     while True:
-        judged = written(_judged(pairs, max_m, last), "cell-pairs")
-        state = judged.agg(F.max(F.col("done").cast("int")).alias("any"), F.min(F.col("done").cast("int")).alias("all")).first()
-        if state["any"]:
-            done.append(judged.filter("done"))
-            ended.append(level)
-        if state["all"] != 0:
+        # Two levels a round: what the first one settles passes through the second.
+        below = _judged(_descended(judged.filter("NOT done"), tree, grounds, level, last), max_m, last)
+        judged = written(judged.filter("done").union(below), "cell-pairs")
+        state = judged.groupBy("done").agg(F.collect_set("p_level").alias("levels")).collect()
+        for found in state:
+            if found["done"]:
+                done.append(judged.filter("done"))
+                ended.update(found["levels"])
+        if all(found["done"] for found in state):
             break
-        still = judged.filter("not done").drop("done")
-        below = F.col("level") == level + 1
-        # A station cell that needn't be split stands in for its children, and so does a position cell at the last level.
-        s_columns = [c for c in still.columns if c.startswith("s_")]
-        children = _renamed(tree.filter(below), "s", "leaf").withColumns({f"up_{a}": _parent("s", a) for a in AXES})
-        split = still.filter("not s_leaf").select(*[c for c in still.columns if c not in s_columns], *[F.col(f"s_c{a}").alias(f"up_{a}") for a in AXES])
-        narrow = split.join(children, [f"up_{a}" for a in AXES]).select(*still.columns).unionByName(still.filter("s_leaf"))
-        if level < last:
-            grown = _renamed(grounds.filter(below), "p").withColumns({f"up_{a}": _parent("p", a) for a in AXES})
-            up = narrow.select(*s_columns, *[F.col(f"p_c{a}").alias(f"up_{a}") for a in AXES])
-            pairs = up.join(grown, [f"up_{a}" for a in AXES]).select(*still.columns)
-        else:
-            pairs = narrow
-        level += 1
+        judged, level = _judged(_descended(judged.filter("NOT done"), tree, grounds, level + 1, last), max_m, last), level + 2
     if not done:
         return None
     settled = reduce(DataFrame.unionByName, done).select(*[f"p_{c}" for c in CELL], *[f"s_{c}" for c in CELL])
@@ -133,7 +134,7 @@ def candidates(positions: DataFrame, stations: DataFrame, max_m: float | None =
     held = _leveled(placed, [k for k in every if top <= k <= deepest], "s_lat", "s_lon").join(leaves, CELL).groupBy(*CELL).agg(
         F.collect_list(F.struct(F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"), F.col("n_station_id").alias("station_id"))).alias("near"))
     near = settled.join(held.select(*[F.col(c).alias(f"s_{c}") for c in CELL], "near"), [f"s_{c}" for c in CELL])
-    at = _leveled(spots, sorted({min(k, last) for k in ended}), "lat", "lon").select("lat", "lon", *[F.col(c).alias(f"p_{c}") for c in CELL])
+    at = _leveled(spots, sorted(ended), "lat", "lon").select("lat", "lon", *[F.col(c).alias(f"p_{c}") for c in CELL])
     return at.join(near, [f"p_{c}" for c in CELL]).select("lat", "lon", "near")
 
 
@@ -142,6 +143,7 @@ def nearest_places(positions: DataFrame, stations: DataFrame, max_m: float | Non
     found = candidates(positions, stations, max_m)
     if found is None:
         return None
-    nearest = F.array_min(F.transform("near", lambda s: F.struct(rounded_m(F.col("lat"), F.col("lon"), s["lat"], s["lon"]).alias("d"), s["station_id"].alias("station_id"))))
-    best = found.groupBy("lat", "lon").agg(F.min(nearest).alias("best"))
+    # One row a station and position, reduced where it arises: plain columns stay in generated code, a fold over the array would not.
+    pairs = found.select("lat", "lon", F.explode("near").alias("s"))
+    best = pairs.groupBy("lat", "lon").agg(F.min(F.struct(rounded_m("lat", "lon", "s.lat", "s.lon").alias("d"), F.col("s.station_id").alias("station_id"))).alias("best"))
     return best if max_m is None else best.filter(F.col("best.d") <= max_m)
