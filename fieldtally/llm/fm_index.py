@@ -22,22 +22,21 @@ class Bits:
 
 
 class FMIndex:
-    """Finds all patterns of up to 16 symbols; suffixes are sorted by their first 16 symbols.
+    """Finds all patterns of up to ``depth`` symbols; suffixes are sorted by their first ``depth`` symbols or more.
 
-    Symbols are 0 .. ``symbols`` - 1. Two suffixes alike in 16 symbols stand in order of position, which
-    leaves the rows of every pattern of up to 16 symbols next to each other.
+    Symbols are 0 .. ``symbols`` - 1. Two suffixes alike in so many symbols stand in order of position, which
+    leaves the rows of every pattern of up to ``depth`` symbols next to each other.
     """
 
-    DEPTH = 16
-
-    def __init__(self, text: np.ndarray, symbols: int):
+    def __init__(self, text: np.ndarray, symbols: int, depth: int = 16):
         rank = text.astype(np.int64)
         length = 1
-        while length < self.DEPTH:
+        while length < depth:
             tail = np.zeros(len(rank), np.int64)
             tail[:-length] = rank[length:] + 1
             rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + tail, return_inverse=True)[1]
             length *= 2
+        self.depth = length
         self.suffixes = np.argsort(rank, kind="stable").astype(np.int32)
         row = text[self.suffixes - 1].astype(np.int32)  # the symbol before each suffix, the last one before the first
         self.first = np.append(0, np.cumsum(np.bincount(text, minlength=symbols))).astype(np.int32)
@@ -67,6 +66,8 @@ class FMIndex:
 
         A window whose interval has come down to a single row is its own only match and leaves the search.
         """
+        if length > self.depth:
+            raise ValueError(f"the index sorts {self.depth} symbols, a pattern has {length}")
         which = np.arange(len(starts))
         last = text[starts + length - 1]
         low, high = self.first[last], self.first[last + 1]

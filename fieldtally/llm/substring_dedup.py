@@ -2,11 +2,13 @@
 
 Windows are dealt to shards by their minimizer, the least hash of the word runs inside, so equal windows
 meet in one shard and consecutive windows travel as one stretch of text. Stretches whose minimizer only
-one document has can't repeat and stay where they are. In a shard the distinct stretches, each with its
-least document, get an FM-index (a wavelet matrix over the transform), and all of them are streamed
-against it: backward search gives each window's matches, and the least document among them. The places
-of a stretch never enter the shard: they meet its result in a join, a batch of documents a row, and
-become intervals of words.
+one document has can't repeat and stay where they are. Of the others, digests go ahead of the texts: where
+all stretches of a minimizer are one text there is nothing to search, its least document is the answer. Only
+minimizers with several texts send them to a shard. There the distinct stretches, each with its least
+document, get an FM-index (a wavelet matrix over the transform), and all of them are streamed against it:
+backward search gives each window's matches, and the least document among them. The places of a stretch
+never enter the shard: they meet its result in a join, a batch of documents a row, and become intervals of
+words.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from fieldtally.llm.shingles import WordHashes, avalanche, rolling
 
 #: Bits of the table of minimizers with very many contexts, and of the table of documents with repeats.
 HOT_BITS, DOC_BITS = 20, 22
+#: Bits of the table of texts that are searched.
+TEXT_BITS = 25
 
 
 def _stretches(piece: dict[str, list], window: int, run: int, hashes: WordHashes):
@@ -114,12 +118,12 @@ def _masks(docs: DataFrame, window: int, run: int, mask_bits: int, hot: int) ->
 
 
 def _dealt(docs: DataFrame, window: int, run: int, mask_bits: int, hot: int) -> DataFrame:
-    """(key, content, digest, least, most, n_words, doc_ids, starts): stretches that may repeat, equal ones of a batch as one row."""
+    """(key, d1, d2, least, most, n_words, content, doc_ids, starts): stretches that may repeat, equal ones of a batch as one row."""
     import xxhash  # noqa: F401  workers need it
 
     masks = docs.sparkSession.sparkContext.broadcast(_masks(docs, window, run, mask_bits, hot))
-    schema = pa.schema([("key", pa.int64()), ("content", pa.binary()), ("digest", pa.binary()), ("least", pa.int64()), ("most", pa.int64()),
-                        ("n_words", pa.int32()), ("doc_ids", pa.binary()), ("starts", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("least", pa.int64()), ("most", pa.int64()),
+                        ("n_words", pa.int32()), ("content", pa.binary()), ("doc_ids", pa.binary()), ("starts", pa.binary())])
 
     def deal(rows):
         from xxhash import xxh3_128_digest
@@ -143,12 +147,46 @@ def _dealt(docs: DataFrame, window: int, run: int, mask_bits: int, hot: int) ->
                     found[key, b" ".join(content)].append((piece["doc_id"][owner[k]], int(place[k]) + step))
             if found:
                 at = [np.array(v, np.int64) for v in found.values()]
-                yield arrow_rows(schema, [np.array([k for k, _ in found], np.uint64).view(np.int64), [c for _, c in found],
-                                          [xxh3_128_digest(c) for _, c in found], [int(v[:, 0].min()) for v in at], [int(v[:, 0].max()) for v in at],
-                                          [c.count(b" ") + 1 for _, c in found],
+                contents = [c for _, c in found]
+                digests = np.frombuffer(b"".join(map(xxh3_128_digest, contents)), np.int64).reshape(-1, 2)
+                yield arrow_rows(schema, [np.array([k for k, _ in found], np.uint64).view(np.int64), digests[:, 0], digests[:, 1],
+                                          [int(v[:, 0].min()) for v in at], [int(v[:, 0].max()) for v in at],
+                                          [c.count(b" ") + 1 for c in contents], contents,
                                           [v[:, 0].tobytes() for v in at], [v[:, 1].astype(np.int32).tobytes() for v in at]])
 
-    return docs.mapInArrow(deal, "key long, content binary, digest binary, least long, most long, n_words int, doc_ids binary, starts binary")
+    return docs.mapInArrow(deal, "key long, d1 long, d2 long, least long, most long, n_words int, content binary, doc_ids binary, starts binary")
+
+
+ALONE, SEARCH = 0, 1
+
+
+def _meet(rows):
+    """Sorted (key, d1, d2, least, most) as (kind, d1, d2, first): the one text of a minimizer that several documents
+    have, settled, and each text of a minimizer with several texts and documents, to be searched."""
+    names = ["key", "d1", "d2", "least", "most"]
+    schema = pa.schema([("kind", pa.int8()), ("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.int64())])
+    held = [np.zeros(0, np.int64)] * len(names)
+
+    def judged(key, d1, d2, least, most):
+        text = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])))
+        key, d1, d2 = key[text], d1[text], d2[text]
+        least, most = np.minimum.reduceat(least, text), np.maximum.reduceat(most, text)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        texts = np.diff(np.append(first, len(key)))
+        several = np.repeat((texts > 1) & (np.minimum.reduceat(least, first) < np.maximum.reduceat(most, first)), texts)
+        alone = np.repeat(texts == 1, texts) & (least < most)
+        at = np.flatnonzero(alone | several)
+        return arrow_rows(schema, [np.where(several[at], SEARCH, ALONE).astype(np.int8), d1[at], d2[at], least[at]])
+
+    for batch in rows:
+        held = [np.concatenate([h, np.asarray(batch.column(c))]) for h, c in zip(held, names)]
+        if len(held[0]):
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield judged(*(h[:last] for h in held))
+                held = [h[last:] for h in held]
+    if len(held[0]):
+        yield judged(*held)
 
 
 class Shard:
@@ -156,12 +194,12 @@ class Shard:
 
     def __init__(self):
         self.contents: dict[bytes, int] = {}
-        self.digests: list[bytes] = []
+        self.digests: list = []
         self.least: list[int] = []
         self.most: list[int] = []
         self.size = 0
 
-    def add(self, content: bytes, digest: bytes, least: int, most: int) -> None:
+    def add(self, content: bytes, digest, least: int, most: int) -> None:
         k = self.contents.setdefault(content, len(self.contents))
         if k == len(self.digests):
             self.digests.append(digest)
@@ -193,7 +231,7 @@ class Shard:
         starts = np.arange(int(n_windows.sum())) - base[own] + begins[own]
         first_doc = low_doc[own]
         if len(starts) > 1:
-            index = FMIndex(text, len(number) + 1)
+            index = FMIndex(text, len(number) + 1, window)
             which, low, high = index.matching(text, starts, window)
             if len(which):
                 rows, back = np.unique(low, return_inverse=True)
@@ -234,7 +272,7 @@ def _intervals(batch: pa.RecordBatch, window: int) -> list[np.ndarray]:
             np.concatenate([places[later] + lengths[of[later]], places[place] + spans[run, 1] + window])]
 
 
-def repeated_passages(docs: DataFrame, window: int = 13, run: int = 5, mask_bits: int = 26, hot: int = 20_000,
+def repeated_passages(docs: DataFrame, window: int = 13, run: int = 5, mask_bits: int = 28, hot: int = 20_000,
                       shard_words: int = 1 << 17) -> DataFrame:
     """(doc_id, first_word, end_word): intervals of words covered by windows that a smaller id has too.
 
@@ -244,28 +282,49 @@ def repeated_passages(docs: DataFrame, window: int = 13, run: int = 5, mask_bits
     """
     own = id_text(docs).filter("doc_id is not null")
     schema = pa.schema([("doc_id", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
-    results = pa.schema([("digest", pa.binary()), ("first", pa.int64()), ("runs", pa.binary())])
+    results = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.int64()), ("runs", pa.binary())])
+
+    def told(shard):
+        digests, first, runs = shard.repeats(window)
+        return arrow_rows(results, [[d for d, _ in digests], [d for _, d in digests], first, runs])
 
     def search(rows):
         shard, last = Shard(), None
         for batch in rows:
-            for key, content, digest, least, most in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "digest", "least", "most"))):
+            for key, d1, d2, least, most, content in zip(*(batch.column(c).to_pylist() for c in ("key", "d1", "d2", "least", "most", "content"))):
                 if shard.size >= shard_words and key != last:
-                    yield arrow_rows(results, list(shard.repeats(window)))
+                    yield told(shard)
                     shard = Shard()
-                shard.add(content, digest, least, most)
+                shard.add(content, (d1, d2), least, most)
                 last = key
         if shard.contents:
-            yield arrow_rows(results, list(shard.repeats(window)))
+            yield told(shard)
 
     def place(rows):
         for batch in rows:
             yield arrow_rows(schema, _intervals(batch, window))
 
     dealt = written(_dealt(own, window, run, mask_bits, hot), "stretches")
-    contents = dealt.select("key", "content", "digest", "least", "most").repartition("key").sortWithinPartitions("key")
-    settled = contents.mapInArrow(search, "digest binary, first long, runs binary")
-    return dealt.select("digest", "n_words", "doc_ids", "starts").join(settled, "digest").mapInArrow(place, "doc_id long, first_word long, end_word long")
+    digests = dealt.select("key", "d1", "d2", "least", "most").repartition("key").sortWithinPartitions("key", "d1", "d2")
+    met = written(digests.mapInArrow(_meet, "kind byte, d1 long, d2 long, first long"), "digests")
+    alone = met.filter(F.col("kind") == ALONE).select("d1", "d2", "first", F.lit(b"").alias("runs"))
+
+    def fill(rows, bits):
+        for batch in rows:
+            _set(bits, np.asarray(batch.column("d1")).view(np.uint64) >> np.uint64(64 - TEXT_BITS))
+
+    # Texts to be searched, by a table of fixed size: it lets all of them through, and a few that are settled.
+    asked = docs.sparkSession.sparkContext.broadcast(
+        additive_table(met.filter(F.col("kind") == SEARCH).select("d1"), fill, 1 << TEXT_BITS - 3, "uint8", np.bitwise_or))
+
+    def wanted(rows):
+        for batch in rows:
+            yield batch.filter(pa.array(_has(asked.value, np.asarray(batch.column("d1")).view(np.uint64) >> np.uint64(64 - TEXT_BITS))))
+
+    columns = "key long, d1 long, d2 long, least long, most long, content binary"
+    texts = dealt.select("key", "d1", "d2", "least", "most", "content").mapInArrow(wanted, columns).repartition("key").sortWithinPartitions("key")
+    settled = alone.union(texts.mapInArrow(search, "d1 long, d2 long, first long, runs binary"))
+    return dealt.select("d1", "d2", "n_words", "doc_ids", "starts").join(settled, ["d1", "d2"]).mapInArrow(place, "doc_id long, first_word long, end_word long")
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, **more) -> DataFrame:

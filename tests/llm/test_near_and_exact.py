@@ -248,6 +248,26 @@ def test_repeats(documents, more):
     assert found == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("window", [5, 16, 20, 50])
+def test_repeats_of_other_windows(documents, window):
+    """Passages that agree in far more than sixteen words and part then, so that a shallow sort would mix them up."""
+    rng = random.Random(window)
+    base = [f"b{k}" for k in range(90)]
+    rows = []
+    for d in range(40):
+        a = rng.randint(0, 20)
+        text = base[a:a + rng.randint(30, 65)]
+        text[rng.randint(17, len(text) - 1)] = rng.choice("xyz")
+        rows.append((d, " ".join(text)))
+    found = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in S.remove_repeats(documents(rows), window, shard_words=400).collect()}
+    assert found == brute_repeats(rows, window)
+
+
+def test_fm_index_refuses_longer_patterns():
+    with pytest.raises(ValueError, match="sorts 16 symbols"):
+        FMIndex(np.zeros(50, np.int32), 1).matching(np.zeros(50, np.int32), np.zeros(1, np.int64), 17)
+
+
 def test_repeats_in_rows_of_one_document_and_empty_table(documents):
     text = " ".join(f"r{k}" for k in range(20))
     got = S.remove_repeats(documents([(1, text), (1, text), (2, text)])).collect()
