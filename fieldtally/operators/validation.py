@@ -49,13 +49,51 @@ def resolve_requirements(contexts: DataFrame, config: DataFrame, *, profile: str
     )
 
 
-def requirement_maps(contexts: DataFrame, config: DataFrame, *, profile: str = STANDARD_ID) -> DataFrame:
-    """One row per context with the requirements of ``field_values``'s fields, in that order."""
-    position = S.lookup("field", {name: i for i, name in enumerate(field_values())})
-    rows = resolve_requirements(contexts, config, profile=profile).withColumn("_i", position).filter(F.col("_i").isNotNull())
-    return rows.groupBy(*CONTEXT).agg(
-        F.array_sort(F.collect_list(F.struct("_i", "requirement")))["requirement"].alias("requirements")
-    )
+LEVELS = ("hidden", "optional", "recommended", "required")
+
+
+def _rule_masks(config: DataFrame, profile: str) -> Column:
+    """The profile as one value: map of a level and its value to a bit mask of fields for each requirement.
+
+    A bit is a field of ``field_values`` by its place. The map has one entry a configured value and is a scalar
+    subquery, so drafts look their rules up where they are instead of meeting them in joins.
+    """
+    bit = S.lookup("field", {name: 1 << i for i, name in enumerate(field_values())})
+    key = F.when(F.col("level").isin("base", "threatened"), F.col("level")).otherwise(F.concat_ws("|", "level", "level_value"))
+    masks = config.filter(F.col("profile") == profile).withColumn("bit", bit.cast("long")).groupBy(key.alias("key")).agg(
+        *[F.bit_or(F.when(F.col("requirement") == r, F.coalesce("bit", F.lit(0))).otherwise(0)).alias(r) for r in LEVELS])
+    return masks.agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct(*LEVELS))))).scalar()
+
+
+def _with_requirements(rows: DataFrame, config: DataFrame, profile: str) -> DataFrame:
+    """Rows with ``must`` and ``should``: bit masks of the fields that are required and recommended in their context.
+
+    The rules of ``resolve_requirements`` as mask arithmetic: a later level takes the place of an earlier one in
+    the fields it names; the record type leaves alone what the method hides; a threatened taxon only raises.
+    """
+    def found(key: Column) -> Column:
+        return F.element_at("rules", key)
+
+    def word(level: str, requirement: str) -> Column:
+        return F.coalesce(F.col(f"{level}_rules.{requirement}"), F.lit(0).cast("long"))
+
+    keyed = rows.withColumn("rules", _rule_masks(config, profile)).withColumns({
+        "base_rules": found(F.lit("base")), "group_rules": found(F.concat(F.lit("group|"), "tax_group")), "method_rules": found(F.concat(F.lit("method|"), "method")),
+        "type_rules": found(F.concat(F.lit("record_type|"), "record_type")), "threatened_rules": F.when(F.col("threatened"), found(F.lit("threatened")))})
+    value = {r: word("base", r) for r in LEVELS}
+    for level in ("group", "method", "type"):
+        own = {r: word(level, r) for r in LEVELS}
+        if level == "type":
+            open_ = F.bitwise_not(word("method", "hidden"))
+            own = {r: own[r].bitwiseAND(open_) for r in LEVELS}
+        free = F.bitwise_not(own["hidden"].bitwiseOR(own["optional"]).bitwiseOR(own["recommended"]).bitwiseOR(own["required"]))
+        names = {f"{level}_{r}": value[r].bitwiseAND(free).bitwiseOR(own[r]) for r in LEVELS}
+        keyed = keyed.withColumns(names)
+        value = {r: F.col(f"{level}_{r}") for r in LEVELS}
+    shown = F.bitwise_not(value["hidden"])
+    keyed = keyed.withColumn("must", value["required"].bitwiseOR(word("threatened", "required").bitwiseAND(shown)))
+    keyed = keyed.withColumn("should", value["recommended"].bitwiseOR(word("threatened", "recommended").bitwiseAND(shown)).bitwiseAND(F.bitwise_not("must")))
+    return keyed.drop("rules", *[f"{x}_rules" for x in ("base", "group", "method", "type", "threatened")], *[f"{x}_{r}" for x in ("group", "method", "type") for r in LEVELS])
 
 
 def field_values() -> dict[str, Column]:
@@ -80,21 +118,14 @@ def field_values() -> dict[str, Column]:
 
 
 def prepare_drafts(drafts: DataFrame, taxa: DataFrame, config: DataFrame, *, profile: str = STANDARD_ID) -> DataFrame:
-    """Drafts with their taxon and the requirements of their context: two joins, no explosion."""
+    """Drafts with their taxon and the requirements of their context: one join, no explosion."""
     rows = drafts.join(
         taxa.select("taxon_id", "common_name", "scientific_name", "tax_group", "tax_order", "rce", "iucn", "origin",
                     "endemic", "rce_decree", "conservation_source"),
         "taxon_id", "left",
     ).withColumn("threatened", S.is_threatened("rce", "iucn"))
-    maps = requirement_maps(rows, config, profile=profile)
-    same = None
-    renamed = maps.withColumnsRenamed({c: f"_{c}" for c in CONTEXT})
-    for c in CONTEXT:
-        part = F.col(c).eqNullSafe(F.col(f"_{c}"))
-        same = part if same is None else same & part
-    joined = rows.join(renamed, same, "left").drop(*[f"_{c}" for c in CONTEXT])
     nothing, several, corrected = _asks_for_taxon()
-    return joined.withColumns(
+    return _with_requirements(rows, config, profile).withColumns(
         {
             "fix_reason": S.location_fix_reason("rce", "iucn", "tax_group", "tax_order", "record_type"),
             "taxon_asked": nothing | several | corrected,
@@ -130,20 +161,19 @@ def field_states() -> Column:
 
     States: pending (required), info (recommended), silent (pending without a message). One plain
     expression a field, which compiles; ``prepare_drafts`` has already put the conditions shared by all
-    fields into columns, and requirements come in field order.
+    fields into columns, and requirements are masks over the fields' places.
     """
     def state(i: int, name: str, value: Column) -> Column:
-        needed = F.coalesce(F.get("requirements", F.lit(i)), F.lit(FALLBACK))
-        asked, silent = needed.isin("required", "recommended"), F.array_contains("acknowledged", name)
+        must = F.col("must").bitwiseAND(F.lit(1 << i)) != 0
+        asked, silent = must | (F.col("should").bitwiseAND(F.lit(1 << i)) != 0), F.array_contains("acknowledged", name)
         if name == "occurrenceCoordinates":
-            asked = (needed == "required") | F.col("fix_reason").isNotNull()
-            needed = F.lit("required")
+            asked, must = must | F.col("fix_reason").isNotNull(), F.lit(True)
         if name == "taxon":
             asked = asked & ~(F.col("taxon_asked") & (F.size("candidates") == 0))
             silent = F.col("taxon_asked") | silent
         return F.when(blank(value) & asked, F.struct(
             F.lit(name).alias("field"),
-            F.when(silent, "silent").when(needed == "required", "pending").otherwise("info").alias("state")))
+            F.when(silent, "silent").when(must, "pending").otherwise("info").alias("state")))
 
     return F.array_compact(F.array(*[state(i, name, value) for i, (name, value) in enumerate(field_values().items())]))
 
