@@ -6,29 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions.survey import live
+from fieldtally.session import shared_folder
 
 # Reading order of the flat table; the id makes it total.
 FLAT_ORDER = ["event_date", "occurrence_time", "created_at", "occurrence_id"]
+FACT = ["measurement_type", "measurement_value", "measurement_unit", "measurement_method"]
 
 
 def flatten(
     occurrences: DataFrame, events: DataFrame, stations: DataFrame,
-    taxa: DataFrame, projects: DataFrame, campaigns: DataFrame,
+    taxa: DataFrame, projects: DataFrame, campaigns: DataFrame, facts: DataFrame | None = None,
 ) -> DataFrame:
-    """Live records with their event, station, site, project, campaign and taxon.
+    """Live records with their event, station, site, project, campaign and taxon, and their stored facts.
 
     One shuffle (records with events). The dimensions carry no hint: Catalyst broadcasts those
     whose size is under the session's limit and shuffles the others, and AQE splits hot keys.
+    ``facts`` (occurrence_id and the measurement columns) become an array of each record, in order of
+    their type and value; a record has as many as its form has fields.
     """
     dims = _with_dims(
         events.withColumnRenamed("deleted_at", "event_deleted_at"), stations, projects, campaigns
     )
-    return (
-        live(occurrences)
-        .drop("deleted_at")
-        .join(dims, "event_id")
-        .join(taxa, "taxon_id", "left")
-    )
+    records = live(occurrences).drop("deleted_at")
+    if facts is not None:
+        told = [c for c in FACT if c in facts.columns]
+        listed = facts.groupBy("occurrence_id").agg(F.array_sort(F.collect_list(F.struct(*told))).alias("facts"))
+        records = records.join(listed, "occurrence_id", "left").withColumn("facts", F.coalesce("facts", F.array().cast(listed.schema["facts"].dataType)))
+    return records.join(dims, "event_id").join(taxa, "taxon_id", "left")
+
+
+def write_star(flat: DataFrame, *, buckets: int | None = None) -> DataFrame:
+    """The flat records written once, in buckets by event, for reports that read them several times.
+
+    The table lies in the shared folder. Grouping it by event, or joining it with another table by event,
+    needs no exchange of the records.
+    """
+    spark = flat.sparkSession
+    folder = shared_folder(spark, "star")
+    name = "star_" + folder.rsplit("-", 1)[1]
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flat.repartition(n, "event_id").write.bucketBy(n, "event_id").sortBy("event_id").option("path", folder).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
 
 
 def _with_dims(events: DataFrame, stations: DataFrame, projects: DataFrame, campaigns: DataFrame) -> DataFrame:
@@ -58,12 +76,11 @@ def event_rows(events: DataFrame, stations: DataFrame, projects: DataFrame, camp
 def one_per_key(flat: DataFrame, key: str) -> DataFrame:
     """First flat record of each key in reading order.
 
-    The winners are found over the ordering columns alone (a partial aggregate, never a full
-    window) and the wide rows are then picked by id.
+    One pass: each task keeps its best row of a key, and only those meet. On ``write_star``'s table and by
+    event, they already have.
     """
-    winner = F.min_by("occurrence_id", F.struct(*[F.col(c) for c in FLAT_ORDER]))
-    winners = flat.filter(F.col(key).isNotNull()).groupBy(key).agg(winner.alias("occurrence_id"))
-    return flat.join(winners.select("occurrence_id"), "occurrence_id", "left_semi")
+    first = F.min_by(F.struct(*[F.col(c) for c in flat.columns]), F.struct(*[F.col(c) for c in FLAT_ORDER]))
+    return flat.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(first.alias("_first")).select("_first.*")
 
 
 def recent_records(occurrences: DataFrame, limit: int = 200) -> DataFrame:

@@ -38,6 +38,13 @@ class Tables:
 
         return flatten(self.occurrence, self.event, self.station, self.taxon, self.project, self.campaign)
 
+    @property
+    def star(self) -> DataFrame:
+        """The flat records as a written table, for queries that read them several times."""
+        from fieldtally.operators.star import write_star
+
+        return write_star(self.flat)
+
 
 def register(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None, **extra_views: str) -> None:
     if name in REGISTRY:
