@@ -72,11 +72,10 @@ def _best_match(q: Column, aliases: list[tuple[int, str, str]]) -> Column:
         close = (F.abs(F.length(a["alias"]) - n) <= 2) & (n >= 5)
         return close & F.levenshtein(a["alias"], q, 2).between(0, 2)
 
-    exact = F.array_min(F.transform(F.filter(table, lambda a: a["alias"] == q), lambda a: scored(a, F.lit(1.0))))
     inside = F.array_min(F.transform(F.filter(table, contained), lambda a: scored(a, 0.6 + 0.25 * ratio(a))))
     spelled = F.array_min(F.transform(F.filter(table, typo), lambda a: scored(
         a, F.when(F.levenshtein(a["alias"], q, 2) == 1, 0.65).otherwise(0.55))))
-    return F.struct(exact.alias("exact"), inside.alias("inside"), spelled.alias("spelled"))
+    return F.struct(inside.alias("inside"), spelled.alias("spelled"))
 
 
 def match_headers(headers: DataFrame, extra: list[tuple[str, str]] = (), column: str = "header") -> DataFrame:
@@ -97,15 +96,21 @@ def match_headers(headers: DataFrame, extra: list[tuple[str, str]] = (), column:
     )
     rows = headers.filter(raw.isNotNull()).select(column).distinct().select(column, F.explode(forms).alias("v")).select(
         column, "v.form", "v.q").filter(F.coalesce(F.col("q"), F.lit("")) != "")
-    scored = rows.withColumn("m", _best_match(F.col("q"), aliases))
+    # Nothing beats an equal alias, so only headers without one are scored against the whole list.
+    known: dict[str, tuple[int, str]] = {}
+    for order, alias, field in aliases:
+        known.setdefault(alias, (order, field))
+    equal = F.from_json(F.lit(json.dumps({a: {"order": o, "field": f} for a, (o, f) in known.items()})), "map<string,struct<order:int,field:string>>")
+    rows = rows.withColumn("equal", F.element_at(equal, F.col("q")))
+    hit = F.struct(F.lit(-1.0).alias("loss"), F.col("equal.order").alias("order"), F.col("equal.field").alias("field"), F.col("q").alias("alias"))
+    rows = rows.withColumn("exact", F.when(F.col("equal").isNotNull(), hit)).drop("equal")
+    exact = rows.filter(F.col("exact").isNotNull()).groupBy(column).agg(F.min_by("exact", "form").alias("best"))
+    scored = rows.join(exact.select(column), column, "left_anti").withColumn("m", _best_match(F.col("q"), aliases))
     inside_wins = F.col("m.inside.loss") <= F.coalesce(F.col("m.spelled.loss"), F.lit(0.0))
-    best = (
-        F.when(F.col("m.exact").isNotNull(), F.col("m.exact"))
-        .when((F.col("m.inside.loss") <= -0.7) | inside_wins, F.col("m.inside"))
-        .otherwise(F.col("m.spelled"))
-    )
-    chosen = scored.withColumn("best", best).filter(F.col("best").isNotNull()).groupBy(column).agg(
+    best = F.when((F.col("m.inside.loss") <= -0.7) | inside_wins, F.col("m.inside")).otherwise(F.col("m.spelled"))
+    guessed_best = scored.withColumn("best", best).filter(F.col("best").isNotNull()).groupBy(column).agg(
         F.min_by("best", F.struct(F.col("best.loss"), F.col("form"))).alias("best"))
+    chosen = exact.unionByName(guessed_best)
     # An identifier of the standard is never guessed.
     guessed = (F.col("best.loss") > -1) & raw.rlike(r"(?i)\bdwc\b|darwin core")
     return headers.select(column).distinct().join(chosen, column, "left").select(

@@ -6,12 +6,14 @@ are never collected; only header rows, whose width a sheet bounds, become arrays
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.headers import CORE_FIELDS, NUMERIC_FIELDS, match_headers
 from fieldtally.functions.text import clean_cell, excel_date, excel_time, fold, parse_number
-from fieldtally.session import cut_lineage
+from fieldtally.session import written
 
 SHEET = ["file", "sheet"]
 NUMERIC_TEXT = r"^-?\d+([.,]\d+)?$"
@@ -90,12 +92,17 @@ def numeric_columns(cells: DataFrame, header_rows: DataFrame, *, look: int = 30)
     ).filter((F.col("n") >= 3) & (F.col("numbers") >= 0.8 * F.col("n"))).select(*SHEET, "col_no", F.lit(True).alias("numeric"))
 
 
-def detect_columns(cells: DataFrame, header_rows: DataFrame, extra: list[tuple[str, str]] = ()) -> DataFrame:
-    """Each column with its field, or why it may stay empty (``omitted``)."""
-    headers = sheet_headers(cells, header_rows)
+def detect_columns(cells: DataFrame, header_rows: DataFrame, extra: list[tuple[str, str]] = (), headers: DataFrame | None = None) -> DataFrame:
+    """Each column with its field, or why it may stay empty (``omitted``), and its first values.
+
+    ``headers`` (as ``sheet_headers`` gives them) spares a scan where they are known; the cells are then
+    scanned twice, for the first values and for the first different ones.
+    """
+    headers = sheet_headers(cells, header_rows) if headers is None else headers
     matches = match_headers(headers, extra)
     samples = column_samples(cells, header_rows).groupBy(*SHEET, "col_no").agg(
-        F.count_if(F.col("sample").rlike(r"^\d+$")).alias("whole_numbers"))
+        F.count_if(F.col("sample").rlike(r"^\d+$")).alias("whole_numbers"),
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "sample"))), lambda s: s["sample"]).alias("samples"))
     rows = (
         headers.join(matches, "header", "left")
         .join(numeric_columns(cells, header_rows), SHEET + ["col_no"], "left")
@@ -109,6 +116,7 @@ def detect_columns(cells: DataFrame, header_rows: DataFrame, extra: list[tuple[s
         *SHEET, "header_row", "col_no", "header", field.alias("field_id"),
         F.when(field.isNotNull(), F.col("confidence")).otherwise(0.0).alias("confidence"),
         F.when(field.isNull() & filled_by_sheet, "autocompletada").when(field.isNull() & counter, "correlativo").alias("omitted"),
+        F.coalesce("samples", F.array().cast("array<string>")).alias("samples"),
     )
 
 
@@ -175,18 +183,73 @@ def template_gaps(sheets: DataFrame) -> DataFrame:
              F.array_except(F.array(*[F.lit(f) for f in CORE_FIELDS]), F.col("fields")).alias("missing"))
 
 
-def template_from_detection(columns: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Used sheets as template rows: ordered array of (col_no, header, field_id) per sheet."""
+def template_from_detection(columns: DataFrame, sheets: DataFrame, preamble: DataFrame | None = None) -> DataFrame:
+    """Used sheets as template rows: ordered array of (col_no, header, field_id) per sheet, and the rows above the header if given."""
     kept = sheets.filter(~F.col("ignored")).select(*SHEET, "scope")
-    return columns.join(kept, SHEET).groupBy(*SHEET, "scope").agg(
+    template = columns.join(kept, SHEET).groupBy(*SHEET, "scope").agg(
         F.array_sort(F.collect_list(F.struct("col_no", "header", "field_id"))).alias("columns"))
+    if preamble is None:
+        return template
+    above = preamble.groupBy(*SHEET).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda r: r["cells"]).alias("preamble"))
+    return template.join(above, SHEET, "left")
 
 
 def preamble_rows(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
-    """Decorative rows above the header in order, kept so that the export looks like the original."""
-    above = cells.join(header_rows, SHEET).filter(F.col("row_no") < F.col("header_row"))
-    return above.select(*SHEET, "row_no", "col_no", clean_cell("value", "template").alias("value")).filter(
-        F.col("value").isNotNull())
+    """The decorative rows above the header (file, sheet, row_no, cells), kept so that an export looks like the original.
+
+    Every row above the header comes, blank ones with no cells; a row ends at its last cell with text, and
+    cells without text before it are null.
+    """
+    rows = header_rows.filter(F.col("header_row") > 1).select(*SHEET, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("header_row").cast("bigint") - 1)).alias("row_no"))
+    texts = cells.select(*SHEET, "row_no", "col_no", clean_cell("value", "template").alias("value")).filter(F.col("value").isNotNull())
+    joined = rows.join(texts, [*SHEET, "row_no"], "left").groupBy(*SHEET, "row_no").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("col_no").isNotNull(), F.struct("col_no", "value")))).alias("by_col"), F.max("col_no").alias("last"))
+    whole = F.transform(F.sequence(F.lit(0), F.col("last").cast("int")), lambda i: F.element_at("by_col", i))
+    return joined.select(*SHEET, "row_no", F.when(F.col("last").isNotNull(), whole).otherwise(F.array().cast("array<string>")).alias("cells"))
+
+
+# --- the whole detection ------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Detection:
+    """What ``detect_template`` found, as small written tables."""
+
+    sheets: DataFrame     # file, sheet, header_row, fields, n_columns, n_unmapped, scope, ignored
+    columns: DataFrame    # as ``detect_columns``
+    preamble: DataFrame   # as ``preamble_rows``
+    candidates: DataFrame  # as ``header_candidates``
+
+
+def detect_template(cells: DataFrame, overrides: DataFrame | None = None, extra: list[tuple[str, str]] = (), *, top: int = 25) -> Detection:
+    """Sheets, columns and preambles of foreign workbooks, with a person's corrections.
+
+    ``overrides``: file, sheet, header_row, scope, use; a null leaves what was found. A header row that was chosen
+    is read as if it had been found, so columns, samples and preamble follow it. ``use`` says that a sheet counts,
+    or doesn't, whatever it looks like. The cells are scanned three times: their first rows are written as a table
+    that header, candidates and preamble come from, then ``detect_columns`` reads the bodies. A sheet without a
+    header row has no columns and is ignored unless ``use`` says otherwise; one without a cell in its first rows
+    isn't listed.
+    """
+    if overrides is None:
+        overrides = cells.select(*SHEET).limit(0).select(*SHEET, *[F.lit(None).cast(t).alias(c) for c, t in (("header_row", "bigint"), ("scope", "string"), ("use", "boolean"))])
+        tops = cells.filter(F.col("row_no") <= top)
+    else:
+        deep = overrides.select(*SHEET, F.col("header_row").alias("chosen_row"))
+        tops = cells.join(deep, SHEET, "left").filter(F.col("row_no") <= F.greatest(F.lit(top), F.coalesce("chosen_row", F.lit(0)))).drop("chosen_row")
+    tops = written(tops, "sheet-tops")
+    found = detect_header_row(tops)
+    wished = overrides.select(*SHEET, F.col("header_row").alias("chosen_row"), F.col("scope").alias("chosen_scope"), "use")
+    rows = tops.select(*SHEET).distinct().join(found, SHEET, "left").join(wished, SHEET, "left")
+    rows = written(rows.select(*SHEET, F.coalesce("chosen_row", "header_row").alias("header_row"), "chosen_scope", "use"), "sheet-rows")
+    header_rows = rows.filter(F.col("header_row").isNotNull()).select(*SHEET, "header_row")
+    headers = written(sheet_headers(tops, header_rows), "sheet-headers")
+    columns = written(detect_columns(cells, header_rows, extra, headers), "sheet-columns")
+    known = detect_sheets(columns)
+    sheets = rows.join(known, SHEET, "left").select(
+        *SHEET, "header_row", F.coalesce("fields", F.array().cast("array<string>")).alias("fields"), F.coalesce("n_columns", F.lit(0)).alias("n_columns"),
+        F.coalesce("n_unmapped", F.lit(0)).alias("n_unmapped"), F.coalesce("chosen_scope", "scope", F.lit("registros")).alias("scope"),
+        F.coalesce(~F.col("use"), "ignored", F.lit(True)).alias("ignored"))
+    return Detection(written(sheets, "sheets"), columns, preamble_rows(tops, header_rows), header_candidates(tops, rows=top))
 
 
 # --- records ------------------------------------------------------------------------------
@@ -194,8 +257,12 @@ def preamble_rows(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
 def field_columns(cells: DataFrame, header_rows: DataFrame, extra: list[tuple[str, str]] = ()) -> DataFrame:
     """First column of each field recognised with confidence .7 or more."""
     headers = sheet_headers(cells, header_rows, "import")
-    sure = headers.join(match_headers(headers, extra), "header").filter(F.col("confidence") >= 0.7)
-    return sure.groupBy(*SHEET, "header_row", "field_id").agg(F.min("col_no").alias("col_no"))
+    return sure_columns(headers.join(match_headers(headers, extra), "header"))
+
+
+def sure_columns(matched: DataFrame) -> DataFrame:
+    """``field_columns`` of headers that have met their fields."""
+    return matched.filter(F.col("field_id").isNotNull() & (F.col("confidence") >= 0.7)).groupBy(*SHEET, "header_row", "field_id").agg(F.min("col_no").alias("col_no"))
 
 
 def import_sheets(cells: DataFrame, header_rows: DataFrame, extra: list[tuple[str, str]] = ()) -> DataFrame:
@@ -211,10 +278,10 @@ def _rows_by_field(cells: DataFrame, header_rows: DataFrame, roles: list[str], f
     The table of wanted columns has a handful of rows per sheet: it is written once, after which
     the cells are scanned a single time.
     """
-    header_rows = cut_lineage(header_rows)
-    sheets = import_sheets(cells, header_rows, extra).filter(F.col("role").isin(roles))
-    wanted = cut_lineage(
-        field_columns(cells, header_rows, extra).filter(F.col("field_id").isin(list(fields))).join(sheets, SHEET))
+    headers = sheet_headers(cells, written(header_rows, "header-rows"), "import")
+    matched = written(headers.join(match_headers(headers, extra), "header", "left"), "import-headers")
+    sheets = sheet_fields(matched).select(*SHEET, classify_sheet().alias("role")).filter(F.col("role").isin(roles))
+    wanted = written(sure_columns(matched).filter(F.col("field_id").isin(list(fields))).join(sheets, SHEET), "import-columns")
     values = cells.join(wanted, SHEET + ["col_no"]).filter(F.col("row_no") > F.col("header_row"))
     return values.groupBy(*SHEET, "row_no", "role").agg(*[
         F.max(F.when(F.col("field_id") == f, F.col("value"))).alias(name) for f, name in fields.items()
