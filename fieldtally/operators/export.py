@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass, field as dc_field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -303,6 +305,16 @@ def fill_placeholders(preamble: list[list[str]], values: dict[str, str]) -> list
     return [[re.sub(r"\{\{(\w+)\}\}", lambda m: values.get(m[1], ""), cell or "") for cell in row] for row in preamble]
 
 
+#: Header, field and constant of each column of the regulator's sheet, in its order.
+REGULATOR_COLUMNS = Path(__file__).parents[1] / "functions" / "regulator_columns.csv"
+
+
+def regulator_sheet(columns: Path = REGULATOR_COLUMNS, name: str = "Planilla") -> Sheet:
+    """The regulator's sheet: all its columns; those no field fills stay empty."""
+    lines = [line for line in columns.read_text(encoding="utf8").splitlines() if not line.startswith("#")]
+    return sheet_from_table([(r["header"], r["field"] or None, r["constant"] or None) for r in csv.DictReader(lines)], name)
+
+
 def sheet_from_table(rows: list[tuple[str, str | None, str | None]], name: str, scope: str = "registros_todos") -> Sheet:
     """A sheet out of a configuration table (header, field id, constant), such as a regulator's
     official column list read from a file."""

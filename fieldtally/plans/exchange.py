@@ -80,7 +80,7 @@ register("photo_index", lambda t: X.photo_index(t.flat, _media(t)).select("media
     FROM flat, (VALUES (1),(2)) AS n(i) WHERE i<=media_count AND event_id%7<>0""")
 
 # --- Darwin Core ---
-register("dwca_event", lambda t: X.dwca_event(t.flat, policy="generalizada").select(
+register("dwca_event", lambda t: X.dwca_event(t.star, policy="generalizada").select(
     "eventID", "eventDate", "month", "samplingProtocol", "sampleSizeValue", "sampleSizeUnit", "samplingEffort", "locality",
     "stateProvince", "recordedBy", "fieldNotes", "parentEventID", "coordinateUncertaintyInMeters", "verbatimCoordinates", "eventRemarks"),
     """SELECT CAST(f.event_id AS VARCHAR) AS "eventID", f.event_date AS "eventDate", CAST(CAST(substr(f.event_date,6,2) AS INTEGER) AS VARCHAR) AS month,
@@ -136,7 +136,7 @@ _SCOPES = {
 for _scope, _where in _SCOPES.items():
     register(f"sheet_{_scope}", lambda t, scope=_scope: X.sheet_rows(scope, t.flat).select("occurrence_id", "method"),
              f"SELECT occurrence_id, method FROM flat WHERE {_where}")
-register("sheet_muestreos", lambda t: X.sheet_rows("muestreos", t.flat, events_dims=_dims(t)).select(
+register("sheet_muestreos", lambda t: X.sheet_rows("muestreos", t.star, events_dims=_dims(t)).select(
     "event_id", "station_code", "record_type", "occurrence_id"),
     """SELECT event_id, station_code, record_type, occurrence_id FROM first_of
     UNION ALL SELECT event_id, station_code, 'Otro', NULL FROM live_event JOIN station USING (station_id)
@@ -147,7 +147,7 @@ register("sheet_estaciones", lambda t: X.sheet_rows("estaciones", t.flat).select
 
 from fieldtally.plans.reports import _CHOSEN  # noqa: E402
 
-register("sheet_plan", lambda t: X.sheet_rows("plan", t.flat, stations=t.station, events=t.event, events_dims=_dims(t)).select(
+register("sheet_plan", lambda t: X.sheet_rows("plan", t.star, stations=t.station, events=t.event, events_dims=_dims(t)).select(
     "event_id", "station_code", "method", "record_type", "occurrence_id"),
     """SELECT w.event_id, station_code, w.method, coalesce(f.record_type,'Otro') AS record_type, f.occurrence_id FROM (
       SELECT c.event_id, g.station_id, g.method FROM grid g LEFT JOIN chosen c USING (station_id, method)
@@ -167,6 +167,29 @@ register("regulator_template", lambda t: X.build_sheet(X.sheet_from_table(_OFFIC
          """SELECT dwc_occurrence_id AS c1, 'HumanObservation' AS c2, '' AS c3, coalesce(CAST(individual_count AS VARCHAR),'') AS c4,
     coalesce(recorded_by, station_recorded_by,'') AS c5 FROM flat""")
 
+def _regulator(t):
+    """The whole sheet: its known fields by name, all its constants, and how many cells its empty columns hold."""
+    sheet = X.regulator_sheet()
+    at = {c.header: f"c{i}" for i, c in enumerate(sheet.columns, start=1)}
+    fixed = [at[c.header] for c in sheet.columns if c.constant]
+    blank = [at[c.header] for c in sheet.columns if not c.constant and not c.field_id]
+    named = ["occurrenceID", "recordedBy", "individualCount", "eventDate", "eventTime", "year", "month", "day", "locationID", "stateProvince", "scientificName",
+             "vernacularName", "family", "genus", "sex", "eventID"]
+    cells = F.array(*[F.col(c) for c in blank])
+    return X.build_sheet(sheet, t.flat).select(
+        *[F.col(at[h]).alias(h) for h in named], F.concat_ws("|", *fixed).alias("constants"), F.lit(len(at)).alias("n_columns"),
+        F.lit(len(blank)).alias("n_empty"), F.size(F.filter(cells, lambda c: c != "")).alias("n_filled"))
+
+
+register("regulator_sheet", _regulator,
+         """SELECT dwc_occurrence_id AS "occurrenceID", coalesce(recorded_by, station_recorded_by,'') AS "recordedBy",
+    coalesce(CAST(individual_count AS VARCHAR),'') AS "individualCount", event_date AS "eventDate", occurrence_time AS "eventTime", substr(event_date,1,4) AS "year",
+    CAST(CAST(substr(event_date,6,2) AS INTEGER) AS VARCHAR) AS "month", CAST(CAST(substr(event_date,9,2) AS INTEGER) AS VARCHAR) AS "day", station_code AS "locationID",
+    coalesce(region, project_region,'') AS "stateProvince", coalesce(scientific_name,'') AS "scientificName", coalesce(common_name, verbatim_taxon,'') AS "vernacularName",
+    coalesce(family,'') AS family, coalesce(genus,'') AS genus, coalesce(sex,'') AS sex, CAST(event_id AS VARCHAR) AS "eventID",
+    'HumanObservation|Event|es|Individuos|Presente|metros|South America|Chile|CL|UTM|WGS84|WGS84|species|ICZN' AS constants,
+    170 AS n_columns, 103 AS n_empty, 0 AS n_filled FROM flat""")
+
 # --- files: written to the shared folder and read back ---
 
 
@@ -178,7 +201,7 @@ def _folder(t, kind):
 
 def _dwca_files(t):
     path = _folder(t, "dwca")
-    flat = t.flat
+    flat = t.star
     files.write_dwca(X.dwca_event(flat), X.dwca_occurrence(flat, t.event, t.occurrence), X.dwca_measurement(flat, t.fact), path)
     read = lambda name: t.spark.read.csv(f"{path}/{name}", sep="\t", header=True, quote="")
     return read("occurrence").select("occurrenceID", "occurrenceStatus", "vernacularName")
@@ -235,3 +258,15 @@ register("write_backup", _backup_files,
          " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows, CAST(sum({k}) AS BIGINT) AS keys, count(*) AS declared FROM {v}" for n, k, v in (
              ("events", "event_id", "event"), ("occurrences", "event_id", "occurrence"), ("audit", "seq", "change_log"), ("outbox", "seq", "outbox_item"))))
 register("read_backups", _backup_documents, "SELECT event_id AS id, method FROM event WHERE station_id<>7")
+
+
+def _with_facts(t):
+    from fieldtally.operators.star import flatten
+
+    flat = flatten(t.occurrence, t.event, t.station, t.taxon, t.project, t.campaign, t.fact)
+    told = F.transform("facts", lambda f: F.concat_ws("=", f["measurement_type"], f["measurement_value"]))
+    return flat.select("occurrence_id", "station_code", F.array_join(told, "|").alias("facts"))
+
+
+register("flatten_facts", _with_facts,
+         """SELECT occurrence_id, station_code, CASE WHEN event_id%7=3 THEN 'respuestaPlayback=respuesta '||(occurrence_minute%3) ELSE '' END AS facts FROM flat""")
