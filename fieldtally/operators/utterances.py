@@ -652,10 +652,23 @@ def parse_utterances(utterances: DataFrame, keys: DataFrame, stations: DataFrame
                      today: Column | str) -> dict[str, DataFrame]:
     """Observations and headers of dictated sentences (utterance_id, text)."""
     chunks = read_chunks(utterances, keys, stations, lexicon, today=today)
-    return {
-        "observations": finalize_observations(segment_observations(utterances, chunks)),
-        "headers": utterance_header(utterances, chunks, today=today),
-    }
+    observations = finalize_observations(segment_observations(utterances, chunks))
+    headers = utterance_header(utterances, chunks, today=today)
+    return {"observations": observations, "headers": headers, "warnings": utterance_warnings(chunks, observations, headers)}
+
+
+def utterance_warnings(chunks: DataFrame, observations: DataFrame, headers: DataFrame) -> DataFrame:
+    """What a person should look at (utterance_id, kind, warning): species kept as they were said, stations that the
+    project doesn't have, and sentences without any species that weren't a header or a declared absence."""
+    unknown = observations.filter((F.size("taxon_ids") == 0) & (F.col("verbatim_taxon") != "")).select(
+        "utterance_id", F.lit("especie").alias("kind"),
+        F.concat(F.lit('No conozco "'), F.col("verbatim_taxon"), F.lit('": queda guardado tal cual para que lo identifiques después.')).alias("warning"))
+    foreign = chunks.select("utterance_id", F.explode("spans").alias("s")).filter(F.col("s.kind") == "station_unknown").select(
+        "utterance_id", F.lit("estacion").alias("kind"), F.concat(F.lit('La estación "'), F.col("s.value"), F.lit('" no está en el catálogo del proyecto.')).alias("warning"))
+    header_only = F.col("opens_point") | F.col("weather").isNotNull() | F.col("slope_aspect").isNotNull()
+    nothing = headers.filter(~F.col("no_detections") & ~header_only).join(observations.select("utterance_id"), "utterance_id", "left_anti").select(
+        "utterance_id", F.lit("nada").alias("kind"), F.lit("No se reconoció ninguna especie en el dictado.").alias("warning"))
+    return unknown.unionByName(foreign).unionByName(nothing)
 
 
 def to_drafts(observations: DataFrame, headers: DataFrame, session: DataFrame) -> DataFrame:
