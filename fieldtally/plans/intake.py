@@ -18,6 +18,13 @@ SPECIES_HEADERS = ["Nombre comun", "Nombre cientifico (2)", "Tipo (4)", "Famila"
 
 
 def cells(t):
+    """The workbooks' cells, written once: what comes after reads one table, as it would a real one."""
+    from fieldtally.session import written
+
+    return written(_cells(t), "cells")
+
+
+def _cells(t):
     """Spreadsheets of 20 files: a record sheet, a station sheet and a species list each."""
     k = F.col("o_orderkey")
     name = F.when(k % 9 == 0, "-").when(k % 9 == 1, F.concat(F.lit("bicho "), (k % 5).cast("string"))).otherwise(
@@ -95,7 +102,12 @@ _HM = """SELECT header, field AS field_id, conf AS confidence FROM (
             FROM forms JOIN aliases ON abs(length(alias)-length(q))<=2 AND length(q)>=5 AND levenshtein(alias,q)<=2)
         ) QUALIFY row_number() OVER (PARTITION BY header, form ORDER BY tier, conf DESC, kind, ord)=1)) WHERE rn=1"""
 _HV = dict(aliases=_ALIASES, heads=_HEADS, forms=_FORMS, matched=_HM)
-register("match_headers", lambda t: match_headers(I.sheet_headers(cells(t), I.detect_header_row(cells(t)))).select("header", "field_id", "confidence"),
+def _with_rows(t, build, variant="template"):
+    c = cells(t)
+    return build(c, I.detect_header_row(c, variant))
+
+
+register("match_headers", lambda t: match_headers(_with_rows(t, I.sheet_headers)).select("header", "field_id", "confidence"),
          "SELECT h.header, m.field_id, coalesce(m.confidence,0) AS confidence FROM heads h LEFT JOIN matched m USING (header)", **_HV)
 
 #: Headers of foreign files and the field that each one names, written down by hand: not read from the code's own list.
@@ -137,12 +149,15 @@ register("header_candidates", lambda t: I.header_candidates(cells(t)).filter("sh
     WHERE rn<=12 GROUP BY file""", rec=_REC)
 
 
+def _detected(t, overrides=None):
+    return I.detect_template(cells(t), overrides)
+
+
 def _columns(t):
-    c = cells(t)
-    return I.detect_columns(c, I.detect_header_row(c))
+    return _detected(t).columns
 
 
-register("column_samples", lambda t: I.column_samples(cells(t), I.detect_header_row(cells(t))).filter("sheet = 'Registros' and col_no = 0").select(
+register("column_samples", lambda t: _with_rows(t, I.column_samples).filter("sheet = 'Registros' and col_no = 0").select(
     "file", "rank", "sample"),
     """SELECT file, row_number() OVER (PARTITION BY file ORDER BY r, v) AS rank, v AS sample FROM (
       SELECT file, v, min(row_no) AS r FROM (SELECT file, row_no, common_name AS v FROM rec) WHERE v IS NOT NULL GROUP BY file, v) QUALIFY rank<=3""", rec=_REC)
@@ -152,21 +167,49 @@ register("detect_columns", lambda t: _columns(t).filter("sheet <> 'Especies'").g
              [f"('Registros','{h}',false,NULL)" for h in HEADERS]
              + [f"('Estaciones','{h}',{'true' if h == 'Region' else 'false'},{chr(39) + 'correlativo' + chr(39) if h == 'N' else 'NULL'})" for h in STATION_HEADERS])
          + ") AS s(sheet,header,numeric,omitted) LEFT JOIN matched m ON m.header=s.header", **_HV)
-register("classify_sheet", lambda t: I.import_sheets(cells(t), I.detect_header_row(cells(t), "import")),
+register("classify_sheet", lambda t: _with_rows(t, I.import_sheets, "import"),
          """SELECT DISTINCT o_custkey%20 AS file, s.sheet, s.r AS role FROM orders,
     (VALUES ('Registros','registros'),('Estaciones','estaciones'),('Especies','catalogo_especies')) AS s(sheet,r)""")
-register("guess_scope", lambda t: I.detect_sheets(_columns(t)).select("file", "sheet", "scope", "ignored"),
+register("guess_scope", lambda t: _detected(t).sheets.select("file", "sheet", "scope", "ignored"),
          """SELECT DISTINCT o_custkey%20 AS file, s.sheet, s.r AS scope, false AS ignored FROM orders,
     (VALUES ('Registros','registros'),('Estaciones','estaciones'),('Especies','registros')) AS s(sheet,r)""")
-register("template_gaps", lambda t: I.template_gaps(I.detect_sheets(_columns(t))).select(
+register("template_gaps", lambda t: I.template_gaps(_detected(t).sheets).select(
     "file", "total_columns", F.size("missing").alias("n_missing")),
     f"""SELECT DISTINCT o_custkey%20 AS file, {len(HEADERS) + len(STATION_HEADERS) + len(SPECIES_HEADERS)} AS total_columns,
     {len(CORE_FIELDS) - 7} AS n_missing FROM orders""")
-register("template_from_detection", lambda t: I.template_from_detection(_columns(t), I.detect_sheets(_columns(t))).select(
+def _template(t):
+    found = _detected(t)
+    return I.template_from_detection(found.columns, found.sheets, found.preamble)
+
+
+register("template_from_detection", lambda t: _template(t).select(
     "file", "sheet", "scope", F.array_join("columns.header", "|").alias("headers")),
     f"""SELECT DISTINCT o_custkey%20 AS file, s.sheet, s.r AS scope, s.h AS headers FROM orders,
     (VALUES ('Registros','registros','{'|'.join(HEADERS)}'),('Estaciones','estaciones','{'|'.join(STATION_HEADERS)}'),
     ('Especies','registros','{'|'.join(SPECIES_HEADERS)}')) AS s(sheet,r,h)""")
+register("template_preamble", lambda t: _template(t).select("file", "sheet", F.posexplode(F.coalesce("preamble", F.array().cast("array<array<string>>"))).alias("at", "cells")).select(
+    "file", "sheet", (F.col("at") + 1).alias("row_no"), F.array_join("cells", "|").alias("cells")),
+    """SELECT DISTINCT o_custkey%20 AS file, s.sheet, s.r AS row_no, s.c AS cells FROM orders,
+    (VALUES ('Registros',1,'Empresa'),('Registros',2,''),('Registros',3,''),('Estaciones',1,'')) AS s(sheet,r,c)""")
+
+
+def _corrections(t):
+    """Each third file: its species list isn't used; its records are samplings; its record sheet has its header in the first row, and counts."""
+    third = F.col("o_custkey") % 20 % 3
+    pick_ = lambda a, b, c: F.when(third == 0, a).when(third == 1, b).otherwise(c)
+    none = F.lit(None)
+    return t.raw("orders").select(
+        (F.col("o_custkey") % 20).alias("file"), pick_(F.lit("Especies"), F.lit("Registros"), F.lit("Registros")).alias("sheet"),
+        pick_(none, none, F.lit(1)).cast("bigint").alias("header_row"), pick_(none, F.lit("muestreos"), F.lit("plan")).alias("scope"),
+        pick_(F.lit(False), none, F.lit(True)).alias("use")).distinct()
+
+
+register("detect_overrides", lambda t: _detected(t, _corrections(t)).sheets.select("file", "sheet", "header_row", "scope", "ignored", "n_columns"),
+    f"""SELECT DISTINCT f AS file, s.sheet, CASE WHEN o AND f%3=2 THEN 1 ELSE s.r END AS header_row,
+    CASE WHEN o AND f%3=1 THEN 'muestreos' WHEN o AND f%3=2 THEN 'plan' ELSE s.scope END AS scope, o AND f%3=0 AS ignored,
+    CASE WHEN o AND f%3=2 THEN 1 ELSE s.n END AS n_columns FROM (
+      SELECT o_custkey%20 AS f, s.*, sheet=CASE WHEN o_custkey%20%3=0 THEN 'Especies' ELSE 'Registros' END AS o FROM orders,
+      (VALUES ('Registros',4,'registros',{len(HEADERS)}),('Estaciones',2,'estaciones',{len(STATION_HEADERS)}),('Especies',1,'registros',{len(SPECIES_HEADERS)})) AS s(sheet,r,scope,n)) s""")
 register("resolve_taxa", lambda t: I.resolve_taxa(cells(t).filter("sheet = 'Registros' and col_no = 0 and row_no > 4").withColumnRenamed("value", "common_name"), keys(t)).filter(
     "common_name <> '-'"),
     "SELECT DISTINCT common_name, hits, taxon_id FROM imp", rec=_REC, imp=_IMP)
@@ -189,7 +232,7 @@ register("import_issues", lambda t: I.import_issues(_imported(t), V.RECORD_TYPES
 register("import_verdict", lambda t: I.import_verdict(_imported(t), I.import_issues(_imported(t), V.RECORD_TYPES)),
          """SELECT file, records, coalesce(n,0) AS errors, coalesce(n,0)=0 AS can_import FROM (SELECT file, count(*) AS records FROM imp GROUP BY file)
     LEFT JOIN (SELECT file, count(*) AS n FROM iss WHERE severity='error' GROUP BY file) USING (file)""", rec=_REC, imp=_IMP, iss=_ISS)
-register("import_stations", lambda t: I.import_stations(cells(t), I.detect_header_row(cells(t), "import")).select(
+register("import_stations", lambda t: _with_rows(t, I.import_stations, "import").select(
     "file", "row_no", "station_code", "final_code", "region", "habitat", "utm_east", "utm_north"),
     """SELECT s_suppkey%20 AS file, 5+s_suppkey AS row_no, 'EM'||s_suppkey AS station_code, 'EM'||s_suppkey AS final_code,
     CAST(NULL AS VARCHAR) AS region, 'Bosque' AS habitat, 3e5+s_suppkey AS utm_east, 63e5+s_suppkey+5e-1 AS utm_north FROM supplier""")
@@ -323,3 +366,37 @@ def _map_files(t):
 register("read_kml_files", _map_files,
     """SELECT event_id AS placemark_no, 'A & '||event_id AS name, 'Dia '||(event_id//100) AS folder, CASE WHEN event_id%3=0 THEN 'punto' ELSE 'linea' END AS kind,
     CASE WHEN event_id%3=0 THEN 1 ELSE 2 END AS n FROM events""")
+
+
+def _as_files(t, rows, kind):
+    """Rows as CSV files with a header and comment lines, as the catalogues are kept."""
+    from fieldtally.session import shared_folder
+
+    path = shared_folder(t.spark, kind)
+    rows.write.csv(path, header=True, escape='"', emptyValue="")
+    return path
+
+
+register("read_taxon_csv_files", lambda t: K.read_taxon_csv(t.spark, _as_files(t, _species_rows(t), "species-csv")).filter("not is_placeholder").select(
+    "common_name", "scientific_name", "genus", "taxon_rank", "tax_group", "ambiguous", F.size("other_names").alias("n_other")),
+    """SELECT p_name AS common_name, sci AS scientific_name, string_split(sci,' ')[1] AS genus,
+    CASE WHEN p_partkey%3=0 THEN 'genus' ELSE 'species' END AS taxon_rank, (['aves','mamiferos','reptiles','otros'])[p_partkey%4+1] AS tax_group,
+    count(*) OVER (PARTITION BY p_name)>1 AS ambiguous, CASE WHEN p_partkey%5=0 THEN 2 ELSE 0 END AS n_other
+    FROM (SELECT *, CASE WHEN p_partkey%3=0 THEN lower(p_type) ELSE p_type||' '||lower(p_brand) END AS sci FROM part)""")
+register("read_station_csv_files", lambda t: K.read_station_csv(t.spark, _as_files(t, _station_rows(t), "station-csv")).select(
+    "station_code", "project", "utm_east", F.array_join("methods", ",").alias("methods")),
+    """SELECT s_name AS station_code, 'Proyecto' AS project, 3e5+s_suppkey+5e-1 AS utm_east,
+    concat_ws(',', CASE WHEN s_suppkey%4<>2 THEN 'transecto' END, CASE WHEN s_suppkey%2=0 THEN 'camara_trampa' END) AS methods FROM supplier WHERE s_suppkey%11<>0""")
+
+
+def _list_files(t):
+    """The list read from files: its row numbers are the order of its lines, kept as a column of their own."""
+    rows = K.read_rows(t.spark, _as_files(t, _list_rows(t), "status-csv"))
+    return K.conservation_rows(rows.withColumnRenamed("row no", "row_no").withColumn("row_no", F.col("row_no").cast("long")), default_source="lista")
+
+
+register("load_conservation_files", lambda t: K.load_conservation(t.taxon, _list_files(t)).select("taxon_id", "rce", "endemic", "conservation_source", "listed"),
+    """SELECT taxon_id, nullif(c,'-') AS rce, CASE m WHEN 0 THEN true WHEN 1 THEN false END AS endemic, CASE WHEN k IS NOT NULL THEN 'lista' END AS conservation_source,
+    k IS NOT NULL AS listed FROM taxon LEFT JOIN list ON k=upper(scientific_name)""", list=_LIST)
+register("dropped_categories", lambda t: K.dropped_categories(_list_rows(t)),
+    "SELECT 'rce' AS list, 'ZZ' AS category, count(*) AS rows FROM part WHERE p_partkey%3=2 HAVING count(*)>0")

@@ -16,14 +16,14 @@ GROUP = {"Aves": "aves", "Mammalia": "mamiferos", "Reptilia": "reptiles", "Amphi
 
 # Placeholders that let a record be kept without reaching the species.
 PLACEHOLDERS = [
-    ("Ave no identificada", "Aves", None, "ave, aves, pajaro, pajaros, ave sp, passeriforme"),
-    ("Rapaz no identificada", "Aves", None, "rapaz, rapaces, ave rapaz"),
-    ("Mamífero no identificado", "Mammalia", None, "mamifero, mamiferos"),
-    ("Roedor no identificado", "Mammalia", "Rodentia", "roedor, roedores, raton, ratones, ratoncito"),
-    ("Quiróptero no identificado", "Mammalia", "Chiroptera", "murcielago, murcielagos, quiroptero"),
-    ("Reptil no identificado", "Reptilia", None, "reptil, reptiles"),
-    ("Lagartija no identificada", "Reptilia", "Squamata", "lagartija, lagartijas, lagarto, lagartos"),
-    ("Anfibio no identificado", "Amphibia", "Anura", "anfibio, anfibios, sapo, rana"),
+    ("Ave no identificada", "Aves", None, ["ave", "aves", "pajaro", "pajaros", "ave sp", "passeriforme"]),
+    ("Rapaz no identificada", "Aves", None, ["rapaz", "rapaces", "ave rapaz"]),
+    ("Mamífero no identificado", "Mammalia", None, ["mamifero", "mamiferos"]),
+    ("Roedor no identificado", "Mammalia", "Rodentia", ["roedor", "roedores", "raton", "ratones", "ratoncito"]),
+    ("Quiróptero no identificado", "Mammalia", "Chiroptera", ["murcielago", "murcielagos", "quiroptero"]),
+    ("Reptil no identificado", "Reptilia", None, ["reptil", "reptiles"]),
+    ("Lagartija no identificada", "Reptilia", "Squamata", ["lagartija", "lagartijas", "lagarto", "lagartos"]),
+    ("Anfibio no identificado", "Amphibia", "Anura", ["anfibio", "anfibios", "sapo", "rana"]),
 ]
 METHOD_FLAGS = ["transecto", "playback aves", "playback anfibios", "camara trampa", "trampa sherman"]
 
@@ -82,14 +82,14 @@ def taxa_from_rows(rows: DataFrame, *, placeholders: bool = True) -> DataFrame:
 
 
 def placeholder_taxa(spark: SparkSession) -> DataFrame:
-    base = spark.createDataFrame(PLACEHOLDERS, "common_name string, tax_class string, tax_order string, names string")
+    base = spark.createDataFrame(PLACEHOLDERS, "common_name string, tax_class string, tax_order string, names array<string>")
     return base.select(
         F.concat(F.lit("tx_"), F.substring(F.sha1(F.concat(F.lit("placeholder|"), "common_name")), 1, 10)).alias("taxon_id"),
         "common_name", F.array().cast("array<string>").alias("other_names"), F.lit("Animalia").alias("kingdom"),
         F.lit("Chordata").alias("phylum"), "tax_class", lookup("tax_class", CLASS_SPANISH).alias("class_es"), "tax_order",
         F.when(F.col("tax_order").isNotNull(), "order").otherwise("class").alias("taxon_rank"),
         lookup("tax_class", GROUP).alias("tax_group"), F.lit(True).alias("is_placeholder"),
-        F.array_sort(F.array_distinct(F.array_append(F.split("names", ", "), fold("common_name")))).alias("search_keys"),
+        F.array_sort(F.array_distinct(F.array_append("names", fold("common_name")))).alias("search_keys"),
         F.lit(False).alias("ambiguous"),
     )
 
@@ -144,16 +144,29 @@ CONSERVATION_HEADERS = {
 }
 
 
+def _listed(rows: DataFrame, name: str) -> Column:
+    """A list's column under whichever of its headers the file has."""
+    for header in CONSERVATION_HEADERS[name]:
+        if header in rows.columns:
+            return _value(rows, header)
+    return F.lit(None).cast("string")
+
+
+def dropped_categories(rows: DataFrame) -> DataFrame:
+    """(list, category, rows): what all rows of a list say that is none of the ten codes, and is dropped."""
+    said = F.explode(F.array(*[F.struct(F.lit(name).alias("list"), F.upper(_listed(rows, name)).alias("category")) for name in ("rce", "iucn")]))
+    return rows.filter(_listed(rows, "scientific_name").isNotNull()).select(said.alias("s")).select("s.*").filter(
+        F.col("category").isNotNull() & ~F.col("category").isin(list(V.THREAT_LABELS))).groupBy("list", "category").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def conservation_rows(rows: DataFrame, *, default_source: str) -> DataFrame:
     """One status per species; the last row of a name wins (``row_no`` orders them).
 
-    Categories outside the ten codes are dropped; ``dropped`` counts them on the winning row.
+    Categories outside the ten codes are dropped; ``dropped`` counts them on the winning row,
+    ``dropped_categories`` on all rows.
     """
     def pick(name: str) -> Column:
-        for header in CONSERVATION_HEADERS[name]:
-            if header in rows.columns:
-                return _value(rows, header)
-        return F.lit(None).cast("string")
+        return _listed(rows, name)
 
     def flag(name: str) -> Column:
         c = pick(name)
