@@ -165,9 +165,14 @@ def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     groups = classes.groupBy("grp").agg(F.min("member").alias("head"), F.count("*").alias("size"), F.first("n").alias("n"),
                                         F.first("end_count").alias("end_count"), F.first("prefix").alias("prefix"))
     at_shingle = Window.partitionBy("shingle")
-    met = groups.select("head", "size", "n", "end_count", F.element_at("prefix", -1).alias("end"), F.posexplode("prefix").alias("pos", "shingle"))
-    met = met.withColumn("met", F.sum("size").over(at_shingle)).filter("met > 1").select("shingle", "head", "n", "pos", "end_count", "end")
-    met = written(met.withColumn("shared", F.count("*").over(Window.partitionBy("head"))), "prefix-rows")
+    # Most prefix shingles are nobody else's: rows go to their shingle as narrow as can be, the rest of what is known
+    # of a group meets those that stay.
+    groups = written(groups, "prefix-groups")
+    met = groups.select("head", (F.col("size") > 1).alias("many"), F.posexplode("prefix").alias("pos", "shingle"))
+    met = met.withColumn("met", F.count("*").over(at_shingle)).filter("met > 1 or many").select("shingle", "head", "pos")
+    known_of = groups.select("head", "n", "end_count", F.element_at("prefix", -1).alias("end"))
+    met = met.withColumn("shared", F.count("*").over(Window.partitionBy("head"))).join(known_of, "head")
+    met = written(met.select("shingle", "head", *OWN), "prefix-rows")
     members = classes.join(met.select("head").distinct(), F.col("head") == F.col("member"), "left_semi").select("grp", F.col("member").alias("head"))
     members = written(members.join(classes.select("grp", "member"), "grp").select("head", "member"), "group-members")
 
