@@ -539,3 +539,59 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.union(hashed).union(every).groupBy("conv_id").agg(
         *(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts), F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
         F.coalesce(F.max("digest"), F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+def _twin() -> str:
+    """The repair as a walk over each conversation's rows that keeps, for each state, the least (cost, audit, turns)."""
+    def moved(state: str, cost: str, letter: str, turn: str = "") -> str:
+        turns = f"list_append({state}.t, {turn})" if turn else f"{state}.t"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {turns}}}"
+
+    never = f"{{'c': {NEVER}::BIGINT, 'a': '', 't': []::VARCHAR[]}}"
+    open_ = "fault NOT IN (1, 2)"
+
+    def kept(state: str, initial: str) -> str:
+        return f"CASE WHEN {open_} AND initial = '{initial}' THEN {moved(state, 'extra', 'K', chr(39) * 2 + ' || role || chr(58) || body')} ELSE {never} END"
+
+    def given(state: str, role: str) -> str:
+        return f"CASE WHEN {open_} THEN {moved(state, '1 + extra', 'R', f'{chr(39)}{role}:{chr(39)} || body')} ELSE {never} END"
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    # Inserted turns come before a row: a user turn behind anything but one, an assistant turn behind that.
+    inserted = f"""LATERAL (SELECT {least('u', *(moved(s, str(INSERT), 'I', "'user:'") for s in 'zya'))} AS u1) i1,
+      LATERAL (SELECT {least('a', moved('u1', str(INSERT), 'I', "'assistant:'"))} AS a1) i2"""
+    return rf"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) r(i))),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS body,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+dealt AS (SELECT conv_id, turn, role, body, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)),
+  lambda x, y: xor(tab[(xor(x, y) & 255) + 1], x >> 8)), 4294967295) % 20 AS deal FROM keyed, tab),
+damaged AS (SELECT conv_id, turn, CASE WHEN deal = 4 THEN 'user' ELSE role END AS role,
+  CASE deal WHEN 1 THEN '' WHEN 2 THEN regexp_replace(body, '[.!?]', '', 'g') ELSE body END AS body, n
+  FROM dealt JOIN (VALUES (1), (2)) c(n) ON n = 1 OR deal = 3 WHERE deal <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body, n) AS k, left(role, 1) AS initial,
+  regexp_replace(body, '[\x20\x09-\x0D]', '', 'g') AS seen FROM damaged),
+lines AS (SELECT *, CASE WHEN seen = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, body ORDER BY k) > 1 THEN 2
+  WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM placed),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+  count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (k > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+  count(*) AS n FROM lines GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS k, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS z, {never} AS y, {never} AS u, {never} AS a FROM stats
+  UNION ALL
+  SELECT conv_id, k, {moved('z', '2', 'D')}, {least(moved('y', '2', 'D'), kept('z', 's'))},
+    {least(moved('u1', '2', 'D'), *(f(s, v) for s in ('z', 'y', 'a1') for f, v in ((kept, 'u'), (given, 'user'))))},
+    {least(moved('a1', '2', 'D'), kept('u1', 'a'), given('u1', 'assistant'))}
+  FROM (SELECT w.conv_id, l.k, w.z, w.y, w.u, w.a, l.role, l.body, l.initial, l.fault, CASE WHEN l.fault = 3 THEN 5 ELSE 0 END AS extra
+    FROM walk w JOIN lines l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.k = w.k + 1) step, {inserted}),
+ended AS (SELECT w.conv_id, {least('z', 'a1')} AS best FROM walk w JOIN stats s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.k, {inserted})
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+SQL = {"op11_conversation_repair": _twin()}
