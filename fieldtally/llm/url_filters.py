@@ -1,7 +1,7 @@
 """URL rules found through their rarest literal token.
 
 A rule is written in the notation of public block lists: ``||`` stands for the start of a host label,
-``*`` for any run of characters, ``^`` for a character that ends a name or the end of the url. The
+``*`` for any run of characters (of the host's, in a rule that begins with ``||``), ``^`` for a character that ends a name or the end of the url. The
 words of a rule that stand between such ends must be tokens of every url that it fits; the one that
 the fewest urls have is its place in the index. A url fetches the rules of its own tokens, and only
 those run their regular expression. Rules without such a word run for every url.
@@ -29,7 +29,7 @@ class Rule:
     @property
     def regex(self) -> str:
         body, head = (self.pattern[2:], r"^(?:[^/?#]*\.)?") if self.pattern.startswith("||") else (self.pattern, "")
-        ends = {"*": ".*", "^": r"(?:[^a-z0-9_.%-]|$)"}
+        ends = {"*": ".*" if not head else "[^/?#]*", "^": r"(?:[^a-z0-9_.%-]|$)"}
         return head + "".join(ends.get(c) or re.escape(c) for c in body)
 
     @property
@@ -44,7 +44,7 @@ SITE_RULES = [Rule("||net/", "block"), Rule("||example.net/en/", "allow"), Rule(
 #: What the method itself blocks: shops, gambling, adult pages, link farms, trackers, pages without prose.
 PATTERN_RULES = [
     Rule("||cheap-pills.", "block"), Rule("||*-pills.", "block"), Rule("||casino-*.", "block"), Rule("||*casino.", "block"),
-    Rule("||free-bets.", "block"), Rule("||*-bets.", "block"), Rule("||adult-*.", "block"), Rule("||porn*.", "block"),
+    Rule("||free-bets.", "block"), Rule("||*-bets.", "block"), Rule("||adult-*.", "block"), Rule("||porn.", "block"), Rule("||porn-*.", "block"),
     Rule("||spam-farm.", "block"), Rule("||link-farm.", "block"), Rule("||ads-track.", "block"), Rule("||ads.", "block"),
     Rule("||tracking.", "block"), Rule("||doubleclick.", "block"), Rule("/wp-login.php^", "block"), Rule("/cgi-bin/", "block"),
     Rule("/cart/checkout^", "block"), Rule("/user/login^", "block"), Rule("/account/signup^", "block"),
@@ -119,7 +119,8 @@ rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'
 judged AS (SELECT page_id, host, path,
   (SELECT max_by(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
   (SELECT max_by(v, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS site,
-  regexp_matches(host || path, '^([^/?#]*\.)?(cheap-pills|.*-pills|casino-.*|.*casino|free-bets|.*-bets|adult-.*|porn.*|spam-farm|link-farm|ads-track|ads|tracking|doubleclick)\.')
+  regexp_matches(host, '(^|\.)(cheap-pills|free-bets|porn|spam-farm|link-farm|ads-track|ads|tracking|doubleclick|casino-[^/?#]*|adult-[^/?#]*|porn-[^/?#]*)\.')
+  OR regexp_matches(host, '(-pills|casino|-bets)\.')
   OR regexp_matches(host || path, '(/wp-login\.php|/cart/checkout|/user/login|/account/signup)([^a-z0-9_.%-]|$)|/cgi-bin/') AS junk FROM parts)
 SELECT page_id, host, path, rule, coalesce(site, CASE WHEN junk THEN 'block' ELSE 'allow' END) AS verdict FROM judged
 """.replace("UPPER", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").replace("LOWER", "abcdefghijklmnopqrstuvwxyz")}

@@ -135,6 +135,20 @@ def test_urls(spark):
     assert U.judge_urls(rows.limit(0)).collect() == []
 
 
+def test_host_rules_stay_in_the_host(spark):
+    """A star of a host rule ends with the host, and a word of a label isn't the begin of another word."""
+    calm = ["http://example.org/my-casino.html", "http://blog.org/a-bets.pdf", "http://pornic.fr/ville", "http://x.com/adult-education.html", "http://b.org/?q=casino-x.y"]
+    shop = ["http://best-casino.org/", "http://a.my-bets.co/x", "http://casino-a.b/", "http://porn.example.com/", "http://porn-x.y/", "http://www.e-pills.org"]
+    rows = spark.createDataFrame(list(enumerate(calm + shop)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in U.judge_urls(rows).collect()}
+    assert got == {k: "allow" if k < len(calm) else "block" for k in range(len(calm + shop))}
+
+
+def test_a_very_long_url(spark):
+    rows = spark.createDataFrame([(1, "http://ex.org/" + "a-" * 300_000), (2, "http://ads." + "x" * 500_000 + "/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in U.judge_urls(rows).collect()} == {1: "allow", 2: "block"}
+
+
 def test_literals_stand_in_every_url_that_fits():
     assert U.Rule("||cheap-pills.", "block").literals == {"cheap", "pills"}
     assert U.Rule("||casino-*.", "block").literals == {"casino"}
