@@ -130,10 +130,11 @@ def sketch_key(text: str) -> int:
 
 
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = 30_000, least_docs: int = 4, least_weight: float = 2.5,
-          most_words: int = 20_000, threat_share: float = 0.6, threat_rows: float = 2.0) -> Model:
+          threat_share: float = 0.6, threat_rows: float = 2.0) -> Model:
     """Fit on at most ``labelled`` rows of ``labels`` (doc_id, toxic), the first by hash of the id.
 
-    Those ids are a table of bounded size, so documents are filtered without being shuffled. Rows with a
+    Those ids are a table of bounded size, so documents are filtered without being shuffled, and every word of
+    theirs that says enough is learned. Rows with a
     null label or id don't count. Copies and near copies count once. Without both classes, nothing is toxic.
     A threat weighs what gives it, by the curve, the share of toxic ones among the labelled rows that
     only threaten; ``threat_rows`` rows with a share of ``threat_share`` are added to them, so a threat
@@ -168,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = 30_000, least_docs
     odds = F.log((F.col("t") + 0.25) / (n_toxic + 0.5)) - F.log((F.col("c") + 0.25) / (n_clean + 0.5))
     counted = sample.mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     top = counted.filter(F.col("t") >= least_docs).withColumn("weight", odds).filter(F.col("weight") >= least_weight)
-    rows = top.orderBy(F.desc(F.col("weight") * F.col("t")), "word").limit(most_words).collect()
+    rows = top.collect()  # words that ``least_docs`` of the labelled rows share: bounded as those are
     draft = Model({r["word"]: float(r["weight"]) for r in rows}, 1.0, -3.0)
 
     def strengths(batches_):
