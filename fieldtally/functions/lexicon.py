@@ -6,99 +6,23 @@ All lists are fixed values in folded form (no accents). They are loaded as one t
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD_TYPE = {
-    "Vocalización": "vocalizacion, vocalizando, vocaliza, cantando, canto, canta, sonido, escuchado, escuchada, oido, "
-                    "solo audio, de oido, reclamo",
-    "Registro de audio": "registro de audio, grabacion, grabado en audio",
-    "Fecas": "fecas, feca, fecal, excremento, excrementos, guano, bosta",
-    "Huella": "huella, huellas, pisada, pisadas, rastro, rastros",
-    "Plumas": "plumas, pluma",
-    "Muda": "muda, exuvia",
-    "Madriguera": "madriguera, madrigueras, cueva",
-    "Cururera": "cururera, cururo",
-    "Huesos": "huesos, hueso, craneo, esqueleto, osamenta",
-    "Egagrópila": "egagropila, egagropilas",
-    "Nido": "nido, nidos",
-    "Individuo": "individuo, individuos, visto, vista, avistado, avistamiento, observado, observada, de vista",
-}
-SEX = {
-    "Macho": "macho, machos, sexo macho",
-    "Hembra": "hembra, hembras, sexo hembra",
-    "Indeterminado": "sexo indeterminado, indeterminado",
-}
-LIFE_STAGE = {
-    "Adulto": "adulto, adultos, adulta, adultas",
-    "Juvenil": "juvenil, juveniles, subadulto, inmaduro",
-    "Cría": "cria, crias, pollo, pollos, polluelo, cachorro, cachorros, neonato",
-    "Huevo/Larva": "huevo, huevos, larva, larvas, renacuajo, renacuajos, postura",
-}
-CONDITION = {
-    "Muerto": "muerto, muerta, cadaver, atropellado, atropellada",
-    "Herido": "herido, herida, lesionado",
-    "Vivo": "vivo, viva",
-}
-BEHAVIOUR = {
-    "Alimentándose": "alimentandose, comiendo, forrajeando",
-    "Corriendo": "corriendo, caminando, desplazandose",
-    "Cortejo": "cortejo, en cortejo, cortejando",
-    "Durmiendo": "durmiendo, dormido",
-    "En suelo": "en suelo, en el suelo",
-    "Posado": "posado, posada, perchado",
-    "Tomando agua": "tomando agua, bebiendo",
-    "Volando": "volando, en vuelo, sobrevolando, planeando",
-    "Cazando": "cazando, depredando",
-    "Vocalizando": "vocalizando, cantando, vocalizacion, canto, cantos, escuchado, escuchada",
-    "Escondido": "escondido, escondida, oculto, refugiado",
-    "Reposando": "reposando, descansando",
-    "Agrupación": "agrupacion, en grupo, bandada",
-    "Nadando": "nadando",
-}
-CONFIDENCE = {
-    "posible": "posible, posiblemente, quizas, tal vez, puede ser, no estoy seguro, dudoso",
-    "probable": "probable, probablemente, creo que, creo, parece, al parecer, aparentemente, casi seguro",
-    "seguro": "seguro, confirmado, sin duda",
-}
-DIRECTION = {
-    "NE": "noreste, nororiente", "NO": "noroeste, norponiente", "SE": "sureste, suroriente",
-    "SO": "suroeste, surponiente", "N": "norte", "S": "sur", "E": "este, oriente", "O": "oeste, poniente",
-}
-WEATHER = {
-    "Despejado": "despejado, cielo despejado, soleado, sol, con sol",
-    "Parcialmente nublado": "parcialmente nublado, nubosidad parcial, semi nublado, algo nublado",
-    "Nublado": "nublado, cubierto, cielo cubierto, nuboso",
-    "Neblina": "neblina, niebla, camanchaca, bruma",
-    "Llovizna": "llovizna, garua, chubasco",
-    "Lluvia": "lluvia, lloviendo, con lluvia",
-    "Viento": "viento, ventoso, con viento",
-}
-METHOD = {
-    "transecto": "ldb de fauna diaria, ldb fauna diaria, fauna diaria, linea base diaria, transecto general, transecto",
-    "playback_aves": "playback de aves, playback aves, pb aves, playback",
-    "playback_anfibios": "playback de anfibios, playback anfibios, pb anfibios",
-    "camara_trampa": "camara trampa, camaras trampa, trampa camara",
-    "trampa_sherman": "trampas sherman, trampa sherman, sherman",
-    "songmeter": "songmeter, song meter, grabadora acustica",
-    "transito_aereo_nocturno": "transito aereo nocturno, monitoreo de transito aereo nocturno, mtan, visor nocturno, "
-                               "aereo nocturno",
-    "transito_aereo": "transito aereo, transito aereo diurno, transito, ta",
-    "punto_conteo": "punto de conteo, punto conteo",
-    "atropello": "atropello, atropellos, road kill",
-}
-POINT_START = {
-    "true": "hora de inicio, hora inicio, inicio de punto, inicio del punto, inicio de estacion, inicio de muestreo, "
-            "abro el punto, abrir punto, abriendo punto, partida del punto",
-}
+#: Fixed values, one (lexicon, phrase, value) a line.
+PHRASES = Path(__file__).with_name("phrases.csv")
+
 # Order in which a reading of the same place is preferred; stations, distances and heights come
 # before these, traps and lines between weather and direction, numbers last.
-LEXICONS = [
-    ("opens", POINT_START, 30), ("weather", WEATHER, 50), ("direction", DIRECTION, 80), ("method", METHOD, 90),
-    ("record_type", RECORD_TYPE, 100), ("confidence", CONFIDENCE, 110), ("sex", SEX, 120), ("life_stage", LIFE_STAGE, 130),
-    ("condition", CONDITION, 140), ("behaviour", BEHAVIOUR, 150),
-]
+LEXICONS = {
+    "opens": 30, "weather": 50, "direction": 80, "method": 90, "record_type": 100, "confidence": 110, "sex": 120,
+    "life_stage": 130, "condition": 140, "behaviour": 150,
+}
 
+# Single words that open a reading, fill a sentence or count.
 SLOPE_TRIGGERS = ["inclinacion", "exposicion", "ladera", "pendiente", "aspecto"]
 SLOPE_TERMS = {
     "plano": "Plano", "llano": "Plano", "fondo": "Fondo de quebrada", "quebrada": "Quebrada", "cima": "Cima",
@@ -111,31 +35,47 @@ ORIGIN_TRIGGERS = ["desde", "proveniente", "viene", "origen"]
 DESTINATION_TRIGGERS = ["hacia", "rumbo", "hasta", "destino", "direccion"]
 TRAP_TRIGGERS, LINE_TRIGGERS = ["trampa", "trampas"], ["linea", "lineas", "transecta"]
 METRES = ["metros", "metro", "m"]
-SITE_FILLERS = ("asociada asociado asociadas asociados correspondiente numero n a al la el de del los las punto pto "
-                "estacion").split()
-FILLERS = ("de del la el los las unos unas con en a al y e o u que se su sus aproximadamente como mas menos sobre "
-           "estacion punto especie registro registros encontre vi escuche observe hay habia tengo anote individuo "
-           "individuos metros metro m vuelo sexo edad este esta ese esa").split()
-
-_SMALL = ("cero un dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciseis diecisiete "
-          "dieciocho diecinueve veinte veintiun veintidos veintitres veinticuatro veinticinco veintiseis veintisiete "
-          "veintiocho veintinueve").split()
-UNITS = {**{w: i for i, w in enumerate(_SMALL)}, "uno": 1, "una": 1, "veintiuno": 21, "veintiuna": 21}
-TENS = {w: 10 * i for i, w in enumerate("treinta cuarenta cincuenta sesenta setenta ochenta noventa".split(), start=3)}
-HUNDREDS = {"cien": 100, "ciento": 100, "doscientos": 200, "trescientos": 300, "cuatrocientos": 400, "quinientos": 500,
-            "seiscientos": 600, "setecientos": 700, "ochocientos": 800, "novecientos": 900}
-DATE_NUMBERS = {w: i for i, w in enumerate(_SMALL) if 1 <= i <= 10} | {"uno": 1, "una": 1}
-WEEKDAYS = "domingo lunes martes miercoles jueves viernes sabado".split()
-MONTH_NUMBERS = {m: i for i, m in enumerate(
-    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(), start=1)} | {"setiembre": 9}
+SITE_FILLERS = [
+    "asociada", "asociado", "asociadas", "asociados", "correspondiente", "numero", "n", "a", "al", "la", "el", "de", "del",
+    "los", "las", "punto", "pto", "estacion",
+]
+FILLERS = [
+    "de", "del", "la", "el", "los", "las", "unos", "unas", "con", "en", "a", "al", "y", "e", "o", "u", "que", "se", "su",
+    "sus", "aproximadamente", "como", "mas", "menos", "sobre", "estacion", "punto", "especie", "registro", "registros",
+    "encontre", "vi", "escuche", "observe", "hay", "habia", "tengo", "anote", "individuo", "individuos", "metros", "metro",
+    "m", "vuelo", "sexo", "edad", "este", "esta", "ese", "esa",
+]
+UNITS = {
+    "cero": 0, "un": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9, "diez": 10,
+    "once": 11, "doce": 12, "trece": 13, "catorce": 14, "quince": 15, "dieciseis": 16, "diecisiete": 17, "dieciocho": 18,
+    "diecinueve": 19, "veinte": 20, "veintiun": 21, "veintidos": 22, "veintitres": 23, "veinticuatro": 24, "veinticinco": 25,
+    "veintiseis": 26, "veintisiete": 27, "veintiocho": 28, "veintinueve": 29, "uno": 1, "una": 1, "veintiuno": 21,
+    "veintiuna": 21,
+}
+TENS = {
+    "treinta": 30, "cuarenta": 40, "cincuenta": 50, "sesenta": 60, "setenta": 70, "ochenta": 80, "noventa": 90,
+}
+HUNDREDS = {
+    "cien": 100, "ciento": 100, "doscientos": 200, "trescientos": 300, "cuatrocientos": 400, "quinientos": 500,
+    "seiscientos": 600, "setecientos": 700, "ochocientos": 800, "novecientos": 900,
+}
+DATE_NUMBERS = {
+    "un": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9, "diez": 10, "uno": 1,
+    "una": 1,
+}
+WEEKDAYS = [
+    "domingo", "lunes", "martes", "miercoles", "jueves", "viernes", "sabado",
+]
+MONTH_NUMBERS = {
+    "enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8, "septiembre": 9,
+    "octubre": 10, "noviembre": 11, "diciembre": 12, "setiembre": 9,
+}
 
 
 def lexicon_rows() -> list[tuple[str, str, str, int, int]]:
-    rows = []
-    for name, table, priority in LEXICONS:
-        for value, phrases in table.items():
-            rows += [(name, p, value, priority, len(rows) + i) for i, p in enumerate(phrases.split(", "))]
-    return rows
+    """(lexicon, phrase, value, priority, order) of the built-in phrases."""
+    lines = [line for line in PHRASES.read_text(encoding="utf8").splitlines() if not line.startswith("#")]
+    return [(r["lexicon"], r["phrase"], r["value"], LEXICONS[r["lexicon"]], i) for i, r in enumerate(csv.DictReader(lines))]
 
 
 def lexicon_table(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
@@ -143,7 +83,7 @@ def lexicon_table(spark: SparkSession, extra: DataFrame | None = None) -> DataFr
     base = spark.createDataFrame(lexicon_rows(), "lexicon string, phrase string, value string, priority int, ord int")
     if extra is None:
         return base
-    levels = spark.createDataFrame([(n, p) for n, _, p in LEXICONS], "lexicon string, priority int")
+    levels = spark.createDataFrame(list(LEXICONS.items()), "lexicon string, priority int")
     own = extra.join(levels, "lexicon").select("lexicon", "phrase", "value", "priority", F.lit(-1).alias("ord"))
     both = own.unionByName(base)
     return both.groupBy("lexicon", "phrase").agg(

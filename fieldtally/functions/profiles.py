@@ -1,102 +1,27 @@
 """Requirement profiles: what a survey asks for, by method, group and record type.
 
-A profile is data: rows of (profile, level, level_value, field, requirement). The built-in ones
-below are fixed values; a project adds or replaces rows in its own table.
+A profile is data: rows of (profile, level, level_value, field, requirement). The built-in ones are
+a table beside this module; a project adds or replaces rows in its own.
 """
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 CONFIG_SCHEMA = "profile string, level string, level_value string, field string, requirement string"
 FALLBACK = "optional"
 
-
-def _spread(requirement: str, fields: str) -> dict[str, str]:
-    return {f: requirement for f in fields.split()}
-
-
-BASE = {
-    **_spread("required", "eventDate eventTime station method taxon recordType individualCount"),
-    **_spread("recommended", "recordedBy weather behaviour"),
-    **_spread("optional", "sex lifeStage organismCondition photos occurrenceCoordinates notes effort conditions"),
-    **_spread("hidden", "detectionDistance organismId trapNumber reproductiveCondition flightDirection flightHeight "
-                        "flightOrigin flightDestination flightHeightReference flightType timeBlock playbackResponse"),
-}
-
-BY_METHOD = {
-    "transecto": {
-        **_spread("required", "station taxon individualCount recordType eventTime recordedBy"),
-        "detectionDistance": "optional",
-    },
-    "playback_aves": _spread("required", "taxon playbackResponse recordType individualCount eventTime"),
-    "playback_anfibios": _spread("required", "taxon playbackResponse recordType individualCount eventTime"),
-    "transito_aereo": {
-        **_spread("required", "taxon individualCount flightDirection flightHeight"),
-        **_spread("recommended", "sex flightOrigin flightDestination behaviour"),
-        "recordType": "optional",
-    },
-    "transito_aereo_nocturno": {
-        **_spread("required", "taxon individualCount flightDirection flightHeightReference timeBlock"),
-        **_spread("recommended", "flightHeight flightType conditions effort"),
-        **_spread("optional", "recordType flightOrigin flightDestination"),
-        **_spread("hidden", "sex lifeStage behaviour"),
-    },
-    "camara_trampa": {
-        **_spread("required", "taxon eventDate eventTime individualCount photos"),
-        **_spread("recommended", "recordType behaviour lifeStage"),
-        "trapNumber": "optional",
-        **_spread("hidden", "detectionDistance organismId reproductiveCondition"),
-    },
-    "trampa_sherman": {
-        **_spread("required", "taxon individualCount"),
-        **_spread("recommended", "sex lifeStage occurrenceCoordinates reproductiveCondition organismId trapNumber"),
-        "recordType": "optional",
-        **_spread("hidden", "detectionDistance behaviour"),
-    },
-    "punto_conteo": {
-        **_spread("required", "taxon individualCount recordType"),
-        **_spread("recommended", "detectionDistance conditions"),
-    },
-    "registro_oportunista": {
-        **_spread("required", "taxon occurrenceCoordinates"),
-        "station": "optional", "individualCount": "recommended",
-    },
-    "songmeter": {
-        **_spread("required", "taxon recordType"),
-        "individualCount": "recommended",
-        **_spread("hidden", "sex lifeStage behaviour detectionDistance organismId reproductiveCondition"),
-    },
-    "atropello": {
-        **_spread("required", "taxon organismCondition occurrenceCoordinates"),
-        "photos": "recommended",
-        **_spread("hidden", "behaviour detectionDistance"),
-        **_spread("optional", "sex lifeStage"),
-    },
-}
-
-_TRACE_ONLY = {"individualCount": "optional", **_spread("hidden", "sex lifeStage behaviour")}
-BY_RECORD_TYPE = {
-    "Individuo": {**_spread("recommended", "behaviour lifeStage"), **_spread("optional", "sex reproductiveCondition")},
-    "Vocalización": _spread("hidden", "behaviour lifeStage sex"),
-    "Registro de audio": {"individualCount": "recommended", **_spread("hidden", "behaviour lifeStage sex")},
-    **{t: _TRACE_ONLY for t in ("Fecas", "Huella", "Madriguera", "Cururera", "Huesos", "Muda", "Nido", "Egagrópila")},
-    "Plumas": {**_TRACE_ONLY, "sex": "optional"},
-}
-
-THREATENED = {"photos": "required", "individualCount": "required", "notes": "recommended"}
-MINIMAL = _spread("required", "eventDate eventTime station taxon")
-
+#: Fixed values, one row a line.
+REQUIREMENTS = Path(__file__).with_name("requirements.csv")
 STANDARD_ID, MINIMAL_ID = "linea-base-fauna", "minimo"
 
 
 def builtin_rows() -> list[tuple[str, str, str, str, str]]:
-    rows = [(STANDARD_ID, "base", "", f, r) for f, r in BASE.items()]
-    rows += [(MINIMAL_ID, "base", "", f, r) for f, r in MINIMAL.items()]
-    for level, table in (("method", BY_METHOD), ("record_type", BY_RECORD_TYPE)):
-        rows += [(STANDARD_ID, level, value, f, r) for value, fields in table.items() for f, r in fields.items()]
-    rows += [(p, "threatened", "", f, r) for p in (STANDARD_ID, MINIMAL_ID) for f, r in THREATENED.items()]
-    return rows
+    lines = [line for line in REQUIREMENTS.read_text(encoding="utf8").splitlines() if not line.startswith("#")]
+    return [tuple(r) for r in list(csv.reader(lines))[1:]]
 
 
 def builtin_config(spark: SparkSession) -> DataFrame:
