@@ -1,6 +1,7 @@
 """Reading strangers' spreadsheets out of a long table of cells.
 
-``cells``: file, sheet, row_no (from 1), col_no, value. Row and column counts of a single sheet
+``cells``: file, sheet, row_no (from 1), col_no, value, and optionally value_type (n, d, b, s: number, date,
+truth value, text), as ``read_cells`` gives them. Row and column counts of a single sheet
 are never collected; only header rows, whose width a sheet bounds, become arrays.
 """
 
@@ -283,9 +284,11 @@ def _rows_by_field(cells: DataFrame, header_rows: DataFrame, roles: list[str], f
     sheets = sheet_fields(matched).select(*SHEET, classify_sheet().alias("role")).filter(F.col("role").isin(roles))
     wanted = written(sure_columns(matched).filter(F.col("field_id").isin(list(fields))).join(sheets, SHEET), "import-columns")
     values = cells.join(wanted, SHEET + ["col_no"]).filter(F.col("row_no") > F.col("header_row"))
+    typed = [F.max(F.when(F.col("field_id") == f, F.col("value_type") == "n")).alias(f"{name} is number")
+             for f, name in fields.items() if name in ("_date", "_time") and "value_type" in cells.columns]
     return values.groupBy(*SHEET, "row_no", "role").agg(*[
         F.max(F.when(F.col("field_id") == f, F.col("value"))).alias(name) for f, name in fields.items()
-    ])
+    ], *typed)
 
 
 RECORD_FIELDS = {
@@ -320,16 +323,17 @@ def import_records(cells: DataFrame, header_rows: DataFrame, keys: DataFrame, *,
     raw = _rows_by_field(cells, header_rows, ["registros", "registros_ta"], RECORD_FIELDS, extra)
     plain = {n: clean_cell(n) for n in RECORD_FIELDS.values() if n not in _CONVERTED}
     flight = F.col("role") == "registros_ta"
+    number = {c: F.coalesce(F.col(f"{c} is number"), F.lit(False)) if f"{c} is number" in raw.columns else None for c in ("_date", "_time")}
     rows = raw.withColumns(plain).filter(F.col("common_name").isNotNull()).withColumns(
         {
-            "event_date": excel_date("_date"), "event_time": excel_time("_time"), "individual_count": parse_number("_count"),
+            "event_date": excel_date("_date", number["_date"]), "event_time": excel_time("_time", number["_time"]), "individual_count": parse_number("_count"),
             "flight_height_m": F.when(flight, parse_number("_height")),
             "method": F.coalesce("method", F.when(flight, "Tránsito aéreo")),
             "stated_record_type": F.col("record_type"),
             "record_type": F.coalesce("record_type", F.when(flight, "Individuo")),
             **{c: F.when(flight, F.col(c)) for c in ("flight_origin", "flight_destination", "flight_height_category")},
         }
-    ).drop(*_CONVERTED)
+    ).drop(*_CONVERTED, *[f"{c} is number" for c in number])
     return rows.withColumn("key", fold("common_name")).join(_counted_keys(keys), "key", "left").drop("key").withColumns(
         {"hits": F.coalesce("hits", F.lit(0)), "taxon_id": F.when(F.col("hits") == 1, F.col("taxon_id"))})
 

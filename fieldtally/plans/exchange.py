@@ -270,3 +270,68 @@ def _with_facts(t):
 
 register("flatten_facts", _with_facts,
          """SELECT occurrence_id, station_code, CASE WHEN event_id%7=3 THEN 'respuestaPlayback=respuesta '||(occurrence_minute%3) ELSE '' END AS facts FROM flat""")
+
+
+def _preamble_files(t):
+    """The trap sheet under a preamble with markers, known and unknown, written and read back."""
+    path = _folder(t, "template")
+    rows = X.build_sheet(_TRAP, X.sheet_rows(_TRAP.scope, t.flat))
+    above = [["Proyecto", "{{project}}", "{{nothing}}"], [], ["Generado el {{date}}, {{date}}"]]
+    files.write_template({_TRAP.name: rows}, {_TRAP.name: [c.header for c in _TRAP.columns]}, path,
+                         preambles={_TRAP.name: above}, values={"project": "Línea, \"base\"", "date": "2026-09-04"})
+    return t.spark.read.csv(f"{path}/{_TRAP.name}/preamble", escape='"').select(F.col("_c0").cast("int").alias("row_no"), F.concat_ws("|", "_c1", "_c2").alias("cells"))
+
+
+def _whole_backup(t):
+    """All eight tables with all their columns, written, read again and compared row by row in both directions."""
+    path = _folder(t, "backup-all")
+    tables = {
+        "events": t.event, "occurrences": t.occurrence, "identifications": t.occurrence.select("occurrence_id", "taxon_id", "confidence", "created_at"),
+        "measurements": t.fact, "audit": t.change_log, "outbox": t.outbox_item,
+        "syncLog": t.outbox_item.select("item_id", "seq", F.col("queued_at").alias("at"), "outcome"),
+        "settings": t.raw("nation").select(F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("value")),
+    }
+    files.write_backup(tables, path, marker="field-backup", device_id="d1", created_at="2026-01-01T00:00:00Z")
+    out = files.read_backup_folder(t.spark, path, {n: df.schema.simpleString()[7:-1] for n, df in tables.items()}, marker="field-backup")
+
+    def marked(df, side):
+        return df.groupBy(F.xxhash64(*df.columns).alias("h")).agg(F.count(F.lit(1)).alias("n")).select("h", (F.col("n") * side).alias("n"))
+
+    def compared(name):
+        back = out[name].select(*tables[name].columns)
+        both = marked(tables[name], 1).unionByName(marked(back, -1)).groupBy("h").agg(F.sum("n").alias("n"))
+        return both.agg(F.lit(name).alias("name"), F.count_if(F.col("n") != 0).alias("different"))
+
+    different = reduce(DataFrame.unionByName, [compared(n) for n in tables])
+    return different.join(out["counts"].select(F.col("table").alias("name"), F.col("rows").alias("declared")), "name")
+
+
+register("write_template_preamble", _preamble_files,
+         """SELECT v.n AS row_no, v.c AS cells FROM (VALUES (1,'Proyecto|Línea, "base"'),(2,''),(3,'Generado el 2026-09-04, 2026-09-04')) AS v(n,c)""")
+register("write_backup_all", _whole_backup,
+         " UNION ALL ".join(f"SELECT '{n}' AS name, 0 AS different, count(*) AS declared FROM {v}" for n, v in (
+             ("events", "event"), ("occurrences", "lineitem"), ("identifications", "lineitem"), ("measurements", "lineitem WHERE l_orderkey%7=3"), ("audit", "change_log"),
+             ("outbox", "outbox_item"), ("syncLog", "outbox_item"), ("settings", "nation"))))
+
+
+def _native_sheets(t):
+    """Every sheet of the native workbook: its columns, its rows, and how many different first cells they have."""
+    star, dims, stations, events = t.star, _dims(t), t.station, t.event
+
+    def counted(sheet):
+        rows = X.build_sheet(sheet, X.sheet_rows(sheet.scope, star, stations=stations, events=events, events_dims=dims))
+        return rows.agg(F.lit(sheet.name).alias("sheet"), F.lit(len(rows.columns)).alias("n_columns"), F.count(F.lit(1)).alias("rows"), F.countDistinct("c1").alias("first_cells"))
+
+    return reduce(DataFrame.unionByName, [counted(s) for s in X.NATIVE_TEMPLATE])
+
+
+_SHEET = "SELECT '{0}' AS sheet, {1} AS n_columns, count(*) AS rows, count(DISTINCT {2}) AS first_cells FROM {3}"
+_PLANNED = """(SELECT station_code FROM (
+      SELECT c.event_id, g.station_id, g.method FROM grid g LEFT JOIN chosen c USING (station_id, method)
+      UNION ALL SELECT event_id, station_id, method FROM live_event ANTI JOIN grid USING (station_id, method)) w JOIN station USING (station_id))"""
+_SAMPLED = """(SELECT event_id FROM first_of UNION ALL SELECT event_id FROM live_event WHERE event_id NOT IN (SELECT event_id FROM live_occ))"""
+register("native_sheets", _native_sheets, " UNION ALL ".join(_SHEET.format(*row) for row in (
+    ("Registros", 53, "event_date", f"flat WHERE {_SCOPES['registros']}"), ("Plan", 14, "station_code", _PLANNED),
+    ("Trampeo", 38, "event_date", f"flat WHERE {_SCOPES['trampeo']}"), ("MTAN", 27, "event_date", f"flat WHERE {_SCOPES['transito_aereo_nocturno']}"),
+    ("Tránsito aéreo", 32, "event_date", f"flat WHERE {_SCOPES['transito_aereo']}"), ("Muestreos", 17, "event_id", _SAMPLED),
+    ("Estaciones", 22, "station_code", "(SELECT DISTINCT station_code FROM flat WHERE station_code IS NOT NULL)"))), chosen=_CHOSEN, first_of=_FIRST)

@@ -270,6 +270,42 @@ register("nomina_summary", lambda t: I.nomina_summary(I.read_nomina(I.red_list_r
          """SELECT count(*) AS total, count(category) AS with_category, count(*) FILTER (category LIKE 'EN (%') AS composite,
     count(*) FILTER (category LIKE 'Nombre%') AS synonyms, count(*) FILTER (upper(category) IN ('CR','VU','EN-R')) AS threatened FROM nom WHERE rn=1""", nom=_NOM)
 
+def _as_files(t, rows, kind):
+    """Rows as CSV files with a header and comment lines, as the catalogues are kept."""
+    from fieldtally.session import shared_folder
+
+    path = shared_folder(t.spark, kind)
+    rows.write.csv(path, header=True, escape='"', emptyValue="")
+    return path
+
+
+def _typed_files(t):
+    """The workbooks' cells as CSV files with their types: counts as numbers with a decimal part, ISO dates as dates, a spoilt cell."""
+    c = _cells(t)
+    day, count = F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}$"), (F.col("sheet") == "Registros") & (F.col("col_no") == 3) & (F.col("row_no") > 4)
+    kind = F.when(day, "d").when(count, "n").when(F.col("value") == "s/f", "e").otherwise("text")
+    value = F.when(day, F.concat("value", F.lit("T00:00:00"))).when(count, F.concat("value", F.lit(".0"))).otherwise(F.col("value"))
+    path = _as_files(t, c.select("file", "sheet", "row_no", "col_no", value.alias("value"), kind.alias("value_type")), "cells-csv")
+    return X.read_cells(t.spark, path)
+
+
+register("cells", lambda t: _typed_files(t).groupBy("sheet", "value_type").agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("value").alias("different")),
+    """SELECT sheet, kind AS value_type, count(*) AS cells, count(DISTINCT v) AS different FROM (
+      SELECT 'Registros' AS sheet, unnest(['s','d','s','n','s','s','s']) AS kind, unnest([CASE WHEN k%9=0 THEN '-' ELSE common_name END,
+        CASE WHEN k%6>=3 THEN event_date||'T00:00:00' END, station_code, CAST(k%12 AS VARCHAR), record_type, (k%24)||':30', 'x'||k]) AS v FROM rec
+      UNION ALL SELECT 'Registros', 's', CAST(day(o_orderdate) AS VARCHAR)||'/'||month(o_orderdate)||'/'||year(o_orderdate) FROM orders WHERE o_orderkey%6 IN (1,2)
+      UNION ALL SELECT 'Registros', 's', h FROM (SELECT DISTINCT file FROM rec), (SELECT unnest(%s) AS h)
+      UNION ALL SELECT 'Registros', 's', 'Empresa' FROM (SELECT DISTINCT file FROM rec)
+      UNION ALL SELECT 'Estaciones', 's', unnest(['EM'||s_suppkey, '0', CAST(300000+s_suppkey AS VARCHAR), (6300000+s_suppkey)||',5', 'Bosque', CAST(s_suppkey AS VARCHAR)]) FROM supplier
+      UNION ALL SELECT 'Estaciones', 's', h FROM (SELECT DISTINCT file FROM rec), (SELECT unnest(%s) AS h)
+      UNION ALL SELECT 'Especies', 's', unnest([CASE WHEN p_partkey%%3<>0 THEN p_name END, CASE WHEN p_partkey%%5<>0 THEN p_brand||' '||p_type END, 'Chordata', p_type, CAST(p_partkey AS VARCHAR)]) FROM part
+      UNION ALL SELECT 'Especies', 's', h FROM (SELECT DISTINCT file FROM rec), (SELECT unnest(%s) AS h))
+    WHERE v IS NOT NULL GROUP BY ALL""".replace("k%9", "k%%9").replace("k%6", "k%%6").replace("k%12", "k%%12").replace("k%24", "k%%24").replace(
+        "o_orderkey%6", "o_orderkey%%6") % (HEADERS, STATION_HEADERS, SPECIES_HEADERS), rec=_REC)
+register("import_typed_cells", lambda t: I.import_records(c := _typed_files(t), I.detect_header_row(c, "import"), keys(t)).select(
+    "file", "row_no", "common_name", "event_date", "event_time", "individual_count"),
+    "SELECT CAST(file AS VARCHAR) AS file, row_no, common_name, event_date, event_time, individual_count FROM imp", rec=_REC, imp=_IMP)
+
 # --- catalogue files ---
 
 
@@ -368,15 +404,6 @@ register("read_kml_files", _map_files,
     CASE WHEN event_id%3=0 THEN 1 ELSE 2 END AS n FROM events""")
 
 
-def _as_files(t, rows, kind):
-    """Rows as CSV files with a header and comment lines, as the catalogues are kept."""
-    from fieldtally.session import shared_folder
-
-    path = shared_folder(t.spark, kind)
-    rows.write.csv(path, header=True, escape='"', emptyValue="")
-    return path
-
-
 register("read_taxon_csv_files", lambda t: K.read_taxon_csv(t.spark, _as_files(t, _species_rows(t), "species-csv")).filter("not is_placeholder").select(
     "common_name", "scientific_name", "genus", "taxon_rank", "tax_group", "ambiguous", F.size("other_names").alias("n_other")),
     """SELECT p_name AS common_name, sci AS scientific_name, string_split(sci,' ')[1] AS genus,

@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from fieldtally.functions.text import number_text
+from fieldtally.operators.export import fill_placeholders
 from fieldtally.session import written
 from fieldtally.sources.json_pieces import ORDER, bucket, documents, text_pieces
 
 BACKUP_VERSION = 1
 BACKUP_TABLES = ["events", "occurrences", "identifications", "measurements", "audit", "outbox", "syncLog", "settings"]
 
+#: Moments are kept to the microsecond, which the default formats cut.
+MOMENTS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 # --- device backups -----------------------------------------------------------------------
 
@@ -51,7 +56,7 @@ def write_backup(tables: dict[str, DataFrame], path: str, *, marker: str, device
     counts = []
     for name, df in tables.items():
         rows = df.drop("blob").withColumn("blobOmitted", F.lit(True)) if name == "media" else df
-        rows.write.mode("overwrite").json(f"{path}/{name}")
+        rows.write.mode("overwrite").options(**MOMENTS).json(f"{path}/{name}")
         counts.append(rows.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")))
     counted = reduce(DataFrame.unionByName, counts).agg(F.map_from_entries(F.collect_list(F.struct("table", "rows"))).alias("counts"))
     counted.select(F.lit(marker).alias("format"), F.lit(BACKUP_VERSION).alias("version"), F.lit(created_at).alias("createdAt"),
@@ -69,13 +74,32 @@ def read_backup_folder(spark: SparkSession, path: str, tables: dict[str, str], *
     accepted = envelope.filter(ok).select("file", F.col("deviceId").alias("source_device"))
     out = {}
     for name, schema in tables.items():
-        rows = spark.read.schema(DataType.fromDDL(f"struct<{schema}>")).json(f"{path}/{name}")
+        rows = spark.read.schema(DataType.fromDDL(f"struct<{schema}>")).options(**MOMENTS).json(f"{path}/{name}")
         out[name] = rows.withColumn("file", F.lit(path)).join(accepted, "file").select("file", "source_device", *rows.columns)
     out["counts"] = envelope.filter(ok).select("file", F.explode("counts").alias("table", "rows"))
     out["rejected"] = envelope.filter(~ok).select("file", F.when(known, "newer version").otherwise("not a backup").alias("reason"))
     return out
 
 
+# --- spreadsheet cells --------------------------------------------------------------------
+
+CELLS = "file string, sheet string, row_no bigint, col_no int, value string, value_type string"
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of workbooks as a codec leaves them, CSV with a header: file, sheet, row_no, col_no, value, value_type.
+
+    Numbers lose a decimal part of nothing, truth values are written ``true`` and ``false``, errors and empty cells go,
+    and a type that isn't known is text. Dates stay as the codec writes them, ISO with or without a time.
+    """
+    raw = spark.read.schema(CELLS).csv(path, header=True, escape='"', multiLine=False)
+    kind = F.when(F.col("value_type").isin("n", "d", "b", "s", "e"), F.col("value_type")).otherwise("s")
+    number = F.col("value").try_cast("double")
+    value = F.when(kind == "n", F.coalesce(number_text(number), F.col("value"))).when(
+        kind == "b", F.when(F.lower("value").isin("true", "1"), "true").otherwise("false")).otherwise(F.col("value"))
+    return raw.withColumns({"value": value, "value_type": kind}).filter((F.col("value_type") != "e") & F.col("value").isNotNull())
+
+
 # --- maps ---------------------------------------------------------------------------------
 
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
@@ -165,10 +189,21 @@ def write_occurrence_csv(present: DataFrame, path: str) -> None:
     one_line(present).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="")
 
 
-def write_template(sheets: dict[str, DataFrame], headers: dict[str, list[str]], path: str) -> None:
-    """One CSV dataset per sheet under its name cut at 31 characters, headers in their own dataset."""
+def write_template(sheets: dict[str, DataFrame], headers: dict[str, list[str]], path: str, *,
+                   preambles: dict[str, list[list[str]]] | None = None, values: dict[str, str] | None = None) -> None:
+    """One CSV dataset per sheet under its name cut at 31 characters, headers in their own dataset.
+
+    ``preambles`` are the decorative rows above a sheet's header; ``values`` fill their ``{{markers}}``. They are
+    written beside the header, numbered, so that whoever puts the file together keeps their order.
+    """
     for name, df in sheets.items():
         folder = f"{path}/{name[:31]}"
         df.write.mode("overwrite").csv(f"{folder}/rows", header=False, escape='"', emptyValue="")
         head = df.sparkSession.createDataFrame([tuple(headers[name])], [f"c{i}" for i in range(1, len(headers[name]) + 1)])
         head.write.mode("overwrite").csv(f"{folder}/header", header=False, escape='"')
+        above = fill_placeholders((preambles or {}).get(name, []), values or {})
+        if above:
+            width = max(map(len, above))
+            rows = [(i, *row, *[""] * (width - len(row))) for i, row in enumerate(above, start=1)]
+            columns = "row_no int" + "".join(f", c{i} string" for i in range(1, width + 1))
+            df.sparkSession.createDataFrame(rows, columns).write.mode("overwrite").csv(f"{folder}/preamble", header=False, escape='"', emptyValue="")

@@ -121,6 +121,21 @@ def test_kml_order_holds_over_splits(spark, tmp_path):
     assert {(r.placemark_no, r.name, r.folder) for r in rows} == {(k, f"P{k}", f"F{k // 10}") for k in range(500)}
 
 
+def test_typed_cells(spark, tmp_path):
+    """Digits in a cell of text are no date; numbers, dates, truth values and spoilt cells come as their type says."""
+    heads = ["Nombre común", "Fecha", "ID Estación", "Abundancia", "Hora"]
+    rows = [("f", "Registros", 1, c, h, "s") for c, h in enumerate(heads)]
+    body = [("puma", "s"), ("45000", "n"), ("E1", "s"), ("3.0", "n"), ("0.5", "n")], [("puma", "x"), ("45000", "s"), ("E1", "s"), ("#N/A", "e"), ("0.5", "s")], \
+           [("puma", "s"), ("2024-05-06T10:30:00", "d"), ("1", "b"), ("", "s"), ("2024-05-06T10:30:00", "d")]
+    rows += [("f", "Registros", 2 + r, c, v, k) for r, line in enumerate(body) for c, (v, k) in enumerate(line)]
+    spark.createDataFrame(rows, W.CELLS).coalesce(1).write.csv(str(tmp_path / "c"), header=True, escape='"', emptyValue="")
+    cells = W.read_cells(spark, str(tmp_path / "c"))
+    keys = spark.createDataFrame([("puma", 1)], "key string, taxon_id int")
+    got = I.import_records(cells, I.detect_header_row(cells, "import"), keys).orderBy("row_no").collect()
+    assert [(r.event_date, r.event_time, r.station_code, r.individual_count) for r in got] == [
+        ("2023-03-15", "12:00", "E1", 3.0), (None, None, "E1", None), ("2024-05-06", "10:30", "true", None)]
+
+
 def test_darwin_core_files(spark, tmp_path):
     t = Tables(spark, SF)
     flat = t.flat
