@@ -201,12 +201,8 @@ def backoff_s(attempt):
     return F.least(F.pow(F.lit(2.0), attempt).cast("bigint"), F.lit(MAX_BACKOFF_S).cast("bigint"))
 
 
-def fold_outcomes(queue: DataFrame, *, now) -> DataFrame:
-    """Next state of each attempted item (item_id, op, attempts, outcome, entity_exists).
-
-    The network call lies outside: its answer is the ``outcome`` column.
-    """
-    moment = F.lit(now).cast("timestamp") if isinstance(now, str) else now
+def _answered(queue: DataFrame) -> DataFrame:
+    """The queue with what each answer comes to, and the number of the attempt."""
     attempt = F.col("attempts") + 1
     gone = ~F.coalesce("entity_exists", F.lit(True)) & (F.col("op") == "upsert")
     exhausted = (attempt >= MAX_ATTEMPTS) | (F.col("outcome") == "error")
@@ -217,7 +213,16 @@ def fold_outcomes(queue: DataFrame, *, now) -> DataFrame:
         .when(exhausted, "error")
         .otherwise("retry")
     )
-    rows = queue.withColumns({"result": result, "attempt": attempt})
+    return queue.withColumns({"result": result, "attempt": attempt})
+
+
+def fold_outcomes(queue: DataFrame, *, now) -> DataFrame:
+    """Next state of each attempted item (item_id, op, attempts, outcome, entity_exists).
+
+    The network call lies outside: its answer is the ``outcome`` column.
+    """
+    moment = F.lit(now).cast("timestamp") if isinstance(now, str) else now
+    rows = _answered(queue)
     wait = F.when(F.col("result").isin("conflict", "error"), F.lit(PARK_S).cast("bigint")).when(
         F.col("result") == "retry", backoff_s(F.col("attempt"))
     )
@@ -230,6 +235,19 @@ def fold_outcomes(queue: DataFrame, *, now) -> DataFrame:
     )
 
 
+def sync_log(queue: DataFrame, *, now) -> DataFrame:
+    """The log row that each answer leaves (at, direction, entity, entity_id, outcome, attempt, message); a skipped item leaves none.
+
+    ``message`` is what the other side said where it refused, from the queue's ``message`` if it has one.
+    """
+    moment = F.lit(now).cast("timestamp") if isinstance(now, str) else now
+    said = F.col("message") if "message" in queue.columns else F.lit(None).cast("string")
+    refused = F.col("result") != "synced"
+    return _answered(queue).filter(F.col("result") != "skipped").select(
+        moment.alias("at"), F.lit("push").alias("direction"), "entity", "entity_id",
+        F.when(refused, F.col("result")).otherwise("ok").alias("outcome"), "attempt", F.when(refused, said).alias("message"))
+
+
 def sync_report(folded: DataFrame) -> DataFrame:
     return folded.agg(
         F.count_if(F.col("result") != "skipped").alias("attempted"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.operators import changes as H
 from fieldtally.operators import merge as M
+from fieldtally.operators import quality as Q
 from fieldtally.plans.registry import register
 from fieldtally.plans.views import epoch_us
 
@@ -164,6 +165,9 @@ register("fold_sync_outcomes", lambda t: _folded(t).select(
       WHEN result='retry' THEN least(CAST(pow(2,attempts+1) AS BIGINT),900) END AS wait_s FROM folded""",
     folded=(_FOLD := """SELECT *, CASE WHEN seq%17=0 AND op='upsert' THEN 'skipped' WHEN outcome='ok' THEN 'synced'
       WHEN outcome='conflict' THEN 'conflict' WHEN outcome='error' OR attempts+1>=8 THEN 'error' ELSE 'retry' END AS result FROM outbox_item"""))
+register("sync_log", lambda t: H.sync_log(t.outbox_item.withColumns({"entity_exists": F.col("seq") % 17 != 0, "message": F.concat(F.lit("respuesta "), "outcome")}), now=NOW),
+         f"""SELECT '{NOW}'::TIMESTAMP AS at, 'push' AS direction, entity, entity_id, CASE result WHEN 'synced' THEN 'ok' ELSE result END AS outcome,
+    attempts+1 AS attempt, CASE WHEN result<>'synced' THEN 'respuesta '||outcome END AS message FROM folded WHERE result<>'skipped'""", folded=_FOLD)
 register("sync_report", lambda t: H.sync_report(_folded(t)),
          """SELECT count(*) FILTER (result<>'skipped') AS attempted, count(*) FILTER (result='synced') AS synced,
     count(*) FILTER (result='conflict') AS conflicts, count(*) FILTER (result IN ('retry','error')) AS failed,
@@ -179,3 +183,32 @@ def _folded(t):
     rows = t.outbox_item.withColumn("entity_exists", F.col("seq") % 17 != 0)
     folded = H.fold_outcomes(rows.withColumnsRenamed({"item_id": "_item", "seq": "item_id"}), now=NOW)
     return folded.withColumnRenamed("item_id", "seq")
+
+
+def _warned(t):
+    """What a backup without photographs warns of, and one without any sampling."""
+    media = t.backup("incoming").select((F.col("id") % 5 == 0).alias("blob_omitted"))
+    whole = M.merge_warnings(M.merge_reach(t.backup("incoming")), media).select(F.lit("photos").alias("backup"), "warning")
+    none = M.merge_reach(t.backup("incoming").filter("deleted_at is not null"))
+    return whole.unionByName(M.merge_warnings(none).select(F.lit("empty").alias("backup"), "warning"))
+
+
+register("merge_warnings", _warned,
+         """SELECT 'photos' AS backup, 'El respaldo se exportó sin las fotografías: se van a unir los registros, pero las imágenes de tu compañero no vienen.' AS warning
+    WHERE EXISTS (SELECT 1 FROM backup_incoming WHERE id%5=0)
+    UNION ALL SELECT 'empty', 'El respaldo no trae ningún muestreo.'""")
+
+
+def _declared(t):
+    """Declared counts of three tables: one right, one too high, one that was not read at all."""
+    read = t.backup("incoming").agg(F.count(F.lit(1)).alias("rows")).select(F.lit("events").alias("table"), "rows").unionByName(
+        t.backup("local").agg(F.count(F.lit(1)).alias("rows")).select(F.lit("audit").alias("table"), "rows"))
+    declared = read.select("table", (F.col("rows") + F.when(F.col("table") == "audit", 3).otherwise(0)).alias("rows")).unionByName(
+        t.backup("local").agg(F.lit("settings").alias("table"), F.count(F.lit(1)).alias("rows")))
+    return M.declared_count_gaps(read, declared)
+
+
+register("declared_count_gaps", _declared,
+         """SELECT 'audit' AS "table", count(*)+3 AS declared, count(*) AS read FROM backup_local UNION ALL SELECT 'settings', count(*), 0 FROM backup_local""")
+register("conservation_sources", lambda t: Q.conservation_sources(t.taxon),
+         "SELECT DISTINCT conservation_source FROM flag WHERE level<>'sin-clasificar' AND conservation_source IS NOT NULL AND conservation_source<>''")
