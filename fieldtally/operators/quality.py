@@ -11,6 +11,7 @@ from fieldtally.functions import survey as S
 from fieldtally.functions.text import blank, fold
 from fieldtally.operators.effort import effort_summary
 from fieldtally.operators.ordered import running_sum_by_bucket
+from fieldtally.session import written
 
 ISSUE_COLUMNS = ["kind", "severity", "message", "event_id", "occurrence_id", "n_records"]
 TAXON_COLUMNS = ["taxon_id", "common_name", "rce", "iucn", "origin", "tax_group", "tax_order"]
@@ -199,7 +200,8 @@ def quality_issues(events: DataFrame, occurrences: DataFrame, taxa: DataFrame, *
 
 
 def issues_by_severity(issues: DataFrame) -> DataFrame:
-    return issues.orderBy(severity_rank().desc(), "kind", "occurrence_id", "event_id")
+    """Issues with the gravest first. They are written before they are sorted: a global sort reads its input twice."""
+    return written(issues, "issues").orderBy(severity_rank().desc(), "kind", "occurrence_id", "event_id")
 
 
 def quality_summary(events: DataFrame, occurrences: DataFrame, taxa: DataFrame) -> DataFrame:

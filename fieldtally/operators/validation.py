@@ -10,6 +10,7 @@ from fieldtally.functions import vocab as V
 from fieldtally.functions.profiles import FALLBACK, STANDARD_ID
 from fieldtally.functions.text import blank
 from fieldtally.operators.spatial import station_drift
+from fieldtally.session import written
 
 CONTEXT = ["method", "tax_group", "record_type", "threatened"]
 
@@ -323,5 +324,5 @@ def draft_result(prepared: DataFrame) -> DataFrame:
 def what_is_missing(issues: DataFrame) -> DataFrame:
     """Only what someone can act on: blockers, then questions, then pending fields."""
     rank = F.when(F.col("severity") == "blocker", 0).when(F.col("severity") == "question", 1).otherwise(2)
-    return issues.filter(F.col("severity").isin("blocker", "question", "pending")).withColumn("urgency", rank).orderBy(
-        "draft_id", "urgency", "field")
+    missing = issues.filter(F.col("severity").isin("blocker", "question", "pending")).withColumn("urgency", rank)
+    return written(missing, "missing").orderBy("draft_id", "urgency", "field")

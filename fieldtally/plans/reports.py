@@ -65,7 +65,18 @@ register("one_per_key", lambda t: star.one_per_key(t.flat, "event_id").select("e
 
 register("derive_catalogs", lambda t: _derived(t)["stations"].select(
     "project_id", "station_code", "region", "season", F.array_join("methods", ",").alias("methods"),
-    F.size("sites").alias("n_sites"), S.half_up(F.col("lat"), 6).alias("lat"), S.half_up(F.col("lon"), 6).alias("lon")))
+    F.size("sites").alias("n_sites"), S.half_up(F.col("lat"), 6).alias("lat"), S.half_up(F.col("lon"), 6).alias("lon")),
+    """SELECT * FROM (WITH k AS (SELECT 6378137e0 AS a, 0.9996e0 AS k0, (1/298.257223563e0)*(2-1/298.257223563e0) AS e2),
+    g AS (SELECT *, e2/(1-e2) AS ep2, (1-sqrt(1-e2))/(1+sqrt(1-e2)) AS e1 FROM k),
+    m AS (SELECT s.*, g.*, (utm_north-10000000)/k0/(a*(1-e2/4-3*pow(e2,2)/64-5*pow(e2,3)/256)) AS mu FROM station s, g),
+    f AS (SELECT *, mu+(3*e1/2-27*pow(e1,3)/32)*sin(2*mu)+(21*pow(e1,2)/16-55*pow(e1,4)/32)*sin(4*mu)+151*pow(e1,3)/96*sin(6*mu)+1097*pow(e1,4)/512*sin(8*mu) AS phi FROM m),
+    w AS (SELECT *, 1-e2*pow(sin(phi),2) AS w, pow(tan(phi),2) AS t, ep2*pow(cos(phi),2) AS c FROM f),
+    d AS (SELECT *, a/sqrt(w) AS nu, a*(1-e2)/pow(w,1.5e0) AS rho, (utm_east-500000)/(a/sqrt(w)*k0) AS d FROM w)
+    SELECT 'proj_region-'||(station_id%3) AS project_id, station_code, region, season, concat_ws(',', 'transecto', CASE WHEN station_id%2=0 THEN 'camara_trampa' END,
+      CASE WHEN station_id%3=0 THEN 'trampa_sherman' END, CASE WHEN station_id%5=0 THEN 'playback_aves' END, CASE WHEN station_id%7=0 THEN 'punto_conteo' END) AS methods,
+    1 AS n_sites,
+    floor(degrees(phi-nu*tan(phi)/rho*d*d*(5e-1-(5+3*t+10*c-4*c*c-9*ep2)/24*d*d+(61+90*t+298*c+45*t*t-252*ep2-3*c*c)/720*pow(d,4)))*1e6+5e-1)/1e6 AS lat,
+    floor(degrees(radians(-69e0)+d*(1-(1+2*t+c)/6*d*d+(5-2*c+28*t-3*c*c+8*ep2+24*t*t)/120*pow(d,4))/cos(phi))*1e6+5e-1)/1e6 AS lon FROM d)""")
 
 register("derive_campaigns", lambda t: _derived(t)["campaigns"],
          """SELECT DISTINCT 'camp_proj_region-'||(s_suppkey%3)||'_'||lower(CASE WHEN s_suppkey%2=0 THEN 'Verano' ELSE 'Invierno' END) AS campaign_id,
