@@ -126,3 +126,23 @@ def test_commands(spark):
     df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "utterance_id int, text string")
     got = {r.utterance_id: (r.command, r.argument) for r in U.classify_utterance(df).collect()}
     assert got == {i: r[1:] for i, r in enumerate(rows)}
+
+
+def test_said_rows_are_not_broadcast(spark):
+    """Rows exploded out of a small table are many: only the lexicon goes to every task."""
+    said = spark.createDataFrame([(1, "dos machos en em0001")], "utterance_id long, text string")
+    chunks = U.with_tokens(U.read_dates(U.split_chunks(said), today="2026-09-04"))
+    stations = spark.createDataFrame([("EM0001",)], "station_code string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    tagged = U.tag_lexicon(chunks, lexicon_table(spark))
+    assert "BuildRight" in plan(tagged) and "BuildLeft" not in plan(tagged)
+    assert "BroadcastHashJoin" not in plan(U.read_station(chunks, stations))
+    session = said.select("utterance_id", F.lit("S").alias("station_code"), F.lit("m").alias("method"), F.lit("2026-09-04").alias("today"))
+    read = U.parse_utterances(said, spark.createDataFrame([("chucao", "t1")], "key string, taxon_id string"), stations, lexicon_table(spark), today="2026-09-04")
+    for rows in (U.to_drafts(read["observations"], read["headers"], session), read["warnings"]):
+        assert "BroadcastHashJoin" not in plan(rows)
+
+
+def test_a_small_file_of_sentences_is_read_by_many_tasks(spark):
+    said = spark.createDataFrame([(i, "dos machos") for i in range(40)], "utterance_id long, text string").coalesce(1)
+    assert U.split_chunks(said).rdd.getNumPartitions() > 1
