@@ -261,3 +261,15 @@ def test_outbox_backoff(spark):
                               "item_id string, op string, attempts int, outcome string, entity_exists boolean")
     got = {r.item_id: r.result for r in H.fold_outcomes(q, now="2026-01-01 00:00:00").collect()}
     assert got == {"a": "retry", "b": "error", "c": "conflict", "d": "skipped", "e": "synced"}
+
+
+def test_only_seen_species_are_joined(spark):
+    """A catalogue beyond the broadcast limit does not have the records shuffled by species."""
+    from fieldtally.operators.star import seen_taxa
+
+    taxa = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "taxon_id long, common_name string")
+    records = spark.createDataFrame([(1,), (1,), (None,)], "taxon_id long")
+    assert sorted(r.common_name for r in seen_taxa(taxa, records).collect()) == ["a", "b"]
+    many = spark.range(200_000).select((F.col("id") % 200_000).alias("taxon_id"), F.sha2(F.col("id").cast("string"), 512).alias("common_name"))
+    joined = records.join(seen_taxa(many, records), "taxon_id", "left")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
