@@ -192,3 +192,15 @@ def test_red_list(spark):
     assert got["Mala"][2:] == (True, True)
     assert out["resolved"].count() == 2
     assert tuple(I.nomina_summary(out["species"]).first()) == (3, 3, 0, 1, 2)
+
+
+def test_exchange_files_are_compressed(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x" * 5000)], "id long, text string")
+    W.write_backup({"events": rows}, str(tmp_path / "b"), marker="m", device_id="d", created_at="2026-01-01T00:00:00Z")
+    assert sum(p.stat().st_size for p in (tmp_path / "b/events").glob("part*")) < 1000
+    back = W.read_backup_folder(spark, str(tmp_path / "b"), {"events": "id bigint, text string"}, marker="m")
+    assert [(r.id, r.text) for r in back["events"].collect()] == [(1, "x" * 5000)]
+    W.write_dwca(rows, rows, rows, str(tmp_path / "d"))
+    W.write_occurrence_csv(rows, str(tmp_path / "c"))
+    for folder in ("d/event", "d/occurrence", "d/measurementorfact", "c"):
+        assert sum(p.stat().st_size for p in (tmp_path / folder).glob("part*")) < 1000
