@@ -65,34 +65,34 @@ def run_batched(stream: DataFrame, *, mode: str = "append", handle: Callable[[Da
 # --- double saves -------------------------------------------------------------------------
 
 DEDUP_OUT = "occurrence_id string, cluster_id string, position int, suppressed boolean"
-DEDUP_STATE = ("waiting array<struct<at:bigint,occurrence_id:string,what:string,batch_id:string>>, "
-               "tails array<struct<what:string,at:bigint,batch_id:string,cluster_id:string,position:int>>")
+DEDUP_STATE = ("waiting array<struct<at:bigint,occurrence_id:string,what:string,batch_id:string,event:string>>, "
+               "tails array<struct<event:string,what:string,at:bigint,batch_id:string,cluster_id:string,position:int>>")
 
 
 def _dedup(window_ms: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting, tails = state.get if state.exists else ([], [])
         waiting = [tuple(w) for w in (waiting or [])]
-        last = {t[0]: tuple(t[1:]) for t in (tails or [])}
+        last = {tuple(t[:2]): tuple(t[2:]) for t in (tails or [])}
         if not state.hasTimedOut:
             for pdf in batches:
                 waiting += [
-                    (int(a), o, w, None if pd.isna(b) else b)
-                    for a, o, w, b in zip(pdf["at"], pdf["occurrence_id"], pdf["what"], pdf["batch_id"])
+                    (int(a), o, w, None if pd.isna(b) else b, None if pd.isna(e) else e)
+                    for a, o, w, b, e in zip(pdf["at"], pdf["occurrence_id"], pdf["what"], pdf["batch_id"], pdf["event"])
                 ]
         now = state.getCurrentWatermarkMs()
-        ready = sorted(w for w in waiting if w[0] <= now)
+        ready = sorted((w for w in waiting if w[0] <= now), key=lambda w: tuple((v is not None, v) for v in w))
         waiting = [w for w in waiting if w[0] > now]
         rows = []
-        for at, occurrence, what, batch in ready:
-            before, batch_before, cluster, position = last.get(what, (None, None, None, 0))
+        for at, occurrence, what, batch, event in ready:
+            before, batch_before, cluster, position = last.get((event, what), (None, None, None, 0))
             chained = before is not None and at - before <= window_ms and not (batch and batch == batch_before)
             cluster, position = (cluster, position + 1) if chained else (occurrence, 1)
             rows.append((occurrence, cluster, position, position > 1))
-            last[what] = (at, batch, cluster, position)
+            last[event, what] = (at, batch, cluster, position)
         last = {what: t for what, t in last.items() if now <= t[0] + window_ms}
         if waiting or last:
-            state.update((waiting, [(what, *t) for what, t in last.items()]))
+            state.update((waiting, [(*key, *t) for key, t in last.items()]))
             due = min([w[0] for w in waiting] + [t[0] + window_ms for t in last.values()])
             state.setTimeoutTimestamp(max(due, now) + 1)
         elif state.exists:
@@ -103,21 +103,22 @@ def _dedup(window_ms: int):
     return step
 
 
-def stream_dedup(occurrences: DataFrame, *, window_s: int = 60, watermark: str = "10 minutes") -> DataFrame:
+def stream_dedup(occurrences: DataFrame, *, window_s: int = 60, watermark: str = "10 minutes", buckets: int = 4096) -> DataFrame:
     """Second and later saves of the same thing within ``window_s`` of the one before.
 
     Rows wait for the watermark, so the order of arrival does not matter; the chain rule is the
-    one of ``duplicate_clusters``. State is kept per event and lives one window beyond its rows.
+    one of ``duplicate_clusters``. State lives one window beyond its rows; it is kept for ``buckets`` of
+    events, as a call of the function for each event costs more than its few rows.
     A bounded input is closed with ``with_closing``, or its last rows keep waiting.
     """
     subject = F.coalesce(F.col("taxon_id").cast("string"), F.col("verbatim_taxon"), F.lit("?"))
     rows = (
         occurrences.filter(F.col("deleted_at").isNull())
         .withWatermark("created_at", watermark)
-        .select("event_id", F.concat_ws("|", subject, "record_type").alias("what"), "occurrence_id", "batch_id", "created_at",
+        .select(F.pmod(F.xxhash64("event_id"), F.lit(buckets)).alias("bucket"), F.col("event_id").cast("string").alias("event"), F.concat_ws("|", subject, "record_type").alias("what"), "occurrence_id", "batch_id", "created_at",
                 F.unix_millis("created_at").alias("at"))
     )
-    return rows.groupBy("event_id").applyInPandasWithState(
+    return rows.groupBy("bucket").applyInPandasWithState(
         _dedup(window_s * 1000), DEDUP_OUT, DEDUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 

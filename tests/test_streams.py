@@ -122,6 +122,19 @@ def test_dedup_stream_equals_batch(spark, tmp_path):
     assert live == batch and batch
 
 
+def test_dedup_calls_its_function_for_buckets_of_events(spark, tmp_path):
+    """Two buckets of many events: as many keys of state as buckets, and events apart."""
+    rows = spark.range(60).select(
+        (F.col("id") % 20).alias("event_id"), F.lit(1).alias("taxon_id"), F.lit(None).cast("string").alias("verbatim_taxon"), F.lit("r").alias("record_type"),
+        F.concat(F.lit("o"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("occurrence_id"), F.lit(None).cast("string").alias("batch_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 20).alias("created_at"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream, close = W.with_closing(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "created_at")
+    out = W.run_batched(W.stream_dedup(stream, buckets=2), close=close).collect()
+    assert len(out) == 60 and {(r.occurrence_id, r.cluster_id, r.position) for r in out} == {
+        (f"o{e + 20 * n:02}", f"o{e:02}", n + 1) for e in range(20) for n in range(3)}
+
+
 def test_registry_is_complete(spark):
     queries, oracle = registry.queries(), registry.oracle_sql()
     assert set(oracle) <= set(queries) and len(queries) > 150
