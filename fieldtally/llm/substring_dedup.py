@@ -13,8 +13,6 @@ words.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,35 +20,60 @@ from pyspark.sql import functions as F
 
 from fieldtally.llm.common import additive_table, arrow_rows, batches, id_text, table, written
 from fieldtally.llm.fm_index import FMIndex
-from fieldtally.llm.shingles import WordHashes, avalanche, rolling
+from fieldtally.llm.shingles import MULTIPLIER, avalanche, rolling
 
 #: Bits of the table of minimizers with very many contexts, and of the table of documents with repeats.
 HOT_BITS, DOC_BITS = 20, 22
 #: Bits of the table of texts that are searched.
 TEXT_BITS = 25
+#: A number for each byte of a word; the blank behind it has none.
+LETTERS = avalanche(np.arange(1, 257, dtype=np.uint64))
+LETTERS[32] = 0
+
 
+def _word_hashes(flat: bytes, at: np.ndarray) -> np.ndarray:
+    """Hash of each word out of its bytes and their places; word k is ``flat[at[k]:at[k + 1] - 1]``.
 
-def _stretches(piece: dict[str, list], window: int, run: int, hashes: WordHashes):
-    """Words of a batch, where each document begins, and its stretches: first window, number of windows, minimizer, document."""
-    texts = [t.encode().split() for t in piece["text"]]
-    words = [w for own in texts for w in own]
-    ends = np.cumsum([len(own) for own in texts])
-    begins = ends - [len(own) for own in texts]
-    if len(words) < window:
-        none = np.zeros(0, np.int64)
-        return words, begins, none, none, none.astype(np.uint64), none
-    runs = rolling(hashes.of(words), run)
-    least = runs[:len(words) - window + 1].copy()
-    for k in range(1, window - run + 1):
-        np.minimum(least, runs[k:len(words) - window + 1 + k], out=least)
-    owner = np.searchsorted(ends, np.arange(len(least)), "right")
-    inside = np.arange(len(least)) + window <= ends[owner]
-    opens = inside.copy()
-    opens[1:] &= ~inside[:-1] | (least[1:] != least[:-1])
-    first = np.flatnonzero(opens)
-    closes = inside.copy()
-    closes[:-1] &= ~inside[1:] | (least[1:] != least[:-1])
-    return words, begins, first, np.flatnonzero(closes) - first + 1, least[first], owner[first]
+    It only decides where texts meet: what is equal is told by digests of the texts.
+    """
+    letters, out = np.frombuffer(flat, np.uint8), np.empty(len(at) - 1, np.uint64)
+    for a in range(0, len(out), 1 << 15):
+        own = at[a:a + (1 << 15) + 1]
+        sizes, begins = np.diff(own), own[:-1] - own[0]
+        powers = np.multiply.accumulate(np.full(int(sizes.max()), MULTIPLIER))
+        place = np.arange(int(own[-1] - own[0])) - np.repeat(begins, sizes)
+        out[a:a + (1 << 15)] = np.add.reduceat(LETTERS[letters[own[0]:own[-1]]] * powers[place], begins)
+    return avalanche(out)
+
+
+class Stretches:
+    """The windows of a batch of texts, cut into stretches of one minimizer within one document."""
+
+    def __init__(self, texts: list[str], window: int, run: int):
+        packed = [b" ".join(t.encode().split()) for t in texts]
+        n_words = np.array([p.count(b" ") + 1 if p else 0 for p in packed], np.int64)
+        ends = np.cumsum(n_words)
+        self.begins = ends - n_words                            # first word of each document
+        self.first = self.count = self.owner = np.zeros(0, np.int64)   # first window, number of windows, document
+        self.least = np.zeros(0, np.uint64)                     # minimizer
+        if n_words.sum() < window:
+            return
+        self.flat = b" ".join(filter(None, packed)) + b" "      # word k is flat[at[k]:at[k + 1] - 1]
+        self.at = np.append(0, np.flatnonzero(np.frombuffer(self.flat, np.uint8) == 32) + 1)
+        self.hashes = _word_hashes(self.flat, self.at)
+        runs = rolling(self.hashes, run)
+        n = len(self.hashes) - window + 1
+        least = runs[:n].copy()
+        for k in range(1, window - run + 1):
+            np.minimum(least, runs[k:n + k], out=least)
+        owner = np.repeat(np.arange(len(packed)), n_words)[:n]
+        inside = np.arange(n) + window <= ends[owner]
+        opens, closes = inside.copy(), inside.copy()
+        opens[1:] &= ~inside[:-1] | (least[1:] != least[:-1])
+        closes[:-1] &= ~inside[1:] | (least[1:] != least[:-1])
+        self.first = np.flatnonzero(opens)
+        self.count = np.flatnonzero(closes) - self.first + 1
+        self.least, self.owner = least[self.first], owner[self.first]
 
 
 def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -63,6 +86,20 @@ def _set(bits: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
 
 
+def _packed(values: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """The bytes of ``values``, one binary for what begins at each of ``begins``."""
+    ends = np.append(begins, len(values)).astype(np.int32) * values.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values in a column of binaries, and how many each of them has."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    values = np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]].view(dtype)
+    return values, (np.diff(ends) // values.itemsize).astype(np.int64)
+
+
 def _masks(docs: DataFrame, window: int, run: int, mask_bits: int, hot: int) -> np.ndarray:
     """Bits of the minimizers that two documents have, and behind them of those that meet ``hot`` times or more.
 
@@ -73,13 +110,11 @@ def _masks(docs: DataFrame, window: int, run: int, mask_bits: int, hot: int) ->
     several, most = np.int64(1 << 15), (1 << 15) - 1
 
     def anchors(rows):
-        hashes = WordHashes(100_000)
         for piece in batches(rows, ["doc_id", "text"], 2_000_000):
-            _, _, _, _, least, owner = _stretches(piece, window, run, hashes)
-            if len(least):
-                cell = (least >> np.uint64(32)).astype(np.int64)
-                order = np.lexsort((owner, cell))
-                cell, owner = cell[order], owner[order]
+            own = Stretches(piece["text"], window, run)
+            if len(own.least):
+                met = np.sort(own.least >> np.uint64(32) << np.uint64(32) | own.owner.astype(np.uint64))
+                cell, owner = (met >> np.uint64(32)).astype(np.int64), met.astype(np.uint32)
                 begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
                 end = np.append(begin[1:], len(cell))
                 packed = cell[begin] << 16 | np.minimum(end - begin, most)
@@ -109,7 +144,7 @@ def _masks(docs: DataFrame, window: int, run: int, mask_bits: int, hot: int) ->
 
     def fill(rows, table_):
         for batch in rows:
-            cell, is_hot = np.asarray(batch.column("cell")), np.asarray(batch.column("hot").to_pylist(), bool)
+            cell, is_hot = np.asarray(batch.column("cell")), batch.column("hot").to_numpy(zero_copy_only=False)
             _set(table_, cell >> 32 - mask_bits)
             _set(table_[1 << mask_bits - 3:], cell[is_hot] >> 32 - HOT_BITS)
 
@@ -128,31 +163,35 @@ def _dealt(docs: DataFrame, window: int, run: int, mask_bits: int, hot: int) ->
     def deal(rows):
         from xxhash import xxh3_128_digest
 
-        hashes = WordHashes(100_000)
         shared, many = masks.value[:1 << mask_bits - 3], masks.value[1 << mask_bits - 3:]
         for piece in batches(rows, ["doc_id", "text"], 2_500_000):
-            words, begins, first, count, least, owner = _stretches(piece, window, run, hashes)
-            took = np.flatnonzero(_has(shared, least >> np.uint64(64 - mask_bits)))
-            crowded = _has(many, least[took] >> np.uint64(64 - HOT_BITS))
-            place = first - begins[owner]
-            found: dict[tuple[int, bytes], list] = defaultdict(list)
-            calm = took[~crowded]
-            for key, a, n, doc, at in zip(least[calm].tolist(), first[calm].tolist(), count[calm].tolist(), owner[calm].tolist(), place[calm].tolist()):
-                found[key, b" ".join(words[a:a + n + window - 1])].append((piece["doc_id"][doc], at))
-            # A minimizer with very many contexts would fill a shard: its windows go by their own hash, one by one.
-            for k in took[crowded].tolist():
-                for step in range(int(count[k])):
-                    content = words[int(first[k]) + step:int(first[k]) + step + window]
-                    key = int(avalanche(rolling(hashes.of(content), window))[0])
-                    found[key, b" ".join(content)].append((piece["doc_id"][owner[k]], int(place[k]) + step))
-            if found:
-                at = [np.array(v, np.int64) for v in found.values()]
-                contents = [c for _, c in found]
-                digests = np.frombuffer(b"".join(map(xxh3_128_digest, contents)), np.int64).reshape(-1, 2)
-                yield arrow_rows(schema, [np.array([k for k, _ in found], np.uint64).view(np.int64), digests[:, 0], digests[:, 1],
-                                          [int(v[:, 0].min()) for v in at], [int(v[:, 0].max()) for v in at],
-                                          [c.count(b" ") + 1 for c in contents], contents,
-                                          [v[:, 0].tobytes() for v in at], [v[:, 1].astype(np.int32).tobytes() for v in at]])
+            own = Stretches(piece["text"], window, run)
+            took = np.flatnonzero(_has(shared, own.least >> np.uint64(64 - mask_bits)))
+            if not len(took):
+                continue
+            crowded = _has(many, own.least[took] >> np.uint64(64 - HOT_BITS))
+            calm, hot_ones = took[~crowded], took[crowded]
+            of, first, n_words, key = calm, own.first[calm], own.count[calm] + window - 1, own.least[calm]
+            if len(hot_ones):
+                # A minimizer with very many contexts would fill a shard: its windows go by their own hash, one by one.
+                n = own.count[hot_ones]
+                each = np.repeat(hot_ones, n)
+                at = own.first[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                of, first = np.concatenate([of, each]), np.concatenate([first, at])
+                n_words = np.concatenate([n_words, np.full(len(each), window)])
+                key = np.concatenate([key, avalanche(rolling(own.hashes, window)[at])])
+            contents = [own.flat[a:b] for a, b in zip(own.at[first].tolist(), (own.at[first + n_words] - 1).tolist())]
+            digests = np.frombuffer(b"".join(map(xxh3_128_digest, contents)), np.int64).reshape(-1, 2)
+            order = np.lexsort((digests[:, 1], digests[:, 0]))
+            d1, d2 = digests[order, 0], digests[order, 1]
+            opens = np.flatnonzero(np.append(True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])))
+            doc = np.array(piece["doc_id"], np.int64)[own.owner[of[order]]]
+            place = (first - own.begins[own.owner[of]])[order].astype(np.int32)
+            one = order[opens]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(key[one].view(np.int64)), pa.array(d1[opens]), pa.array(d2[opens]), pa.array(np.minimum.reduceat(doc, opens)),
+                pa.array(np.maximum.reduceat(doc, opens)), pa.array(n_words[one].astype(np.int32)),
+                pa.array([contents[k] for k in one.tolist()], pa.binary()), _packed(doc, opens), _packed(place, opens)], schema=schema)
 
     return docs.mapInArrow(deal, "key long, d1 long, d2 long, least long, most long, n_words int, content binary, doc_ids binary, starts binary")
 
@@ -255,13 +294,12 @@ class Shard:
 
 def _intervals(batch: pa.RecordBatch, window: int) -> list[np.ndarray]:
     """(doc_id, first word, end word) of the repeated stretches of words, from places with their stretches' results."""
-    doc_ids, starts, runs = (batch.column(c).to_pylist() for c in ("doc_ids", "starts", "runs"))
-    holders = np.frombuffer(b"".join(doc_ids), np.int64)
-    places = np.frombuffer(b"".join(starts), np.int32).astype(np.int64)
-    of = np.repeat(np.arange(len(doc_ids)), np.fromiter((len(x) >> 3 for x in doc_ids), np.int64, len(doc_ids)))
+    holders, held = _unpacked(batch.column("doc_ids"), np.int64)
+    places = _unpacked(batch.column("starts"), np.int32)[0].astype(np.int64)
+    spans, numbers = _unpacked(batch.column("runs"), np.int32)
+    spans, runs_of = spans.astype(np.int64).reshape(-1, 2), numbers // 2
+    of = np.repeat(np.arange(len(held)), held)
     low_doc, lengths = np.asarray(batch.column("first")), np.asarray(batch.column("n_words")).astype(np.int64)
-    spans = np.frombuffer(b"".join(runs), np.int32).astype(np.int64).reshape(-1, 2)
-    runs_of = np.fromiter((len(x) >> 3 for x in runs), np.int64, len(runs))
     later = holders > low_doc[of]
     least = np.flatnonzero(~later & (runs_of[of] > 0))
     n_runs = runs_of[of[least]]

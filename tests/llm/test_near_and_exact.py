@@ -287,3 +287,23 @@ def test_shards_keep_no_places(documents):
     rows = [(d, f"a{d} {passage.decode()} b{d}") for d in range(300)]
     got = {r.doc_id: r.n_removed for r in S.remove_repeats(documents(rows)).collect()}
     assert got == {d: 13 if d else 0 for d in range(300)}
+
+
+def test_stretches_are_cut_in_bulk():
+    """Words of one batch are hashed at once by their letters; stretches tile each document's windows and share their minimizer."""
+    rng = random.Random(4)
+    texts = [" \t".join(rng.choices(["ab", "ba", "a", "ñandú", "x" * 70_000], weights=[9, 9, 9, 9, 1], k=n)) + "\n" for n in (0, 3, 13, 40, 12, 25)]
+    own = S.Stretches(texts, 13, 5)
+    words = [w for t in texts for w in t.encode().split()]
+    assert [own.flat[a:b - 1] for a, b in zip(own.at, own.at[1:])] == words
+    assert len(set(zip(words, own.hashes.tolist()))) == len(set(words)) == len(set(own.hashes.tolist()))
+    many = " ".join(f"{k}x{k * 7}" for k in range(50_000))
+    assert len(set(S.Stretches([many], 13, 5).hashes.tolist())) == 50_000
+    runs = S.rolling(own.hashes, 5)
+    windows = []
+    for first, count, least, owner in zip(own.first, own.count, own.least, own.owner):
+        for k in range(first, first + count):
+            assert runs[k:k + 9].min() == least
+            windows.append((owner, k - own.begins[owner]))
+    assert windows == [(d, k) for d, t in enumerate(texts) for k in range(len(t.split()) - 12)]
+    assert len(S.Stretches(["", "a b"], 13, 5).first) == 0
