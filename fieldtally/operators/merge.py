@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldtally.functions.geo import ensure_latlon
 from fieldtally.functions.survey import live
 from fieldtally.functions.text import blank, fold, hhmm_to_minutes
+from fieldtally.session import written
 
 
 def _differs(columns: list[str]) -> Column:
@@ -151,8 +152,9 @@ def double_counts(incoming: DataFrame, local: DataFrame, *, window_min: int = 30
             F.min("observer").alias("first"), F.max("observer").alias("last"), F.min("minute").alias("from"), F.max("minute").alias("to"),
             F.ceil(F.count(F.lit(1)) / split_rows).cast("int").alias("parts"))
 
-    ours, theirs = prepared(local), prepared(incoming)
-    our_slots = slots(ours)
+    # Both sides and the slots are read twice each, and come out of joins: they are written once.
+    ours, theirs = written(prepared(local), "local-records"), written(prepared(incoming), "incoming-records")
+    our_slots = written(slots(ours), "local-slots")
     # Incoming rows go to each touching slot that is worth it, once for each of its parts.
     a = theirs.withColumn("slot", touching).join(our_slots, key).filter(reach).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # Local rows stay in their slot, in one of its parts, if any touching slot of the other side is worth it.

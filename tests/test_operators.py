@@ -273,3 +273,15 @@ def test_only_seen_species_are_joined(spark):
     many = spark.range(200_000).select((F.col("id") % 200_000).alias("taxon_id"), F.sha2(F.col("id").cast("string"), 512).alias("common_name"))
     joined = records.join(seen_taxa(many, records), "taxon_id", "left")
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_double_counts_reads_each_side_once(spark):
+    """Both sides and the local slots are tables in the shared folder by the time the pairs are looked for."""
+    schema = ("occurrence_id string, station_id int, event_date string, occurrence_time string, taxon_id int,"
+              " verbatim_taxon string, recorded_by string, deleted_at string")
+    a = spark.createDataFrame([("a", 1, "2024-01-01", "10:00", 5, "Ave", "Ana", None), ("c", 1, "2024-01-01", "12:00", 5, "Ave", "Ana", None)], schema)
+    b = spark.createDataFrame([("b", 1, "2024-01-01", "10:20", 5, "Ave", "Eva", None)], schema)
+    found = M.double_counts(a, b)
+    kinds = {f.split("/")[-2].rsplit("-", 1)[0] for f in found.inputFiles()}
+    assert kinds == {"local-records", "incoming-records", "local-slots"}
+    assert [(r.incoming_id, r.local_id) for r in found.collect()] == [("a", "b")]
