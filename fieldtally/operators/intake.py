@@ -59,11 +59,9 @@ def header_candidates(cells: DataFrame, *, rows: int = 25, keep: int = 12, previ
 def sheet_headers(cells: DataFrame, header_rows: DataFrame, reader: str = "template") -> DataFrame:
     """Header text of every column in the header row, detected or chosen (file, sheet, col_no, header, header_row)."""
     at = header_rows.select(*SHEET, "header_row", F.col("header_row").alias("row_no"))
-    return (
-        cells.join(at, [*SHEET, "row_no"])
-        .select(*SHEET, "header_row", "col_no", clean_cell("value", reader).alias("header"))
-        .filter(F.col("header").isNotNull())
-    )
+    # Written before they are cleaned: a filter on the clean text would go ahead of the join, to every cell.
+    found = written(cells.join(at, [*SHEET, "row_no"]).select(*SHEET, "header_row", "col_no", "value"), "header-cells")
+    return found.select(*SHEET, "header_row", "col_no", clean_cell("value", reader).alias("header")).filter(F.col("header").isNotNull())
 
 
 def _body(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
@@ -286,7 +284,8 @@ def _rows_by_field(cells: DataFrame, header_rows: DataFrame, roles: list[str], f
     values = cells.join(wanted, SHEET + ["col_no"]).filter(F.col("row_no") > F.col("header_row"))
     typed = [F.max(F.when(F.col("field_id") == f, F.col("value_type") == "n")).alias(f"{name} is number")
              for f, name in fields.items() if name in ("_date", "_time") and "value_type" in cells.columns]
-    return values.groupBy(*SHEET, "row_no", "role").agg(*[
+    # Texts are aggregated by sort: the row number, in which most rows differ, is compared first.
+    return values.groupBy("row_no", *SHEET, "role").agg(*[
         F.max(F.when(F.col("field_id") == f, F.col("value"))).alias(name) for f, name in fields.items()
     ], *typed)
 
@@ -338,11 +337,14 @@ def import_records(cells: DataFrame, header_rows: DataFrame, keys: DataFrame, *,
         {"hits": F.coalesce("hits", F.lit(0)), "taxon_id": F.when(F.col("hits") == 1, F.col("taxon_id"))})
 
 
+#: What ``import_issues`` reads of a record.
+ISSUE_COLUMNS = [*SHEET, "row_no", "common_name", "hits", "event_date", "station_code", "stated_record_type"]
+
+
 def import_issues(records: DataFrame, record_types: list[str]) -> DataFrame:
     """Problems of imported rows in long form: file, sheet, row_no, column, severity, message."""
-    known = [F.lit(t) for t in record_types]
-    unlisted = F.col("stated_record_type").isNotNull() & ~F.array_contains(
-        F.transform(F.array(*known), fold), fold("stated_record_type"))
+    known = F.array(*[fold(F.lit(t)) for t in record_types])  # folded once, as a constant of the plan
+    unlisted = F.col("stated_record_type").isNotNull() & ~F.array_contains(known, fold("stated_record_type"))
     name = F.col("common_name")
 
     def issue(when: Column, column: str, severity: str, message: Column) -> Column:
