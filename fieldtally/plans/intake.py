@@ -229,7 +229,17 @@ _ISS = """SELECT file, row_no, 'Nombre común' AS col, CASE WHEN hits=0 THEN 'er
   UNION ALL SELECT file, row_no, 'Registro', 'warning' FROM imp WHERE record_type='Avistaje'"""
 register("import_issues", lambda t: I.import_issues(_imported(t), V.RECORD_TYPES).select("file", "row_no", F.col("column").alias("col"), "severity"),
          "SELECT * FROM iss", rec=_REC, imp=_IMP, iss=_ISS)
-register("import_verdict", lambda t: I.import_verdict(_imported(t), I.import_issues(_imported(t), V.RECORD_TYPES)),
+
+
+def _verdict(t):
+    """The records are written once; counts and issues read them, not the cells."""
+    from fieldtally.session import written
+
+    records = written(_imported(t).select(*I.ISSUE_COLUMNS), "imported")
+    return I.import_verdict(records, I.import_issues(records, V.RECORD_TYPES))
+
+
+register("import_verdict", _verdict,
          """SELECT file, records, coalesce(n,0) AS errors, coalesce(n,0)=0 AS can_import FROM (SELECT file, count(*) AS records FROM imp GROUP BY file)
     LEFT JOIN (SELECT file, count(*) AS n FROM iss WHERE severity='error' GROUP BY file) USING (file)""", rec=_REC, imp=_IMP, iss=_ISS)
 register("import_stations", lambda t: _with_rows(t, I.import_stations, "import").select(

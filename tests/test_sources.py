@@ -204,3 +204,46 @@ def test_exchange_files_are_compressed(spark, tmp_path):
     W.write_occurrence_csv(rows, str(tmp_path / "c"))
     for folder in ("d/event", "d/occurrence", "d/measurementorfact", "c"):
         assert sum(p.stat().st_size for p in (tmp_path / folder).glob("part*")) < 1000
+
+
+def test_headers_are_cleaned_after_the_join(spark):
+    """Only header rows are written and cleaned; no cell of a body meets the null markers."""
+    from fieldtally.operators import intake as I
+
+    cells = spark.createDataFrame([("f", "s", r, c, v) for r, line in enumerate([["x"], [" Fecha ", "-", "Hora\t"], ["1", "2", "3"]], 1) for c, v in enumerate(line)]
+                                  + [("f", "s", None, 0, "y"), ("g", "s", 2, 0, None)], "file string, sheet string, row_no long, col_no int, value string")
+    rows = spark.createDataFrame([("f", "s", 2), ("g", "s", 2)], "file string, sheet string, header_row long")
+    found = I.sheet_headers(cells, rows, "import")
+    assert all("/header-cells-" in f for f in found.inputFiles()) and found.inputFiles()
+    assert sorted((r.file, r.header_row, r.col_no, r.header) for r in found.collect()) == [("f", 2, 0, "Fecha"), ("f", 2, 2, "Hora")]
+
+
+def test_verdict_reads_the_cells_once(spark, monkeypatch):
+    from datetime import date
+
+    from fieldtally.plans import intake as P
+
+    tables = {
+        "orders": spark.createDataFrame([(k, k % 2, date(2024, 1, 1 + k % 28)) for k in range(1, 41)], "o_orderkey long, o_custkey long, o_orderdate date"),
+        "supplier": spark.createDataFrame([(1,)], "s_suppkey long"),
+        "part": spark.createDataFrame([(1, "blue bolt", "b", "t"), (2, "red rod", "b", "u")], "p_partkey long, p_name string, p_brand string, p_type string")}
+
+    class Some:
+        def raw(self, name):
+            return tables[name]
+
+    built, cells = [], P.cells
+    monkeypatch.setattr(P, "cells", lambda t: built.append(1) or cells(t))
+    got = {r.file: (r.records, r.errors, r.can_import) for r in P._verdict(Some()).collect()}
+    assert len(built) == 1
+    imported = P._imported(Some()).collect()
+    assert {f: n for f, (n, _, _) in got.items()} == {f: sum(r.file == f for r in imported) for f in (0, 1)}
+    for f, (_, errors, can) in got.items():
+        own = [r for r in imported if r.file == f]
+        assert errors == sum((r.hits == 0) + (r.event_date is None) + (r.station_code is None) for r in own) > 0 and not can
+
+
+def test_empty_truth_values_and_other_empty_cells(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("file,sheet,row_no,col_no,value,value_type\nf,s,1,0,,b\nf,s,1,1,,n\nf,s,1,2,,s\nf,s,1,3,2.0,n\nf,s,1,4,x,e\nf,s,1,5,y,\n")
+    got = W.read_cells(spark, str(tmp_path / "c.csv"))
+    assert sorted((r.col_no, r.value, r.value_type) for r in got.collect()) == [(0, "false", "b"), (3, "2", "n"), (5, "y", "s")]
