@@ -1,5 +1,7 @@
 """Column functions on hand-made values."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from fieldtally.functions import geo as G
@@ -95,3 +97,16 @@ def test_record_types_keep_the_current_value(spark):
 
 def test_ids(spark):
     assert one(spark, S.dwc_id("survey", F.lit("Ñuble Sur 01"), "occ", F.lit("x1")))[0] == "urn:survey:nuble-sur-01:occ:x1"
+
+
+def test_clean_cell_trims_what_the_pattern_trims(spark):
+    """Trimmed without a pattern, but for the separators before which a pattern's end lies."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(" \t\n\x0b\f\r\xa0\x85\u2028\u2029\u3000a-", k=rng.randint(0, 5))) for _ in range(600)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None, "N/A ", "\t- ", "a \x85", "a \u2028", " b\n"]], "t string")
+    pattern = F.regexp_replace(F.regexp_replace("t", "\xa0", " "), r"^\s+|\s+$", "")
+    for reader in ("import", "template", "catalog"):
+        marker = pattern.isin("", "-", "--", "n/a", "N/A") if reader == "catalog" else F.lower(pattern).isin(T.NULL_MARKERS[reader])
+        got = rows.select(T.clean_cell("t", reader).alias("v"), F.when(~marker, pattern).alias("w")).collect()
+        assert [r.v for r in got] == [r.w for r in got] and any(r.w for r in got)
+    assert "trim(" in rows.select(T.clean_cell("t"))._jdf.queryExecution().optimizedPlan().toString()
