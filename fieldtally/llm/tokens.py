@@ -4,13 +4,15 @@ The vocabulary's pattern never joins a blank to the word before it, so a text ca
 every single space and around every line feed, and the ids of the pieces put together are the ids of
 the text. Texts with other blanks, or blanks next to each other, or at an end, or with a marker of a
 special token, are given to the library whole. A word of letters is one run of the pattern, so the
-library's merge model takes it directly; other pieces go through the library's whole encoder.
+library's merge model takes it directly, and ASCII punctuation behind it is another run, so the word is
+merged once for all its endings; other pieces go through the library's whole encoder.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import repeat
+from itertools import chain, repeat
+from string import punctuation as PUNCTUATION
 
 import numpy as np
 
@@ -48,12 +50,22 @@ class Encoder:
         for token, i in vocabulary.items():
             ends[i], opens[i] = token[-1] in ".!?", token[0] in "ĠĊ"
         self.sentence_end, self.starts_with_blank = ends, opens
-        self.stops = {c: self._ids(c)[0] for c in ".,"}  # one run and one id each
+        self.merges = self.tokenizer.model.tokenize
         self._reset()
 
     def _reset(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.rows: dict[str, int] = {}  # numbered as they come
+        self.starts, self.sizes, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _forget(self) -> None:
+        """Keep the half used most, without pieces used once."""
+        kept = np.argsort(-self.uses, kind="stable")[:self.most_words // 2]
+        kept = np.sort(kept[self.uses[kept] > 1])
+        ids, sizes, uses, names = self._joined(kept)[0], self.sizes[kept], self.uses[kept] // 2, list(self.rows)
+        self._reset()
+        self._add([names[k] for k in kept.tolist()], ids, sizes)
+        self.uses += uses
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -64,45 +76,66 @@ class Encoder:
         return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
                     or "<|" in text) and text.replace("\n", "").isprintable()
 
+    def _merged(self, stem: str, blank: bool) -> list[int]:
+        """Ids of letters only, with or without a space before them: one run of the pattern."""
+        if not stem.isascii():
+            stem = stem.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return [t.id for t in self.merges("Ġ" + stem if blank else stem)]
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        ends = np.cumsum(sizes)
+        self.starts = np.concatenate([self.starts, ends - sizes + len(self.flat)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(pieces), np.int64)])
+        self.flat = np.concatenate([self.flat, ids])
+        first = len(self.rows)
+        self.rows.update(zip(pieces, range(first, first + len(pieces))))
+
     def _learn(self, pieces: list[str]) -> None:
         # "w" stands for a space and w, "\nw" for a line feed and w, "\0w" for w at the start of a text.
+        # Letters and the punctuation behind them are two runs: "w," is "w" and then "\0,".
+        ended, stems, tails, own = [], [], [], {}
+        for p in pieces:
+            stem = p.rstrip(PUNCTUATION)
+            if len(stem) < len(p) and (stem.isalpha() or stem[1:].isalpha() and stem[0] in "\n\0"):
+                ended.append(p)
+                stems.append(stem)
+                tails.append(f"\0{p[len(stem):]}")
+            else:
+                own[p] = None
+        own |= dict.fromkeys(p for p in (*stems, *tails) if p not in self.rows)
         flat: list[int] = []
         ends: list[int] = []
-        merges, whole, stops = self.tokenizer.model.tokenize, self._ids, self.stops
-        for p in pieces:
-            mark = p[:1]
-            if mark == "\n":
-                flat.append(LINE_FEED)
-                word, blank = p[1:], ""
-            elif mark == "\0":
-                word, blank = p[1:], ""
+        merged, whole = self._merged, self._ids
+        for p in own:
+            if p.isalpha():
+                flat += merged(p, True)
             else:
-                word, blank = p, " "
-            if word:
-                end = stops.get(word[-1])
-                stem = word if end is None else word[:-1]
-                if not stem.isalpha():
-                    flat += whole(blank + word)
-                else:
-                    # Letters only, with or without a space before them, are one run of the pattern.
-                    if not stem.isascii():
-                        stem = stem.encode().decode("latin-1").translate(BYTE_LETTERS)
-                    flat += [t.id for t in merges("Ġ" + stem if blank else stem)]
-                    if end is not None:
-                        flat.append(end)
+                mark = p[:1]
+                word = p[1:] if mark in ("\n", "\0") else p
+                if mark == "\n":
+                    flat.append(LINE_FEED)
+                if word.isalpha():
+                    flat += merged(word, False)
+                elif word:
+                    flat += whole(word if mark in ("\n", "\0") else f" {word}")
             ends.append(len(flat))
-        bounds = np.array(ends, np.int64)
-        starts = np.append(0, bounds[:-1])
-        self.starts = np.concatenate([self.starts, starts + len(self.flat)])
-        self.sizes = np.concatenate([self.sizes, bounds - starts])
-        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
-        first = len(self.rows)
-        self.rows.update(zip(pieces, range(first, first + len(pieces))))
+        self._add(list(own), np.array(flat, np.uint32), np.diff(np.array(ends, np.int64), prepend=0))
+        if ended:
+            pairs = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(zip(stems, tails))), np.int64, 2 * len(ended))
+            self._add(ended, self._joined(pairs)[0], self.sizes[pairs].reshape(-1, 2).sum(1))
+
+    def _joined(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these rows one after another, and where each row's end."""
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(total)], ends
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         if len(self.rows) > self.most_words:
-            self._reset()
+            self._forget()
         pieces: list[str] = []
         counts, whole = [], {}
         for k, text in enumerate(texts):
@@ -119,10 +152,8 @@ class Encoder:
         if missing:
             self._learn(list({pieces[k] for k in missing}))
             rows[missing] = [self.rows[pieces[k]] for k in missing]
-        sizes = self.sizes[rows]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(total)]
+        self.uses += np.bincount(rows, minlength=len(self.uses))
+        ids, ends = self._joined(rows)
         bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))]
         lengths = np.diff(bounds)
         if any(whole.values()):

@@ -164,6 +164,18 @@ def test_encoder_is_the_library(tokenizer):
             assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_a_word_is_merged_once_for_all_its_endings(tokenizer):
+    """CPU of packing and token files: endings and a full cache don't merge a frequent word again."""
+    encoder, merged = Encoder(default_tokenizer(), most_words=40), Counter()
+    merges = encoder.tokenizer.model.tokenize
+    encoder.merges = lambda word: merged.update([word]) or merges(word)
+    for k in range(10):
+        texts = [" ".join(["x", "often", "often", "often,", "often.", "often!?", "often$$$", "oftén&", "x\nx", *(f"{'abcdefghij'[k]}{c}once" for c in "abcdefghij")])]
+        ids, _ = encoder.encode(texts)
+        assert ids.tolist() == tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert merged["\u0120often"] == 1
+
+
 @pytest.mark.parametrize("bits", [1, 8])
 def test_planes_round_trip(bits):
     rng = np.random.default_rng(3)
