@@ -3,20 +3,24 @@
 P(w | v) = P(class of w | class of v) x P(w | class of w), mixed with the smoothed word frequencies.
 
 Texts are cut into blocks; a block knows its distinct words and its documents as numbers of those. The
-word counts of all blocks give the vocabulary, and each block gets its words' codes back by a join, so
-texts are read once and never shuffled. A code is the word's rank if it is one of the ``exchange_words``
-most frequent ones and seen ``least_count`` times, else ``exchange_words`` + its training count: rarer
-words share classes by count.
+words of all blocks meet once by word, which gives their counts, and each block gets its words' codes
+back, so texts are read once and never shuffled. A code is the word's rank if it is one of the
+``exchange_words`` most frequent ones and seen ``least_count`` times, and ``exchange_words`` + its
+training count if it is seen less often: those words share classes by count. All others are late words,
+numbered in their block.
 In an exchange round, all frequent words are counted against the classes before and after them, and a
 part of them move to the class that raises the likelihood most. Words that move at once can spoil it
 for each other, so a round that lowers the likelihood is taken back and the next one moves fewer.
-These counts are tables of fixed size.
+These counts are tables of fixed size. The late words, however many, move by the same rule in a round
+of their own, when the frequent ones have settled: their counts are rows that meet by word, and every
+block gets the classes of its late words back. Until then they stand in the classes by count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,35 +81,47 @@ def _blocks(docs: DataFrame, chars: int) -> DataFrame:
                                         "words array<string>, counts array<int>"), "lm-blocks")
 
 
-def _codes(words: DataFrame, vocabulary: DataFrame, top: DataFrame, exchange_words: int) -> DataFrame:
-    """(block, codes): for each block, the code of each of its words, in their local order."""
-    coded = vocabulary.join(F.broadcast(top.select("word", "rank")), "word", "left").select(
-        "word", F.coalesce(F.col("rank"), F.col("c") + exchange_words).alias("code"))
-    placed = words.join(coded, "word", "left").select("block", "pos", F.coalesce("code", F.lit(exchange_words)).alias("code"))
-    schema = pa.schema([("block", pa.int64()), ("codes", pa.binary())])
+def _by_block(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each block, of rows sorted by block."""
+    block, parts = None, []
+    for batch in rows:
+        own = np.asarray(batch.column("block"))
+        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if block is not None and own[a] != block:
+                yield block, pa.Table.from_batches(parts)
+                parts = []
+            block = int(own[a])
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield block, pa.Table.from_batches(parts)
+
+
+def _codes(counted: DataFrame, top: DataFrame, exchange_words: int, least_count: int) -> DataFrame:
+    """For each block, the code of each of its words, in their local order, and keys and counts of its late words."""
+    late = F.col("rank").isNull() & (F.col("c") >= least_count)
+    placed = counted.join(F.broadcast(top.select("word", "rank")), "word", "left").select(
+        "block", "pos", F.coalesce(F.col("rank"), F.col("c") + exchange_words).alias("code"), F.when(late, F.xxhash64("word")).alias("key"))
+    schema = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def gather(rows):
-        block, parts = None, []
-        for batch in rows:
-            own, codes = np.asarray(batch.column("block")), np.asarray(batch.column("code"))
-            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if block is not None and own[a] != block:
-                    yield arrow_rows(schema, [[block], [np.concatenate(parts).tobytes()]])
-                    parts = []
-                block = int(own[a])
-                parts.append(codes[a:b])
-        if parts:
-            yield arrow_rows(schema, [[block], [np.concatenate(parts).tobytes()]])
+        for block, own in _by_block(rows):
+            codes = own.column("code").to_numpy().copy()
+            at = np.flatnonzero(codes >= exchange_words + least_count)
+            counts = codes[at] - exchange_words
+            codes[at] = exchange_words + least_count + np.arange(len(at))
+            keys = own.column("key").drop_null().to_numpy()
+            yield arrow_rows(schema, [[block], [codes.tobytes()], [keys.tobytes()], [counts.tobytes()]])
 
-    return placed.repartition("block").sortWithinPartitions("block", "pos").mapInArrow(gather, "block long, codes binary")
+    return placed.repartition("block").sortWithinPartitions("block", "pos").mapInArrow(gather, "block long, words binary, keys binary, counts binary")
 
 
 def _encoded(blocks: DataFrame, codes: DataFrame) -> DataFrame:
-    """Blocks whose documents are written in codes, the same in every block."""
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("wide", pa.bool_()), ("codes", pa.binary())])
+    """Blocks whose documents are written in codes, the same in every block but for those of late words."""
+    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
+                        ("codes", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def translate(rows):
         from zstandard import ZstdCompressor, ZstdDecompressor
@@ -114,25 +130,35 @@ def _encoded(blocks: DataFrame, codes: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
                 numbers = np.frombuffer(ZstdDecompressor().decompress(row.column("numbers")[0].as_py()), np.int32)
-                words = row.column("codes")[0].as_py()
+                words = row.column("words")[0].as_py()
                 flat = np.frombuffer(words, np.int64)[numbers] if words else np.zeros(0, np.int64)
-                wide = bool(len(flat)) and int(flat.max()) >= 1 << 32
-                yield arrow_rows(schema, [row.column("doc_ids"), row.column("train"), row.column("lengths"), [wide],
-                                          [ZstdCompressor(1).compress(flat.astype(np.int64 if wide else np.uint32).tobytes())]])
+                yield arrow_rows(schema, [*(row.column(c) for c in ("block", "doc_ids", "train", "lengths")), [ZstdCompressor(1).compress(flat.astype(np.uint32).tobytes())],
+                                          *([row.column(c)[0].as_py() or b""] for c in ("keys", "counts"))])
 
     return written(blocks.select("block", "doc_ids", "train", "lengths", "numbers").join(codes, "block", "left").mapInArrow(
-        translate, "doc_ids array<long>, train array<boolean>, lengths array<int>, wide boolean, codes binary"), "lm-codes")
+        translate, "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, codes binary, keys binary, counts binary"), "lm-codes")
 
 
-def _read(rows: Iterator[pa.RecordBatch]):
-    """(doc_ids, train, lengths, codes) of each block."""
+#: What ``_read`` needs.
+READ = ("doc_ids", "train", "lengths", "codes", "counts", "classes")
+
+
+def _read(rows: Iterator[pa.RecordBatch], model: ClassModel):
+    """(doc_ids, train, lengths, codes, classes) of each block, with the counts of late words in their codes."""
     from zstandard import ZstdDecompressor
 
     for batch in rows:
         for k in range(batch.num_rows):
-            ids, train, lengths, wide, codes = (batch.column(c)[k].as_py() for c in ("doc_ids", "train", "lengths", "wide", "codes"))
-            flat = np.frombuffer(ZstdDecompressor().decompress(codes), np.int64 if wide else np.uint32).astype(np.int64)
-            yield ids, np.array(train, bool), np.array(lengths, np.int64), flat
+            ids, train, lengths, codes, counts, own = (batch.column(c)[k].as_py() for c in READ)
+            flat = np.frombuffer(ZstdDecompressor().decompress(codes), np.uint32).astype(np.int64)
+            first = len(model.class_of) + model.least_count
+            at = np.flatnonzero(flat >= first)
+            late = flat[at] - first
+            flat[at] = len(model.class_of) + np.frombuffer(counts, np.int64)[late]
+            classes = model.classes_of(flat)
+            if own is not None:
+                classes[at] = np.frombuffer(own, np.int16)[late]
+            yield ids, np.array(train, bool), np.array(lengths, np.int64), flat, classes
 
 
 @dataclass(frozen=True)
@@ -143,6 +169,7 @@ class ClassModel:
     tokens: int                  # N
     types: int                   # V
     end_count: int
+    least_count: int = 2         # words seen as often, or more often, are exchanged
     bigrams: np.ndarray | None = None   # class before x class, over training texts
     weight: float = 0.95         # of the class model
     prior: float = 10.0
@@ -188,9 +215,9 @@ class ClassModel:
         return (seen + self.prior * overall) / (seen.sum(1, keepdims=True) + self.prior), totals
 
 
-def with_ends(lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The codes of the documents one after another, -1 after each."""
-    return np.insert(codes, np.cumsum(lengths), -1)
+def with_ends(lengths: np.ndarray, codes: np.ndarray, end: int = -1) -> np.ndarray:
+    """The codes (or classes) of the documents one after another, ``end`` after each."""
+    return np.insert(codes, np.cumsum(lengths), end)
 
 
 def _statistics(corpus: DataFrame, model: ClassModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,9 +226,9 @@ def _statistics(corpus: DataFrame, model: ClassModel) -> tuple[np.ndarray, np.nd
     own = k * g
 
     def fill(rows, counts):
-        for _, train, lengths, codes in _read(rows):
-            chosen = with_ends(lengths[train], codes[np.repeat(train, lengths)])
-            classes = model.classes_of(chosen)
+        for _, train, lengths, codes, classes in _read(rows, model):
+            learned = np.repeat(train, lengths)
+            chosen, classes = with_ends(lengths[train], codes[learned]), with_ends(lengths[train], classes[learned], g - 1)
             before = np.append(g - 1, classes[:-1])
             counts[2 * own:2 * own + g * g] += np.bincount(before * g + classes, minlength=g * g)
             if k:
@@ -209,7 +236,7 @@ def _statistics(corpus: DataFrame, model: ClassModel) -> tuple[np.ndarray, np.nd
                 counts[:own] += np.bincount(chosen[at] * g + before[at], minlength=own)
                 counts[own:2 * own] += np.bincount(chosen[at] * g + classes[at + 1], minlength=own)
 
-    got = additive_table(corpus.select("doc_ids", "train", "lengths", "wide", "codes"), fill, 2 * own + g * g)
+    got = additive_table(corpus.select(*READ), fill, 2 * own + g * g)
     return got[:own].reshape(-1, g), got[own:2 * own].reshape(-1, g), got[2 * own:2 * own + g * g].reshape(g, g)
 
 
@@ -221,30 +248,112 @@ def likelihood(bigrams: np.ndarray) -> float:
     return total(seen) - total(seen.sum(0)) - total(seen.sum(1))
 
 
-def exchange(model: ClassModel, before: np.ndarray, after: np.ndarray, bigrams: np.ndarray, turn: int, parts: int) -> np.ndarray:
-    """New classes of every ``parts``-th word, beginning with number ``turn``; the others stay.
+def chooser(bigrams: np.ndarray, c: int):
+    """A function that finds, among the first ``c`` classes, the best of each word, and whether it is better than the present one.
 
-    A word moves to the class where its neighbours' counts have the highest likelihood, with its own
-    counts taken out of its present class.
+    That is the class where the counts of its neighbours have the highest likelihood, with the word's
+    own counts taken out of its present class.
     """
-    c, g = model.classes, model.all_classes
-    moved = model.class_of.copy()
     left, right = bigrams.sum(1), bigrams.sum(0)
     log = lambda x: np.log(np.maximum(x, 0) + 0.5)
     into, out = log(bigrams[:, :c]) - log(right[:c]), log(bigrams[:c]).T - log(left[:c])
+
+    def choose(before: np.ndarray, after: np.ndarray, now: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gain = before @ into + after @ out
+        rows, own, n = np.arange(len(now)), now < c, n[:, None]
+        stays = (before * (log(bigrams[:, now].T - before) - log(right[now][:, None] - n))).sum(1) \
+            + (after * (log(bigrams[now] - after) - log(left[now][:, None] - n))).sum(1)
+        gain[rows[own], now[own]] = stays[own]
+        best = gain.argmax(1)
+        return best, gain[rows, best] > stays + 1e-9
+
+    return choose
+
+
+def exchange(model: ClassModel, before: np.ndarray, after: np.ndarray, bigrams: np.ndarray, turn: int, parts: int) -> np.ndarray:
+    """New classes of every ``parts``-th word, beginning with number ``turn``; the others stay."""
+    choose = chooser(bigrams, model.classes)
+    moved = model.class_of.copy()
     for a in range(0, len(moved), 4096):
         b = slice(a, a + 4096)
-        gain = before[b] @ into + after[b] @ out
-        now, n = moved[b], model.counts[b][:, None]
-        rows = np.arange(len(now))
-        gain[rows, now] = (before[b] * (log(bigrams[:, now].T - before[b]) - log(right[now][:, None] - n))).sum(1) \
-            + (after[b] * (log(bigrams[now] - after[b]) - log(left[now][:, None] - n))).sum(1)
-        best = gain.argmax(1)
-        took = (np.arange(a, a + len(now)) % parts == turn % parts) & (gain[rows, best] > gain[rows, now] + 1e-9)
+        now = moved[b]
+        best, better = choose(before[b], after[b], now, model.counts[b])
+        took = (np.arange(a, a + len(now)) % parts == turn % parts) & better
         moved[b] = np.where(took, best, now)
     return moved
 
 
+def _late_exchange(corpus: DataFrame, model: ClassModel, bigrams: np.ndarray, parts: int) -> DataFrame:
+    """(block, classes): new classes of the late words of each block; all but every ``parts``-th word stay.
+
+    Words meet by a 64-bit key; two with the same key would get one class.
+    """
+    k, g = len(model.class_of), model.all_classes
+    schema = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("pos", pa.int64()), ("cells", pa.binary())])
+
+    def count(rows):
+        from zstandard import ZstdDecompressor
+
+        for batch in rows:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                keys = np.frombuffer(row.column("keys")[0].as_py(), np.int64)
+                raw = np.frombuffer(ZstdDecompressor().decompress(row.column("codes")[0].as_py()), np.uint32).astype(np.int64)
+                _, train, lengths, _, classes = next(_read(iter([row]), model))
+                learned = np.repeat(train, lengths)
+                chosen, classes = with_ends(lengths[train], raw[learned]), with_ends(lengths[train], classes[learned], g - 1)
+                before = np.append(g - 1, classes[:-1])
+                at = np.flatnonzero(chosen >= k + model.least_count)
+                late = np.concatenate([chosen[at], chosen[at]]) - (k + model.least_count)
+                order = np.argsort(late, kind="stable")
+                cells = np.concatenate([before[at], g + classes[at + 1]]).astype(np.uint16)[order]
+                ends = np.append(0, 2 * np.cumsum(np.bincount(late, minlength=len(keys)))).astype(np.int32)
+                for a in range(0, len(keys), 10_000):
+                    own = ends[a:a + 10_001]
+                    data = cells[own[0] // 2:own[-1] // 2].tobytes()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[a:a + 10_000]), pa.array(np.full(len(own) - 1, row.column("block")[0].as_py())), pa.array(np.arange(a, a + len(own) - 1)),
+                         pa.Array.from_buffers(pa.binary(), len(own) - 1, [None, pa.py_buffer((own - own[0]).tobytes()), pa.py_buffer(data)])], schema=schema)
+
+    out = pa.schema([("block", pa.int64()), ("pos", pa.int64()), ("class", pa.int16())])
+
+    def move(rows):
+        choose, rest = chooser(bigrams, model.classes), None
+        for batch in chain(rows, [None]):
+            if batch is None:
+                own, rest = rest, None
+            else:
+                own = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+                if not own.num_rows:
+                    continue
+                keys = np.asarray(own.column("key"))
+                end = int(np.searchsorted(keys, keys[-1]))  # the last word may go on in the next batch
+                own, rest = own.slice(0, end), own.slice(end)
+            if own is None or not own.num_rows:
+                continue
+            keys = np.asarray(own.column("key"))
+            word = np.append(0, np.cumsum(np.diff(keys) != 0))
+            cells = own.column("cells").to_pylist()
+            flat = np.frombuffer(b"".join(cells), np.uint16)
+            words = int(word[-1]) + 1
+            counts = np.bincount(np.repeat(word, [len(x) // 2 for x in cells]) * 2 * g + flat, minlength=words * 2 * g).reshape(words, 2, g)
+            n = counts[:, 0].sum(1)
+            now = model.classes_of(k + n)
+            best, better = choose(counts[:, 0], counts[:, 1], now, n)
+            first = keys[np.flatnonzero(np.append(True, np.diff(keys) != 0))]
+            classes = np.where(better & (first % parts == 0), best, now)
+            yield pa.RecordBatch.from_arrays([own.column("block"), own.column("pos"), pa.array(classes[word].astype(np.int16))], schema=out)
+
+    gathered = pa.schema([("block", pa.int64()), ("classes", pa.binary())])
+
+    def gather(rows):
+        for block, own in _by_block(rows):
+            yield arrow_rows(gathered, [[block], [own.column("class").to_numpy().tobytes()]])
+
+    return corpus.mapInArrow(count, "key long, block long, pos long, cells binary").repartition("key").sortWithinPartitions("key").mapInArrow(
+        move, "block long, pos long, class short").repartition("block").sortWithinPartitions("block", "pos").mapInArrow(gather, "block long, classes binary")
+
+
 def fit_and_score(docs: DataFrame, train: Column, classes: int = 32, exchange_words: int = 65_536, rounds: int = 4,
                   least_count: int = 2, block_chars: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score, perplexity), one row for each input row.
@@ -252,32 +361,43 @@ def fit_and_score(docs: DataFrame, train: Column, classes: int = 32, exchange_wo
     ``train`` says which rows are learned from. Words are lower-cased (A-Z) and cut at ASCII blanks;
     every text, null and empty ones too, has an end token. ``score`` is the model's log10 probability of
     the text, ``base_score`` that of the smoothed word frequencies. Without training text both are the
-    same. All words of all texts are counted; only classes and the table sizes are fixed by parameters.
+    same. All words of all texts are counted, and all seen ``least_count`` times are exchanged: the
+    ``exchange_words`` most frequent ones in ``rounds`` rounds, the others in a round after these.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = _blocks(own, block_chars)
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", "w.words", "w.counts")
     words = words.withColumnsRenamed({"words": "word", "counts": "n"})
-    vocabulary = written(words.groupBy("word").agg(F.sum("n").cast("long").alias("c")).filter("c > 0"), "lm-vocabulary")
+    own_word = Window.partitionBy("word")
+    counted = written(words.select("block", "pos", "word", F.sum("n").over(own_word).cast("long").alias("c"),
+                                   (F.col("block") == F.min("block").over(own_word)).alias("first")), "lm-words")
+    vocabulary = counted.filter("first and c > 0").select("word", "c")
     top = written(vocabulary.filter(F.col("c") >= least_count).orderBy(F.desc("c"), "word").limit(exchange_words).withColumn(
         "rank", F.row_number().over(Window.orderBy(F.desc("c"), "word")).cast("long") - 1), "lm-frequent")
-    types, word_tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    types, word_tokens, exchanged = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") >= least_count, 1))).first()
     ends = blocks.select(F.explode("train").alias("t")).filter("t").count()
     counts = np.array([r["c"] for r in top.orderBy("rank").collect()], np.int64)  # at most ``exchange_words`` numbers
-    corpus = _encoded(blocks, _codes(words, vocabulary, top, exchange_words))
-    model = ClassModel(classes, np.arange(len(counts)) % classes, counts, word_tokens + ends, types + (ends > 0), ends)
+    coded = _encoded(blocks, _codes(counted, top, exchange_words, least_count))
+    corpus = coded.withColumn("classes", F.lit(None).cast("binary"))
+    model = ClassModel(classes, np.arange(len(counts)) % classes, counts, word_tokens + ends, types + (ends > 0), ends, least_count)
     if len(counts) < exchange_words:  # codes of rarer words begin at ``exchange_words`` all the same
         pad = exchange_words - len(counts)
         model = replace(model, class_of=np.append(model.class_of, np.zeros(pad, np.int64)), counts=np.append(counts, np.zeros(pad, np.int64)))
-    counted, parts = _statistics(corpus, model), 2
+    seen, parts = _statistics(corpus, model), 2
     for turn in range(rounds):
-        moved = replace(model, class_of=exchange(model, *counted, turn, parts))
+        moved = replace(model, class_of=exchange(model, *seen, turn, parts))
         new = _statistics(corpus, moved)
-        if likelihood(new[2]) > likelihood(counted[2]):
-            model, counted = moved, new
+        if likelihood(new[2]) > likelihood(seen[2]):
+            model, seen = moved, new
         else:
             parts *= 2
-    return _scored(corpus, replace(model, bigrams=counted[2]))
+    for parts in (1, 2, 4) if exchanged > exchange_words else ():
+        moved = written(coded.join(_late_exchange(corpus, model, seen[2], parts), "block", "left"), "lm-classes")
+        new = _statistics(moved, model)
+        if likelihood(new[2]) > likelihood(seen[2]):
+            corpus, seen = moved, new
+            break
+    return _scored(corpus, replace(model, bigrams=seen[2]))
 
 
 def _scored(corpus: DataFrame, model: ClassModel) -> DataFrame:
@@ -289,9 +409,8 @@ def _scored(corpus: DataFrame, model: ClassModel) -> DataFrame:
                         ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())])
 
     def run(rows):
-        for ids, train, lengths, codes in _read(rows):
-            flat = with_ends(lengths, codes)
-            count, own = model.count_of(flat), model.classes_of(flat)
+        for ids, train, lengths, codes, classes in _read(rows, model):
+            count, own = model.count_of(with_ends(lengths, codes)), with_ends(lengths, classes, g - 1)
             base = (count + 0.1) / log_n
             in_class = np.where(own == unknown, 1.0, count / np.maximum(totals[own], 1.0))
             mixed = weight * step[np.append(g - 1, own[:-1]), own] * in_class + (1 - weight) * base
@@ -299,7 +418,7 @@ def _scored(corpus: DataFrame, model: ClassModel) -> DataFrame:
             sums = [np.add.reduceat(x, starts) if len(ids) else x for x in (np.log10(base), np.log10(mixed), (count > 0).astype(np.int64))]
             yield arrow_rows(schema, [ids, train, lengths + 1, sums[2], np.full(len(ids), model.tokens), sums[0], sums[1], 10 ** (-sums[1] / (lengths + 1))])
 
-    return corpus.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return corpus.select(*READ).mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
