@@ -81,61 +81,30 @@ def _blocks(docs: DataFrame, chars: int) -> DataFrame:
                                         "words array<string>, counts array<int>"), "lm-blocks")
 
 
-def _by_block(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """The rows of each block, of rows sorted by block."""
-    block, parts = None, []
-    for batch in rows:
-        own = np.asarray(batch.column("block"))
-        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            if block is not None and own[a] != block:
-                yield block, pa.Table.from_batches(parts)
-                parts = []
-            block = int(own[a])
-            parts.append(batch.slice(a, b - a))
-    if parts:
-        yield block, pa.Table.from_batches(parts)
-
-
-def _codes(counted: DataFrame, top: DataFrame, exchange_words: int, least_count: int) -> DataFrame:
-    """For each block, the code of each of its words, in their local order, and keys and counts of its late words."""
+def _encoded(blocks: DataFrame, counted: DataFrame, top: DataFrame, exchange_words: int, least_count: int) -> DataFrame:
+    """Blocks whose documents are written in codes, the same in every block but for those of late words; keys and counts of these."""
     late = F.col("rank").isNull() & (F.col("c") >= least_count)
     placed = counted.join(F.broadcast(top.select("word", "rank")), "word", "left").select(
         "block", "pos", F.coalesce(F.col("rank"), F.col("c") + exchange_words).alias("code"), F.when(late, F.xxhash64("word")).alias("key"))
-    schema = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-    def gather(rows):
-        for block, own in _by_block(rows):
-            codes = own.column("code").to_numpy().copy()
-            at = np.flatnonzero(codes >= exchange_words + least_count)
-            counts = codes[at] - exchange_words
-            codes[at] = exchange_words + least_count + np.arange(len(at))
-            keys = own.column("key").drop_null().to_numpy()
-            yield arrow_rows(schema, [[block], [codes.tobytes()], [keys.tobytes()], [counts.tobytes()]])
-
-    return placed.repartition("block").sortWithinPartitions("block", "pos").mapInArrow(gather, "block long, words binary, keys binary, counts binary")
-
-
-def _encoded(blocks: DataFrame, codes: DataFrame) -> DataFrame:
-    """Blocks whose documents are written in codes, the same in every block but for those of late words."""
     schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
                         ("codes", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-    def translate(rows):
+    def translate(own: pa.Table, words: pa.Table) -> pa.Table:
         from zstandard import ZstdCompressor, ZstdDecompressor
 
-        for batch in rows:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                numbers = np.frombuffer(ZstdDecompressor().decompress(row.column("numbers")[0].as_py()), np.int32)
-                words = row.column("words")[0].as_py()
-                flat = np.frombuffer(words, np.int64)[numbers] if words else np.zeros(0, np.int64)
-                yield arrow_rows(schema, [*(row.column(c) for c in ("block", "doc_ids", "train", "lengths")), [ZstdCompressor(1).compress(flat.astype(np.uint32).tobytes())],
-                                          *([row.column(c)[0].as_py() or b""] for c in ("keys", "counts"))])
-
-    return written(blocks.select("block", "doc_ids", "train", "lengths", "numbers").join(codes, "block", "left").mapInArrow(
+        order = np.argsort(words.column("pos").to_numpy())
+        codes, keys = words.column("code").to_numpy()[order], words.column("key").fill_null(0).to_numpy()[order]
+        at = np.flatnonzero(codes >= exchange_words + least_count)
+        counts = codes[at] - exchange_words
+        codes[at] = exchange_words + least_count + np.arange(len(at))
+        numbers = np.frombuffer(ZstdDecompressor().decompress(own.column("numbers")[0].as_py()), np.int32)
+        flat = codes[numbers].astype(np.uint32) if len(codes) else np.zeros(0, np.uint32)
+        packed = [[ZstdCompressor(1).compress(x.tobytes())] for x in (flat, keys[at], counts)]
+        return pa.Table.from_arrays([*(own.column(c).cast(schema.field(c).type) for c in ("block", "doc_ids", "train", "lengths")),
+                                     *(pa.array(x, pa.binary()) for x in packed)], schema=schema)
+
+    mine = blocks.select("block", "doc_ids", "train", "lengths", "numbers")
+    return written(mine.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(
         translate, "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, codes binary, keys binary, counts binary"), "lm-codes")
 
 
@@ -154,7 +123,7 @@ def _read(rows: Iterator[pa.RecordBatch], model: ClassModel):
             first = len(model.class_of) + model.least_count
             at = np.flatnonzero(flat >= first)
             late = flat[at] - first
-            flat[at] = len(model.class_of) + np.frombuffer(counts, np.int64)[late]
+            flat[at] = len(model.class_of) + np.frombuffer(ZstdDecompressor().decompress(counts), np.int64)[late]
             classes = model.classes_of(flat)
             if own is not None:
                 classes[at] = np.frombuffer(own, np.int16)[late]
@@ -284,7 +253,7 @@ def exchange(model: ClassModel, before: np.ndarray, after: np.ndarray, bigrams:
 
 
 def _late_exchange(corpus: DataFrame, model: ClassModel, bigrams: np.ndarray, parts: int) -> DataFrame:
-    """(block, classes): new classes of the late words of each block; all but every ``parts``-th word stay.
+    """The corpus with new classes of the late words of each block; all but every ``parts``-th word stay.
 
     Words meet by a 64-bit key; two with the same key would get one class.
     """
@@ -297,7 +266,7 @@ def _late_exchange(corpus: DataFrame, model: ClassModel, bigrams: np.ndarray, pa
         for batch in rows:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
-                keys = np.frombuffer(row.column("keys")[0].as_py(), np.int64)
+                keys = np.frombuffer(ZstdDecompressor().decompress(row.column("keys")[0].as_py()), np.int64)
                 raw = np.frombuffer(ZstdDecompressor().decompress(row.column("codes")[0].as_py()), np.uint32).astype(np.int64)
                 _, train, lengths, _, classes = next(_read(iter([row]), model))
                 learned = np.repeat(train, lengths)
@@ -344,14 +313,15 @@ def _late_exchange(corpus: DataFrame, model: ClassModel, bigrams: np.ndarray, pa
             classes = np.where(better & (first % parts == 0), best, now)
             yield pa.RecordBatch.from_arrays([own.column("block"), own.column("pos"), pa.array(classes[word].astype(np.int16))], schema=out)
 
-    gathered = pa.schema([("block", pa.int64()), ("classes", pa.binary())])
-
-    def gather(rows):
-        for block, own in _by_block(rows):
-            yield arrow_rows(gathered, [[block], [own.column("class").to_numpy().tobytes()]])
+    def place(own: pa.Table, moved: pa.Table) -> pa.Table:
+        classes = moved.column("class").to_numpy()[np.argsort(moved.column("pos").to_numpy())]
+        return own.append_column("classes", pa.array([classes.astype(np.int16).tobytes()], pa.binary()))
 
-    return corpus.mapInArrow(count, "key long, block long, pos long, cells binary").repartition("key").sortWithinPartitions("key").mapInArrow(
-        move, "block long, pos long, class short").repartition("block").sortWithinPartitions("block", "pos").mapInArrow(gather, "block long, classes binary")
+    moved = corpus.mapInArrow(count, "key long, block long, pos long, cells binary").repartition("key").sortWithinPartitions("key").mapInArrow(
+        move, "block long, pos long, class short")
+    mine = corpus.select("block", *READ[:-1])
+    return written(mine.groupBy("block").cogroup(moved.groupBy("block")).applyInArrow(
+        place, "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, codes binary, counts binary, classes binary"), "lm-classes")
 
 
 def fit_and_score(docs: DataFrame, train: Column, classes: int = 32, exchange_words: int = 65_536, rounds: int = 4,
@@ -377,7 +347,7 @@ def fit_and_score(docs: DataFrame, train: Column, classes: int = 32, exchange_wo
     types, word_tokens, exchanged = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") >= least_count, 1))).first()
     ends = blocks.select(F.explode("train").alias("t")).filter("t").count()
     counts = np.array([r["c"] for r in top.orderBy("rank").collect()], np.int64)  # at most ``exchange_words`` numbers
-    coded = _encoded(blocks, _codes(counted, top, exchange_words, least_count))
+    coded = _encoded(blocks, counted, top, exchange_words, least_count)
     corpus = coded.withColumn("classes", F.lit(None).cast("binary"))
     model = ClassModel(classes, np.arange(len(counts)) % classes, counts, word_tokens + ends, types + (ends > 0), ends, least_count)
     if len(counts) < exchange_words:  # codes of rarer words begin at ``exchange_words`` all the same
@@ -392,7 +362,7 @@ def fit_and_score(docs: DataFrame, train: Column, classes: int = 32, exchange_wo
         else:
             parts *= 2
     for parts in (1, 2, 4) if exchanged > exchange_words else ():
-        moved = written(coded.join(_late_exchange(corpus, model, seen[2], parts), "block", "left"), "lm-classes")
+        moved = _late_exchange(corpus, model, seen[2], parts)
         new = _statistics(moved, model)
         if likelihood(new[2]) > likelihood(seen[2]):
             corpus, seen = moved, new
