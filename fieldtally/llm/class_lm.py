@@ -3,8 +3,9 @@
 P(w | v) = P(class of w | class of v) x P(w | class of w), mixed with the smoothed word frequencies.
 
 Texts are cut into blocks; a block knows its distinct words and its documents as numbers of those. The
-words of all blocks meet once by word, which gives their counts, and each block gets its words' codes
-back, so texts are read once and never shuffled. A code is the word's rank if it is one of the
+words of a block are dealt by hash to parts, where they meet those of the other blocks and are counted;
+each block gets its words' codes back, so texts are read once and never shuffled. What a block and a part
+send each other is one row of packed numbers, not a row for each word. A code is the word's rank if it is one of the
 ``exchange_words`` most frequent ones and seen ``least_count`` times, and ``exchange_words`` + its
 training count if it is seen less often: those words share classes by count. All others are late words,
 numbered in their block.
@@ -12,7 +13,7 @@ In an exchange round, all frequent words are counted against the classes before
 part of them move to the class that raises the likelihood most. Words that move at once can spoil it
 for each other, so a round that lowers the likelihood is taken back and the next one moves fewer.
 These counts are tables of fixed size. The late words, however many, move by the same rule in a round
-of their own, when the frequent ones have settled: their counts are rows that meet by word, and every
+of their own, when the frequent ones have settled: their counts meet in their words' parts, and every
 block gets the classes of its late words back. Until then they stand in the classes by count.
 """
 
@@ -20,10 +21,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,41 @@ from fieldtally.llm.common import additive_table, arrow_rows, batches, crc_bucke
 BANDS = 8
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of non-negative integers, each as byte planes of the least width, compressed together."""
+    from zstandard import ZstdCompressor
+
+    head, planes = [len(arrays)], []
+    for x in arrays:
+        width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+        head += [len(x), width]
+        planes.append(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return ZstdCompressor(1).compress(np.array(head, "<u4").tobytes() + b"".join(planes))
+
+
+def unpack(packed: bytes) -> list[np.ndarray]:
+    from zstandard import ZstdDecompressor
+
+    data = ZstdDecompressor().decompress(packed)
+    arrays = int.from_bytes(data[:4], "little")
+    at, out = 4 + 8 * arrays, []
+    for n, width in np.frombuffer(data, "<u4", 2 * arrays, 4).reshape(-1, 2).tolist():
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+        out.append(whole.view("<i8").ravel())
+        at += n * width
+    return out
+
+
+def steps(rising: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, the first value ahead: np.cumsum undoes it."""
+    return np.diff(rising, prepend=0)
+
+
+def joined(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+
+
 class Numbering(dict):
     def __missing__(self, word: bytes) -> int:
         value = self[word] = len(self)
@@ -48,8 +84,6 @@ def _blocks(docs: DataFrame, chars: int) -> DataFrame:
                         ("numbers", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
 
     def cut(rows):
-        from zstandard import ZstdCompressor
-
         block = TaskContext.get().partitionId() << 32
         held: list[dict] = []
         size = 0
@@ -66,7 +100,10 @@ def _blocks(docs: DataFrame, chars: int) -> DataFrame:
             flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
             counts = np.bincount(flat[np.repeat(train, lengths)], minlength=len(number))
             words = b" ".join(number).decode().split(" ") if number else []
-            return arrow_rows(schema, [[block], [ids], [train], [lengths], [ZstdCompressor(1).compress(flat.tobytes())], [words], [counts.astype(np.int32)]])
+            order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")  # small numbers for frequent words
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            return arrow_rows(schema, [[block], [ids], [train], [lengths], [pack(place[flat])], [[words[w] for w in order]], [counts[order].astype(np.int32)]])
 
         for piece in batches(rows, ["doc_id", "train", "text"], 1_000_000):
             held.append(piece)
@@ -81,28 +118,96 @@ def _blocks(docs: DataFrame, chars: int) -> DataFrame:
                                         "words array<string>, counts array<int>"), "lm-blocks")
 
 
-def _encoded(blocks: DataFrame, counted: DataFrame, top: DataFrame, exchange_words: int, least_count: int) -> DataFrame:
-    """Blocks whose documents are written in codes, the same in every block but for those of late words; keys and counts of these."""
-    late = F.col("rank").isNull() & (F.col("c") >= least_count)
-    placed = counted.join(F.broadcast(top.select("word", "rank")), "word", "left").select(
-        "block", "pos", F.coalesce(F.col("rank"), F.col("c") + exchange_words).alias("code"), F.when(late, F.xxhash64("word")).alias("key"))
+def _counted(blocks: DataFrame, parts: int) -> DataFrame:
+    """For every block and part, places, ids and training counts of their words; for every part, a row without block: its trained words."""
+    dealt_schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("own", pa.binary())])
+
+    def deal(rows):
+        from zstandard import ZstdCompressor
+
+        for batch in rows:
+            for r in range(batch.num_rows):
+                keys = batch.column("keys")[r].values.to_numpy()
+                part = keys % parts
+                order = np.argsort(part, kind="stable")
+                words = batch.column("words")[r].values.cast(pa.large_binary()).take(pa.array(order))
+                lengths = pc.binary_length(words).to_numpy()
+                data, ends = memoryview(b"".join(words.to_pylist())), np.append(0, np.cumsum(lengths))
+                marked, n = lengths * 4 + (keys[order] & 3), batch.column("counts")[r].values.to_numpy()[order]
+                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                held = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+                at = [slice(cuts[p], cuts[p + 1]) for p in held]
+                yield arrow_rows(dealt_schema, [held, [batch.column("block")[r].as_py()] * len(held),
+                                                [ZstdCompressor(3).compress(data[ends[x.start]:ends[x.stop]]) for x in at],
+                                                [pack(marked[x], steps(order[x]), n[x]) for x in at]])
+
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("own", pa.binary()), ("words", pa.list_(pa.string())),
+                        ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        from zstandard import ZstdDecompressor
+
+        own = [unpack(x) for x in rows.column("own").to_pylist()]
+        marked, n = joined([x[0] for x in own]), joined([x[2] for x in own])
+        data = b"".join(ZstdDecompressor().decompress(x) for x in rows.column("words").to_pylist())
+        offsets = np.append(0, np.cumsum(marked >> 2))
+        words = pa.Array.from_buffers(pa.large_string(), len(marked), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]).dictionary_encode()
+        number, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary
+        ids = np.zeros(len(distinct), np.int64)
+        ids[number] = number * 4 + (marked & 3)  # the last bits of the key choose the words that stay
+        counts = np.zeros(len(distinct), np.int64)
+        np.add.at(counts, number, n)
+        ends = np.cumsum([len(x[0]) for x in own])[:-1]
+        packed = [pack(x[1], i, c) for x, i, c in zip(own, np.split(ids[number], ends), np.split(counts[number], ends))]
+        known, blanks = np.flatnonzero(counts), [None] * len(own)
+        return pa.Table.from_batches([arrow_rows(schema, [rows.column("part").to_pylist(), rows.column("block").to_pylist(), packed, blanks, blanks, blanks]),
+                                      arrow_rows(schema, [rows.column("part").to_pylist()[:1], [None], [None], [distinct.take(pa.array(known)).to_pylist()], [ids[known]], [counts[known]]])])
+
+    dealt = blocks.select("block", "words", "counts", F.transform("words", lambda w: F.xxhash64(w)).alias("keys")).mapInArrow(
+        deal, "part int, block long, words binary, own binary")
+    return written(dealt.groupBy("part").applyInArrow(meet, "part int, block long, own binary, words array<string>, ids array<long>, counts array<long>"), "lm-words")
+
+
+def _encoded(blocks: DataFrame, counted: DataFrame, top: np.ndarray, exchange_words: int, least_count: int) -> DataFrame:
+    """Blocks whose documents are written in codes, the same in every block but for those of late words; keys and counts of these.
+
+    ``top`` has the keys of the frequent words by rank.
+    """
+    ranks = np.argsort(top)
+    known = np.append(top[ranks], np.iinfo(np.int64).max)
+    placed_schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("own", pa.binary())])
+
+    def code(rows):
+        for batch in rows:
+            packed = []
+            for part, own in zip(batch.column("part").to_pylist(), batch.column("own").to_pylist()):
+                places, ids, counts = unpack(own)
+                keys = (part << 32) + ids
+                at = np.searchsorted(known, keys)
+                frequent = known[at] == keys
+                codes = counts + exchange_words
+                codes[frequent] = ranks[at[frequent]]
+                packed.append(pack(places, codes, ids[~frequent & (counts >= least_count)]))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("part"), pa.array(packed, pa.binary())], schema=placed_schema)
+
     schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
                         ("codes", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-    def translate(own: pa.Table, words: pa.Table) -> pa.Table:
-        from zstandard import ZstdCompressor, ZstdDecompressor
-
-        order = np.argsort(words.column("pos").to_numpy())
-        codes, keys = words.column("code").to_numpy()[order], words.column("key").fill_null(0).to_numpy()[order]
+    def translate(own: pa.Table, placed: pa.Table) -> pa.Table:
+        got = [unpack(x) for x in placed.column("own").to_pylist()]
+        order = np.argsort(joined([np.cumsum(x[0]) for x in got]))
+        codes, keys = joined([x[1] for x in got]), np.zeros(len(order), np.int64)
+        keys[codes >= exchange_words + least_count] = joined([(p << 32) + x[2] for p, x in zip(placed.column("part").to_pylist(), got)])
+        codes, keys = codes[order], keys[order]
         at = np.flatnonzero(codes >= exchange_words + least_count)
         counts = codes[at] - exchange_words
         codes[at] = exchange_words + least_count + np.arange(len(at))
-        numbers = np.frombuffer(ZstdDecompressor().decompress(own.column("numbers")[0].as_py()), np.int32)
-        flat = codes[numbers].astype(np.uint32) if len(codes) else np.zeros(0, np.uint32)
-        packed = [[ZstdCompressor(1).compress(x.tobytes())] for x in (flat, keys[at], counts)]
+        numbers = unpack(own.column("numbers")[0].as_py())[0]
+        packed = [[pack(x)] for x in (codes[numbers], keys[at], counts)]
         return pa.Table.from_arrays([*(own.column(c).cast(schema.field(c).type) for c in ("block", "doc_ids", "train", "lengths")),
                                      *(pa.array(x, pa.binary()) for x in packed)], schema=schema)
 
+    placed = counted.filter("block is not null").select("part", "block", "own").mapInArrow(code, "block long, part int, own binary")
     mine = blocks.select("block", "doc_ids", "train", "lengths", "numbers")
     return written(mine.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(
         translate, "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, codes binary, keys binary, counts binary"), "lm-codes")
@@ -114,19 +219,17 @@ READ = ("doc_ids", "train", "lengths", "codes", "counts", "classes")
 
 def _read(rows: Iterator[pa.RecordBatch], model: ClassModel):
     """(doc_ids, train, lengths, codes, classes) of each block, with the counts of late words in their codes."""
-    from zstandard import ZstdDecompressor
-
     for batch in rows:
         for k in range(batch.num_rows):
             ids, train, lengths, codes, counts, own = (batch.column(c)[k].as_py() for c in READ)
-            flat = np.frombuffer(ZstdDecompressor().decompress(codes), np.uint32).astype(np.int64)
+            flat = unpack(codes)[0]
             first = len(model.class_of) + model.least_count
             at = np.flatnonzero(flat >= first)
             late = flat[at] - first
-            flat[at] = len(model.class_of) + np.frombuffer(ZstdDecompressor().decompress(counts), np.int64)[late]
+            flat[at] = len(model.class_of) + unpack(counts)[0][late]
             classes = model.classes_of(flat)
             if own is not None:
-                classes[at] = np.frombuffer(own, np.int16)[late]
+                classes[at] = unpack(own)[0][late]
             yield ids, np.array(train, bool), np.array(lengths, np.int64), flat, classes
 
 
@@ -253,72 +356,61 @@ def exchange(model: ClassModel, before: np.ndarray, after: np.ndarray, bigrams:
 
 
 def _late_exchange(corpus: DataFrame, model: ClassModel, bigrams: np.ndarray, parts: int) -> DataFrame:
-    """The corpus with new classes of the late words of each block; all but every ``parts``-th word stay.
-
-    Words meet by a 64-bit key; two with the same key would get one class.
-    """
+    """The corpus with new classes of the late words of each block; all but every ``parts``-th word stay."""
     k, g = len(model.class_of), model.all_classes
-    schema = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("pos", pa.int64()), ("cells", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("own", pa.binary())])
 
     def count(rows):
-        from zstandard import ZstdDecompressor
-
         for batch in rows:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
-                keys = np.frombuffer(ZstdDecompressor().decompress(row.column("keys")[0].as_py()), np.int64)
-                raw = np.frombuffer(ZstdDecompressor().decompress(row.column("codes")[0].as_py()), np.uint32).astype(np.int64)
+                keys = unpack(row.column("keys")[0].as_py())[0]
+                raw = unpack(row.column("codes")[0].as_py())[0]
                 _, train, lengths, _, classes = next(_read(iter([row]), model))
                 learned = np.repeat(train, lengths)
                 chosen, classes = with_ends(lengths[train], raw[learned]), with_ends(lengths[train], classes[learned], g - 1)
                 before = np.append(g - 1, classes[:-1])
                 at = np.flatnonzero(chosen >= k + model.least_count)
-                late = np.concatenate([chosen[at], chosen[at]]) - (k + model.least_count)
-                order = np.argsort(late, kind="stable")
-                cells = np.concatenate([before[at], g + classes[at + 1]]).astype(np.uint16)[order]
-                ends = np.append(0, 2 * np.cumsum(np.bincount(late, minlength=len(keys)))).astype(np.int32)
-                for a in range(0, len(keys), 10_000):
-                    own = ends[a:a + 10_001]
-                    data = cells[own[0] // 2:own[-1] // 2].tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[a:a + 10_000]), pa.array(np.full(len(own) - 1, row.column("block")[0].as_py())), pa.array(np.arange(a, a + len(own) - 1)),
-                         pa.Array.from_buffers(pa.binary(), len(own) - 1, [None, pa.py_buffer((own - own[0]).tobytes()), pa.py_buffer(data)])], schema=schema)
-
-    out = pa.schema([("block", pa.int64()), ("pos", pa.int64()), ("class", pa.int16())])
-
-    def move(rows):
-        choose, rest = chooser(bigrams, model.classes), None
-        for batch in chain(rows, [None]):
-            if batch is None:
-                own, rest = rest, None
-            else:
-                own = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-                if not own.num_rows:
-                    continue
-                keys = np.asarray(own.column("key"))
-                end = int(np.searchsorted(keys, keys[-1]))  # the last word may go on in the next batch
-                own, rest = own.slice(0, end), own.slice(end)
-            if own is None or not own.num_rows:
-                continue
-            keys = np.asarray(own.column("key"))
-            word = np.append(0, np.cumsum(np.diff(keys) != 0))
-            cells = own.column("cells").to_pylist()
-            flat = np.frombuffer(b"".join(cells), np.uint16)
-            words = int(word[-1]) + 1
-            counts = np.bincount(np.repeat(word, [len(x) // 2 for x in cells]) * 2 * g + flat, minlength=words * 2 * g).reshape(words, 2, g)
+                by_part = np.argsort(keys >> 32, kind="stable")
+                place = np.empty(len(keys), np.int64)
+                place[by_part] = np.arange(len(keys))
+                late = place[np.concatenate([chosen[at], chosen[at]]) - (k + model.least_count)]
+                cells = np.concatenate([before[at], g + classes[at + 1]])[np.argsort(late, kind="stable")]
+                seen = np.bincount(late, minlength=len(keys))
+                ends = np.append(0, np.cumsum(seen))
+                held, cuts = np.unique(keys[by_part] >> 32, return_index=True)
+                dealt = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
+                yield arrow_rows(schema, [held, [row.column("block")[0].as_py()] * len(held), [
+                    pack(steps(by_part[x]), keys[by_part[x]] & 0xFFFFFFFF, seen[x], cells[ends[x.start]:ends[x.stop]]) for x in dealt]])
+
+    out = pa.schema([("block", pa.int64()), ("own", pa.binary())])
+
+    def move(rows: pa.Table) -> pa.Table:
+        choose = chooser(bigrams, model.classes)
+        own = [unpack(x) for x in rows.column("own").to_pylist()]
+        ids, word = np.unique(joined([x[1] for x in own]), return_inverse=True)
+        owner = np.repeat(word, joined([x[2] for x in own]))
+        order = np.argsort(owner, kind="stable")
+        owner, cells = owner[order], joined([x[3] for x in own])[order]
+        classes = np.zeros(len(ids), np.int64)
+        for a in range(0, len(ids), 4096):
+            first = ids[a:a + 4096]
+            begin, end = np.searchsorted(owner, [a, a + len(first)])
+            counts = np.bincount((owner[begin:end] - a) * 2 * g + cells[begin:end], minlength=len(first) * 2 * g).reshape(len(first), 2, g)
             n = counts[:, 0].sum(1)
             now = model.classes_of(k + n)
             best, better = choose(counts[:, 0], counts[:, 1], now, n)
-            first = keys[np.flatnonzero(np.append(True, np.diff(keys) != 0))]
-            classes = np.where(better & (first % parts == 0), best, now)
-            yield pa.RecordBatch.from_arrays([own.column("block"), own.column("pos"), pa.array(classes[word].astype(np.int16))], schema=out)
+            classes[a:a + len(first)] = np.where(better & (first % parts == 0), best, now)
+        ends = np.cumsum([len(x[0]) for x in own])[:-1]
+        packed = [pack(x[0], c) for x, c in zip(own, np.split(classes[word], ends))]
+        return pa.Table.from_batches([arrow_rows(out, [rows.column("block").to_pylist(), packed])])
 
     def place(own: pa.Table, moved: pa.Table) -> pa.Table:
-        classes = moved.column("class").to_numpy()[np.argsort(moved.column("pos").to_numpy())]
-        return own.append_column("classes", pa.array([classes.astype(np.int16).tobytes()], pa.binary()))
+        got = [unpack(x) for x in moved.column("own").to_pylist()]
+        classes = joined([x[1] for x in got])[np.argsort(joined([np.cumsum(x[0]) for x in got]))]
+        return own.append_column("classes", pa.array([pack(classes)], pa.binary()))
 
-    moved = corpus.mapInArrow(count, "key long, block long, pos long, cells binary").repartition("key").sortWithinPartitions("key").mapInArrow(
-        move, "block long, pos long, class short")
+    moved = corpus.mapInArrow(count, "part int, block long, own binary").groupBy("part").applyInArrow(move, "block long, own binary")
     mine = corpus.select("block", *READ[:-1])
     return written(mine.groupBy("block").cogroup(moved.groupBy("block")).applyInArrow(
         place, "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, codes binary, counts binary, classes binary"), "lm-classes")
@@ -336,18 +428,17 @@ def fit_and_score(docs: DataFrame, train: Column, classes: int = 32, exchange_wo
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = _blocks(own, block_chars)
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", "w.words", "w.counts")
-    words = words.withColumnsRenamed({"words": "word", "counts": "n"})
-    own_word = Window.partitionBy("word")
-    counted = written(words.select("block", "pos", "word", F.sum("n").over(own_word).cast("long").alias("c"),
-                                   (F.col("block") == F.min("block").over(own_word)).alias("first")), "lm-words")
-    vocabulary = counted.filter("first and c > 0").select("word", "c")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count() // 16)  # a part's words fit a task
+    counted = _counted(blocks, parts)
+    vocabulary = counted.filter("block is null").select("part", F.explode(F.arrays_zip("words", "ids", "counts")).alias("w")).select(
+        F.col("w.words").alias("word"), (F.shiftleft(F.col("part").cast("long"), 32) + F.col("w.ids")).alias("key"), F.col("w.counts").alias("c"))
     top = written(vocabulary.filter(F.col("c") >= least_count).orderBy(F.desc("c"), "word").limit(exchange_words).withColumn(
         "rank", F.row_number().over(Window.orderBy(F.desc("c"), "word")).cast("long") - 1), "lm-frequent")
     types, word_tokens, exchanged = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") >= least_count, 1))).first()
     ends = blocks.select(F.explode("train").alias("t")).filter("t").count()
-    counts = np.array([r["c"] for r in top.orderBy("rank").collect()], np.int64)  # at most ``exchange_words`` numbers
-    coded = _encoded(blocks, counted, top, exchange_words, least_count)
+    frequent = top.select("c", "key").orderBy("rank").collect()  # at most ``exchange_words`` rows
+    counts, keys = (np.array([r[x] for r in frequent], np.int64) for x in ("c", "key"))
+    coded = _encoded(blocks, counted, keys, exchange_words, least_count)
     corpus = coded.withColumn("classes", F.lit(None).cast("binary"))
     model = ClassModel(classes, np.arange(len(counts)) % classes, counts, word_tokens + ends, types + (ends > 0), ends, least_count)
     if len(counts) < exchange_words:  # codes of rarer words begin at ``exchange_words`` all the same
