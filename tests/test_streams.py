@@ -105,6 +105,33 @@ def test_visits_saved_and_deleted_in_the_stream_are_seen(spark, tmp_path):
     assert "(el último fue el 1 de marzo)" in next(r.notice for r in out if r.entry_id == 13)
 
 
+def test_late_sightings_are_met_bucket_by_bucket(spark, tmp_path):
+    """Two buckets of many stations: visits saved, deleted and asked for of each station and method stay apart."""
+    pick = random.Random(8)
+    visits, asked = [], []
+    for k in range(400):
+        day = pick.randint(1, 28)
+        visits.append((pick.randint(1, 12), pick.choice(["transecto", 'punto "a"']), f"2026-01-{day:02d}", 86_400_000 * (20_453 + day), False))
+    visits += [(*v[:3], v[3] + 7_200_000, True) for v in visits[::3]]
+    for k in range(600):
+        day = pick.randint(1, 28)
+        asked.append((2**60 + k, pick.randint(1, 13), pick.choice(["transecto", 'punto "a"']), f"2026-01-{day:02d}", f"2026-01-{pick.randint(day, 28):02d}", 86_400_000 * (20_453 + day) + pick.choice([-1, 0, 3_600_000, 7_200_000, 9_000_000])))
+    (tmp_path / "v").mkdir(), (tmp_path / "e").mkdir()
+    saved = in_files(spark, visits, "station_id long, method string, event_date string, at long, removed boolean", tmp_path / "v").withColumn("at", F.timestamp_millis("at"))
+    entries = in_files(spark, asked, "entry_id long, station_id long, method string, sighting_date string, today string, at long", tmp_path / "e").withColumn("at", F.timestamp_millis("at"))
+    both, close = W.with_closing(entries, "at")
+    out = W.run_batched(W.late_entries(both, saved, watermark="90 days", salts=2, buckets=2), close=close)
+    got = {(r.entry_id, r.mode) for r in out.filter("entry_id is not null").collect()}
+    want = set()
+    for entry, station, method, said, today, at in asked:
+        days = {}
+        for v in sorted((v for v in visits if v[:2] == (station, method) and v[3] <= at), key=lambda v: (v[3], v[4])):
+            days[v[2]] = days.get(v[2], 0) + (-1 if v[4] else 1)
+        days, late = {d for d, n in days.items() if n > 0}, said != today
+        want.add((entry, ("olvido" if late else "normal") if said in days or not days else "otro_dia" if late else "quizas_replica"))
+    assert got == want and len(got) == 600 and len({m for _, m in got}) == 4
+
+
 def test_dedup_stream_equals_batch(spark, tmp_path):
     """Rows arrive in two files; the closing row brings out the last ones, and all live rows come out once."""
     t = Tables(spark, SF)
