@@ -132,6 +132,19 @@ def test_late_sightings_are_met_bucket_by_bucket(spark, tmp_path):
     assert got == want and len(got) == 600 and len({m for _, m in got}) == 4
 
 
+def test_late_sightings_and_visits_without_a_time(spark, tmp_path):
+    """They come first; a day that isn't known is no one's day."""
+    visits = [(1, "transecto", None, None, False), (1, "transecto", "2026-03-02", "2026-03-02 00:00:00", False), (2, "transecto", None, None, False)]
+    asked = [(20, 1, "transecto", None, "2026-03-04", "2026-03-04 00:00:00"), (21, 1, "transecto", "2026-03-02", "2026-03-04", "2026-03-04 00:00:00"),
+             (22, 2, "transecto", "2026-03-02", "2026-03-04", "2026-03-04 00:00:00"), (23, 1, "transecto", "2026-03-02", "2026-03-04", None)]
+    (tmp_path / "v").mkdir(), (tmp_path / "e").mkdir()
+    saved = in_files(spark, visits, "station_id long, method string, event_date string, at string, removed boolean", tmp_path / "v").withColumn("at", F.to_timestamp("at"))
+    entries = in_files(spark, asked, "entry_id long, station_id long, method string, sighting_date string, today string, at string", tmp_path / "e").withColumn("at", F.to_timestamp("at"))
+    both, close = W.with_closing(entries, "at")
+    out = W.run_batched(W.late_entries(both, saved, watermark="90 days"), close=close).filter("entry_id is not null").collect()
+    assert {r.entry_id: r.mode for r in out} == {20: "quizas_replica", 21: "olvido", 22: "olvido", 23: "olvido"}
+
+
 def test_dedup_stream_equals_batch(spark, tmp_path):
     """Rows arrive in two files; the closing row brings out the last ones, and all live rows come out once."""
     t = Tables(spark, SF)
